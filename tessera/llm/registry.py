@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import order_minhash, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": packing.op6_packing}
+    return {"op5_order_minhash": order_minhash.op5_order_minhash, "op6_packing": packing.op6_packing}
 
 
 def oracle_sql() -> dict[str, str]:
