@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import order_minhash, packing
+from . import jaccard_join, order_minhash, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_order_minhash": order_minhash.op5_order_minhash, "op6_packing": packing.op6_packing}
+    return {
+        "op5_order_minhash": order_minhash.op5_order_minhash,
+        "op6_packing": packing.op6_packing,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
