@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, load, partitions, written
-from .tokens import SegmentEncoder, chunks
+from .tokens import chunks, encoder
 
 CAPACITY = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -87,16 +87,16 @@ def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, piece: int = 1024) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, piece: int = 256) -> DataFrame:
     """Each document's ids, the end id among them, cut at fixed places: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = SegmentEncoder(vocabulary, keep_space=False), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(vocabulary, byte_level=False).encode_many, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 rows: list[tuple] = []
-                for doc, data in zip(ids[a:b], encoder.encode_many(texts[a:b]), strict=True):
+                for doc, data in zip(ids[a:b], encode(texts[a:b]), strict=True):
                     data += end
                     total = len(data) // 4
                     whole = total - total % capacity
@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: in
     return id_text(docs).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, piece: int = 1024, windows: int = 256) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, piece: int = 256, windows: int = 256) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     pieces = written(token_pieces(docs, vocabulary, end_id, capacity, piece), "pieces")
     rest = pieces.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0

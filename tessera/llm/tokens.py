@@ -1,24 +1,30 @@
 """Token ids of whole texts, by the tokenizers library, at the speed of a word table.
 
-Both public BPE vocabularies cut a text at the border between a visible character and white space before any merge
-is made, so the ids of a text are the ids of its segments one after another. Each distinct segment is encoded once
-by the library and kept, as little-endian 32-bit ids, in a table of bounded size.
+Both public BPE vocabularies cut a text before any merge is made, and never across the border between a visible
+character and white space, or after a whole run of letters. So the ids of a text are the ids of its segments one after
+another. Each distinct segment is encoded once by the library, many in one call, and kept as little-endian 32-bit ids
+in a table of bounded size that lives as long as its Python worker.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
 
 # White_Space characters of Unicode (fixed values): what the vocabularies' own patterns take as \s.
-SPACE = "\t-\r \x85\xa0  -     　"
-#: Segments of a byte-level vocabulary keep the white space before a word.
-WITH_SPACE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Vocabularies with word ends drop white space; what other white space a segment holds, the library handles.
-NO_SPACE = re.compile("[^ \n]+")
+SPACE = r"\t-\r \x85\xa0  -     　"
+LOWER = r"a-z\xdf-\xf6\xf8-\xff"
+LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Byte-level: a space belongs to the word after it. Runs of letters before white space, a stop or a comma; a line's
+#: end before a letter; a word's last stops; else all up to the next white space.
+BYTE_LEVEL = re.compile(rf" ?[{LETTER}]++(?![^{SPACE}.,])|\n(?=[{LETTER}])|[.,]++(?![^{SPACE}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Word ends: white space is dropped; the text is in lower case.
+WORD_END = re.compile(rf"[{LOWER}]++(?![^ \n.,])|[.,]++(?![^ \n])|[^ \n]+")
+PLAIN = re.compile("[^ \n]+")
+SIMPLE = {True: re.compile(rf" [{LETTER}]+"), False: re.compile(rf"[{LOWER}]+")}
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -30,40 +36,80 @@ def vocabulary_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
+def _latin(text: str) -> bool:
+    """Latin-1 only: lowering such a text changes nothing that the library's normalizers do afterwards."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class SegmentEncoder:
-    """encode(text) -> bytes of little-endian unsigned 32-bit ids, equal to the library's ids for the whole text.
+    """encode_many(texts) -> for each text the bytes of little-endian unsigned 32-bit ids, equal to the library's ids.
 
-    most_bytes bounds the table: when its segments exceed that, it starts anew. Segments over long_chars are encoded
-    but not kept.
+    byte_level: the vocabulary keeps spaces (else it marks word ends and lowers). The table starts anew beyond
+    most_entries segments; segments over long_chars are encoded but not kept.
     """
 
-    def __init__(self, vocabulary: str, keep_space: bool, most_entries: int = 400_000, long_chars: int = 64):
+    def __init__(self, vocabulary: str, byte_level: bool, most_entries: int = 1_000_000, long_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.find: Callable[[str], list[str]] = (WITH_SPACE if keep_space else NO_SPACE).findall
+        self.byte_level, self.simple = byte_level, SIMPLE[byte_level].fullmatch
         self.known: dict[str, bytes] = {}
         self.most, self.long = most_entries, long_chars
+        words = self.tokenizer.get_vocab()
+        #: ids that open a segment (byte level: a space) or close one (a word's end)
+        self.mark = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.mark[[i for w, i in words.items() if (w.startswith("Ġ") if byte_level else w.endswith("</w>"))]] = True
+
+    def cut(self, text: str) -> list[str]:
+        if self.byte_level:
+            return BYTE_LEVEL.findall(text)
+        return WORD_END.findall(text.lower()) if _latin(text) else PLAIN.findall(text)
+
+    def _encode(self, segments: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+
+    def _encode_simple(self, segments: list[str], together: int = 64) -> list[bytes]:
+        """Runs of letters, so many in one text: each is one segment there too, and marked ids tell where it starts or ends."""
+        parts = [segments[a : a + together] for a in range(0, len(segments), together)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([("" if self.byte_level else " ").join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.mark[ids])
+            bounds = [*at.tolist(), len(ids)] if self.byte_level else [0, *(at + 1).tolist()]
+            if len(bounds) != len(part) + 1:
+                out += self._encode(part)
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        out = []
         known = self.known
         if len(known) > self.most:
             known.clear()
-        cut = [self.find(t) if t else [] for t in texts]
+        cut = [self.cut(t) if t else [] for t in texts]
         new = list({s for segments in cut for s in segments if s not in known})
         extra: dict[str, bytes] = {}
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(s) <= self.long else extra)[s] = np.array(e.ids, dtype="<u4").tobytes()
-        for segments in cut:
-            if extra:
-                out.append(b"".join([known[s] if s in known else extra[s] for s in segments]))
-            else:
-                out.append(b"".join([known[s] for s in segments]))
-        return out
+        for simple, encode in ((True, self._encode_simple), (False, self._encode)):
+            part = [s for s in new if (len(s) <= self.long and self.simple(s) is not None) == simple]
+            for s, data in zip(part, encode(part), strict=True):
+                (known if len(s) <= self.long else extra)[s] = data
+        if extra:
+            return [b"".join([known[s] if s in known else extra[s] for s in segments]) for segments in cut]
+        return [b"".join([known[s] for s in segments]) for segments in cut]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(vocabulary: str, byte_level: bool) -> SegmentEncoder:
+    """One for each vocabulary and Python worker: the table serves the worker's later tasks too."""
+    return SegmentEncoder(vocabulary, byte_level)
 
 
 def chunks(texts: list, most_chars: int = 2_000_000):
