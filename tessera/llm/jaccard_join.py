@@ -21,21 +21,19 @@ columns are ignored. Shingles and sets are known by 64-bit hashes.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import array_sum
 from .common import id_text, load, written
 from .components import components
 from .shingles import Shingler, U, mixed
 
-BLOCKS, BLOCK = 64, 1 << 14  # the sketch: a million counters
+COUNTERS, SHIFT = 1 << 20, U(44)  # the sketch: a million counters, by the hash's upper 20 bits
 #: A token of more rows than this, by its sketched count, is dealt into sub-buckets of about so many.
 SUB_BUCKET = 1 << 12
 
@@ -53,30 +51,21 @@ def overlap_needed(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
 def sketch(src: DataFrame, size: int) -> np.ndarray:
     """log2 of the counters that count each document's distinct shingles; bounded: a byte for each counter."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total, some = Shingler(size), np.zeros(BLOCKS * BLOCK, dtype=np.int64), False
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        shingler, total, pending, n = Shingler(size), None, [], 0
         for batch in batches:
+            total = np.zeros(COUNTERS, dtype=np.int64) if total is None else total
             for s in shingler.sets(batch.column(0)):
-                some = True
-                np.add.at(total, (s >> U(44)).astype(np.int64), 1) if len(s) < 2000 else np.add(total, np.bincount((s >> U(44)).astype(np.int64), minlength=len(total)), out=total)
-        if some:
-            pid = TaskContext.get().partitionId()
-            data = [zlib.compress(part.astype("<u8").tobytes(), 1) for part in total.reshape(BLOCKS, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pid // 64] * BLOCKS, pa.int32()), pa.array(data, pa.binary())], ["block", "salt", "data"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, dtype=np.int64)
-        for d in pdf["data"]:
-            total += np.frombuffer(zlib.decompress(d), dtype="<u8").astype(np.int64)
-        return pdf.iloc[:1].assign(data=[zlib.compress(total.astype("<u8").tobytes(), 1)])
-
-    schema = "block int, salt int, data binary"
-    parts = src.select("text").mapInArrow(count, schema)
-    summed = parts.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    level = np.zeros((BLOCKS, BLOCK), dtype=np.uint8)
-    for row in summed.collect():  # BLOCKS rows, whatever the input
-        level[row.block] = np.frexp(np.frombuffer(zlib.decompress(row.data), dtype="<u8").astype(np.float64))[1]
-    return level.ravel()
+                pending.append((s >> SHIFT).astype(np.int64))
+                n += len(s)
+                if n > 500_000:
+                    total += np.bincount(np.concatenate(pending), minlength=COUNTERS)
+                    pending, n = [], 0
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=COUNTERS)
+        return total
+
+    return np.frexp(array_sum(src.select("text"), COUNTERS, count).astype(np.float64))[1].astype(np.uint8)
 
 
 def signatures(src: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -93,7 +82,7 @@ def signatures(src: DataFrame, level: np.ndarray, size: int, percent: int) -> Da
                 if not len(s):
                     sid.append(None), gid.append(None), prefix.append(None), levels.append(None)
                     continue
-                logs = level[s >> U(44)]
+                logs = level[s >> SHIFT]
                 first = np.argsort(logs, kind="stable")[: len(s) - int(enough(np.int64(len(s)), percent)) + 1]
                 tokens = s[first]
                 sid.append(_folded(mixed(s), len(s)))
@@ -220,37 +209,24 @@ def bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "g1 long, g2 long")
 
 
-FILTER_BYTES = 1 << 20
+FILTER_BITS = 1 << 21
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     h = mixed(ids.astype(U) * U(0x9E3779B97F4A7C15))
-    return np.stack([h >> U(41), (h << U(23)) >> U(41)]).astype(np.int64)
+    return np.stack([h >> U(43), (h << U(21)) >> U(43)]).astype(np.int64)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of fixed size over one column of longs: what it lets through is checked by a join later."""
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BYTES * 8, dtype=bool)
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        bits = np.zeros(FILTER_BITS, dtype=np.int64)
         for batch in batches:
-            bits[_bits(batch.column(0).drop_null().to_numpy())] = True
-        if bits.any():
-            data = [zlib.compress(x.tobytes(), 1) for x in np.packbits(bits).reshape(16, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([TaskContext.get().partitionId() // 64] * 16, pa.int32()), pa.array(data, pa.binary())], ["block", "salt", "data"])
-
-    def either(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(FILTER_BYTES // 16, dtype=np.uint8)
-        for d in pdf["data"]:
-            total |= np.frombuffer(zlib.decompress(d), dtype=np.uint8)
-        return pdf.iloc[:1].assign(data=[zlib.compress(total.tobytes(), 1)])
-
-    schema = "block int, salt int, data binary"
-    merged = ids.mapInArrow(fill, schema).groupBy("block", "salt").applyInPandas(either, schema).groupBy("block").applyInPandas(either, schema)
-    out = np.zeros((16, FILTER_BYTES // 16), dtype=np.uint8)
-    for row in merged.collect():  # 16 rows, whatever the input
-        out[row.block] = np.frombuffer(zlib.decompress(row.data), dtype=np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
+            bits[_bits(batch.column(0).drop_null().to_numpy())] = 1
+        return bits if bits.any() else None
+
+    return array_sum(ids, FILTER_BITS, fill) > 0
 
 
 def sets_of(src: DataFrame, sig: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

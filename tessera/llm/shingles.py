@@ -40,6 +40,31 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the runs of True; a border of documents ends a run."""
+    n = len(inside)
+    padded = np.zeros(n + 2, dtype=np.int8)
+    padded[1:-1] = inside
+    edge = np.diff(padded)
+    first, last = edge[:-1] == 1, edge[1:] == -1
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    touching = inner[(padded[inner] == 1) & (padded[inner + 1] == 1)]
+    first[touching], last[touching - 1] = True, True
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def byte_chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, bytes, offsets) for ranges of whole texts of about so many bytes together; a longer text is alone."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
 class Shingler:
     """sets(array) gives each text's sorted distinct shingle hashes (null, empty or wordless: none)."""
 
@@ -48,17 +73,8 @@ class Shingler:
         self.up, self.down = _powers(_P, chunk_bytes + 1), _powers(_INVERSE, chunk_bytes + 1)
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        texts = texts.cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        if not offsets[-1] - offsets[0]:
-            yield from (np.zeros(0, dtype=U) for _ in range(len(texts)))
-            return
-        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
-        a = 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.chunk, "right")) - 1)
-            yield from self._chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            a = b
+        for _, _, data, offsets in byte_chunks(texts, self.chunk):
+            yield from self._chunk(data, offsets)
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         n = len(data)
@@ -66,15 +82,7 @@ class Shingler:
             up, down = _powers(_P, n + 1), _powers(_INVERSE, n + 1)
         else:
             up, down = self.up[:n], self.down
-        word = np.empty(n + 2, dtype=np.int8)
-        word[0] = word[-1] = 0
-        word[1:-1] = ~_SPACE[data]
-        edge = np.diff(word)
-        first, last = edge[:-1] == 1, edge[1:] == -1
-        inner = offsets[(offsets > 0) & (offsets < n)]  # a border of documents ends a word
-        touching = inner[(word[inner] == 1) & (word[inner + 1] == 1)]
-        first[touching], last[touching - 1] = True, True
-        start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+        start, stop = runs(~_SPACE[data], offsets)
         sums = np.zeros(n + 1, dtype=U)
         np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
         words = mixed((sums[stop] - sums[start]) * down[start])

@@ -95,7 +95,9 @@ class SegmentEncoder:
         if len(known) > self.most:
             known.clear()
         cut = [self.cut(t) if t else [] for t in texts]
-        new = list({s for segments in cut for s in segments if s not in known})
+        new: set[str] = set()
+        for segments in cut:
+            new |= set(segments).difference(known)
         extra: dict[str, bytes] = {}
         for simple, encode in ((True, self._encode_simple), (False, self._encode)):
             part = [s for s in new if (len(s) <= self.long and self.simple(s) is not None) == simple]
@@ -103,7 +105,7 @@ class SegmentEncoder:
                 (known if len(s) <= self.long else extra)[s] = data
         if extra:
             return [b"".join([known[s] if s in known else extra[s] for s in segments]) for segments in cut]
-        return [b"".join([known[s] for s in segments]) for segments in cut]
+        return [b"".join(map(known.__getitem__, segments)) for segments in cut]
 
 
 @functools.lru_cache(maxsize=2)
