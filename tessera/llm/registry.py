@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, order_minhash, packing
+from . import jaccard_join, order_minhash, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_packing": packing.op6_packing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
