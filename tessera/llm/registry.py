@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, order_minhash, packing, toxicity
+from . import jaccard_join, order_minhash, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_packing": packing.op6_packing,
+        "op8_secrets": secrets.op8_secrets,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     }
 
