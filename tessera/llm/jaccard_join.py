@@ -69,13 +69,13 @@ def sketch(src: DataFrame, size: int) -> np.ndarray:
 
 
 def signatures(src: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, sid (hash of the set), gid (hash of prefix and size), prefix (hashes in order), levels (their counts' logs)."""
+    """doc_id, th (hash of the text), n, sid (hash of the set), gid (hash of prefix and size), prefix (hashes in order), levels (their counts' logs)."""
     shared = src.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(size), shared.value
         for batch in batches:
-            ids = batch.column(0)
+            ids, th = batch.column(0), batch.column(2)
             n, sid, gid, prefix, levels = [], [], [], [], []
             for s in shingler.sets(batch.column(1)):
                 n.append(len(s))
@@ -89,9 +89,9 @@ def signatures(src: DataFrame, level: np.ndarray, size: int, percent: int) -> Da
                 gid.append(_folded(mixed(tokens), len(s)))
                 prefix.append(tokens.tobytes())
                 levels.append(logs[first].tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(levels, pa.binary())], ["doc_id", "n", "sid", "gid", "prefix", "levels"])
+            yield pa.RecordBatch.from_arrays([ids, th, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(levels, pa.binary())], ["doc_id", "th", "n", "sid", "gid", "prefix", "levels"])
 
-    return src.mapInArrow(run, "doc_id long, n long, sid long, gid long, prefix binary, levels binary")
+    return src.withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, n long, sid long, gid long, prefix binary, levels binary")
 
 
 def _folded(h: np.ndarray, n: int) -> int:
@@ -273,8 +273,8 @@ def verified(src: DataFrame, sig: DataFrame, pairs: DataFrame, size: int, percen
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, for each row of docs."""
+def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, th, n_shingles, comp (a key of the component; null without shingles), component_id, for each row of docs."""
     src = id_text(docs)
     sig = written(signatures(src, sketch(src, size), size, percent), "signatures")
     some = sig.where("n > 0")
@@ -311,9 +311,38 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         if not late.isEmpty():
             comp = components(links.union(late))
     whole = classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
-    named = whole.join(whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("sid", "component_id")
-    out = some.select("doc_id", "n", "sid").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = whole.join(whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("sid", "comp", "component_id")
+    out = some.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid").join(named, "sid").drop("sid")
+    alone = sig.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, for each row of docs."""
+    return jaccard_classes(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns kept, with one document of each component: the least doc_id, nulls last; ties by the text's hash.
+
+    Documents without shingles are all kept. Only the ids and hashes of what goes are joined with docs.
+    """
+    rows = written(jaccard_classes(docs, size, percent).where("comp is not null").groupBy("comp", "doc_id", "th").count(), "classes-of-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
+    marked = rows.join(rows.groupBy("comp").agg(best.alias("best")), "comp")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    marked = written(marked.withColumn("stays", stays).where("not stays or count > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stays"), "going")
+
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        match = F.col("doc_id").cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(F.col("text").cast("string")) == keys["_th"])
+        return docs.join(keys, match, how)
+
+    kept = of(marked.select("_id", "_th"), "left_anti")
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return kept
+    once = of(repeated.select("_id", "_th"), "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return kept.unionByName(once)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import array_sum
 from .common import id_text, load
@@ -233,6 +234,21 @@ def fit(train: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float
     return weight, bias
 
 
+class Scorer:
+    """Scores of a column of texts."""
+
+    def __init__(self, weight: np.ndarray, bias: float):
+        self.features, self.weight, self.bias = Features(), weight, bias
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        total = np.full(len(texts), self.bias)
+        for a, _, doc, bucket, _ in self.features.chunks(texts):
+            known = self.weight[bucket] > 0
+            doc, bucket = present(doc[known], bucket[known])
+            np.add.at(total, a + doc, self.weight[bucket])
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -242,19 +258,26 @@ def scores(docs: DataFrame, weight: np.ndarray, bias: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weight = Features(), shared.value
+        scorer = Scorer(shared.value, bias)
         for batch in batches:
-            total = np.full(batch.num_rows, bias)
-            for a, _, doc, bucket, _ in features.chunks(batch.column(2)):
-                known = weight[bucket] > 0
-                doc, bucket = present(doc[known], bucket[known])
-                np.add.at(total, a + doc, weight[bucket])
-            score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            score = scorer(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return src.mapInArrow(run, SCORED)
 
 
+def mark_toxic(docs: DataFrame, weight: np.ndarray, bias: float, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
+    """docs, all columns kept, with a score."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(weight), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, bias)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(batch.column(at)))], [*batch.schema.names, score_col])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows of the training side: crc32 of the id as text isn't divisible by 5."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
