@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, order_minhash, packing, repair, secrets, toxicity
+from . import hnsw, jaccard_join, order_minhash, packing, repair, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hnsw": hnsw.op1_hnsw,
         "op2_token_files": repair.op2_token_files,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_order_minhash": order_minhash.op5_order_minhash,
