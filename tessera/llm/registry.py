@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, jaccard_join, order_minhash, packing, repair, secrets, toxicity
+from . import hnsw, jaccard_join, order_minhash, packing, piece_dropout, repair, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_packing": packing.op6_packing,
+        "op7_merge_dropout": piece_dropout.op7_merge_dropout,
         "op8_secrets": secrets.op8_secrets,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     }
