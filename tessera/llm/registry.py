@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, jaccard_join, order_minhash, packing, piece_dropout, repair, secrets, toxicity
+from . import hnsw, jaccard_join, order_minhash, packing, piece_dropout, pseudo_likelihood, repair, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_merge_dropout": piece_dropout.op7_merge_dropout,
         "op8_secrets": secrets.op8_secrets,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+        "op10_pseudo_likelihood": pseudo_likelihood.op10_pseudo_likelihood,
     }
 
 
