@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, jaccard_join, order_minhash, packing, piece_dropout, pseudo_likelihood, repair, secrets, toxicity
+from . import hnsw, jaccard_join, licenses, order_minhash, packing, piece_dropout, pseudo_likelihood, repair, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hnsw": hnsw.op1_hnsw,
         "op2_token_files": repair.op2_token_files,
+        "op3_licenses": licenses.op3_licenses,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_packing": packing.op6_packing,
