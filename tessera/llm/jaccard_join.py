@@ -8,8 +8,9 @@
    with the fewest rarer shingles; group pairs that pass the size and position filters are expanded to their members
    and verified on the whole sets, and links make components.
 4. Then group pairs of a bucket that still hold different components are expanded and verified, but for pairs that
-   were. So no pair of different texts within the threshold is lost, and a bucket of copies costs its size, not its
-   square: pairs that are already connected aren't emitted.
+   were; in a large bucket the members' texts meet, and only links between components leave it. So no pair of different
+   texts within the threshold is lost, and a bucket of copies costs its size, not its square: pairs that are already
+   connected aren't emitted.
 
 A frequent shingle's bucket is dealt into sub-buckets by its sketched count, each with a pivot, and the pivots meet.
 
@@ -21,6 +22,7 @@ columns are ignored. Shingles and sets are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,9 @@ from .common import id_text, load, written
 from .components import components
 from .shingles import Shingler, U, mixed
 
-COUNTERS, SHIFT = 1 << 20, U(44)  # the sketch: a million counters, by the hash's upper 20 bits
+COUNTERS, SHIFT = 1 << 21, U(43)  # the sketch: two million counters, by the hash's upper 21 bits
+#: Buckets of more groups than this are verified where they meet.
+LARGE = 48
 #: A token of more rows than this, by its sketched count, is dealt into sub-buckets of about so many.
 SUB_BUCKET = 1 << 12
 
@@ -49,7 +53,7 @@ def overlap_needed(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(src: DataFrame, size: int) -> np.ndarray:
-    """log2 of the counters that count each document's distinct shingles; bounded: a byte for each counter."""
+    """1024 log2 of the counters that count each document's distinct shingles; bounded: two bytes for each counter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         shingler, total, pending, n = Shingler(size), None, [], 0
@@ -65,7 +69,7 @@ def sketch(src: DataFrame, size: int) -> np.ndarray:
             total += np.bincount(np.concatenate(pending), minlength=COUNTERS)
         return total
 
-    return np.frexp(array_sum(src.select("text"), COUNTERS, count).astype(np.float64))[1].astype(np.uint8)
+    return np.round(1024 * np.log2(np.maximum(1, array_sum(src.select("text"), COUNTERS, count)))).astype(np.uint16)
 
 
 def signatures(src: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -100,24 +104,32 @@ def _folded(h: np.ndarray, n: int) -> int:
     return int(mixed(np.array([total], dtype=U)).astype(np.int64)[0])
 
 
-def token_rows(groups: DataFrame) -> DataFrame:
-    """A row for each token of each group's prefix: tok, sub (its sub-bucket), dealt (1 if it has several), gid, n, pos."""
+def token_rows(sig: DataFrame) -> DataFrame:
+    """A row for each token of a group's prefix: tok, sub (its sub-bucket), dealt (1 if it has several), gid, n, pos.
+
+    A task emits a group once, however many copies it reads; buckets make the rows of different tasks distinct.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
+                fresh = [g is not None and g not in seen and not seen.add(g) for g in part.column(0).to_pylist()]
+                part = part.filter(pa.array(fresh))
+                if not part.num_rows:
+                    continue
                 gid, n = part.column(0).to_numpy(), part.column(1).to_numpy()
                 prefix, levels = part.column(2).to_pylist(), part.column(3).to_pylist()
-                size = np.array([len(x) for x in levels])
-                logs = np.frombuffer(b"".join(levels), dtype=np.uint8).astype(np.int64)
+                size = np.array([len(x) // 2 for x in levels])
+                logs = np.frombuffer(b"".join(levels), dtype=np.uint16).astype(np.int64) >> 10
                 g = np.repeat(gid, size)
-                subs = np.left_shift(1, np.maximum(0, logs - SUB_BUCKET.bit_length() + 1))
+                subs = np.left_shift(1, np.maximum(0, logs - SUB_BUCKET.bit_length() + 2))
                 sub = mixed(g.astype(U)).astype(np.int64) & (subs - 1)
                 pos = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix), dtype=np.int64)), pa.array(sub.astype(np.int32)), pa.array((subs > 1).astype(np.int32)), pa.array(g), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["tok", "sub", "dealt", "gid", "n", "pos"])
 
-    return groups.select("gid", "n", "prefix", "levels").mapInArrow(run, "tok long, sub int, dealt int, gid long, n int, pos int")
+    return sig.select("gid", "n", "prefix", "levels").mapInArrow(run, "tok long, sub int, dealt int, gid long, n int, pos int")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -137,7 +149,7 @@ def passes(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, perce
 
 
 def with_pivots(rows: DataFrame, percent: int) -> DataFrame:
-    """Star edges and the rows of buckets that hold several groups.
+    """Star edges and the rows of buckets that hold three groups or more (the one pair of a bucket of two is an edge).
 
     kind 0: an edge (gid, other); 1: a row of its bucket (tok, sub, gid, n, pos), which later steps need; 2: a pivot of
     a sub-bucket, which must meet the token's other pivots.
@@ -149,17 +161,16 @@ def with_pivots(rows: DataFrame, percent: int) -> DataFrame:
             return
         tok, sub, gid, n, pos, dealt = (t.column(c).to_numpy() for c in ("tok", "sub", "gid", "n", "pos", "dealt"))
         order = np.lexsort((gid, pos, sub, tok))
+        order = order[np.concatenate(([True], (np.diff(tok[order]) != 0) | (np.diff(sub[order]) != 0) | (np.diff(gid[order]) != 0)))]
         tok, sub, gid, n, pos, dealt = (x[order] for x in (tok, sub, gid, n, pos, dealt))
         new = np.concatenate(([True], (tok[1:] != tok[:-1]) | (sub[1:] != sub[:-1])))
         start = np.flatnonzero(new)
         length = np.diff(np.append(start, len(tok)))
         pivot = np.repeat(start, length)
-        several = np.repeat(length, length) > 1
-        other = several & ~new
-        edge = np.flatnonzero(other & passes(n, pos, n[pivot], pos[pivot], percent))
+        edge = np.flatnonzero(~new & passes(n, pos, n[pivot], pos[pivot], percent))
         # each pair once here; the whole input's pairs are made distinct later
         pair = np.unique(np.stack([np.minimum(gid[edge], gid[pivot[edge]]), np.maximum(gid[edge], gid[pivot[edge]])]), axis=1)
-        kept = np.flatnonzero(several | (dealt > 0))
+        kept = np.flatnonzero((np.repeat(length, length) > 2) | (dealt > 0))
         lead = np.flatnonzero(new & (dealt > 0))
         for kind, at in ((1, kept), (2, lead)):
             yield _rows(kind, tok[at], sub[at], gid[at], n[at], pos[at], np.zeros(len(at), dtype=np.int64))
@@ -229,46 +240,141 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return array_sum(ids, FILTER_BITS, fill) > 0
 
 
-def sets_of(src: DataFrame, sig: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sid, items) for each sid in wanted: the whole set, from the text of one document that has it."""
+def texts_of(src: DataFrame, sig: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(sid, zipped) for each sid in wanted, and a few more: the text, compressed, of one document that has the set.
+
+    A repeated row may come once from each task.
+    """
     one = sig.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    one = written(one, "wanted")
     allowed = src.sparkSession.sparkContext.broadcast(id_filter(one.select("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, allowed_bits = Shingler(size), allowed.value
+        shingler, allowed_bits, seen = Shingler(size), allowed.value, set()
         for batch in batches:
             ids = batch.column(0)
             ok = ids.is_null().to_numpy(zero_copy_only=False) | allowed_bits[_bits(ids.fill_null(0).to_numpy())].all(axis=0)
-            if not ok.any():
-                continue
-            sid, items = [], []
-            for s in shingler.sets(batch.column(1).filter(pa.array(ok))):
-                sid.append(_folded(mixed(s), len(s)) if len(s) else None)
-                items.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(sid, pa.int64()), pa.array(items, pa.binary())], ["doc_id", "sid", "items"])
+            texts = batch.column(1).filter(pa.array(ok))
+            sid, zipped = [], []
+            for text, s in zip(texts, shingler.sets(texts), strict=True):
+                key = _folded(mixed(s), len(s)) if len(s) else None
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    sid.append(key)
+                    zipped.append(zlib.compress(text.as_buffer(), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(zipped, pa.binary())], ["sid", "zipped"])
+
+    return src.mapInArrow(run, "sid long, zipped binary")
+
 
-    found = src.mapInArrow(run, "doc_id long, sid long, items binary").alias("f")
-    # one document for each set: rows that repeat a doc_id and its text are all that is left to make distinct
-    met = found.join(one.alias("o"), (F.col("f.sid") == F.col("o.sid")) & F.col("f.doc_id").eqNullSafe(F.col("o.doc_id")))
-    return met.select("f.sid", "f.items").dropDuplicates(["sid"])
+def large_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components in large buckets (tok, low, high), verified on the whole sets in the bucket.
 
+    rows: tok, low, high, sub, sid, comp, zipped. A document that keeps too few shingles that others of the bucket have
+    can't link; the rest meet by postings, but for pairs that are already connected. At most one link for each pair of
+    components comes out.
+    """
 
-def verified(src: DataFrame, sig: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sids whose whole sets are within the threshold."""
-    sets = written(sets_of(src, sig, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), size), "sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _whole(batches)
+        if t is None:
+            return
+        shingler = Shingler(size)
+        tok, low, high, sub, sid = (t.column(c).to_numpy() for c in ("tok", "low", "high", "sub", "sid"))
+        order = np.lexsort((sid, sub, high, low, tok))
+        order = order[np.concatenate(([True], (np.diff(tok[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0) | (np.diff(sub[order]) != 0) | (np.diff(sid[order]) != 0)))]
+        change = (np.diff(tok[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        for bucket in np.split(order, np.flatnonzero(change) + 1):
+            comp = t.column("comp").take(pa.array(bucket)).to_numpy()
+            if (comp == comp[0]).all():
+                continue
+            links = _bucket_links(shingler, t.column("zipped").take(pa.array(bucket)), comp, percent)
+            if links:
+                a, b = (sid[bucket[[x[i] for x in links]]] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _bucket_links(shingler: Shingler, zipped: pa.Array, comp: np.ndarray, percent: int, at_once: int = 6_000_000) -> list[tuple[int, int]]:
+    """Positions of linked documents, by blocks of documents of so many shingles together."""
+    block, blocks, held = [], [], 0
+    for i, z in enumerate(zipped):
+        s = next(shingler.sets(pa.array([zlib.decompress(z.as_buffer()).decode()], pa.large_string())))
+        block.append((i, s))
+        held += len(s)
+        if held > at_once:  # rare: the sets of a block's documents are made anew for each pair of blocks
+            blocks.append([i for i, _ in block])
+            block, held = [], 0
+    if not blocks:
+        return _met([i for i, _ in block], [s for _, s in block], comp, percent)
+    blocks.append([i for i, _ in block])
+    out = []
+    for x in range(len(blocks)):
+        for y in range(x, len(blocks)):
+            at = blocks[x] + (blocks[y] if y > x else [])
+            texts = [zlib.decompress(zipped[i].as_buffer()).decode() for i in at]
+            out += _met(at, list(shingler.sets(pa.array(texts, pa.large_string()))), comp, percent)
+    return out
+
+
+def _met(at: list[int], sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    doc, items = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    _, token, times = np.unique(items, return_inverse=True, return_counts=True)
+    alive = n > 0
+    while True:  # shingles of one document alone count for no link; documents with too many of them go
+        good = alive[doc] & (times[token] > 1)
+        few = np.bincount(doc[good], minlength=len(n)) < enough(n, percent)
+        if not (alive & few).any():
+            break
+        alive &= ~few
+        times = np.bincount(token[alive[doc]], minlength=len(times))
+    doc, token = doc[good], token[good]
+    order = np.argsort(token, kind="stable")
+    posting, start = doc[order], np.searchsorted(token[order], np.arange(len(times) + 1))
+    bounds = np.searchsorted(doc, np.arange(len(n) + 1))
+    root = comp[at].copy()
+    names, size = np.unique(root[alive], return_counts=True)
+    if len(names) < 2:
+        return []
+    out = []
+    most = names[size.argmax()]
+    for x in np.flatnonzero(alive & (root != most)).tolist():
+        other = alive & (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if not other.any():
+            continue
+        common = np.zeros(len(n), dtype=np.int64)
+        for w in token[bounds[x] : bounds[x + 1]].tolist():
+            common[posting[start[w] : start[w + 1]]] += 1
+        for y in np.flatnonzero(other & (common >= overlap_needed(n, n[x], percent))).tolist():
+            if root[y] != root[x]:
+                out.append((at[x], at[y]))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+
+
+def verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sids whose whole sets are within the threshold. Compressed texts travel: sets are thrice as long."""
+    both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("zipped").alias("x")), "a").join(texts.select(F.col("sid").alias("b"), F.col("zipped").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
         for batch in batches:
-            a, b, left, right = batch.columns
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                z = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(z[1:] == z[:-1]))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            for at in range(0, batch.num_rows, 200):
+                a, b, left, right = batch.slice(at, 200).columns
+                zipped = dict(zip([*a.to_pylist(), *b.to_pylist()], [*left, *right], strict=True))
+                sets = dict(zip(zipped, shingler.sets(pa.array([zlib.decompress(z.as_buffer()).decode() for z in zipped.values()], pa.large_string())), strict=True))
+                keep = []
+                for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+                    z = np.sort(np.concatenate([sets[x], sets[y]]))
+                    common = int(np.count_nonzero(z[1:] == z[:-1]))
+                    keep.append(100 * common >= percent * (len(sets[x]) + len(sets[y]) - common))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
@@ -279,35 +385,44 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sig = written(signatures(src, sketch(src, size), size, percent), "signatures")
     some = sig.where("n > 0")
     classes = written(some.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")), "classes")
-    groups = some.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("levels").alias("levels"))
     lead = classes.groupBy("gid").agg(F.min("sid").alias("lead"))
 
-    met = written(with_pivots(token_rows(groups).repartition("tok", "sub"), percent), "buckets")
+    met = written(with_pivots(token_rows(some).repartition("tok", "sub"), percent), "buckets")
     tops = met.where("kind = 2").select("tok", F.lit(0).alias("sub"), "gid", "n", "pos", F.lit(0).alias("dealt"))
     more = with_pivots(tops.repartition("tok"), percent).where("kind = 0")
     star = met.where("kind = 0").select("gid", "other").union(more.select("gid", "other")).distinct()
+    star = written(star, "star")
     g1, g2 = (lead.select(F.col("gid").alias(g), F.col("lead").alias(s)) for g, s in (("gid", "a"), ("other", "b")))
     within = classes.join(lead, "gid").where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     tested = star.join(g1, "gid").join(g2, "other").select("a", "b").union(within)
     tested = written(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
-    links = verified(src, sig, tested, size, percent)
+    links = verified(written(texts_of(src, sig, ends(tested).distinct(), size), "texts"), tested, size, percent)
 
     comp = components(links)
     placed = written(classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", "gid", F.coalesce("comp", "sid").alias("comp")), "placed")
     of_group = placed.groupBy("gid").agg(F.min("comp").alias("cmin"), F.max("comp").alias("cmax"))
     rows = written(met.where("kind = 1").select("tok", "sub", "gid", "n", "pos").join(of_group, "gid"), "bucket-rows")
-    mixed_tokens = rows.groupBy("tok").agg(F.min("cmin").alias("lo"), F.max("cmax").alias("hi"), F.max("sub").alias("subs")).where("lo <> hi").select("tok", "subs")
-    blocks = rows.join(mixed_tokens, "tok").withColumn("with", F.explode(F.sequence(F.lit(0), "subs")))
-    blocks = blocks.select("tok", F.least("sub", "with").alias("low"), F.greatest("sub", "with").alias("high"), "sub", "gid", "n", "pos", "cmin", "cmax")
-    pairs = bucket_pairs(blocks.repartition("tok", "low", "high"), percent).distinct()
+    counted = rows.groupBy("tok").agg(F.min("cmin").alias("lo"), F.max("cmax").alias("hi"), F.max("sub").alias("subs"), F.count("*").alias("n_rows"))
+    counted = written(counted.where("lo <> hi").select("tok", "subs", (F.col("n_rows") > LARGE).alias("large")), "bucket-sizes")
+
+    def blocks(large: bool) -> DataFrame:
+        out = rows.join(counted.where(F.col("large") == large), "tok").withColumn("with", F.explode(F.sequence(F.lit(0), "subs")))
+        return out.select("tok", F.least("sub", "with").alias("low"), F.greatest("sub", "with").alias("high"), "sub", "gid", "n", "pos", "cmin", "cmax")
+
+    # star pairs again: their groups' other members haven't met
+    pairs = bucket_pairs(blocks(False).repartition("tok", "low", "high"), percent).union(star).distinct()
     m1, m2 = (placed.select(F.col("gid").alias(g), F.col("sid").alias(s), F.col("comp").alias(c)) for g, s, c in (("g1", "a", "ca"), ("g2", "b", "cb")))
     inside = placed.join(of_group.where("cmin <> cmax").select("gid"), "gid", "left_semi")
     i1, i2 = (inside.select("gid", F.col("sid").alias(s), F.col("comp").alias(c)) for s, c in (("a", "ca"), ("b", "cb")))
     rest = pairs.join(m1, "g1").join(m2, "g2").where("ca <> cb").select("a", "b").union(i1.join(i2, "gid").where("ca <> cb and a < b").select("a", "b"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
-    if not rest.isEmpty():
-        late = verified(src, sig, rest, size, percent)
+    meeting = blocks(True).select("tok", "low", "high", "sub", "gid").join(placed.select("gid", "sid", "comp"), "gid")
+    wanted = ends(rest).union(meeting.select("sid")).distinct()
+    if not wanted.isEmpty():
+        texts = written(texts_of(src, sig, wanted, size), "texts")
+        dealt = meeting.join(texts, "sid").select("tok", "low", "high", "sub", "sid", "comp", "zipped").repartition("tok", "low", "high")
+        late = written(verified(texts, rest, size, percent).union(large_links(dealt, size, percent)), "late")
         if not late.isEmpty():
             comp = components(links.union(late))
     whole = classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))

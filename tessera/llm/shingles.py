@@ -68,7 +68,7 @@ def byte_chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarr
 class Shingler:
     """sets(array) gives each text's sorted distinct shingle hashes (null, empty or wordless: none)."""
 
-    def __init__(self, size: int = 5, chunk_bytes: int = 2_000_000):
+    def __init__(self, size: int = 5, chunk_bytes: int = 1_000_000):
         self.size, self.chunk = size, chunk_bytes
         self.up, self.down = _powers(_P, chunk_bytes + 1), _powers(_INVERSE, chunk_bytes + 1)
 
