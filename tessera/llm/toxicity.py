@@ -1,16 +1,16 @@
 """Toxicity scores by weak supervision.
 
-1. Two arrays of fixed size count, over all labelled training rows, in how many toxic and clean texts each hashed
-   feature (a word, or its first 4, 5 or 6 bytes) occurs. Features that tell the classes apart are candidates.
+1. Two arrays of fixed size count in how many toxic and clean training texts each hashed feature (a word, or its first
+   4, 5 or 6 bytes) occurs. Features that tell the classes apart are candidates.
 2. Voters are a fixed lexicon, learned lexicons (one candidate each, chosen greedily by the toxic texts that no earlier
    voter covers) and patterns (shouting, symbol noise). A generative model with the class as its latent variable gives
    each voter's rates of firing in both classes by expectation maximisation; voters that fire together within a class
    more than independence allows share their weight. The annotator is one more voter, as fallible as the others.
 3. A logistic regression over the candidates is trained on the posterior labels, and scores every whole text.
 
-Steps 2 and 3 are fitted on at most ``most_rows`` labelled training rows (a documented bound; the least hashes of the
-id), of which the driver gets the candidates that occur, at most MOST_HITS bits a row. Labels are read from the rows
-of the training side alone; label, lang, source and doc_id are no features.
+The model is fitted on at most ``most_rows`` labelled training rows, those of the least hashes of the id (a documented
+bound, so that fitting moves no text but these rows'); of each, the driver gets CANDIDATES bits. Labels are read from
+the rows of the training side alone; label, lang, source and doc_id are no features.
 
 Edge cases: null and empty texts get the score of a text without features; without labelled training rows the fixed
 lexicon alone decides; null labels are skipped; repeated rows are scored once each; an empty table gives no rows; other
@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import array_sum
-from .common import id_text, load
+from .common import id_text, load, written
 from .shingles import _INVERSE, _P, _VALUE, U, _powers, byte_chunks, mixed, runs
 
 # The fixed lexicon (fixed values): insults in English.
 LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "dumb"]
-BUCKETS, CHUNK = 1 << 20, 2_000_000
+BUCKETS, CHUNK = 1 << 20, 1_000_000
 PREFIXES = (4, 5, 6)
-CANDIDATES, VOTERS, MOST_ROWS = 4096, 256, 20_000
+CANDIDATES, VOTERS, MOST_ROWS = 1024, 256, 30_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -187,8 +187,10 @@ def linear_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rou
     return back, bias
 
 
-def fit(train: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float]:
-    """A weight for each bucket, and the bias. train: doc_id, text, toxic (0 or 1)."""
+def fit(train: DataFrame) -> tuple[np.ndarray, float]:
+    """A weight for each bucket, and the bias. train: text, toxic (0 or 1), bounded."""
+    # equal texts once: a group of copies isn't evidence many times over
+    train = written(train.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "training")
     counts = training_counts(train)
     n_clean, n_toxic = (int(x) for x in counts[2 * BUCKETS : 2 * BUCKETS + 2])
     fixed = np.unique(Features().of_words(LEXICON))
@@ -207,11 +209,7 @@ def fit(train: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float
                 out += [np.packbits(np.concatenate([r, f])).tobytes() for r, f in zip(row, fired(values).T, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["toxic", "hits"])
 
-    # equal texts once: a group of copies isn't evidence many times over
-    some = train.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    some = some.orderBy(F.xxhash64("doc_id"), "h").limit(most_rows).select("doc_id")
-    sample = train.join(some, "doc_id", "left_semi").select("text", F.col("toxic").cast("int").alias("toxic"))
-    got = sample.mapInArrow(hits, "toxic int, hits binary").collect()  # at most most_rows rows of CANDIDATES bits
+    got = train.select("text", "toxic").mapInArrow(hits, "toxic int, hits binary").collect()  # a bounded number of rows of CANDIDATES bits
     label = np.array([r.toxic for r in got], dtype=np.int64)
     width = len(places) + PATTERNS
     bits = np.zeros((0, width), dtype=np.uint8)
@@ -278,11 +276,13 @@ def mark_toxic(docs: DataFrame, weight: np.ndarray, bias: float, text_col: str =
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows of the training side: crc32 of the id as text isn't divisible by 5."""
+def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """text, toxic of at most most_rows labelled rows of the training side: crc32 of the id as text isn't divisible by 5."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return id_text(docs).join(known, "doc_id").where("text is not null")
+    rows = [tuple(r) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect()]
+    some = labels.sparkSession.createDataFrame(rows, "doc_id long, toxic int")
+    return id_text(docs).join(F.broadcast(some), "doc_id").where("text is not null").select("text", "toxic")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
