@@ -92,14 +92,16 @@ def parse_keywords(c: Column) -> Column:
 
 
 def strip_code_blocks(c: Column) -> Column:
-    """Lines outside fences of four dashes or more; an unclosed fence drops what follows."""
-    lines = F.split(c, "\n", -1)
-    fence = F.transform(lines, lambda x: trimmed(x).rlike("^-{4,}$").cast("int"))
-    keep = F.filter(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: (F.element_at(fence, i) == 0) & (F.aggregate(F.slice(fence, F.lit(1), i), F.lit(0), lambda a, x: a + x) % 2 == 0),
-    )
-    return F.array_join(F.transform(keep, lambda i: F.element_at(lines, i)), "\n")
+    """Lines outside fences of four dashes or more; an unclosed fence drops what follows. One fold over the lines."""
+    state = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("kept"))
+
+    def step(a: Column, line: Column) -> Column:
+        fence = trimmed(line).rlike("^-{4,}$")
+        code = F.when(fence, ~a["code"]).otherwise(a["code"])
+        kept = F.when(fence | a["code"], a["kept"]).otherwise(F.concat(a["kept"], F.array(line)))
+        return F.struct(code.alias("code"), kept.alias("kept"))
+
+    return F.array_join(F.aggregate(F.split(c, "\n", -1), state, step)["kept"], "\n")
 
 
 def _folded(c: Column, rules: list[tuple[str, str]]) -> Column:

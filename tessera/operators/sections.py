@@ -14,14 +14,20 @@ HEADING, FENCE, SOURCE = r"^={1,5}\s+.+$", r"^-{4,}$", r"^\[source(?:,\s*([^\]]+
 ATTRIBUTE = r"(?m)^:([a-zA-Z][a-zA-Z0-9_-]*):\s*(.*)$"
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a generator of one row keeps the optimizer from putting their
+    expressions into the lambdas that use them, where they would be computed for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_lines(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds lines, bare (trimmed) lines, and the 0-based positions of fences and of headings outside code."""
-    df = df.withColumn("lines", F.split(F.coalesce(content, F.lit("")), "\n", -1))
-    df = df.withColumn("bare", F.transform("lines", T.trimmed))
+    df = held(df, lines=F.split(F.coalesce(content, F.lit("")), "\n", -1))
+    df = held(df, bare=F.transform("lines", T.trimmed))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
-    df = df.withColumn("fences", F.filter(places, lambda i: F.get("bare", i).rlike(FENCE)))
+    df = held(df, fences=F.filter(places, lambda i: F.get("bare", i).rlike(FENCE)))
     outside = lambda i: F.size(F.filter("fences", lambda f: f < i)) % 2 == 0
-    return df.withColumn("heads", F.filter(places, lambda i: F.get("bare", i).rlike(HEADING) & outside(i)))
+    return held(df, heads=F.filter(places, lambda i: F.get("bare", i).rlike(HEADING) & outside(i)))
 
 
 def sections(df: DataFrame) -> DataFrame:
@@ -35,19 +41,20 @@ def sections(df: DataFrame) -> DataFrame:
     def at(k: Column) -> Column:
         head = F.get("heads", k - 1)  # the heading of segment k, none for the preamble
         following = F.get("heads", k)
-        first_body = F.when(k == 0, F.lit(0)).otherwise(head + 1)
-        stop = F.coalesce(following, n)
-        body = F.slice("bare", first_body + 1, F.greatest(F.lit(0), stop - first_body))
-        visible = F.exists(body, lambda x: x != "")
         start = F.when(k == 0, F.lit(1)).otherwise(head + 1)
-        keep = visible | (following.isNotNull() & (start == 1) & (following > 0))
+        first_body = F.when(k == 0, F.lit(0)).otherwise(head + 1)
         title = F.when(k == 0, F.lit("")).otherwise(T.trimmed(F.regexp_extract(F.get("bare", head), r"^={1,5}\s+(.+)$", 1)))
-        return F.struct(title.alias("title"), start.cast("int").alias("start_line"), stop.cast("int").alias("end_line"), keep.alias("keep"))
+        return F.struct(title.alias("title"), start.cast("int").alias("start_line"), F.coalesce(following, n).cast("int").alias("end_line"), first_body.alias("first"), following.alias("following"))
+
+    df = held(df, segments=F.transform(F.sequence(F.lit(0), F.size("heads")), at))
+
+    def kept(s: Column) -> Column:
+        body = F.slice("bare", s["first"] + 1, F.greatest(F.lit(0), s["end_line"] - s["first"]))
+        return F.exists(body, lambda x: x != "") | (s["following"].isNotNull() & (s["start_line"] == 1) & (s["following"] > 0))
 
-    all_ = F.transform(F.sequence(F.lit(0), F.size("heads")), at)
-    kept = F.transform(F.filter(all_, lambda s: s["keep"]), lambda s: F.struct(s["title"].alias("title"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line")))
-    blank = T.trimmed(F.array_join("lines", "\n")) == ""
-    return df.withColumn("sections", F.when(blank, F.slice(kept, 1, 0)).otherwise(kept))
+    blank = ~F.exists("bare", lambda x: x != "")
+    some = F.transform(F.filter("segments", kept), lambda s: F.struct(s["title"].alias("title"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line")))
+    return held(df, sections=F.when(blank, F.slice(some, 1, 0)).otherwise(some))
 
 
 def section_rows(df: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
@@ -161,8 +168,8 @@ def chunks(raw: DataFrame, base: str = "https://docs.example.org/guides/", core:
     named = listed(attribute(content, "extensions"))
     extensions = F.when(F.col("extension").isNotNull(), F.array("extension")).when(F.size(named) > 0, named).otherwise(F.array(F.lit(core)))
     page = T.page_name(F.col("path"))
-    pages = raw.select("version", page.alias("page"), "content", page_title(content, page).alias("title"), topics.alias("topics"), extensions.alias("extensions"))
-    rows = section_rows(pages, ["version", "page", F.col("title").alias("page_title"), "topics", "extensions"], strict)
+    pages = raw.select("version", page.alias("page"), "content", page_title(content, page).alias("page_title"), topics.alias("topics"), extensions.alias("extensions"))
+    rows = section_rows(pages, ["version", "page", "page_title", "topics", "extensions"], strict)
     return rows.select(
         "version", "page", F.concat_ws("#", "page", T.slug(F.col("title"))).alias("chunk_key"), F.col("page_title").alias("title"), F.col("title").alias("section"), "ordinal",
         T.build_url(F.col("page"), F.col("title"), base).alias("url"), "topics", "extensions", T.first_sentence(F.col("chunk_content")).alias("summary"), F.col("chunk_content").alias("content"),

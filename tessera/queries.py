@@ -353,7 +353,7 @@ def first_sentence(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("summary"))
 
 
-@query("truncate_words", "WITH s AS (SELECT doc_id, text, left(text, 301) AS head FROM documents), p AS (SELECT *, CASE WHEN contains(head, ' ') THEN length(head) - position(' ' IN reverse(head)) ELSE -1 END AS at FROM s) SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN at > 210 THEN left(text, at) || '…' ELSE left(text, 300) || '…' END AS cut FROM p")
+@query("truncate_words", "WITH s AS (SELECT doc_id, text, left(text, 301) AS head FROM documents), p AS (SELECT *, CASE WHEN contains(head, ' ') THEN length(head) - position(' ' IN reverse(head)) ELSE -1 END AS cut_at FROM s) SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN cut_at > 210 THEN left(text, cut_at) || '…' ELSE left(text, 300) || '…' END AS cut FROM p")
 def truncate_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.truncate_words(F.col("text"), 300).alias("cut"))
 
