@@ -105,7 +105,7 @@ def _folded(h: np.ndarray, n: int) -> int:
 
 
 def token_rows(sig: DataFrame) -> DataFrame:
-    """A row for each token of a group's prefix: tok, sub (its sub-bucket), dealt (1 if it has several), gid, n, pos.
+    """A row for each token of a group's prefix, in three longs: key (the token, or token and sub-bucket), gid, meta.
 
     A task emits a group once, however many copies it reads; buckets make the rows of different tasks distinct.
     """
@@ -124,12 +124,22 @@ def token_rows(sig: DataFrame) -> DataFrame:
                 size = np.array([len(x) // 2 for x in levels])
                 logs = np.frombuffer(b"".join(levels), dtype=np.uint16).astype(np.int64) >> 10
                 g = np.repeat(gid, size)
-                subs = np.left_shift(1, np.maximum(0, logs - SUB_BUCKET.bit_length() + 2))
-                sub = mixed(g.astype(U)).astype(np.int64) & (subs - 1)
+                doubled = np.maximum(0, logs - SUB_BUCKET.bit_length() + 2)
                 pos = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix), dtype=np.int64)), pa.array(sub.astype(np.int32)), pa.array((subs > 1).astype(np.int32)), pa.array(g), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["tok", "sub", "dealt", "gid", "n", "pos"])
+                meta = np.repeat(n, size) << 35 | pos << 7 | doubled
+                key = np.frombuffer(b"".join(prefix), dtype=np.int64) ^ _turn(_sub(g, doubled))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(g), pa.array(meta)], ["key", "gid", "meta"])
 
-    return sig.select("gid", "n", "prefix", "levels").mapInArrow(run, "tok long, sub int, dealt int, gid long, n int, pos int")
+    return sig.select("gid", "n", "prefix", "levels").mapInArrow(run, "key long, gid long, meta long")
+
+
+def _sub(gid: np.ndarray, doubled: np.ndarray) -> np.ndarray:
+    """The sub-bucket of a group among 2^doubled."""
+    return mixed(gid.astype(U)).astype(np.int64) & (np.left_shift(1, doubled) - 1)
+
+
+def _turn(sub: np.ndarray) -> np.ndarray:
+    return (sub.astype(U) * U(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -159,7 +169,10 @@ def with_pivots(rows: DataFrame, percent: int) -> DataFrame:
         t = _whole(batches)
         if t is None:
             return
-        tok, sub, gid, n, pos, dealt = (t.column(c).to_numpy() for c in ("tok", "sub", "gid", "n", "pos", "dealt"))
+        key, gid, meta = (t.column(c).to_numpy() for c in ("key", "gid", "meta"))
+        n, pos, dealt = meta >> 35, meta >> 7 & (1 << 28) - 1, meta & 127
+        sub = _sub(gid, dealt)
+        tok = key ^ _turn(sub)
         order = np.lexsort((gid, pos, sub, tok))
         order = order[np.concatenate(([True], (np.diff(tok[order]) != 0) | (np.diff(sub[order]) != 0) | (np.diff(gid[order]) != 0)))]
         tok, sub, gid, n, pos, dealt = (x[order] for x in (tok, sub, gid, n, pos, dealt))
@@ -387,9 +400,10 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = written(some.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")), "classes")
     lead = classes.groupBy("gid").agg(F.min("sid").alias("lead"))
 
-    met = written(with_pivots(token_rows(some).repartition("tok", "sub"), percent), "buckets")
-    tops = met.where("kind = 2").select("tok", F.lit(0).alias("sub"), "gid", "n", "pos", F.lit(0).alias("dealt"))
-    more = with_pivots(tops.repartition("tok"), percent).where("kind = 0")
+    met = written(with_pivots(token_rows(some).repartition("key"), percent), "buckets")
+    top_meta = F.shiftleft(F.col("n").cast("long"), 35) + F.shiftleft(F.col("pos").cast("long"), 7)
+    tops = met.where("kind = 2").select(F.col("tok").alias("key"), "gid", top_meta.alias("meta"))
+    more = with_pivots(tops.repartition("key"), percent).where("kind = 0")
     star = met.where("kind = 0").select("gid", "other").union(more.select("gid", "other")).distinct()
     star = written(star, "star")
     g1, g2 = (lead.select(F.col("gid").alias(g), F.col("lead").alias(s)) for g, s in (("gid", "a"), ("other", "b")))
