@@ -35,7 +35,7 @@ def versioned_docs(entry: DataFrame, versions: list[str], folder: str = "guides"
     """version, path, content: one pass over the archive serves all versions; path is what follows the version's folder."""
     marker = F.transform(F.array(*[F.lit(v) for v in versions]), lambda v: F.struct(v.alias("version"), F.concat(F.lit("_versions/"), v, F.lit(f"/{folder}/")).alias("mark")))
     met = entry.where(F.col("name").endswith(suffix)).select("name", "content", F.explode(F.filter(marker, lambda m: F.col("name").contains(m["mark"]))).alias("m"))
-    rest = F.substring(F.col("name"), F.locate(F.col("m.mark"), F.col("name")) + F.length("m.mark"), F.length("name"))
+    rest = F.substring(F.col("name"), F.position(F.col("m.mark"), F.col("name")) + F.length("m.mark"), F.length("name"))
     return met.select("m.version", rest.alias("path"), "content")
 
 

@@ -12,7 +12,7 @@ SCHEMA = "version string, path string, content string"
 def read(spark: SparkSession, root: str) -> DataFrame:
     """version, path, content of all files; an absent root has none."""
     try:
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+        files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     except AnalysisException:
         return spark.createDataFrame([], SCHEMA)
     inner = F.substring_index("file", root.rstrip("/").split("://")[-1] + "/", -1)
