@@ -6,7 +6,7 @@ least a share of the top pair's), which keeps a round a handful of array passes.
 a document is a range of symbols; each nonterminal's expansion length is stored, so that a range of ids is found
 without expanding what is before it.
 
-A shard is a record of a Parquet table, in order of (pid, shard): Spark's committer makes it whole or absent, on any
+A shard is a record of a Parquet table, in order of (pid, shard), with the ids before it in its partition: Spark's committer makes it whole or absent, on any
 store. Its ``data`` is, little-endian: the magic ``RPG1``; counts of documents, terminals, rules and symbols (u64
 each); each document's id (i64) and whether it is null (u8); each document's number of ids and of symbols (u64); the
 terminals (u32, ascending); the rules' left and right symbols (u32) and expansion lengths (u32); the symbols (u16 or
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, load, table_path
+from .segments import spread
 from .tokens import chunks, encoder
 
 MAGIC = b"RPG1"
@@ -161,14 +162,14 @@ class Shard:
                 for side, shift in ((self.left, None), (self.right, self.left)):
                     part = side[done - n : stop - n].astype(np.int64)
                     to = start[done:stop] + (self.length[shift[done - n : stop - n]] if shift is not None else 0)
-                    flat[_spread(to, self.length[part])] = flat[_spread(start[part], self.length[part])]
+                    flat[spread(to, self.length[part])] = flat[spread(start[part], self.length[part])]
                 done = stop
             self._table = flat, start
         return self._table
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, start = self._expansions()
-        return flat[_spread(start[symbols], self.length[symbols])]
+        return flat[spread(start[symbols], self.length[symbols])]
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.first[i] : self.first[i + 1]])
@@ -185,10 +186,7 @@ class Shard:
         return self.expand(self.symbols)
 
 
-def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for length[0] places, then start[1], ..."""
-    ends = np.cumsum(length)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
+SHARDS = "pid int, shard int, before long, n_ids long, data binary"
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
@@ -196,10 +194,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, pid = encoder(vocabulary, byte_level=True).encode_many, np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
-        ids, data, size, number = [], [], 0, 0
+        ids, data, size, number, done = [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([compress(ids, data)], pa.binary())], ["pid", "shard", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([size], pa.int64()), pa.array([compress(ids, data)], pa.binary())], ["pid", "shard", "before", "n_ids", "data"])
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -210,13 +208,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
                     size += len(x) // 4 + 1
                     if size >= shard_ids:
                         yield shard()
-                        ids, data, size, number = [], [], 0, number + 1
+                        ids, data, size, number, done = [], [], 0, number + 1, done + size
         if ids:
             yield shard()
 
     src = id_text(docs).withColumn("tie", F.xxhash64("text"))
     dealt = src.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    dealt.mapInArrow(run, "pid int, shard int, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -224,16 +222,14 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the shards at path."""
-    shards = spark.read.parquet(path)
+    shards = spark.read.schema(SHARDS).parquet(path)
     totals = shards.groupBy("pid").agg(F.sum("n_ids").alias("n")).orderBy("pid").collect()  # one row a partition
     base, rows = 0, []
     for r in totals:
         rows.append((r.pid, base))
         base += r.n
     bases = F.broadcast(spark.createDataFrame(rows, "pid int, base long"))
-    order = Window.partitionBy("pid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    places = shards.select("pid", "shard", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).join(bases, "pid")
-    placed = shards.join(places.select("pid", "shard", (F.col("base") + F.col("before")).alias("at")), ["pid", "shard"])
+    placed = shards.join(bases, "pid").withColumn("at", F.col("base") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

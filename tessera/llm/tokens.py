@@ -2,8 +2,9 @@
 
 Both public BPE vocabularies cut a text before any merge is made, and never across the border between a visible
 character and white space, or after a whole run of letters. So the ids of a text are the ids of its segments one after
-another. Each distinct segment is encoded once by the library, many in one call, and kept as little-endian 32-bit ids
-in a table of bounded size that lives as long as its Python worker.
+another. Each distinct segment is encoded once by the library, many in one call, and kept in a table of bounded size
+that lives as long as its Python worker. Texts with rare white space, and for vocabularies that lower letters those
+with characters beyond Latin-1, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -13,20 +14,26 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from .segments import MOST_BYTES, SegmentTable, flagged, lowered, odd_space, split_words, trailing, words
+from .shingles import byte_chunks
 
-# White_Space characters of Unicode (fixed values): what the vocabularies' own patterns take as \s.
-SPACE = r"\t-\r \x85\xa0  -     　"
 LOWER = r"a-z\xdf-\xf6\xf8-\xff"
 LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: Byte-level: a space belongs to the word after it. Runs of letters before white space, a stop or a comma; a line's
-#: end before a letter; a word's last stops; else all up to the next white space.
-BYTE_LEVEL = re.compile(rf" ?[{LETTER}]++(?![^{SPACE}.,])|\n(?=[{LETTER}])|[.,]++(?![^{SPACE}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Word ends: white space is dropped; the text is in lower case.
-WORD_END = re.compile(rf"[{LOWER}]++(?![^ \n.,])|[.,]++(?![^ \n])|[^ \n]+")
-PLAIN = re.compile("[^ \n]+")
 SIMPLE = {True: re.compile(rf" [{LETTER}]+"), False: re.compile(rf"[{LOWER}]+")}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: visible ones for themselves, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(0x100) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)} | {0x20: " "}
+
+
+BYTES = _byte_letters()
+
+
 def vocabulary_path(name_or_path: str) -> str:
     """A file name of the public tokenizers, or the path of any tokenizer file."""
     if os.sep in name_or_path:
@@ -36,50 +43,51 @@ def vocabulary_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def _latin(text: str) -> bool:
-    """Latin-1 only: lowering such a text changes nothing that the library's normalizers do afterwards."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 class SegmentEncoder:
     """encode_many(texts) -> for each text the bytes of little-endian unsigned 32-bit ids, equal to the library's ids.
 
-    byte_level: the vocabulary keeps spaces (else it marks word ends and lowers). The table starts anew beyond
-    most_entries segments; segments over long_chars are encoded but not kept.
+    byte_level: the vocabulary keeps spaces (else it marks word ends and lowers).
     """
 
-    def __init__(self, vocabulary: str, byte_level: bool, most_entries: int = 1_000_000, long_chars: int = 64):
+    def __init__(self, vocabulary: str, byte_level: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.byte_level, self.simple = byte_level, SIMPLE[byte_level].fullmatch
-        self.known: dict[str, bytes] = {}
-        self.most, self.long = most_entries, long_chars
-        words = self.tokenizer.get_vocab()
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.table = SegmentTable(self._encode_segments)
+        vocab = self.tokenizer.get_vocab()
         #: ids that open a segment (byte level: a space) or close one (a word's end)
-        self.mark = np.zeros(max(words.values()) + 1, dtype=bool)
-        self.mark[[i for w, i in words.items() if (w.startswith("Ġ") if byte_level else w.endswith("</w>"))]] = True
-
-    def cut(self, text: str) -> list[str]:
-        if self.byte_level:
-            return BYTE_LEVEL.findall(text)
-        return WORD_END.findall(text.lower()) if _latin(text) else PLAIN.findall(text)
+        self.mark = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.mark[[i for w, i in vocab.items() if (w.startswith("Ġ") if byte_level else w.endswith("</w>"))]] = True
 
     def _encode(self, segments: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
 
+    def _encode_segments(self, segments: list[str]) -> list[bytes]:
+        simple = [i for i, s in enumerate(segments) if self.simple(s)]
+        chosen = set(simple)
+        other = [i for i in range(len(segments)) if i not in chosen]
+        out: list[bytes] = [b""] * len(segments)
+        for places, encode in ((simple, self._encode_simple), (other, self._encode)):
+            for i, data in zip(places, encode([segments[i] for i in places]), strict=True):
+                out[i] = data
+        return out
+
     def _encode_simple(self, segments: list[str], together: int = 64) -> list[bytes]:
-        """Runs of letters, so many in one text: each is one segment there too, and marked ids tell where it starts or ends."""
+        """Runs of letters, so many in one text: each is one segment there too, and marked ids tell where it starts or ends.
+
+        Letters in lower case need neither normalizing nor the vocabulary's own splitting: the bare merges suffice.
+        """
         parts = [segments[a : a + together] for a in range(0, len(segments), together)]
+        if self.byte_level:
+            encoded = self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
+        else:
+            encoded = self.bare.encode_batch_fast([" ".join(p).encode().decode("latin-1").translate(BYTES) for p in parts], add_special_tokens=False)
         out: list[bytes] = []
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([("" if self.byte_level else " ").join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, e in zip(parts, encoded, strict=True):
             ids = np.array(e.ids, dtype="<u4")
             at = np.flatnonzero(self.mark[ids])
             bounds = [*at.tolist(), len(ids)] if self.byte_level else [0, *(at + 1).tolist()]
@@ -91,21 +99,33 @@ class SegmentEncoder:
         return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        cut = [self.cut(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for segments in cut:
-            new |= set(segments).difference(known)
-        extra: dict[str, bytes] = {}
-        for simple, encode in ((True, self._encode_simple), (False, self._encode)):
-            part = [s for s in new if (len(s) <= self.long and self.simple(s) is not None) == simple]
-            for s, data in zip(part, encode(part), strict=True):
-                (known if len(s) <= self.long else extra)[s] = data
-        if extra:
-            return [b"".join([known[s] if s in known else extra[s] for s in segments]) for segments in cut]
-        return [b"".join(map(known.__getitem__, segments)) for segments in cut]
+        out: list[bytes] = []
+        for a, b, data, offsets in byte_chunks(pa.array(texts, pa.large_string()), MOST_BYTES):
+            odd = flagged(odd_space(data) if self.byte_level else data >= 0xC4, offsets)
+            if not self.byte_level:
+                data = lowered(data)
+            before, start, stop = words(data, offsets)
+            first, last = split_words(data, before, start, stop, self.byte_level) if len(start) else (start, stop)
+            if self.byte_level:
+                x, y = trailing(offsets[1:], offsets, stop)
+                if len(x):
+                    first, last = np.concatenate([first, x]), np.concatenate([last, y])
+                    order = np.argsort(first, kind="stable")
+                    first, last = first[order], last[order]
+            if odd.any():
+                good = ~odd[np.searchsorted(offsets, first, "right") - 1]
+                first, last = first[good], last[good]
+            raw = data.tobytes()
+            ids, length = self.table.ids_of(self.table.hashes(data, first, last), lambda at: [raw[first[i] : last[i]].decode() for i in at.tolist()])  # noqa: B023
+            ends = np.concatenate(([0], np.cumsum(length)))[np.searchsorted(first, offsets)].tolist()
+            flat = ids.tobytes()
+            part = [flat[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            if odd.any():
+                places = np.flatnonzero(odd).tolist()
+                for i, whole in zip(places, self._encode([texts[a + i] for i in places]), strict=True):
+                    part[i] = whole
+            out += part
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,7 +134,7 @@ def encoder(vocabulary: str, byte_level: bool) -> SegmentEncoder:
     return SegmentEncoder(vocabulary, byte_level)
 
 
-def chunks(texts: list, most_chars: int = 2_000_000):
+def chunks(texts: list, most_chars: int = 1_000_000):
     """Ranges (a, b) of texts with about so many characters together: bounds the memory of a batch."""
     a, n = 0, 0
     for i, t in enumerate(texts):
