@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from .common import load, written
 
 M, WIDE, EF_BUILD, EF_SEARCH = 16, 32, 80, 160
-SHARD_ROWS, QUERY_BLOCK = 8192, 1024
+SHARD_ROWS, QUERY_BLOCK, TOP_NORMS = 8192, 1024, 32
 
 
-def search_layer(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def search_layer(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, at_once: int = 4, again: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one layer for all rows of q: (ids, scores), the best ef found, -1 where there are fewer.
 
-    Each step expands every query's best ``at_once`` open nodes together.
+    Each step expands every query's best ``at_once`` open nodes together. again marks entries that repeat another.
     """
     b, n = len(q), len(links)
     seen = np.zeros((b, n + 1), dtype=bool)
@@ -48,6 +48,8 @@ def search_layer(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndar
     seen[rows, entry[:, :w]] = True
     score[:, :w] = np.einsum("bwd,bd->bw", x[entry[:, :w]], q)
     open_[:, :w] = True
+    if again is not None:
+        score[:, :w][again[:, :w]], open_[:, :w][again[:, :w]] = -np.inf, False
     order = np.argsort(-score, axis=1, kind="stable")
     ids, score, open_ = (np.take_along_axis(v, order, axis=1) for v in (ids, score, open_))
     active = np.arange(b)
@@ -108,8 +110,21 @@ class Graph:
         graph = Graph(x, [])
         for level in range(len(counts) - 1, -1, -1):
             graph.layers.insert(0, graph._layer(counts[level], wide if level == 0 else m, ef, level))
+        graph._reach_all()
         return graph
 
+    def _reach_all(self, least: int = 4) -> None:
+        """Outliers are nobody's near neighbours: a node that few link to is linked from its own neighbours."""
+        links = self.layers[0]
+        low = np.flatnonzero(np.bincount(links[links >= 0], minlength=len(links)) < least)
+        new = set(low.tolist())
+        for u in low.tolist():
+            for w in links[u][links[u] >= 0][:least].tolist():
+                row = links[w]
+                place = next((j for j in range(len(row) - 1, 0, -1) if int(row[j]) not in new), None)
+                if place is not None and u not in row:
+                    row[place] = u
+
     def _layer(self, n: int, most: int, ef: int, level: int) -> np.ndarray:
         x = self.x[:n]
         links = np.full((n, most), -1, dtype=np.int64)
@@ -176,8 +191,14 @@ class Graph:
         return entry
 
     def search(self, q: np.ndarray, ef: int = EF_SEARCH) -> np.ndarray:
+        """Starts from where the upper layers lead, and from the vectors of the largest norms: the last coordinate, which
+        makes norms equal, is smallest for them, and large inner products are often theirs."""
         entry = self.descend(q, 3, down_to=1) if len(self.layers) > 1 else np.zeros((len(q), 1), dtype=np.int64)
-        return search_layer(self.x, self.layers[0], q, entry, ef)[0]
+        top = np.argsort(self.x[:, -1], kind="stable")[:TOP_NORMS]
+        entry = np.concatenate([np.repeat(top[None, :], len(q), axis=0), entry], axis=1)
+        entry = np.sort(entry, axis=1)
+        again = np.concatenate([np.zeros((len(q), 1), dtype=bool), entry[:, 1:] == entry[:, :-1]], axis=1)
+        return search_layer(self.x, self.layers[0], q, entry, ef, again=again)[0]
 
 
 def augmented(v: np.ndarray) -> np.ndarray:
