@@ -15,7 +15,6 @@ are encoded alike; null doc_ids are kept; an empty table gives no rows; other co
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import id_text, load
-from .shingles import U, mixed
+from .segments import MOST_BYTES, SegmentTable
+from .shingles import U, byte_chunks, mixed
 from .tokens import chunks, vocabulary_path
 
 SPACE = "▁"
-#: A non-character stands for the space sign of a text until it is written as bytes.
-HELD = "\ufdd0"
+#: A surrogate, which no text holds, stands for the space sign of a text until it is written as bytes.
+HELD = "\ud800"
 SPACE_HELD = {ord(HELD): ord(SPACE)}
 VARIANTS, DROPOUT, SEED = 4, 0.1, 13
 
@@ -82,9 +82,10 @@ class PieceModel:
         cross = any(SPACE in p.strip(SPACE) or (p.endswith(SPACE) and p.strip(SPACE)) for p in ordinary)
         if cross:
             raise ValueError("the model's pieces cross spaces")
-        alone = "".join(re.escape(c) for c in "\n\t" if c not in inner)
-        #: runs of spaces with what follows them; characters that no piece holds break segments
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: of bytes: 1 spaces, 2 characters that no piece holds (they break segments), 0 all others
+        self.kind = np.zeros(256, dtype=np.int8)
+        self.kind[0x20] = 1
+        self.kind[[ord(c) for c in "\n\t" if c not in inner]] = 2
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
@@ -162,61 +163,50 @@ class PieceModel:
 
 
 class DropoutEncoder:
-    """encode_many(texts) -> bytes of little-endian 32-bit ids; a table of bounded size keeps each segment's variants."""
+    """encode_many(texts) -> bytes of little-endian 32-bit ids; a table of bounded size keeps segments' variants."""
 
-    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, most_entries: int = 400_000):
+    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.model, self.dropout, self.seed = PieceModel(model), dropout, seed
         self.variants = variants if dropout else 1
-        #: for each variant, the ids of its segments; beyond most_entries new tables are begun, beside the last ones
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.most = most_entries
-
-    def _prepared(self, text: str) -> list[str]:
-        text = text.replace(SPACE, HELD) if SPACE in text else text
-        return self.model.segments.findall(SPACE + text.replace(" ", SPACE))
-
-    def _fresh(self, segments: list[str], variant: int) -> Iterator[tuple[str, bytes]]:
-        segments = sorted(segments, key=len)
-        while segments:  # rows of like width together; very long segments few at a time
-            few = segments[-max(1, min(8192, 400_000 // (len(segments[-1]) + 1))) :]
-            segments = segments[: -len(few)]
-            base = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in few], dtype=U)
-            key = mixed(base * U(0x9E3779B97F4A7C15) + U(self.seed * 1_000_003 + variant))
-            yield from zip(few, self.model.encode_segments(few, key, self.dropout), strict=True)
+        self.table = SegmentTable(lambda texts: [])
+
+    def _fresh(self, segments: list[str], variant: np.ndarray) -> list[bytes]:
+        """Segments of like width together; very long ones few at a time."""
+        out: list[bytes] = [b""] * len(segments)
+        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+        while order:
+            few = order[-max(1, min(8192, 400_000 // (len(segments[order[-1]]) + 1))) :]
+            order = order[: -len(few)]
+            texts = [segments[i] for i in few]
+            base = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=U)
+            key = mixed(base * U(0x9E3779B97F4A7C15) + U(self.seed * 1_000_003) + variant[few].astype(U))
+            for i, data in zip(few, self.model.encode_segments(texts, key, self.dropout), strict=True):
+                out[i] = data
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        if sum(map(len, self.known)) > self.most:
-            self.older, self.known = self.known, [{} for _ in self.known]
-        known, v = self.known, self.variants
-        cut = [self._prepared(t) if t else [] for t in texts]
-        draws = []
-        for text, segments in zip(texts, cut, strict=True):
-            salt = U(zlib.crc32((text or "").encode("utf-8", "surrogatepass")) * 0x1_0001 + self.seed)
-            draws.append((mixed(np.arange(len(segments), dtype=U) + salt) % U(v)).tolist())
-        get = [table.get for table in known]
-        found = [[get[i](s) for s, i in zip(segments, draw, strict=True)] for segments, draw in zip(cut, draws, strict=True)]
-        missing: list[set[str]] = [set() for _ in known]
-        for segments, draw, data in zip(cut, draws, found, strict=True):
-            if None in data:
-                for s, i, d in zip(segments, draw, data, strict=True):
-                    if d is None:
-                        missing[i].add(s)
-        extra: list[dict[str, bytes]] = [{} for _ in known]
-        for i, some in enumerate(missing):
-            new = []
-            for s in some:
-                if (data := self.older[i].get(s)) is not None:
-                    known[i][s] = data
-                else:
-                    new.append(s)
-            for s, data in self._fresh(new, i):
-                (known if len(s) <= 64 else extra)[i][s] = data
-        out = []
-        for segments, draw, data in zip(cut, draws, found, strict=True):
-            if None in data:
-                data = [d if d is not None else known[i][s] if s in known[i] else extra[i][s] for s, i, d in zip(segments, draw, data, strict=True)]
-            out.append(b"".join(data))
+        out: list[bytes] = []
+        for a, b, data, offsets in byte_chunks(pa.array([" " + t if t else "" for t in texts], pa.large_string()), MOST_BYTES):
+            kind = self.model.kind[data]
+            edge = np.ones(len(data), dtype=bool)  # a segment starts where the kind changes, but not after spaces
+            edge[1:] = (kind[1:] != kind[:-1]) & ~((kind[:-1] == 1) & (kind[1:] == 0))
+            edge[offsets[:-1][offsets[:-1] < len(data)]] = True
+            start = np.flatnonzero(edge)
+            stop = np.append(start[1:], len(data)) if len(start) else start
+            bound = np.searchsorted(start, offsets)
+            salt = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts[a:b]], dtype=U) * U(0x1_0001) + U(self.seed)
+            place = np.arange(len(start)) - np.repeat(bound[:-1], np.diff(bound))
+            variant = (mixed(place.astype(U) + np.repeat(salt, np.diff(bound))) % U(self.variants)).astype(np.int64)
+            raw, drawn = data.tobytes(), [variant[:0]]
+
+            def text_of(at: np.ndarray, raw=raw, start=start, stop=stop, variant=variant, drawn=drawn) -> list[str]:
+                drawn[0] = variant[at]
+                return [raw[start[i] : stop[i]].decode().replace(SPACE, HELD).replace(" ", SPACE) for i in at.tolist()]
+
+            keys = self.table.hashes(data, start, stop) ^ mixed(variant.astype(U) * U(0xD1342543DE82EF95))
+            ids, length = self.table.ids_of(keys, text_of, lambda _, segments, drawn=drawn: self._fresh(segments, drawn[0]))
+            ends, flat = np.concatenate(([0], np.cumsum(length)))[bound].tolist(), ids.tobytes()
+            out += [flat[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
 
