@@ -19,7 +19,7 @@ _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-MOST_BYTES = 1 << 21
+MOST_BYTES = 1 << 20
 
 
 def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
