@@ -23,10 +23,10 @@ def query_lexemes(df: DataFrame, keys: list[str], query: str, analyzer=T.stem) -
 def matches(queries: DataFrame, posts: DataFrame, query_keys: list[str], doc_keys: list[str], on: list[str] | None = None) -> DataFrame:
     """query_keys, doc_keys, score, for the documents that hold every lexeme of a query.
 
-    posts: on, doc_keys, lexeme, tf, positions. Queries are few and meet the postings by lexeme; the rank of several
+    posts: on, doc_keys, lexeme, tf, positions. Queries meet the postings by lexeme; the rank of several
     lexemes combines all pairs of their positions, 1 - prod(1 - w), as a sum of logarithms.
     """
-    hits = posts.join(F.broadcast(queries) if queries.isStreaming is False else queries, [*(on or []), "lexeme"])
+    hits = posts.join(queries, [*(on or []), "lexeme"])
     item = F.struct("lexeme", "tf", "positions")
     got = hits.groupBy(*query_keys, *doc_keys).agg(F.sort_array(F.collect_list(item)).alias("held"), F.first("n_lexemes").alias("n_lexemes"))
     got = got.where(F.size("held") == F.col("n_lexemes"))
@@ -49,7 +49,8 @@ def rank(held: Column) -> Column:
 
 
 def literal_query(spark, query: str, analyzer=T.stem) -> DataFrame:
-    return query_lexemes(spark.createDataFrame([(0, query)], "qid int, q string"), ["qid"], "q", analyzer)
+    """One query, which validation keeps short: its lexemes are broadcast."""
+    return F.broadcast(query_lexemes(spark.createDataFrame([(0, query)], "qid int, q string"), ["qid"], "q", analyzer))
 
 
 def fuzzy(chunks: DataFrame, query: str, content: str = "content", threshold: float = THRESHOLD) -> DataFrame:
