@@ -256,7 +256,7 @@ def build_index(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
     """(dim, shard, shards, data): each shard's flat arrays, written in the shared folder."""
     nodes = written(distinct_vectors(valid_vectors(df, id_col, vector_col), k), "vectors")
     sizes = nodes.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("h") / shard_rows)).cast("int").alias("shards"))
-    dealt = nodes.join(F.broadcast(sizes.limit(4096)), "dim").withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int"))
+    dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, shard, shards = (int(x) for x in key)
@@ -282,7 +282,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
     blocks = max(1, -(-count // block))
     sizes = index.groupBy("dim").agg(F.max("shards").alias("shards"))
     asked = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("qb"))
-    asked = asked.join(F.broadcast(sizes.limit(4096)), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    asked = asked.join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     held = index.select("dim", "shard", "data").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(key: tuple, q: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
