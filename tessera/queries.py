@@ -16,6 +16,7 @@ from .operators import related as R
 from .operators import search as S
 from .operators import sections as X
 from .operators import subjects as J
+from .plans.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +34,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
