@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import workers_find_package
 from .common import load, written
 
 M, WIDE, EF_BUILD, EF_SEARCH = 16, 32, 80, 160
@@ -210,6 +211,7 @@ def augmented(v: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    workers_find_package(df.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     src = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

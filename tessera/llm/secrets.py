@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import workers_find_package
 from .common import id_text, load
 
 KINDS = ["assign", "access", "hex", "guess"]
@@ -199,6 +200,7 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with every secret replaced by the mask, all columns kept; length_col follows the text where it exists."""
+    workers_find_package(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index(text_col)
 
