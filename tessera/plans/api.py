@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import threading
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -38,15 +40,43 @@ class Status:
         return (200 if ready else 503), {k: v for k, v in body.items() if v is not None}
 
 
+class VersionCache:
+    """The tables of the versions used lately, persisted; the one unused longest goes first."""
+
+    def __init__(self, most: int):
+        self.most, self._held, self._lock = most, OrderedDict(), threading.Lock()
+
+    def get(self, version: str, build: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+        with self._lock:
+            if version not in self._held:
+                self._held[version] = tuple(df.persist() for df in build())
+            self._held.move_to_end(version)
+            while len(self._held) > self.most:
+                self._drop(next(iter(self._held)))
+            return self._held[version]
+
+    def _drop(self, version: str) -> None:
+        for df in self._held.pop(version, ()):
+            df.unpersist()
+
+    def invalidate(self, version: str | None = None) -> None:
+        """To be called when a version is written; without one, all go."""
+        with self._lock:
+            for v in [version] if version else list(self._held):
+                self._drop(v)
+
+
 class Service:
-    """Queries over the raw documents, chunks and postings of all versions."""
+    """Queries over the raw documents, chunks and postings of all versions. cached: so many versions are persisted."""
 
-    def __init__(self, raw: DataFrame, chunks: DataFrame, posts: DataFrame, status: Status | None = None):
+    def __init__(self, raw: DataFrame, chunks: DataFrame, posts: DataFrame, status: Status | None = None, cached: int = 0):
         self.raw, self.chunks, self.posts, self.status = raw, chunks, posts, status or Status()
+        self.cache = VersionCache(cached) if cached else None
 
     def _of(self, version: str | None) -> tuple[str, DataFrame, DataFrame, DataFrame]:
         v = V.version(version)
-        return (v, *(df.where(F.col("version") == v) for df in (self.raw, self.chunks, self.posts)))
+        build = lambda: tuple(df.where(F.col("version") == v) for df in (self.raw, self.chunks, self.posts))
+        return (v, *(self.cache.get(v, build) if self.cache else build()))
 
     def versions(self) -> list[str]:
         return sorted(r[0] for r in self.chunks.select("version").distinct().collect())

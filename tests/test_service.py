@@ -57,6 +57,14 @@ def test_static_and_status(service):
     assert service.status.report()[0] == 200
 
 
+def test_cached_versions(service):
+    cached = Service(service.raw, service.chunks, service.posts, cached=1)
+    assert cached.search("security")[1]["totalCount"] == 3 and list(cached.cache._held) == ["main"]
+    assert cached.search("security", version="old")[1]["totalCount"] == 1 and list(cached.cache._held) == ["old"]
+    cached.cache.invalidate()
+    assert not cached.cache._held
+
+
 def test_and_rank_of_neighbours(spark):
     df = spark.createDataFrame([(1, "alpha beta")], "chunk_id int, content string")
     r = S.matches(S.literal_query(spark, "alpha beta"), I.postings(df, ["chunk_id"]), ["qid"], ["chunk_id"]).first()
