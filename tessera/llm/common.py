@@ -48,3 +48,18 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Only the id (as long) and the text, under fixed names: other columns, and their names, can't clash."""
     workers_find_package(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+SALTS = 64
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread_by: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small on key, where the keys in hot, each with more than a thousandth of big's rows, are salted.
+
+    hot has fewer than a thousand rows by its meaning, so it is broadcast; small repeats a hot key's rows for each salt.
+    """
+    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    left = big.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = small.join(marked, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import array_sum
-from .common import id_text, load, written
+from .common import id_text, load, salted_join, written
 from .components import components
 from .shingles import Shingler, U, mixed
 
@@ -253,13 +253,13 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return array_sum(ids, FILTER_BITS, fill) > 0
 
 
-def texts_of(src: DataFrame, sig: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def texts_of(src: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(sid, zipped) for each sid in wanted, and a few more: the text, compressed, of one document that has the set.
 
     A repeated row may come once from each task.
     """
-    one = sig.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    allowed = src.sparkSession.sparkContext.broadcast(id_filter(one.select("doc_id")))
+    one = classes.join(wanted, "sid", "left_semi").select(F.col("rep").alias("doc_id"))
+    allowed = src.sparkSession.sparkContext.broadcast(id_filter(one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, allowed_bits, seen = Shingler(size), allowed.value, set()
@@ -397,7 +397,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     src = id_text(docs)
     sig = written(signatures(src, sketch(src, size), size, percent), "signatures")
     some = sig.where("n > 0")
-    classes = written(some.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")), "classes")
+    classes = written(some.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.count("*").alias("copies")), "classes")
     lead = classes.groupBy("gid").agg(F.min("sid").alias("lead"))
 
     met = written(with_pivots(token_rows(some).repartition("key"), percent), "buckets")
@@ -410,7 +410,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     within = classes.join(lead, "gid").where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     tested = star.join(g1, "gid").join(g2, "other").select("a", "b").union(within)
     tested = written(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
-    links = verified(written(texts_of(src, sig, ends(tested).distinct(), size), "texts"), tested, size, percent)
+    links = verified(written(texts_of(src, classes, ends(tested).distinct(), size), "texts"), tested, size, percent)
 
     comp = components(links)
     placed = written(classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", "gid", F.coalesce("comp", "sid").alias("comp")), "placed")
@@ -434,14 +434,18 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     meeting = blocks(True).select("tok", "low", "high", "sub", "gid").join(placed.select("gid", "sid", "comp"), "gid")
     wanted = ends(rest).union(meeting.select("sid")).distinct()
     if not wanted.isEmpty():
-        texts = written(texts_of(src, sig, wanted, size), "texts")
+        texts = written(texts_of(src, classes, wanted, size), "texts")
         dealt = meeting.join(texts, "sid").select("tok", "low", "high", "sub", "sid", "comp", "zipped").repartition("tok", "low", "high")
         late = written(verified(texts, rest, size, percent).union(large_links(dealt, size, percent)), "late")
         if not late.isEmpty():
             comp = components(links.union(late))
     whole = classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
     named = whole.join(whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("sid", "comp", "component_id")
-    out = some.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid").join(named, "sid").drop("sid")
+    # a set that more than a thousandth of all rows have is salted; there are fewer than a thousand of them
+    rows_in_all = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = classes.where(F.col("copies") * 1000 > rows_in_all).select("sid")
+    own = some.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid")
+    out = salted_join(own, named, "sid", hot, ["doc_id", "th"]).drop("sid")
     alone = sig.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
