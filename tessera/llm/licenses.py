@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import array_sum
-from .common import load, written
-from .shingles import _INVERSE, _P, _VALUE, U, _powers, byte_chunks, mixed, runs
+from .common import load, salted_join, written
+from .shingles import _INVERSE, _P, _VALUE, CHUNK, U, _powers, byte_chunks, mixed, runs, shared_powers
 
 # Licence templates: the notices by which the licences are named in headers and texts (fixed values).
 TEMPLATES = [
@@ -40,7 +40,7 @@ TEMPLATES = [
 ]
 NAMES = "^(licen[cs]e|copying|notice)([.][a-z]+)?$"
 LINE, WHOLE = 0.6, 0.6
-BITS, CHUNK = 18, 1_000_000
+BITS = 18
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -50,7 +50,7 @@ class Lines:
     """Hashed terms of each line of each text of a chunk."""
 
     def __init__(self) -> None:
-        self.up, self.down = _powers(_P, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
+        self.up, self.down = shared_powers()
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, line of each term, its bucket, text of each line)."""
@@ -145,11 +145,14 @@ def inherit(scanned: DataFrame) -> DataFrame:
     is_file = F.col("whole").isNotNull() | (F.col("named") & F.col("header").isNotNull())
     candidate = F.struct((-F.greatest("whole_cosine", "header_cosine")).alias("less"), F.coalesce("whole", "header").alias("licence"))
     held = own.where(is_file & F.col("dir").isNotNull()).groupBy(F.col("dir").alias("ancestor")).agg(F.min(candidate)["licence"].alias("inherited"))
-    dirs = own.where("dir is not null").select("dir").distinct()
+    dirs = written(own.where("dir is not null").groupBy("dir").agg(F.count("*").alias("n")), "directories")
+    files = dirs.agg(F.sum("n")).first()[0] or 0
+    hot = dirs.where(F.col("n") * 1000 > files)
     parts = F.split("dir", "/")
     ups = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("ancestor")).distinct()
     nearest = ups.join(held, "ancestor").groupBy("dir").agg(F.max_by(F.struct("ancestor", "inherited"), F.length("ancestor")).alias("near"))
-    out = own.join(nearest, "dir", "left")
+    out = salted_join(own.where("dir is not null"), nearest, "dir", hot, ["id", "path"], "left")
+    out = out.unionByName(own.where("dir is null"), allowMissingColumns=True)
     licence = F.coalesce("header", F.when(F.col("whole").isNotNull(), F.col("whole")), F.col("near.inherited"))
     source = F.when(F.col("header").isNotNull() | F.col("whole").isNotNull(), F.lit("header")).when(F.col("near").isNotNull(), F.lit("directory"))
     return out.select("id", "path", licence.alias("licence"), source.alias("licence_from"), F.when(source == "directory", F.col("near.ancestor")).alias("ancestor"), F.round("header_cosine", 6).alias("header_cosine"), F.round("whole_cosine", 6).alias("whole_cosine"))

@@ -6,6 +6,7 @@ bytes, taken from running sums, and mixed; a shingle's hash is a polynomial over
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _INVERSE = pow(_P, -1, 1 << 64)
 SEED = 20240
+#: Bytes that are worked on together; a longer text is alone.
+CHUNK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,6 +32,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@functools.lru_cache(maxsize=1)
+def shared_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for a chunk of bytes: one pair of arrays for all that a worker runs."""
+    return _powers(_P, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
+
+
 def _byte_values() -> np.ndarray:
     values = mixed(np.arange(1, 257, dtype=U) * U(_P) + U(SEED))
     values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
@@ -68,12 +77,12 @@ def byte_chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarr
 class Shingler:
     """sets(array) gives each text's sorted distinct shingle hashes (null, empty or wordless: none)."""
 
-    def __init__(self, size: int = 5, chunk_bytes: int = 1_000_000):
-        self.size, self.chunk = size, chunk_bytes
-        self.up, self.down = _powers(_P, chunk_bytes + 1), _powers(_INVERSE, chunk_bytes + 1)
+    def __init__(self, size: int = 5):
+        self.size = size
+        self.up, self.down = shared_powers()
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in byte_chunks(texts, self.chunk):
+        for _, _, data, offsets in byte_chunks(texts, CHUNK):
             yield from self._chunk(data, offsets)
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:

@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 
 from .arrays import array_sum
 from .common import id_text, load, written
-from .shingles import _INVERSE, _P, _VALUE, U, _powers, byte_chunks, mixed, runs
+from .shingles import _INVERSE, _P, _VALUE, CHUNK, U, _powers, byte_chunks, mixed, runs, shared_powers
 
 # The fixed lexicon (fixed values): insults in English.
 LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "dumb"]
-BUCKETS, CHUNK = 1 << 20, 1_000_000
+BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 CANDIDATES, VOTERS, MOST_ROWS = 1024, 256, 30_000
 
@@ -51,7 +51,7 @@ class Features:
     """Hashed features of each text of a chunk."""
 
     def __init__(self) -> None:
-        self.up, self.down = _powers(_P, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
+        self.up, self.down = shared_powers()
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, document of each feature, its bucket, pattern values) for ranges of texts."""
