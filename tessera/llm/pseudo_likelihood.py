@@ -5,10 +5,9 @@ is two-level: the network gives the probability of the word's class, and the cor
 class; classes are runs of the frequency order with about equal shares of all words. A document's score is the sum of
 the conditional log-probabilities of all its words.
 
-Training: counts come from all documents. From every document, windows at a keyed hash's choice, one in ``ONE_IN``, so
-what is gathered follows the corpus, are dealt at random over the training partitions. In each of ``ROUNDS`` rounds the
-partitions start from the same network, run mini-batches of Adam over their windows, and their networks are averaged by
-their numbers of windows, in sums of fixed size.
+Training: counts come from all documents. In each of ``ROUNDS`` rounds the partitions start from the same network, run
+mini-batches of Adam over every window of their texts, and their networks are averaged by their numbers of windows, in
+sums of fixed size. Texts are streamed: a chunk's windows are made and shuffled as they are trained on, and none are kept.
 
 Words are as in the shingle operators: runs of non-space after A-Z become a-z; a word is known by a bucket of its hash.
 Edge cases: null, empty and wordless texts have no words and score 0; repeated rows score alike; null doc_ids are
@@ -24,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrays import array_sum
-from .common import id_text, load, partitions, written
+from .common import id_text, load
 from .shingles import _INVERSE, _P, _SPACE, _VALUE, CHUNK, U, _powers, byte_chunks, mixed, runs, shared_powers
 
 BITS = 15
 BUCKETS, CLASSES, DIM, HIDDEN, SIDE = 1 << BITS, 64, 12, 32, 2
-ONE_IN, ROUNDS, BATCH, RATE = 16, 2, 512, 0.004
+ROUNDS, BATCH, RATE = 2, 512, 0.004
+HELD = 128 * BATCH  # windows that are made at once
 PAD = BUCKETS
 FIXED = 1 << 24  # parameters are summed as fixed-point integers
 
@@ -105,30 +105,51 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float = RATE, batch: int = BATCH) -> None:
-        """One pass of Adam over the windows in the given order; embeddings by Adagrad on the rows that occur."""
+    def train(self, around: np.ndarray, target: np.ndarray, rate: float = RATE, batch: int = BATCH, state: Moments | None = None) -> None:
+        """One pass of Adam over the windows in the given order; embeddings by Adagrad on the rows that occur.
+
+        state carries on a pass whose windows come in several calls.
+        """
         e, w, b, v, c = self.parts
-        first = [np.zeros_like(p) for p in self.parts[1:]]
-        second = [np.zeros_like(p) for p in self.parts[1:]]
-        seen = np.zeros(len(e), dtype=np.float32)
-        for t, at in enumerate(range(0, len(target), batch), 1):
+        state = state or Moments(self)
+        for at in range(0, len(target), batch):
             some, y = around[at : at + batch], target[at : at + batch]
-            x, h, logp = self.log_classes(some)
-            g = np.exp(logp)
+            flat = some.ravel()
+            x = e.take(flat, axis=0).reshape(len(y), -1)
+            h = np.tanh(x @ w + b)
+            g = h @ v + c
+            g -= g.max(axis=1, keepdims=True)
+            np.exp(g, out=g)
+            g /= g.sum(axis=1, keepdims=True)
             g[np.arange(len(y)), y] -= 1
             g /= len(y)
             back = (g @ v.T) * (1 - h * h)
             grads = [x.T @ back, back.sum(axis=0), h.T @ g, g.sum(axis=0)]
-            for p, q, m, s in zip(self.parts[1:], grads, first, second, strict=True):
+            state.t += 1
+            for p, q, m, s in zip(self.parts[1:], grads, state.first, state.second, strict=True):
                 m += 0.1 * (q - m)
                 s += 0.01 * (q * q - s)
-                p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-            rows, inverse = np.unique(some, return_inverse=True)
-            total = np.zeros((len(rows), DIM), dtype=np.float32)
-            np.add.at(total, inverse.ravel(), (back @ w.T).reshape(-1, DIM))
+                p -= rate * (m / (1 - 0.9**state.t)) / (np.sqrt(s / (1 - 0.99**state.t)) + 1e-8)
+            order = np.argsort(flat)
+            rows = flat[order]
+            new = np.concatenate(([True], rows[1:] != rows[:-1]))
+            rows, place = rows[new], np.empty(len(flat), dtype=np.int64)
+            place[order] = np.cumsum(new) - 1
+            cell = (place[:, None] * DIM + np.arange(DIM)).ravel()
+            total = np.bincount(cell, (back @ w.T).ravel()).reshape(-1, DIM).astype(np.float32)
             total[rows == PAD] = 0
-            seen[rows] += (total * total).mean(axis=1)
-            e[rows] -= 0.1 * total / (np.sqrt(seen[rows])[:, None] + 1e-8)
+            state.seen[rows] += np.einsum("ij,ij->i", total, total) / DIM
+            e[rows] = e.take(rows, axis=0) - 0.1 * total / (np.sqrt(state.seen[rows])[:, None] + 1e-8)
+
+
+class Moments:
+    """What a pass of the optimiser keeps between mini-batches."""
+
+    def __init__(self, net: Network):
+        self.t = 0
+        self.first = [np.zeros_like(p) for p in net.parts[1:]]
+        self.second = [np.zeros_like(p) for p in net.parts[1:]]
+        self.seen = np.zeros(len(net.parts[0]), dtype=np.float32)
 
 
 def word_counts(src: DataFrame) -> np.ndarray:
@@ -143,32 +164,10 @@ def word_counts(src: DataFrame) -> np.ndarray:
     return array_sum(src.select("text"), BUCKETS, fill)
 
 
-def training_windows(src: DataFrame, one_in: int = ONE_IN) -> DataFrame:
-    """(part, data): each document's chosen windows, each 2 SIDE words and the masked one, dealt at random by chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            for _, _, w, bound in words.chunks(batch.column(0)):
-                if not len(w):
-                    continue
-                around = windows(w, bound, np.arange(len(w)))
-                # the choice hangs on the window itself, so a shared passage is chosen alike everywhere
-                key = mixed((around.astype(U) * U(0x9E3779B97F4A7C15) * np.array([1, 3, 5, 7], dtype=U)).sum(axis=1) + w.astype(U) * U(0xD1342543DE82EF95))
-                some = np.flatnonzero(key % U(one_in) == 0)
-                rows = np.concatenate([around[some], w[some, None]], axis=1).astype("<i4")
-                pieces = [rows[x::8] for x in range(8) if len(rows[x::8])]
-                salt = [int(mixed(np.array([len(w) * 31 + i], dtype=U) + key[:1])[0] >> U(33)) for i in range(len(pieces))]
-                yield pa.RecordBatch.from_arrays([pa.array(salt, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["part", "data"])
-
-    return src.select("text").mapInArrow(run, "part long, data binary")
-
-
 def train(src: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
     """The averaged network after all rounds. The driver holds one network at a time."""
     spark = src.sparkSession
     label, _ = classes_of(counts)
-    dealt = written(training_windows(src).repartition(partitions(spark), "part"), "windows")
     net = Network.fresh()
     length = -(-(Network.SIZE + 1) // 64) * 64
     for r in range(rounds):
@@ -177,11 +176,14 @@ def train(src: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
         def fill(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> np.ndarray | None:
             flat, label = shared.value
             local, n = Network(flat.copy()), 0
+            state, words, rng = Moments(local), Words(), np.random.default_rng(r)
             for batch in batches:
-                rows = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), dtype="<i4").reshape(-1, 2 * SIDE + 1)
-                rows = rows[np.random.default_rng(r).permutation(len(rows))]
-                local.train(rows[:, :-1], label[rows[:, -1]])
-                n += len(rows)
+                for _, _, w, bound in words.chunks(batch.column(0)):
+                    order = rng.permutation(len(w))
+                    for x in range(0, len(w), HELD):
+                        at = order[x : x + HELD]
+                        local.train(windows(w, bound, at), label[w[at]], state=state)
+                    n += len(w)
             if not n:
                 return None
             out = np.zeros(length, dtype=np.int64)
@@ -189,7 +191,7 @@ def train(src: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
             out[Network.SIZE] = n
             return out
 
-        total = array_sum(dealt.select("data"), length, fill)
+        total = array_sum(src.select("text"), length, fill)
         shared.unpersist()
         if total[Network.SIZE]:
             net = Network((total[: Network.SIZE].astype(np.float64) * (1 << 10) / FIXED / total[Network.SIZE]).astype(np.float32))

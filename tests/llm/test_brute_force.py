@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -263,5 +264,27 @@ def test_scores_prefer_the_order_that_was_learned(spark):
     assert np.mean([got[i] for i in range(400)]) > np.mean([got[i] for i in range(400, 450)]) + 0.3
 
 
+def test_every_window_trains_the_network(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(20)] + [(99, "lone"), (100, None)], "doc_id long, text string").coalesce(1)
+    src = df.select("text")
+    counts = pseudo_likelihood.word_counts(src)
+    net, fresh = pseudo_likelihood.train(src, counts, rounds=1), pseudo_likelihood.Network.fresh()
+    words = pseudo_likelihood.Words()
+    used = np.unique(np.concatenate([w[bound[0] : bound[20]] for _, _, w, bound in words.chunks(pa.array([r.text for r in df.collect()]))]))
+    moved = (net.parts[0] != fresh.parts[0]).any(axis=1)
+    assert moved[used].all()  # each word is a neighbour in some window, and each of its windows is trained on
+
+
+def test_a_pass_in_several_calls_is_one_pass():
+    rng = np.random.default_rng(1)
+    around, target = rng.integers(0, pseudo_likelihood.PAD + 1, (2048, 4)).astype(np.int32), rng.integers(0, pseudo_likelihood.CLASSES, 2048)
+    whole, parts = pseudo_likelihood.Network.fresh(), pseudo_likelihood.Network.fresh()
+    whole.train(around, target)
+    state = pseudo_likelihood.Moments(parts)
+    for a in range(0, 2048, 1024):
+        parts.train(around[a : a + 1024], target[a : a + 1024], state=state)
+    assert np.array_equal(whole.flat, parts.flat)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
