@@ -2,14 +2,16 @@
 
 Every word of a document is predicted from the words on both sides of it (``SIDE`` each way), itself masked. The output
 is two-level: the network gives the probability of the word's class, and the corpus counts the word's share of its
-class; classes are runs of the frequency order with about equal shares of all words. A document's score is the sum of
-the conditional log-probabilities of all its words.
+class; classes are runs of the frequency order with about equal shares of all words. Every distinct word is counted, and
+has its own class and share; words that were never counted share one. A document's score is the sum of the conditional
+log-probabilities of all its words.
 
 Training: counts come from all documents. In each of ``ROUNDS`` rounds the partitions start from the same network, run
 mini-batches of Adam over every window of their texts, and their networks are averaged by their numbers of windows, in
 sums of fixed size. Texts are streamed: a chunk's windows are made and shuffled as they are trained on, and none are kept.
 
-Words are as in the shingle operators: runs of non-space after A-Z become a-z; a word is known by a bucket of its hash.
+Words are as in the shingle operators: runs of non-space after A-Z become a-z; a word is known by its 64-bit hash. As a
+neighbour in a window, where it is an input of the network, it has the embedding of a bucket of its hash.
 Edge cases: null, empty and wordless texts have no words and score 0; repeated rows score alike; null doc_ids are
 kept; an empty table gives no rows, and the untrained network; other columns are ignored.
 """
@@ -20,7 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .arrays import array_sum
 from .common import id_text, load
@@ -30,26 +34,30 @@ BITS = 15
 BUCKETS, CLASSES, DIM, HIDDEN, SIDE = 1 << BITS, 64, 12, 32, 2
 ROUNDS, BATCH, RATE = 2, 512, 0.004
 HELD = 128 * BATCH  # windows that are made at once
+MOST_HELD = 1 << 20  # distinct words that a task holds while it counts
 PAD = BUCKETS
 FIXED = 1 << 24  # parameters are summed as fixed-point integers
 
 
 class Words:
-    """Buckets of the words of each text of a chunk."""
+    """Hashes of the words of each text of a chunk."""
 
     def __init__(self) -> None:
         self.up, self.down = shared_powers()
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(a, b, buckets of all words, where each text's words start and the last one's end)."""
+        """(a, b, hashes of all words, where each text's words start and the last one's end)."""
         for a, b, data, offsets in byte_chunks(texts, CHUNK):
             n = len(data)
             up, down = (self.up, self.down) if n < len(self.up) else (_powers(_P, n + 1), _powers(_INVERSE, n + 1))
             start, stop = runs(~_SPACE[data], offsets)
             sums = np.zeros(n + 1, dtype=U)
             np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-            words = mixed((sums[stop] - sums[start]) * down[start]) >> U(64 - BITS)
-            yield a, b, words.astype(np.int32), np.searchsorted(start, offsets)
+            yield a, b, mixed((sums[stop] - sums[start]) * down[start]), np.searchsorted(start, offsets)
+
+
+def buckets(words: np.ndarray) -> np.ndarray:
+    return (words >> U(64 - BITS)).astype(np.int32)
 
 
 def windows(words: np.ndarray, bound: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -64,7 +72,7 @@ def windows(words: np.ndarray, bound: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bucket's class, and the log of its share in the class."""
+    """Each word's class, and the log of its share in the class."""
     order = np.argsort(-counts, kind="stable")
     mass = np.cumsum(counts[order] + 1e-3)
     label = np.empty(len(counts), dtype=np.int32)
@@ -152,37 +160,85 @@ class Moments:
         self.seen = np.zeros(len(net.parts[0]), dtype=np.float32)
 
 
-def word_counts(src: DataFrame) -> np.ndarray:
-    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        words, total = Words(), None
-        for batch in batches:
-            total = np.zeros(BUCKETS, dtype=np.int64) if total is None else total
-            for _, _, w, _ in words.chunks(batch.column(0)):
-                total += np.bincount(w, minlength=BUCKETS)
-        return total
+class Vocabulary:
+    """All counted words' classes and shares, found by hash; the last place is that of all words that weren't counted."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        n = len(keys)
+        self.keys = np.append(keys[order], U((1 << 64) - 1))
+        self.counts = np.append(counts[order], 0)
+        label, share = classes_of(self.counts)
+        self.label, self.share = label.astype(np.int8), share.astype(np.float32)
+        bits = max(1, n.bit_length())
+        self.shift = U(64 - bits)
+        #: where the keys of each leading bits start: hashes are even, so the place is a step or two away
+        self.first = np.searchsorted(self.keys[:n], np.arange(1 << bits, dtype=U) << self.shift).astype(np.int32)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        at = self.first[words >> self.shift]
+        going = np.flatnonzero(self.keys[at] < words)
+        while len(going):
+            at[going] += 1
+            going = going[self.keys[at[going]] < words[going]]
+        return np.where(self.keys[at] == words, at, len(self.keys) - 1)
+
 
-    return array_sum(src.select("text"), BUCKETS, fill)
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    every, some = every[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return every[first], np.add.reduceat(some, first)
 
 
-def train(src: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """The averaged network after all rounds. The driver holds one network at a time."""
+def word_counts(src: DataFrame) -> Vocabulary:
+    """The exact count of every distinct word. The driver gets 16 bytes for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, keys, counts, held = Words(), [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["word", "n"])
+
+        for batch in batches:
+            for _, _, w, _ in words.chunks(batch.column(0)):
+                if not len(w):
+                    continue
+                k, c = np.unique(w, return_counts=True)
+                keys.append(k), counts.append(c.astype(np.int64))
+                held += len(k)
+                if held > MOST_HELD:
+                    keys, counts = ([x] for x in summed(keys, counts))
+                    held = len(keys[0])
+                    if 2 * held > MOST_HELD:
+                        yield rows()
+                        keys, counts, held = [], [], 0
+        if keys:
+            keys, counts = ([x] for x in summed(keys, counts))
+            yield rows()
+
+    got = src.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return Vocabulary(got.column("word").to_numpy().view(U), got.column("n").to_numpy())
+
+
+def train(src: DataFrame, known: Broadcast, rounds: int = ROUNDS) -> Network:
+    """The averaged network after all rounds; known: the vocabulary, broadcast. The driver holds one network at a time."""
     spark = src.sparkSession
-    label, _ = classes_of(counts)
     net = Network.fresh()
     length = -(-(Network.SIZE + 1) // 64) * 64
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((net.flat, label))
+        shared = spark.sparkContext.broadcast(net.flat)
 
         def fill(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> np.ndarray | None:
-            flat, label = shared.value
-            local, n = Network(flat.copy()), 0
+            vocabulary, local, n = known.value, Network(shared.value.copy()), 0
             state, words, rng = Moments(local), Words(), np.random.default_rng(r)
             for batch in batches:
                 for _, _, w, bound in words.chunks(batch.column(0)):
-                    order = rng.permutation(len(w))
+                    order, label, near = rng.permutation(len(w)), vocabulary.label[vocabulary.places(w)], buckets(w)
                     for x in range(0, len(w), HELD):
                         at = order[x : x + HELD]
-                        local.train(windows(w, bound, at), label[w[at]], state=state)
+                        local.train(windows(near, bound, at), label[at], state=state)
                     n += len(w)
             if not n:
                 return None
@@ -201,22 +257,22 @@ def train(src: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
 SCORED = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
 
 
-def score(docs: DataFrame, net: Network, counts: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, net: Network, known: Broadcast) -> DataFrame:
     """doc_id, n_tokens, log_prob (the sum over all words), mean_log_prob (null without words)."""
-    label, share = classes_of(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((net.flat, label, share))
+    shared = docs.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, label, share = shared.value
-        net, words = Network(flat), Words()
+        vocabulary, net, words = known.value, Network(shared.value), Words()
         for batch in batches:
             size, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
             for a, b, w, bound in words.chunks(batch.column(1)):
+                place, near = vocabulary.places(w), buckets(w)
+                label, share = vocabulary.label[place], vocabulary.share[place]
                 logp = np.empty(len(w) + 1)
                 for x in range(0, len(w), 8192):
                     at = np.arange(x, min(x + 8192, len(w)))
-                    _, _, z = net.log_classes(windows(w, bound, at))
-                    logp[at] = z[np.arange(len(at)), label[w[at]]] + share[w[at]]
+                    _, _, z = net.log_classes(windows(near, bound, at))
+                    logp[at] = z[np.arange(len(at)), label[at]] + share[at]
                 logp[-1] = 0
                 sums = np.concatenate(([0], np.cumsum(logp[:-1])))
                 size[a:b], total[a:b] = np.diff(bound), sums[bound[1:]] - sums[bound[:-1]]
@@ -228,8 +284,8 @@ def score(docs: DataFrame, net: Network, counts: np.ndarray) -> DataFrame:
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     src = id_text(docs)
-    counts = word_counts(src)
-    return score(docs, train(src, counts), counts)
+    known = src.sparkSession.sparkContext.broadcast(word_counts(src))
+    return score(docs, train(src, known), known)
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,14 +267,31 @@ def test_scores_prefer_the_order_that_was_learned(spark):
 def test_every_window_trains_the_network(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(20)] + [(99, "lone"), (100, None)], "doc_id long, text string").coalesce(1)
     src = df.select("text")
-    counts = pseudo_likelihood.word_counts(src)
-    net, fresh = pseudo_likelihood.train(src, counts, rounds=1), pseudo_likelihood.Network.fresh()
+    known = spark.sparkContext.broadcast(pseudo_likelihood.word_counts(src))
+    net, fresh = pseudo_likelihood.train(src, known, rounds=1), pseudo_likelihood.Network.fresh()
     words = pseudo_likelihood.Words()
     used = np.unique(np.concatenate([w[bound[0] : bound[20]] for _, _, w, bound in words.chunks(pa.array([r.text for r in df.collect()]))]))
     moved = (net.parts[0] != fresh.parts[0]).any(axis=1)
+    used = pseudo_likelihood.buckets(used)
     assert moved[used].all()  # each word is a neighbour in some window, and each of its windows is trained on
 
 
+def test_every_word_has_its_own_count_and_share(spark):
+    n = 60_000  # more distinct words than buckets
+    texts = [" ".join(["Common"] * 5000)] + [" ".join(f"r{i}" for i in range(a, a + 1000)) for a in range(0, n, 1000)] + [None, ""]
+    src = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    known = pseudo_likelihood.word_counts(src)
+
+    def places(text):
+        return known.places(np.concatenate([w for _, _, w, _ in pseudo_likelihood.Words().chunks(pa.array([text]))]))
+
+    rare = places(" ".join(f"r{i}" for i in range(n)))
+    assert len(known.keys) == n + 2 and len(set(rare.tolist())) == n and (known.counts[rare] == 1).all()
+    assert known.counts[places("common")].tolist() == [5000] and known.counts[places(" ".join(f"never{i}" for i in range(5000)))].sum() == 0
+    mass = np.bincount(known.label, weights=np.exp(known.share.astype(float)))
+    assert np.allclose(mass[mass > 0], 1, atol=1e-3)
+
+
 def test_a_pass_in_several_calls_is_one_pass():
     rng = np.random.default_rng(1)
     around, target = rng.integers(0, pseudo_likelihood.PAD + 1, (2048, 4)).astype(np.int32), rng.integers(0, pseudo_likelihood.CLASSES, 2048)
