@@ -455,6 +455,57 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     return jaccard_classes(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
+def set_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(classes: doc_id, n_shingles, sid for each row of docs; links: a < b, every pair of distinct sets within the threshold).
+
+    The buckets are those of the components, but no pair is left out for being connected: what is verified follows the
+    number of candidate pairs, so a group of differing near copies costs its square, as its links do.
+    """
+    src = id_text(docs)
+    sig = written(signatures(src, sketch(src, size), size, percent), "signatures")
+    some = sig.where("n > 0")
+    classes = written(some.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")), "classes")
+    met = written(with_pivots(token_rows(some).repartition("key"), percent), "buckets")
+    # the pair of a bucket of two is an edge only; the row of every other bucket is there, and so are its pairs
+    edges = met.where("kind = 0").select(F.col("gid").alias("g1"), F.col("other").alias("g2"))
+    # ends that differ: no pair counts as connected
+    rows = met.where("kind = 1").select("tok", "sub", "gid", "n", "pos", F.lit(0).cast("long").alias("cmin"), F.lit(1).cast("long").alias("cmax"))
+    rows = written(rows, "bucket-rows")
+    subs = rows.groupBy("tok").agg(F.max("sub").alias("subs"))
+    dealt = rows.join(subs, "tok").withColumn("with", F.explode(F.sequence(F.lit(0), "subs")))
+    dealt = dealt.select("tok", F.least("sub", "with").alias("low"), F.greatest("sub", "with").alias("high"), "sub", "gid", "n", "pos", "cmin", "cmax")
+    pairs = bucket_pairs(dealt.repartition("tok", "low", "high"), percent).union(edges).distinct()
+    x, y = (classes.select(F.col("gid").alias(g), F.col("sid").alias(s)) for g, s in (("g1", "a"), ("g2", "b")))
+    across = pairs.where("g1 <> g2").join(x, "g1").join(y, "g2").select("a", "b")
+    i, j = (classes.select("gid", F.col("sid").alias(s)) for s in ("a", "b"))
+    inside = i.join(j, "gid").where("a < b").select("a", "b")
+    rest = across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = written(rest, "rest")
+    texts = written(texts_of(src, classes, ends(rest).distinct(), size).dropDuplicates(["sid"]), "texts")
+    return sig.select("doc_id", F.col("n").alias("n_shingles"), "sid"), verified(texts, rest, size, percent)
+
+
+def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """a, b: every pair of distinct shingle sets within the threshold, each by the least doc_id of its rows, and copies_a and
+    copies_b, the numbers of rows that have the sets."""
+    rows, links = set_links(docs, size, percent)
+    of = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    x, y = (of.select(F.col("sid").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("copies").alias(f"copies_{s}")) for s in ("a", "b"))
+    return links.join(x, "a").join(y, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "copies_a", "copies_b")
+
+
+def link_counts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, n_links, for each row of docs: the other rows whose sets are equal or within the threshold."""
+    rows, links = set_links(docs, size, percent)
+    of = rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    both = links.union(links.select("b", "a")).toDF("sid", "other")
+    linked = both.join(of.toDF("other", "others"), "other").groupBy("sid").agg(F.sum("others").alias("others"))
+    each = of.join(linked, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    hot = of.where(F.col("copies") * 1000 > (of.agg(F.sum("copies")).first()[0] or 0)).select("sid")
+    out = salted_join(rows.where("sid is not null"), each, "sid", hot, ["doc_id"]).select("doc_id", "n_shingles", "n_links")
+    return out.unionByName(rows.where("sid is null").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links")))
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns kept, with one document of each component: the least doc_id, nulls last; ties by the text's hash.
 

@@ -264,6 +264,34 @@ def test_scores_prefer_the_order_that_was_learned(spark):
     assert np.mean([got[i] for i in range(400)]) > np.mean([got[i] for i in range(400, 450)]) + 0.3
 
 
+def test_links_are_all_pairs_within_the_threshold(spark):
+    random.seed(12)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{random.randrange(500)}" for _ in range(120)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(random.randint(0, 3)):
+                w[random.randrange(len(w))] = f"x{random.random()}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0], texts[9], "a b", "a b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def grams(t):
+        w = (t or "").split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [grams(t) for t in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    first = {s: sets.index(s) for s in sets}
+    want = {tuple(sorted((first[sets[i]], first[sets[j]]))) for i, j in near if sets[i] != sets[j]}
+    got = jaccard_join.jaccard_links(df).collect()
+    assert sorted(tuple(sorted((r.a, r.b))) for r in got) == sorted(want) and len(want) > 25
+    assert all(r.copies_a == sets.count(sets[r.a]) and r.copies_b == sets.count(sets[r.b]) for r in got)
+    counts = {r.doc_id: r.n_links for r in jaccard_join.link_counts(df).collect()}
+    assert counts == {i: sum(i in p for p in near) for i in range(len(sets))}
+
+
 def test_every_window_trains_the_network(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(20)] + [(99, "lone"), (100, None)], "doc_id long, text string").coalesce(1)
     src = df.select("text")
