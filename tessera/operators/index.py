@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Positions beyond these bounds are left out, as in common full-text vectors.
+#: As in common full-text vectors, later places have the last position, and positions beyond so many are left out.
 LAST_POSITION, MOST_POSITIONS = 16383, 256
 
 
@@ -21,8 +21,8 @@ def occurrences(df: DataFrame, keys: list[str], analyzer=T.stem, content: str =
 
 def postings(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content") -> DataFrame:
     """keys, lexeme, tf, positions (ascending, bounded). Grouped by chunk and lexeme with partial aggregation."""
-    found = occurrences(df, keys, analyzer, content).where(F.col("pos") <= LAST_POSITION)
-    grouped = found.groupBy(*keys, "lexeme").agg(F.slice(F.sort_array(F.collect_list("pos")), 1, MOST_POSITIONS).alias("positions"))
+    found = occurrences(df, keys, analyzer, content).withColumn("pos", F.least("pos", F.lit(LAST_POSITION)))
+    grouped = found.groupBy(*keys, "lexeme").agg(F.slice(F.sort_array(F.collect_set("pos")), 1, MOST_POSITIONS).alias("positions"))
     return grouped.select(*keys, "lexeme", F.size("positions").alias("tf"), "positions")
 
 

@@ -230,7 +230,7 @@ def tokenize_terms(spark, sf):
 
 @query("stem_terms", f"WITH {CORPUS_SQL}, {TERMS_SQL} SELECT lexeme, count(*) AS cf, count(DISTINCT chunk_id) AS df FROM terms GROUP BY lexeme")
 def stem_terms(spark, sf):
-    found = I.occurrences(plain(spark, sf), ["chunk_id"]).where(F.col("pos") <= I.LAST_POSITION).groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
+    found = I.occurrences(plain(spark, sf), ["chunk_id"]).groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
     return found.groupBy("lexeme").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
@@ -480,7 +480,7 @@ QUERY_SQL = f"SELECT item_id, unnest(list_distinct(list_transform(list_slice({to
 def batch_search(spark, sf):
     asked = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.transform(F.slice(T.tokenize(F.col("text")), 1, 3), T.stem)).alias("lexemes"))
     asked = asked.select("item_id", F.explode("lexemes").alias("lexeme"), F.size("lexemes").alias("k"))
-    found = I.occurrences(plain(spark, sf), ["version", "chunk_id"]).where(F.col("pos") <= I.LAST_POSITION).select("version", "chunk_id", "lexeme").distinct()
+    found = I.occurrences(plain(spark, sf), ["version", "chunk_id"]).select("version", "chunk_id", "lexeme").distinct()
     hits = found.join(asked, "lexeme").groupBy("item_id", "version", "chunk_id").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("n = k")
     return hits.groupBy("item_id", "version").agg(F.count("*").alias("hits"))
 

@@ -76,3 +76,22 @@ def test_subject_priority(spark):
     got = [r[0] for r in df.select(J.derive(F.col("p"), F.col("c"), F.col("t"), {"a/*.adoc": "cloud"})).collect()]
     assert got == ["cloud", "cloud", "rest-apis"]
     assert J.glob_to_regex("a/**/[!x]{b,c}?.adoc") is not None and J.glob_to_regex("a/[") is None
+
+
+def test_words_of_a_long_texts_tail_are_indexed(spark):
+    from tessera.operators import index as I
+
+    words = ["common"] * 16382 + ["edge", "tail", "common", "tail"]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "tail")], "chunk_id long, content string")
+    got = {(r.chunk_id, r.lexeme): (r.tf, r.positions) for r in I.postings(df, ["chunk_id"]).collect()}
+    assert got == {(1, "common"): (256, list(range(1, 257))), (1, "edge"): (1, [16383]), (1, "tail"): (1, [16383]), (2, "tail"): (1, [1])}
+
+
+def test_stem_terms_counts_all_tokens(spark, tmp_path):
+    from tessera.queries import QUERIES
+
+    docs = [(1, "en", "src0", " ".join(["common"] * 16383 + ["tail", "tail"]), 1)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.lexeme: (r.cf, r.df) for r in QUERIES["stem_terms"](spark, str(tmp_path)).collect()}
+    assert got == {"common": (16383, 1), "tail": (2, 1)}
