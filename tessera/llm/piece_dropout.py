@@ -3,9 +3,9 @@
 A text is cut at the places that no piece crosses: before a run of spaces and around characters that no piece holds. A
 segment's merges are made as the library makes them - of all adjacent symbols whose join is a piece, the join of the
 best score, leftmost first - but each candidate on the agenda is skipped with probability ``dropout``, by a keyed hash
-of seed, variant, segment, step and place. Each occurrence of a segment draws one of ``variants`` segmentations by the
-hash of the seed, the text and its place, so that equal words differ along a text and the whole is reproducible.
-Distinct segments are encoded many at once, as rows of a matrix. Dropout 0 gives the library's ids.
+of seed, text, occurrence, step and place. Each occurrence of a segment draws its own skips, so that equal words differ
+along a text and between texts, and the whole is reproducible. Segments are encoded many at once, as rows of a matrix.
+Dropout 0 gives the library's ids, from a table of the segments met.
 
 Edge cases: null and empty texts have no ids; characters outside the vocabulary become byte pieces; the sign that
 stands for a space (U+2581), where a text holds it, is written as byte pieces and so decodes to itself; repeated rows
@@ -31,7 +31,7 @@ SPACE = "▁"
 #: A surrogate, which no text holds, stands for the space sign of a text until it is written as bytes.
 HELD = "\ud800"
 SPACE_HELD = {ord(HELD): ord(SPACE)}
-VARIANTS, DROPOUT, SEED = 4, 0.1, 13
+DROPOUT, SEED = 0.1, 13
 
 
 class PieceModel:
@@ -100,7 +100,7 @@ class PieceModel:
         return out
 
     def encode_segments(self, segments: list[str], key: np.ndarray, dropout: float) -> list[bytes]:
-        """Little-endian 32-bit ids of each segment; key: a hash for each, of seed, variant and segment."""
+        """Little-endian 32-bit ids of each segment; key: a hash for each, of seed, text and occurrence."""
         lengths = np.array([len(t) for t in segments])
         width, size = int(lengths.max()), self.size
         s = np.full((len(segments), width), -1, dtype=np.int64)
@@ -163,24 +163,20 @@ class PieceModel:
 
 
 class DropoutEncoder:
-    """encode_many(texts) -> bytes of little-endian 32-bit ids; a table of bounded size keeps segments' variants."""
+    """encode_many(texts) -> bytes of little-endian 32-bit ids; without dropout a table of bounded size keeps segments."""
 
-    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED):
         self.model, self.dropout, self.seed = PieceModel(model), dropout, seed
-        self.variants = variants if dropout else 1
         self.table = SegmentTable(lambda texts: [])
 
-    def _fresh(self, segments: list[str], variant: np.ndarray) -> list[bytes]:
+    def _fresh(self, segments: list[str], key: np.ndarray) -> list[bytes]:
         """Segments of like width together; very long ones few at a time."""
         out: list[bytes] = [b""] * len(segments)
         order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
         while order:
             few = order[-max(1, min(8192, 400_000 // (len(segments[order[-1]]) + 1))) :]
             order = order[: -len(few)]
-            texts = [segments[i] for i in few]
-            base = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=U)
-            key = mixed(base * U(0x9E3779B97F4A7C15) + U(self.seed * 1_000_003) + variant[few].astype(U))
-            for i, data in zip(few, self.model.encode_segments(texts, key, self.dropout), strict=True):
+            for i, data in zip(few, self.model.encode_segments([segments[i] for i in few], key[few], self.dropout), strict=True):
                 out[i] = data
         return out
 
@@ -193,37 +189,38 @@ class DropoutEncoder:
             edge[offsets[:-1][offsets[:-1] < len(data)]] = True
             start = np.flatnonzero(edge)
             stop = np.append(start[1:], len(data)) if len(start) else start
-            bound = np.searchsorted(start, offsets)
-            salt = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts[a:b]], dtype=U) * U(0x1_0001) + U(self.seed)
-            place = np.arange(len(start)) - np.repeat(bound[:-1], np.diff(bound))
-            variant = (mixed(place.astype(U) + np.repeat(salt, np.diff(bound))) % U(self.variants)).astype(np.int64)
-            raw, drawn = data.tobytes(), [variant[:0]]
-
-            def text_of(at: np.ndarray, raw=raw, start=start, stop=stop, variant=variant, drawn=drawn) -> list[str]:
-                drawn[0] = variant[at]
-                return [raw[start[i] : stop[i]].decode().replace(SPACE, HELD).replace(" ", SPACE) for i in at.tolist()]
-
-            keys = self.table.hashes(data, start, stop) ^ mixed(variant.astype(U) * U(0xD1342543DE82EF95))
-            ids, length = self.table.ids_of(keys, text_of, lambda _, segments, drawn=drawn: self._fresh(segments, drawn[0]))
+            bound, raw = np.searchsorted(start, offsets), data.tobytes()
+
+            def text_of(at: np.ndarray, raw=raw, start=start, stop=stop) -> list[str]:
+                return [raw[x:y].decode().replace(SPACE, HELD).replace(" ", SPACE) for x, y in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+
+            if self.dropout:
+                salt = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts[a:b]], dtype=U) * U(0x1_0001) + U(self.seed * 1_000_003)
+                place = np.arange(len(start)) - np.repeat(bound[:-1], np.diff(bound))
+                key = mixed(mixed(np.repeat(salt, np.diff(bound))) + place.astype(U))
+                made, ends = self._fresh(text_of(np.arange(len(start))), key), bound.tolist()
+                out += [b"".join(made[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                continue
+            ids, length = self.table.ids_of(self.table.hashes(data, start, stop), text_of, lambda _, segments: self._fresh(segments, np.zeros(len(segments), dtype=U)))
             ends, flat = np.concatenate(([0], np.cumsum(length)))[bound].tolist(), ids.tobytes()
             out += [flat[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def dropout_encoder(model: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
-    return DropoutEncoder(model, dropout, seed, variants)
+def dropout_encoder(model: str, dropout: float, seed: int) -> DropoutEncoder:
+    return DropoutEncoder(model, dropout, seed)
 
 
 ENCODED = "doc_id long, ids binary"
 RESULT = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, lossless boolean"
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many = dropout_encoder(model, dropout, seed, variants).encode_many
+        encode_many = dropout_encoder(model, dropout, seed).encode_many
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
@@ -232,11 +229,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float =
     return id_text(docs).mapInArrow(run, ENCODED)
 
 
-def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """Encodes and decodes every whole text: counts, the crc32 of its ids, and whether the text came back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = dropout_encoder(model, dropout, seed, variants)
+        encoder = dropout_encoder(model, dropout, seed)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):

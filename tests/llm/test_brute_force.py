@@ -224,6 +224,18 @@ def test_dropout_zero_is_the_library_and_all_decode(docs):
     assert a == some.encode_many(texts) and sum(x != y for x, y in zip(a, b, strict=True)) > 0.5 * len(docs)
 
 
+def test_each_occurrence_draws_its_own_dropout():
+    encoder = piece_dropout.DropoutEncoder("piece_bpe_32k.model", 0.3, seed=3)
+    texts = [f"{i} configuration" for i in range(300)] + ["configuration " * 300]
+    got = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in encoder.encode_many(texts)]
+    assert [encoder.model.decode(x) for x in got] == texts
+    names = [[encoder.model.pieces[j] for j in x] for x in got[:-1]]
+    words = {tuple(x[max(i for i, p in enumerate(x) if p.startswith("▁")) :]) for x in names}
+    assert len(words) > 4 and all("".join(w) == "▁configuration" for w in words)
+    again = encoder.encode_many(texts[5:6] * 2)  # repeated rows are alike
+    assert again[0] == again[1] == got[5].astype("<u4").tobytes()
+
+
 def test_toxicity_on_held_out_rows(spark, tmp_path):
     random.seed(4)
     common, bad = [f"word{i}" for i in range(300)], ["idiot", "grubbenfoo", "grubbenbar", "grubbenbaz", "moron"]
