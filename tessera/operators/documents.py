@@ -27,8 +27,8 @@ def with_tags(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 def documents(raw: DataFrame, chunks: DataFrame, brief: bool = False) -> DataFrame:
     """version, path, page, title, description, subject, extension, and unless brief: sections and code blocks."""
     pages = raw.select("version", "path", "content", T.page_name(F.col("path")).alias("page"))
-    out = with_tags(pages, chunks)
-    cols = [F.col("version"), F.col("path"), F.col("page"), X.document_title(F.col("content")).alias("title"), X.description(F.col("content")).alias("description"), F.col("subject"), F.col("extension"), F.array().cast("array<string>").alias("matched_keywords")]
+    out = X.with_description(with_tags(pages, chunks), F.col("content"))
+    cols = [F.col("version"), F.col("path"), F.col("page"), X.document_title(F.col("content")).alias("title"), F.col("description"), F.col("subject"), F.col("extension"), F.array().cast("array<string>").alias("matched_keywords")]
     if brief:
         return out.select(*cols)
     keys = ["version", "path"]

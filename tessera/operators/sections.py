@@ -123,42 +123,67 @@ def document_title(content: Column) -> Column:
     return F.regexp_extract(content, r"(?m)^=\s+(.+)$", 1)
 
 
-def first_paragraph(content: Column) -> Column:
-    """The first paragraph after the title, outside blocks and conditions, as one fold over the lines."""
-    state = F.struct(F.lit(False).alias("title"), F.lit(False).alias("begun"), F.lit(False).alias("done"), F.lit(0).alias("depth"), F.lit("").alias("block"), F.array().cast("array<string>").alias("found"))
-
-    def step(a: Column, line: Column) -> Column:
-        x = T.trimmed(line)
-
-        def to(title=a["title"], begun=a["begun"], done=a["done"], depth=a["depth"], block=a["block"], found=a["found"]) -> Column:
-            return F.struct(title.alias("title"), begun.alias("begun"), done.alias("done"), depth.alias("depth"), block.alias("block"), found.alias("found"))
-
-        delimiter = x.rlike("^(={4,}|-{4,})$")
-        closes = delimiter & (F.left(x, F.lit(1)) == F.left(a["block"], F.lit(1)))
-        return (
-            F.when(a["done"], a)
-            .when(~a["title"], F.when(x.startswith("= "), to(title=F.lit(True))).otherwise(a))
-            .when(delimiter & (a["block"] == ""), to(block=x))
-            .when((a["block"] != "") & closes, to(block=F.lit("")))
-            .when(a["block"] != "", a)
-            .when(x.startswith("ifdef::") | x.startswith("ifndef::"), to(depth=a["depth"] + 1))
-            .when(x.startswith("endif::"), to(depth=F.greatest(F.lit(0), a["depth"] - 1)))
-            .when(a["depth"] > 0, a)
-            .when(x.startswith(":") | x.startswith("include::") | x.startswith("["), a)
-            .when((x == "") & ~a["begun"], a)
-            .when((x == "") | x.rlike("^={2,6} .+"), to(done=F.lit(True)))
-            .otherwise(to(begun=F.lit(True), found=F.concat(a["found"], F.array(x))))
-        )
-
-    return T.clean_description(F.array_join(F.aggregate(F.split(content, "\n"), state, step)["found"], " "))
-
-
-def description(content: Column, summary: Column | None = None, n: int = 300) -> Column:
-    """The summary if there is one, else the description attribute, else the first paragraph; at most n characters."""
+BLOCK_EDGE, OPENS, CLOSES, HEADER_LINE = r"^(={4,}|-{4,})$", r"^ifn?def::", r"^endif::", r"^(:|include::|\[)"
+
+
+def _spans(marks: Column, opens: Column, ends: Column) -> Column:
+    """Ranges (first, last) of positions that marks (place, and what is written there) open and end, by a fold over the marks alone."""
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("first"), F.lit("").alias("sign"), none.alias("ranges"))
+
+    def step(a: Column, m: Column) -> Column:
+        opening, ending = opens(a, m), ends(a, m)
+        depth = a["depth"] + F.when(opening, 1).when(ending, -1).otherwise(0)
+        fresh = opening & (a["depth"] == 0)
+        closed = F.when(ending & (depth == 0), F.concat(a["ranges"], F.array(F.struct(a["first"].alias("first"), m["at"].alias("last"))))).otherwise(a["ranges"])
+        return F.struct(depth.alias("depth"), F.when(fresh, m["at"]).otherwise(a["first"]).alias("first"), F.when(fresh, m["sign"]).otherwise(a["sign"]).alias("sign"), closed.alias("ranges"))
+
+    whole = F.lit(2**31 - 1)
+    finish = lambda a: F.when(a["depth"] > 0, F.concat(a["ranges"], F.array(F.struct(a["first"].alias("first"), whole.alias("last"))))).otherwise(a["ranges"])
+    return F.aggregate(marks, start, step, finish)
+
+
+def _covered(ranges: Column, at: Column) -> Column:
+    return F.exists(ranges, lambda r: (r["first"] <= at) & (at <= r["last"]))
+
+
+def with_first_paragraph(df: DataFrame, content: Column, name: str = "first_paragraph") -> DataFrame:
+    """Adds the first paragraph after the title, outside blocks and conditions.
+
+    Blocks are ranges between equal edge signs, conditions ranges between their outermost marks outside blocks; of the
+    lines in neither that aren't directives, the paragraph goes from the first visible one to a blank one or a heading.
+    """
+    line = "struct<at:int,text:string>"
+    df = held(df, _bare=F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), T.trimmed))
+    title = F.array_position(F.transform("_bare", lambda x: x.startswith("= ")), True).cast("int")
+    after = F.when(title > 0, F.slice("_bare", title + 1, F.size("_bare"))).otherwise(F.slice("_bare", 1, 0))
+    df = held(df, _lines=F.transform(after, lambda x, i: F.struct(i.alias("at"), x.alias("text"))).cast(f"array<{line}>"))
+
+    def marks(pattern: str, sign: Column, hidden: Column | None = None) -> Column:
+        some = F.filter("_lines", lambda x: x["text"].rlike(pattern) & (F.lit(True) if hidden is None else ~_covered(hidden, x["at"])))
+        return F.transform(some, lambda x: F.struct(x["at"].alias("at"), sign(x["text"]).alias("sign")))
+
+    edges = marks(BLOCK_EDGE, lambda x: F.left(x, F.lit(1)))
+    df = held(df, _blocks=_spans(edges, lambda a, m: a["depth"] == 0, lambda a, m: (a["depth"] > 0) & (a["sign"] == m["sign"])))
+    turns = marks(f"{OPENS}|{CLOSES}", lambda x: F.when(x.rlike(CLOSES), "-").otherwise("+"), F.col("_blocks"))
+    df = held(df, _conditions=_spans(turns, lambda a, m: m["sign"] == "+", lambda a, m: (m["sign"] == "-") & (a["depth"] > 0)))
+    plain = F.filter("_lines", lambda x: ~_covered(F.col("_blocks"), x["at"]) & ~_covered(F.col("_conditions"), x["at"]) & ~x["text"].rlike(f"{HEADER_LINE}|{CLOSES}"))
+    df = held(df, _texts=F.transform(plain, lambda x: x["text"]))
+    begin = F.array_position(F.transform("_texts", lambda x: x != ""), True).cast("int")
+    df = held(df, _rest=F.when(begin > 0, F.slice("_texts", begin, F.size("_texts"))).otherwise(F.slice("_texts", 1, 0)))
+    stop = F.array_position(F.transform("_rest", lambda x: (x == "") | x.rlike("^={2,6} .+")), True).cast("int")
+    found = F.when(stop > 0, F.slice("_rest", 1, stop - 1)).otherwise(F.col("_rest"))
+    return df.withColumn(name, T.clean_description(F.array_join(found, " "))).drop("_bare", "_lines", "_blocks", "_conditions", "_texts", "_rest")
+
+
+def with_description(df: DataFrame, content: Column, summary: Column | None = None, name: str = "description", n: int = 300) -> DataFrame:
+    """Adds the summary if there is one, else the description attribute, else the first paragraph; at most n characters."""
+    df = with_first_paragraph(df, content, "_paragraph")
     named = F.regexp_extract(content, r"(?m)^:description:\s*(.+)$", 1)
-    own = F.when(named != "", T.clean_description(named)).otherwise(first_paragraph(content))
-    chosen = own if summary is None else F.when(F.coalesce(summary, F.lit("")) != "", summary).otherwise(own)
-    return F.when((T.trimmed(F.coalesce(content, F.lit(""))) == "") & (F.coalesce(summary, F.lit("")) == "" if summary is not None else F.lit(True)), "").otherwise(T.truncate_words(chosen, n))
+    own = F.when(named != "", T.clean_description(named)).otherwise(F.col("_paragraph"))
+    given = F.coalesce(F.lit(None).cast("string") if summary is None else summary, F.lit(""))
+    chosen = F.when(given != "", given).when(T.trimmed(F.coalesce(content, F.lit(""))) == "", "").otherwise(own)
+    return df.withColumn(name, T.truncate_words(chosen, n)).drop("_paragraph")
 
 
 def chunks(raw: DataFrame, base: str = "https://docs.example.org/guides/", core: str = "core", strict: bool = False) -> DataFrame:

@@ -329,7 +329,7 @@ def code_block_language(spark, sf):
 
 @query("first_paragraph")
 def first_paragraph(spark, sf):
-    return markup(spark, sf).select("doc_id", X.first_paragraph(F.col("content")).alias("paragraph"))
+    return X.with_first_paragraph(markup(spark, sf).select("doc_id", "content"), F.col("content"), "paragraph").select("doc_id", "paragraph")
 
 
 @query("header_metadata", f"WITH {MARKUP_SQL}, h AS (SELECT doc_id, regexp_split_to_array(content, '(?m)^== ')[1] AS header FROM markup) SELECT doc_id, array_to_string(list_transform(string_split(regexp_extract(header, '(?m)^:topics:\\s*(.*)$', 1), ','), lambda x: trim(x)), '|') AS topics, array_to_string(list_transform(string_split(regexp_extract(header, '(?m)^:categories:\\s*(.*)$', 1), ','), lambda x: trim(x)), '|') AS categories, regexp_extract(header, '(?m)^:summary:\\s*(.*)$', 1) AS summary FROM h")
@@ -347,7 +347,7 @@ def doc_title(spark, sf):
 @query("description", f"WITH {MARKUP_SQL} SELECT doc_id, regexp_extract(content, '(?m)^:summary:\\s*(.*)$', 1) AS description FROM markup")
 def description(spark, sf):
     c = F.col("content")
-    return markup(spark, sf).select("doc_id", X.description(c, X.attribute(c, "summary")).alias("description"))
+    return X.with_description(markup(spark, sf).select("doc_id", "content"), c, X.attribute(c, "summary")).select("doc_id", "description")
 
 
 @query("first_sentence", f"WITH s AS (SELECT doc_id, regexp_replace({trim_sql('text')}, '^={{1,5}}\\s+', '') AS t FROM documents) SELECT doc_id, left(coalesce(nullif(regexp_extract(t, '^(.*?\\.)(?:\\s|$)', 1), ''), t), 200) AS summary FROM s")
@@ -668,7 +668,7 @@ def _subject_paths(spark, sf) -> DataFrame:
 
 
 SUBJECT_PATH_SQL = f"SELECT page_id, lower('guides/' || [{', '.join(repr(w) for w in WORDS)}][page_id % {len(WORDS)} + 1] || '-' || page_id || '.adoc') AS path FROM pages"
-RULE_SQL = "CASE " + " ".join(f"WHEN regexp_full_match(path, '{J.full_rule(r)[4:-2]}') THEN '{s}'" for s, r in J.RULES) + " ELSE 'misc' END"
+RULE_SQL = "CASE " + " ".join(f"WHEN regexp_full_match(path, '{r}') THEN '{s}'" for s, r in J.RULES) + " ELSE 'misc' END"
 
 
 @query("subject_by_path", f"WITH p AS ({SUBJECT_PATH_SQL}) SELECT page_id, {RULE_SQL} AS subject FROM p")

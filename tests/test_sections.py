@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ def test_code_blocks(spark):
 def test_metadata(spark):
     df = spark.createDataFrame([(DOC,)], "c string")
     c = F.col("c")
-    r = df.select(X.listed(X.attribute(c, "topics")).alias("t"), X.attribute(c, "none").alias("n"), X.first_paragraph(c).alias("p"), X.description(c).alias("d"), X.description(c, F.lit("Sum")).alias("s"), X.page_title(c, F.lit("x")).alias("title")).first()
+    df = X.with_description(X.with_description(X.with_first_paragraph(df, c, "p"), c, None, "d"), c, F.lit("Sum"), "s")
+    r = df.select(X.listed(X.attribute(c, "topics")).alias("t"), X.attribute(c, "none").alias("n"), "p", "d", "s", X.page_title(c, F.lit("x")).alias("title")).first()
     assert (r.t, r.n, r.p, r.s, r.title) == (["c", "d"], None, "Intro text here. more of it.", "Sum", "Title")
     assert r.d == r.p
 
@@ -54,6 +56,36 @@ def test_random_documents_agree_with_a_plain_parser(spark):
         assert got.get(i, []) == list(_sections(t)), repr(t)
 
 
+def paragraph(text):
+    lines, out, block, depth = [x.strip() for x in text.split("\n")], [], None, 0
+    if not any(x.startswith("= ") for x in lines):
+        return ""
+    for x in lines[next(i for i, x in enumerate(lines) if x.startswith("= ")) + 1 :]:
+        edge = len(x) >= 4 and set(x) in ({"="}, {"-"})
+        if block or edge:
+            block = block if block and not (edge and x[0] == block) else None if block else x[0]
+        elif x.startswith(("ifdef::", "ifndef::")):
+            depth += 1
+        elif x.startswith("endif::"):
+            depth = max(0, depth - 1)
+        elif depth or x.startswith((":", "include::", "[")) or (not x and not out):
+            pass
+        elif not x or re.fullmatch("={2,6} .+", x):
+            break
+        else:
+            out.append(x)
+    return " ".join(out)
+
+
+def test_first_paragraphs_agree_with_a_plain_loop(spark):
+    random.seed(5)
+    lines = ["= A", "= A", "== B", "text here", "more", "", "----", "====", "=====", "ifdef::x[]", "endif::x[]", ":k: v", "[note]", "include::y[]", "endif::[]"]
+    texts = ["\n".join(random.choice(lines) for _ in range(random.randint(1, 16))) for _ in range(600)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    got = {r.id: r.p for r in X.with_first_paragraph(df, F.col("content"), "p").collect()}
+    assert [got[i] for i in range(len(texts))] == [paragraph(t or "") for t in texts] and sum(map(bool, got.values())) > 100
+
+
 def test_rebuild_equals_parsing_everything(spark):
     old = spark.createDataFrame([("v", f"p{i}.adoc", f"= T{i}\ntext {i}\n== S\nbody", None) for i in range(6)], "version string, path string, content string, extension string")
     new = old.where("path <> 'p1.adoc'").withColumn("content", F.when(F.col("path") == "p2.adoc", "= New\nother").otherwise(F.col("content")))
