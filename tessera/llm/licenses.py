@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrays import array_sum
 from .common import load, salted_join, written
-from .shingles import _INVERSE, _P, _VALUE, CHUNK, U, _powers, byte_chunks, mixed, runs, shared_powers
+from .shingles import _LOWER, CHUNK, U, byte_chunks, runs, span_hashes
 
 # Licence templates: the notices by which the licences are named in headers and texts (fixed values).
 TEMPLATES = [
@@ -49,18 +49,12 @@ _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(or
 class Lines:
     """Hashed terms of each line of each text of a chunk."""
 
-    def __init__(self) -> None:
-        self.up, self.down = shared_powers()
-
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, line of each term, its bucket, text of each line)."""
         for a, b, data, offsets in byte_chunks(texts, CHUNK):
             n = len(data)
-            up, down = (self.up, self.down) if n < len(self.up) else (_powers(_P, n + 1), _powers(_INVERSE, n + 1))
             start, stop = runs(_WORD[data], offsets)
-            sums = np.zeros(n + 1, dtype=U)
-            np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-            bucket = (mixed((sums[stop] - sums[start]) * down[start]) >> U(64 - BITS)).astype(np.int64)
+            bucket = (span_hashes(_LOWER[data], start, stop)[0] >> U(64 - BITS)).astype(np.int64)
             breaks = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 0x0A) + 1]))
             breaks = breaks[breaks < max(1, n)]
             line = np.searchsorted(breaks, start, "right") - 1
@@ -150,7 +144,10 @@ def inherit(scanned: DataFrame) -> DataFrame:
     hot = dirs.where(F.col("n") * 1000 > files)
     parts = F.split("dir", "/")
     ups = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("ancestor")).distinct()
-    nearest = ups.join(held, "ancestor").groupBy("dir").agg(F.max_by(F.struct("ancestor", "inherited"), F.length("ancestor")).alias("near"))
+    # directories below a common root are its rows here
+    ups = written(ups, "ancestors")
+    common = ups.groupBy("ancestor").agg(F.count("*").alias("n")).where(F.col("n") * 1000 > ups.count())
+    nearest = salted_join(ups, held, "ancestor", common, ["dir"]).groupBy("dir").agg(F.max_by(F.struct("ancestor", "inherited"), F.length("ancestor")).alias("near"))
     out = salted_join(own.where("dir is not null"), nearest, "dir", hot, ["id", "path"], "left")
     out = out.unionByName(own.where("dir is null"), allowMissingColumns=True)
     licence = F.coalesce("header", F.when(F.col("whole").isNotNull(), F.col("whole")), F.col("near.inherited"))

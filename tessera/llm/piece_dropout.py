@@ -167,7 +167,7 @@ class DropoutEncoder:
 
     def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED):
         self.model, self.dropout, self.seed = PieceModel(model), dropout, seed
-        self.table = SegmentTable(lambda texts: [])
+        self.table = SegmentTable(lambda segments: self._fresh(segments, np.zeros(len(segments), dtype=U)))
 
     def _fresh(self, segments: list[str], key: np.ndarray) -> list[bytes]:
         """Segments of like width together; very long ones few at a time."""
@@ -201,7 +201,7 @@ class DropoutEncoder:
                 made, ends = self._fresh(text_of(np.arange(len(start))), key), bound.tolist()
                 out += [b"".join(made[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 continue
-            ids, length = self.table.ids_of(self.table.hashes(data, start, stop), text_of, lambda _, segments: self._fresh(segments, np.zeros(len(segments), dtype=U)))
+            ids, length = self.table.ids_of(data, start, stop, text_of)
             ends, flat = np.concatenate(([0], np.cumsum(length)))[bound].tolist(), ids.tobytes()
             out += [flat[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         return out

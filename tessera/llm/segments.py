@@ -1,7 +1,8 @@
 """Cutting texts into segments and looking them up, vectorised over the bytes of many texts.
 
-A segment is known by a 64-bit hash of its bytes, taken from running sums; a table maps it to its token ids. Only
-segments that the table lacks are made into strings and encoded.
+A segment is found by a 64-bit hash of its bytes, and its bytes are compared with those that the table keeps for that
+hash, so that its ids are its own whatever the hashes are. Only segments that the table lacks are made into strings and
+encoded.
 """
 
 from __future__ import annotations
@@ -10,9 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .shingles import _INVERSE, _P, U, _powers, mixed, runs
+from .shingles import U, runs, span_hashes
 
-_VALUE = mixed(np.arange(1, 257, dtype=U) * U(_P) + U(77))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x0A]] = True
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -100,64 +100,96 @@ def split_words(data: np.ndarray, before: np.ndarray, start: np.ndarray, stop: n
     return a.ravel()[some], b.ravel()[some]
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: str):
+        self.data, self.used = np.zeros(1 << 12, dtype=dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.used + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(need, len(self.data)), dtype=self.data.dtype)])
+        self.data[self.used : need] = values
+        self.used = need
+
+
+class _Entries:
+    """Segments with their bytes and ids; a segment's place is found by its hash."""
+
+    def __init__(self) -> None:
+        self.keys, self.entry = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+        self.head, self.tail, self.n_bytes, self.at_byte, self.raw = _Column("u8"), _Column("u8"), _Column("i8"), _Column("i8"), _Column("u1")
+        self.n_ids, self.at_id, self.ids = _Column("i8"), _Column("i8"), _Column("u4")
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.entry[at], -1)
+
+    def add_ids(self, parts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Where each of the parts starts."""
+        first = self.ids.used + np.cumsum(length) - length
+        self.ids.add(parts)
+        return first
+
+    def add(self, keys: np.ndarray, head: np.ndarray, tail: np.ndarray, raw: np.ndarray, n_bytes: np.ndarray, parts: np.ndarray, length: np.ndarray) -> None:
+        """keys ascending; raw and parts: all their bytes and all their ids one after another."""
+        place, new = np.searchsorted(self.keys, keys), np.arange(len(keys)) + self.head.used
+        self.keys, self.entry = np.insert(self.keys, place, keys), np.insert(self.entry, place, new)
+        self.at_byte.add(self.raw.used + np.cumsum(n_bytes) - n_bytes)
+        for column, values in ((self.head, head), (self.tail, tail), (self.n_bytes, n_bytes), (self.raw, raw), (self.at_id, self.add_ids(parts, length)), (self.n_ids, length)):
+            column.add(values)
+
+
 class SegmentTable:
-    """Ids by segment hash: sorted arrays, with what is new beside them; beyond most entries a new table is begun,
-    beside the last one."""
+    """Ids by segment: found by a 64-bit hash, and told apart by their bytes, which the table keeps. Segments that share a
+    hash with another one are encoded where they occur. Beyond most entries a new table is begun, beside the last one."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_500_000):
         self.encode, self.most = encode, most
-        self.up, self.down = _powers(_P, MOST_BYTES + 1), _powers(_INVERSE, MOST_BYTES + 1)
-        self._reset()
-        self.older: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def _reset(self) -> None:
-        self.keys, self.off, self.len = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
-
-    def hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        n = len(data)
-        up, down = (self.up, self.down) if n < len(self.up) else (_powers(_P, n + 1), _powers(_INVERSE, n + 1))
-        sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-        return mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U))
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
-
-    def _add(self, keys: np.ndarray, parts: np.ndarray, length: np.ndarray) -> None:
-        """keys ascending; parts: all their ids one after another."""
-        need = self.used + len(parts)
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(need, len(self.ids)), dtype="<u4")])
-        self.ids[self.used : need] = parts
-        off = self.used + np.cumsum(length) - length
-        self.used = need
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.off, self.len = np.insert(self.keys, place, keys), np.insert(self.off, place, off), np.insert(self.len, place, length)
-
-    def ids_of(self, keys: np.ndarray, text_of: Callable[[np.ndarray], list[str]], encode: Callable[[np.ndarray, list[str]], list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after another, the number of ids of each key). text_of: strings of places in keys."""
-        if len(self.keys) > self.most:
-            self.older = self.keys, self.off, self.len, self.ids
-            self._reset()
+        self.now, self.older = _Entries(), None
+
+    def same(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, head: np.ndarray, tail: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each range of bytes is the segment of the entry."""
+        now, n = self.now, stop - start
+        out = (now.n_bytes.data[at] == n) & (now.head.data[at] == head) & (now.tail.data[at] == tail)
+        long = np.flatnonzero(out & (n > 16))
+        if len(long):
+            m = n[long]
+            equal = now.raw.data[spread(now.at_byte.data[at[long]], m)] == data[spread(start[long], m)]
+            out[long] = np.logical_and.reduceat(equal, np.cumsum(m) - m)
+        return out
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return span_hashes(data, start, stop)
+
+    def ids_of(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, the number of ids of each range of bytes). text_of: strings of places in start."""
+        if len(self.now.keys) > self.most:
+            self.now, self.older = _Entries(), self.now
+        keys, head, tail = self.hashes(data, start, stop)
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        missing = np.flatnonzero(self._find(self.keys, unique) < 0)
-        if len(missing) and self.older is not None:
-            keys_, off, length, ids = self.older
-            at = self._find(keys_, unique[missing])
-            old = at >= 0
-            if old.any():
-                n = length[at[old]]
-                self._add(unique[missing[old]], ids[spread(off[at[old]], n)], n)
-                missing = missing[~old]
+        now, old = self.now, self.older
+        missing = np.flatnonzero(now.find(unique) < 0)
+        if len(missing) and old is not None:
+            at = old.find(unique[missing])
+            some, at = at >= 0, at[at >= 0]
+            if len(at):
+                n, m = old.n_bytes.data[at], old.n_ids.data[at]
+                now.add(unique[missing[some]], old.head.data[at], old.tail.data[at], old.raw.data[spread(old.at_byte.data[at], n)], n, old.ids.data[spread(old.at_id.data[at], m)], m)
+                missing = missing[~some]
         if len(missing):
-            texts = text_of(first[missing])
-            data = encode(unique[missing], texts) if encode else self.encode(texts)
-            self._add(unique[missing], np.frombuffer(b"".join(data), dtype="<u4"), np.array([len(d) // 4 for d in data], dtype=np.int64))
-        at = self._find(self.keys, unique)[inverse]
-        length = self.len[at]
-        return self.ids[spread(self.off[at], length)], length
+            at = first[missing]
+            made = self.encode(text_of(at))
+            n = stop[at] - start[at]
+            now.add(unique[missing], head[at], tail[at], data[spread(start[at], n)], n, np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(d) // 4 for d in made], dtype=np.int64))
+        at = now.find(unique)[inverse]
+        length, place = now.n_ids.data[at], now.at_id.data[at]
+        odd = np.flatnonzero(~self.same(data, start, stop, head, tail, at))
+        if len(odd):
+            made = self.encode(text_of(odd))
+            length[odd] = [len(d) // 4 for d in made]
+            place[odd] = now.add_ids(np.frombuffer(b"".join(made), dtype="<u4"), length[odd])
+        return now.ids.data[spread(place, length)], length

@@ -1,12 +1,14 @@
 """Hashed word shingles of whole texts, vectorised over the bytes of an Arrow batch.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z become a-z. A word's hash is a polynomial over keyed 64-bit values of its
-bytes, taken from running sums, and mixed; a shingle's hash is a polynomial over its words' hashes, mixed again.
+Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z become a-z. A word's hash takes its bytes in eights, each folded into a
+bijective mixer (words of equal length up to eight bytes never share one); a shingle's hash is a sum of its words'
+hashes, each times its place's constant, mixed again.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,9 @@ _INVERSE = pow(_P, -1, 1 << 64)
 SEED = 20240
 #: Bytes that are worked on together; a longer text is alone.
 CHUNK = 1 << 20
+#: Longer spans are hashed by BLAKE2b, one at a time.
+LONG_SPAN = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,6 +31,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first eight bytes, next eight bytes) of each range of bytes: spans of up to 16 bytes are given whole by their length and the latter two."""
+    padded = np.zeros((len(data) + 23) // 8 * 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eights, length = padded.view("<u8"), stop - start
+    h = mixed(length.astype(U) * U(_P) + U(seed))
+    heads = np.zeros((2, len(start)), dtype=U)
+    at, left = np.flatnonzero(length), length
+    k = 0
+    while len(at):
+        place, left = start[at] + 8 * k, length[at] - 8 * k
+        i, shift = place >> 3, ((place & 7) << 3).astype(U)
+        x = (eights[i] >> shift | (eights[i + 1] << U(1)) << (U(63) - shift)) & _MASK[np.minimum(left, 8)]
+        if k < 2:
+            heads[k, at] = x
+        h[at] = mixed(h[at] ^ x)
+        at = at[left > 8]
+        k += 1
+        if k == 2:
+            long = at[length[at] > LONG_SPAN]
+            for j in long.tolist():
+                digest = hashlib.blake2b(data[start[j] : stop[j]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+                h[j] = int.from_bytes(digest, "little")
+            at = at[length[at] <= LONG_SPAN]
+    return h, heads[0], heads[1]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U)
     out[0] = 1
@@ -45,6 +77,8 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUE = _byte_values()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -74,28 +108,24 @@ def byte_chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarr
         a = b
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of a chunk's texts, and where each text's words start and the last one's end."""
+    start, stop = runs(~_SPACE[data], offsets)
+    return span_hashes(_LOWER[data], start, stop, seed)[0], np.searchsorted(start, offsets)
+
+
 class Shingler:
     """sets(array) gives each text's sorted distinct shingle hashes (null, empty or wordless: none)."""
 
-    def __init__(self, size: int = 5):
-        self.size = size
-        self.up, self.down = shared_powers()
+    def __init__(self, size: int = 5, seed: int = SEED):
+        self.size, self.seed = size, seed
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for _, _, data, offsets in byte_chunks(texts, CHUNK):
             yield from self._chunk(data, offsets)
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        n = len(data)
-        if n >= len(self.up):
-            up, down = _powers(_P, n + 1), _powers(_INVERSE, n + 1)
-        else:
-            up, down = self.up[:n], self.down
-        start, stop = runs(~_SPACE[data], offsets)
-        sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-        words = mixed((sums[stop] - sums[start]) * down[start])
-        bound = np.searchsorted(start, offsets)
+        words, bound = word_hashes(data, offsets, self.seed)
         size = self.size
         grams = np.zeros(max(0, len(words) - size + 1), dtype=U)
         weight = 1

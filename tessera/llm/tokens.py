@@ -116,7 +116,7 @@ class SegmentEncoder:
                 good = ~odd[np.searchsorted(offsets, first, "right") - 1]
                 first, last = first[good], last[good]
             raw = data.tobytes()
-            ids, length = self.table.ids_of(self.table.hashes(data, first, last), lambda at: [raw[first[i] : last[i]].decode() for i in at.tolist()])  # noqa: B023
+            ids, length = self.table.ids_of(data, first, last, lambda at: [raw[first[i] : last[i]].decode() for i in at.tolist()])  # noqa: B023
             ends = np.concatenate(([0], np.cumsum(length)))[np.searchsorted(first, offsets)].tolist()
             flat = ids.tobytes()
             part = [flat[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
