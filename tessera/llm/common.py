@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.session import workers_find_package
 
@@ -14,10 +18,13 @@ from ..plans.session import workers_find_package
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made and set.
+    Only where that is unset on a single machine (tests) a temporary folder is made and set; on a cluster, whose executors
+    wouldn't see it, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,16 +57,53 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow by place: run gets and gives columns in order, whatever they are called."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+
+
 SALTS = 64
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread_by: list[str], how: str = "inner") -> DataFrame:
-    """big joined with small on key, where the keys in hot, each with more than a thousandth of big's rows, are salted.
+def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], hot: DataFrame, spread_by: list[str | Column], how: str = "inner") -> DataFrame:
+    """big joined with small on the key columns, where the keys in hot, each with more than a thousandth of big's rows, are salted.
 
     hot has fewer than a thousand rows by its meaning, so it is broadcast; small repeats a hot key's rows for each salt.
     """
-    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    left = big.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    keys = [key] if isinstance(key, str) else key
+    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    left = big.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(marked, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    right = small.join(marked, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(table: DataFrame, key: str) -> DataFrame:
+    """The keys that more than a thousandth of a written table's rows have: fewer than a thousand."""
+    return table.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * 1000 > table.count()).select(key)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of whole keys from batches that are sorted by them: a worker holds some rows and one key's, not its partition."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held)
+        last = np.ones(rows, dtype=bool)
+        for k in keys:
+            column = table.column(k).to_numpy()
+            last &= column == column[-1]
+        cut = int(np.argmax(last))  # sorted: the last key's rows are together at the end
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut).combine_chunks()
+        held, rows = rest.to_batches(), rest.num_rows
+        least = max(least, 2 * rows) if not cut else least
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import workers_find_package
-from .common import id_text, load
+from .common import id_text, load, map_rows
 
 KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -213,7 +213,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "text"
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(changed, texts.type))
             yield batch
 
-    out = docs.mapInArrow(run, schema)
+    out = map_rows(docs, run, schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.char_length(text_col)).cast(schema[length_col].dataType))
     return out

@@ -6,7 +6,7 @@
    voter covers) and patterns (shouting, symbol noise). A generative model with the class as its latent variable gives
    each voter's rates of firing in both classes by expectation maximisation; voters that fire together within a class
    more than independence allows share their weight. The annotator is one more voter, as fallible as the others.
-3. A logistic regression over the candidates is trained on the posterior labels, and scores every whole text.
+3. A logistic regression over the voters' features is trained on the posterior labels, and scores every whole text.
 
 The model is fitted on at most ``most_rows`` labelled training rows, those of the least hashes of the id (a documented
 bound, so that fitting moves no text but these rows'); of each, the driver gets CANDIDATES bits. Labels are read from
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import array_sum
-from .common import id_text, load, written
-from .shingles import _INVERSE, _P, _VALUE, CHUNK, U, _powers, byte_chunks, mixed, runs, shared_powers
+from .common import id_text, load, map_rows, written
+from .shingles import _LOWER, CHUNK, SEED, U, byte_chunks, runs, span_hashes
 
 # The fixed lexicon (fixed values): insults in English.
 LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "dumb"]
@@ -50,24 +50,17 @@ PATTERNS = 2
 class Features:
     """Hashed features of each text of a chunk."""
 
-    def __init__(self) -> None:
-        self.up, self.down = shared_powers()
-
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, document of each feature, its bucket, pattern values) for ranges of texts."""
         for a, b, data, offsets in byte_chunks(texts, CHUNK):
             n = len(data)
-            up, down = (self.up, self.down) if n < len(self.up) else (_powers(_P, n + 1), _powers(_INVERSE, n + 1))
             start, stop = runs(_LETTER[data], offsets)
-            sums = np.zeros(n + 1, dtype=U)
-            np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-            doc = np.searchsorted(offsets, start, "right") - 1
-            base, scale = sums[start], down[start]
-            docs, buckets = [doc], [mixed((sums[stop] - base) * scale) >> U(44)]
+            doc, low = np.searchsorted(offsets, start, "right") - 1, _LOWER[data]
+            docs, buckets = [doc], [span_hashes(low, start, stop)[0] >> U(44)]
             for k in PREFIXES:
                 long = np.flatnonzero(stop - start > k)
                 docs.append(doc[long])
-                buckets.append(mixed((sums[start[long] + k] - base[long]) * scale[long] + U(k)) >> U(44))
+                buckets.append(span_hashes(low, start[long], start[long] + k, SEED + k)[0] >> U(44))
             size = np.maximum(1, np.diff(offsets))
             count = [np.diff(np.concatenate(([0], np.cumsum(mark[data])))[offsets]) for mark in (_CAPITAL, _SYMBOL)] if n else [np.zeros(b - a)] * 2
             yield a, b, np.concatenate(docs), np.concatenate(buckets).astype(np.int64), np.stack([c / size for c in count])
@@ -271,9 +264,17 @@ def mark_toxic(docs: DataFrame, weight: np.ndarray, bias: float, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, bias)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(batch.column(at)))], [*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(batch.column(at)))], [f"c{i}" for i in range(batch.num_columns + 1)])
+
+    return map_rows(docs, run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+def not_toxic(docs: DataFrame, weight: np.ndarray, bias: float, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under at_least, all columns kept, whatever they are called."""
+    score = "toxic_score"
+    while score in docs.columns:
+        score += "_"
+    return mark_toxic(docs, weight, bias, text_col, score).where(F.col(score) < at_least).drop(score)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import hnsw, jaccard_join, order_minhash, packing, piece_dropout, pseudo_likelihood, registry, repair, secrets, toxicity
+from tessera.llm.shingles import span_hashes
 from tessera.llm.tokens import SegmentEncoder, vocabulary_path
 
 
@@ -36,6 +37,83 @@ def test_segments_give_the_librarys_ids(docs, name, byte_level):
     assert all(np.array(e.ids, dtype="<u4").tobytes() == g for e, g in zip(plain, got, strict=True))
 
 
+def thue_morse(n):
+    """Two words that every polynomial modulo a power of two takes for one."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse(1024)
+    texts = [a, b, f"x {a} y", f"x {b} y", f"one two {a} three four five", f"one two {b} three four five"]
+    for name, byte_level in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        plain = Tokenizer.from_file(vocabulary_path(name)).encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in SegmentEncoder(name, byte_level).encode_many(texts)] == [e.ids for e in plain]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.jaccard_components(df).orderBy("doc_id").collect()] == list(range(len(texts)))
+
+
+@pytest.mark.parametrize(("name", "byte_level"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_segments_that_share_a_hash_keep_their_own_ids(docs, name, byte_level):
+    texts = odd_texts(300) + [r.text for r in docs[:100]]
+    plain = Tokenizer.from_file(vocabulary_path(name)).encode_batch(texts, add_special_tokens=False)
+    encoder = SegmentEncoder(name, byte_level)
+    whole = encoder.table.hashes
+    encoder.table.hashes = lambda *x: ((h := whole(*x))[0] & np.uint64(255), *h[1:])
+    encoder.table.most = 100
+    for _ in range(2):
+        got = [x for a in range(0, len(texts), 37) for x in encoder.encode_many(texts[a : a + 37])]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [e.ids for e in plain]
+
+
+def test_span_hashes_follow_the_bytes_alone():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 3, 20_000).astype(np.uint8)
+    start = rng.integers(0, 19_000, 4000)
+    stop = start + rng.integers(0, 40, 4000)
+    start[:20], stop[:20] = 100, 1000
+    h, head, tail = span_hashes(data, start, stop)
+    by = {}
+    for x, y, a, b, c in zip(start.tolist(), stop.tolist(), h.tolist(), head.tolist(), tail.tolist(), strict=True):
+        raw = data[x:y].tobytes()
+        assert by.setdefault(raw, a) == a and b == int.from_bytes(raw[:8], "little") and c == int.from_bytes(raw[8:16], "little")
+    assert len(set(by.values())) == len(by)
+
+
+def test_bitmaps_let_every_link_through():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40, 64, 65, 130, 300, 1000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.uniform(0, 0.3)], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+            if not len(b):
+                continue
+            common = len(np.intersect1d(a, b))
+            linked = 100 * common >= 80 * (len(a) + len(b) - common)
+            let = jaccard_join.may_link(np.array([len(a)]), [jaccard_join.bitmap(a)], np.array([len(b)]), [jaccard_join.bitmap(b)], 80)[0]
+            assert let or not linked
+    far = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(50)]
+    n, maps = np.full(49, 300), [jaccard_join.bitmap(x) for x in far]
+    assert not jaccard_join.may_link(n, maps[:-1], n, maps[1:], 80).any()
+
+
+def test_names_that_two_sets_share_start_another_try(spark, docs, monkeypatch):
+    texts = [r.text for r in docs[:40]] + near_copies(20, 3)
+    want, _ = classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = jaccard_join.signatures
+
+    def signatures(src, known, size, percent, seed):
+        out = plain(src, known, size, percent, seed)
+        return out.withColumn("sid", out.sid.bitwiseAND(3)) if seed == jaccard_join.SEED else out
+
+    monkeypatch.setattr(jaccard_join, "signatures", signatures)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_token_files_round_trip(spark, sf, docs):
     tok = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
     got, at = {r.doc_id: r for r in repair.op2_token_files(spark, sf).collect()}, 0

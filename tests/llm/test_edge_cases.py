@@ -93,8 +93,9 @@ def test_hnsw(spark):
 
 
 def test_pipeline(spark, odd_docs, tmp_path):
-    base = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, docs in (("a", base), ("b", base.where("false"))):
+    clashing = odd_docs.withColumns({c: odd_docs.text for c in ("_th", "_id", "_row", "_key", "_passes", "_salt", "comp", "best", "stays", "count", "toxic_score_", "a b.c")})
+    assert sorted(jaccard_join.keep_one(clashing).columns) == sorted(clashing.columns)
+    for name, docs in (("a", clashing), ("b", clashing.where("false"))):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
