@@ -3,7 +3,7 @@
 The base kinds are assignments to credential names, access-key ids and long runs of hex digits. The method adds
 ``guess``: a value in a wider credential context (``passphrase is ...``, ``pwd => ...``, ``user:...@host``) whose least
 guess cost reaches ``GUESSES``. A dynamic program finds that cost: the cheapest segmentation into words, dates, repeats,
-keyboard walks and brute-force spans, in powers of ten of guesses.
+keyboard walks (of 64 keys at most) and brute-force spans, in powers of ten of guesses.
 
 Spans are in code points, ends exclusive; an assignment's span is its whole match. Edge cases: a null or empty text has
 no spans (the hash is that of an empty string); repeated rows are scanned once each; null doc_ids are kept; an empty
@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -72,9 +73,11 @@ def _neighbours() -> dict[str, set[str]]:
 
 NEAR = _neighbours()
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
-SPOKEN = re.compile(r"[A-Za-z]?[a-z]{2,13}")
-VOWEL = re.compile("[aeiouyAEIOUY]")
-CLUSTER = re.compile("[^aeiouyAEIOUY]{5}")
+LETTERS = re.compile("[A-Za-z]")
+VOWELS = frozenset("aeiouyAEIOUY")
+MOST_SPOKEN, MOST_WALK, MOST_PERIOD, CLUSTER = 14, 64, 8, 5
+#: A stretch of one period that is longer than LONG keeps this many places at either end; what is between is only jumped over.
+MARGIN, LONG = 64, 384
 
 
 def _brute(c: str) -> float:
@@ -83,58 +86,103 @@ def _brute(c: str) -> float:
     return math.log10(26) if c.isalpha() else math.log10(33)
 
 
+def periods(value: str, most: int = MOST_PERIOD) -> tuple[list[list[int]], list[tuple[int, int]]]:
+    """For each width up to most, how many characters from each place on are the same as those a width later; and the long
+    stretches of one period, as (start, end)."""
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n, follows, long = len(code), [], []
+    for width in range(1, most + 1):
+        same = np.zeros(n, dtype=bool)
+        same[: max(0, n - width)] = code[: max(0, n - width)] == code[width:]
+        stops = np.flatnonzero(~same)  # the last place is always one
+        follows.append((stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)).tolist())
+        starts = np.concatenate(([0], stops[:-1] + 1))
+        big = np.flatnonzero(stops - starts + width > LONG)
+        long += [(int(starts[i]), int(stops[i]) + width) for i in big]
+    return follows, long
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation of value.
 
     best[j] = min over i of best[i] + cost of value[i:j]; brute force costs its characters alone, each other kind a
-    choice of pattern as well. Linear in the length for bounded patterns; walks and repeats are followed to their ends.
+    choice of pattern as well. Words, dates and walks are bounded. Repeats aren't, but a repeat that begins deep in a
+    stretch of its period is never cheaper than one from near the stretch's start, and a way through a long stretch
+    without one never cheaper than one: so the middle of a long stretch is left out, and time is linear in the length.
     """
     n, low = len(value), value.lower()
+    if len(low) != n:  # some capitals have small forms of several characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
+    follows, long = periods(value)
+    skip = bytearray(n + 1)
+    for start, end in long:
+        skip[start + MARGIN : end - MARGIN] = bytes([1]) * (end - start - 2 * MARGIN)
+    small, vowel, cluster = [0] * (n + 2), [n] * (n + 1), [n + 1] * (n + 1)  # small letters from here; the next vowel; the end of the next cluster
+    quiet = 0
+    for i in range(n - 1, -1, -1):
+        c = value[i]
+        small[i] = small[i + 1] + 1 if "a" <= c <= "z" else 0
+        quiet = 0 if c in VOWELS else quiet + 1
+        vowel[i] = vowel[i + 1] if quiet else i
+        cluster[i] = i + CLUSTER if quiet >= CLUSTER else cluster[i + 1]
     best = [math.inf] * (n + 1)
     best[0] = 0.0
     pick = math.log10(6)
-    for i in range(n):
-        at = best[i]
-
-        def reach(j: int, cost: float, at: float = at) -> None:
-            if at + cost < best[j]:
-                best[j] = at + cost
-
-        reach(i + 1, _brute(value[i]))
+    i = -1
+    while i < n - 1:
+        i += 1
+        if skip[i]:
+            i = skip.find(0, i) - 1
+            continue
+        at, c = best[i], value[i]
+        if at + _brute(c) < best[i + 1]:
+            best[i + 1] = at + _brute(c)
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             word, leet = RANK.get(low[i:j]), RANK.get(plain[i:j])
             if word or leet:
-                cased = value[i:j] != low[i:j]
-                reach(j, pick + math.log10((word or leet) + 1) + 0.3 * cased + 0.6 * (not word))
-        if spoken := SPOKEN.match(value, i):
-            for j in range(i + 3, spoken.end() + 1):
-                if VOWEL.search(value, i, j) and not CLUSTER.search(value, i, j):
-                    reach(j, pick + 4.0)  # some word of a language
+                cost = at + pick + math.log10((word or leet) + 1) + 0.3 * (value[i:j] != low[i:j]) + 0.6 * (not word)
+                if cost < best[j]:
+                    best[j] = cost
+        if small[i + 1] >= 2 and LETTERS.match(c):
+            cost = at + pick + 4.0  # some word of a language: a vowel in it, no cluster of consonants
+            for j in range(max(i + 3, vowel[i] + 1), min(i + MOST_SPOKEN, i + 1 + small[i + 1], cluster[i] - 1) + 1):
+                if cost < best[j]:
+                    best[j] = cost
         if date := DATE.match(value, i):
-            reach(date.end(), pick + (math.log10(365 * 120) if date.end() - i > 4 else math.log10(120)))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-            if j - i >= 3:
-                reach(j, pick + math.log10(94 * (j - i)))
-        for width in range(2, min(9, (n - i) // 2 + 1)):
-            j = i + width
-            while value[j : j + width] == value[i : i + width] and j + width <= n:
-                j += width
-                reach(j, pick + sum(map(_brute, value[i : i + width])) + math.log10((j - i) / width))
+            cost = at + pick + (math.log10(365 * 120) if date.end() - i > 4 else math.log10(120))
+            if cost < best[date.end()]:
+                best[date.end()] = cost
+        for width in range(1, MOST_PERIOD + 1):
+            times = follows[width - 1][i] // width + 1
+            if times < (3 if width == 1 else 2):
+                continue
+            unit = at + pick + (math.log10(94) if width == 1 else sum(map(_brute, value[i : i + width])))
+            j, k = i, 0
+            while k < times:
+                k, j = k + 1, j + width
+                if skip[j]:  # to the first multiple beyond what is left out
+                    more = -(-(skip.find(0, j) - j) // width)
+                    k, j = k + more - 1, j + (more - 1) * width
+                    continue
+                if k >= (3 if width == 1 else 2) and unit + math.log10(k) < best[j]:
+                    best[j] = unit + math.log10(k)
         j, turns = i + 1, 0
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):
+        while j < n and j < i + MOST_WALK and low[j] in NEAR.get(low[j - 1], ()):
             turns += j - i < 2 or ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
             j += 1
             if j - i >= 4:
-                reach(j, pick + math.log10(47 * (j - i)) + 0.7 * turns)
+                cost = at + pick + math.log10(47 * (j - i)) + 0.7 * turns
+                if cost < best[j]:
+                    best[j] = cost
     return best[n]
 
 
-@functools.lru_cache(maxsize=4096)
+_kept = functools.lru_cache(maxsize=4096)(guess_cost)
+
+
 def _cost(value: str) -> float:
-    return guess_cost(value)
+    return _kept(value) if len(value) <= 256 else guess_cost(value)
 
 
 def find_spans(text: str) -> tuple[list[tuple[int, int, str]], float]:
