@@ -10,18 +10,17 @@ Edge cases are those of the operators: null and empty texts are clean, link with
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import load, written
 from tessera.llm.jaccard_join import keep_one
 from tessera.llm.packing import pack
 from tessera.llm.secrets import mask_secrets
-from tessera.llm.toxicity import fit, mark_toxic, training_rows
+from tessera.llm.toxicity import fit, not_toxic, training_rows
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(training_rows(docs, load(spark, sf_dir, "labels")))
-    return mark_toxic(docs, *model).where(F.col("toxic_score") < 0.5).select(*docs.columns)
+    return not_toxic(docs, *model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
