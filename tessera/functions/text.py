@@ -92,16 +92,11 @@ def parse_keywords(c: Column) -> Column:
 
 
 def strip_code_blocks(c: Column) -> Column:
-    """Lines outside fences of four dashes or more; an unclosed fence drops what follows. One fold over the lines."""
-    state = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("kept"))
-
-    def step(a: Column, line: Column) -> Column:
-        fence = trimmed(line).rlike("^-{4,}$")
-        code = F.when(fence, ~a["code"]).otherwise(a["code"])
-        kept = F.when(fence | a["code"], a["kept"]).otherwise(F.concat(a["kept"], F.array(line)))
-        return F.struct(code.alias("code"), kept.alias("kept"))
-
-    return F.array_join(F.aggregate(F.split(c, "\n", -1), state, step)["kept"], "\n")
+    """Lines outside fences of four dashes or more; an unclosed fence drops what follows. A line goes with the line end
+    before it, for which the text gets one at its start."""
+    blank = r"[\x00-\x20&&[^\n]]*"
+    fence = rf"\n{blank}-{{4,}}{blank}(?=\n|\z)"
+    return F.substring(F.regexp_replace(F.concat(F.lit("\n"), c), rf"{fence}(?s:.*?)(?:{fence}|\z)", ""), F.lit(2), F.length(c))
 
 
 def _folded(c: Column, rules: list[tuple[str, str]]) -> Column:

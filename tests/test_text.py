@@ -95,3 +95,38 @@ def test_stem_terms_counts_all_tokens(spark, tmp_path):
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.lexeme: (r.cf, r.df) for r in QUERIES["stem_terms"](spark, str(tmp_path)).collect()}
     assert got == {"common": (16383, 1), "tail": (2, 1)}
+
+
+def test_code_is_stripped_as_by_a_plain_loop(spark):
+    import random
+
+    random.seed(4)
+    lines = ["a", "", "----", "-----", "  ---- ", "---", "---- x", "b c", "\t"]
+    texts = ["\n".join(random.choice(lines) for _ in range(random.randint(1, 12))) for _ in range(500)]
+
+    def plain(text):
+        out, code = [], False
+        for line in text.split("\n"):
+            bare = line.strip("".join(map(chr, range(33))))
+            fence = len(bare) >= 4 and set(bare) == {"-"}
+            if not fence and not code:
+                out.append(line)
+            code ^= fence
+        return "\n".join(out)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.x for r in df.select("id", T.strip_code_blocks(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_tokens_are_those_of_a_plain_loop(spark):
+    import random
+    import re
+
+    random.seed(5)
+    parts = ["a", "Hest", "x-y", "\u212a", "\u0130", "!", " ", "\n", "\x01", "\x0b", "don't", "caf\u00e9s", "12", "--", "\u00a0"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 20))) for _ in range(500)]
+    plain = lambda t: [w for w in (re.sub("[^a-zA-Z0-9-]", "", x).lower() for x in re.split(r"[ \t\n\x0b\f\r]+", t)) if len(w) >= 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.x for r in df.select("id", T.tokenize(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
