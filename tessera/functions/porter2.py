@@ -109,5 +109,6 @@ def lexemes(df: DataFrame, keys: list[str], content: str = "content") -> DataFra
     return tokens.join(vocabulary, "word").select(*keys, "lexeme", (F.col("pos") + 1).alias("pos"))
 
 
-def query_text(c: Column) -> Column:
-    return F.filter(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9']+"), lambda w: w != "")), lambda w: ~w.isin(*STOP))
+def query_lexemes(text: str) -> list[str]:
+    """The distinct stems of a query's words, without stop words."""
+    return list(dict.fromkeys(porter2(w) for w in re.split("[^a-z0-9']+", (text or "").lower()) if w and w not in STOP))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -58,10 +59,14 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def plain_words(c: Column) -> Column:
+    """The text in lower case without characters other than letters, digits, dashes and white space, in one pass."""
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^a-zA-Z0-9\s-]+", ""))
+
+
 def tokenize(c: Column, least: int = 3) -> Column:
     """Words in lower case without characters other than letters, digits and dashes; words of fewer than ``least`` go."""
-    words = F.transform(F.split(trimmed(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z0-9-]", "")))
-    return F.filter(words, lambda w: F.length(w) >= least)
+    return F.filter(F.split(plain_words(c), r"\s+"), lambda w: F.length(w) >= least)
 
 
 def stem(w: Column) -> Column:
@@ -82,6 +87,20 @@ def stem(w: Column) -> Column:
     return out.when(plural, cut(1)).otherwise(w)
 
 
+def stem_word(w: str) -> str:
+    """The rule stemmer for one word, as the Column form."""
+    for s in SUFFIXES:
+        if w.endswith(s) and len(w) >= len(s) + 3:
+            rest = w[: -len(s)]
+            return rest[:-1] if s in DOUBLING and len(rest) > 1 and rest[-1] == rest[-2] and rest[-1] not in "aeiou" else rest
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") and len(w) >= 4 else w
+
+
+def tokens(text: str, least: int = 3) -> list[str]:
+    """tokenize() for one string."""
+    return [w for w in re.split(r"[ \t\n\x0b\f\r]+", re.sub(r"[^a-zA-Z0-9 \t\n\x0b\f\r-]+", "", text or "").lower()) if len(w) >= least]
+
+
 def stems(c: Column) -> Column:
     return F.transform(tokenize(c), stem)
 
@@ -149,11 +168,23 @@ def display_name(c: Column, prefix: str = "") -> Column:
 
 def trigrams(c: Column) -> Column:
     """The set of trigrams of each run of letters and digits, padded by two spaces before and one after."""
-    words = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: w != "")
     of_word = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(of_word))
 
 
+def trigram_set(text: str) -> set[str]:
+    """trigrams() for one string."""
+    return {f"  {w} "[i : i + 3] for w in re.split("[^a-z0-9]+", text.lower()) if w for i in range(len(w) + 1)}
+
+
+def head_trigrams(c: Column, chars: int = 2000) -> Column:
+    """Some of the trigrams: those of the whole words within the first characters."""
+    words = F.split(F.lower(F.substring(c, 1, chars)), "[^a-z0-9]+")
+    whole = F.when(F.length(c) > chars, F.slice(words, F.lit(1), F.size(words) - 1)).otherwise(words)
+    return trigrams(F.array_join(F.array_distinct(whole), " "))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams; a and b are trigram sets."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))

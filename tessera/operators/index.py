@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.porter2 import lexemes
 
 #: As in common full-text vectors, later places have the last position, and positions beyond so many are left out.
 LAST_POSITION, MOST_POSITIONS = 16383, 256
 
 
-def occurrences(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content") -> DataFrame:
-    """keys, lexeme, pos: every token's lexeme and 1-based place."""
+def occurrences(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content", only: list[str] | None = None) -> DataFrame:
+    """keys, lexeme, pos: every token's lexeme and 1-based place. only: of these lexemes; the rule stemmer takes off
+    suffixes, so a token that begins with none of them is never stemmed."""
     tokens = df.select(*keys, F.posexplode(T.tokenize(F.col(content))).alias("pos", "token"))
-    return tokens.select(*keys, analyzer(F.col("token")).alias("lexeme"), (F.col("pos") + 1).alias("pos"))
+    if only is not None:
+        tokens = tokens.where(reduce(lambda x, y: x | y, [F.col("token").startswith(w) for w in only], F.lit(False)))
+    out = tokens.select(*keys, analyzer(F.col("token")).alias("lexeme"), (F.col("pos") + 1).alias("pos"))
+    return out if only is None else out.where(F.col("lexeme").isin(only))
 
 
-def postings(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content") -> DataFrame:
-    """keys, lexeme, tf, positions (ascending, bounded). Grouped by chunk and lexeme with partial aggregation."""
-    found = occurrences(df, keys, analyzer, content).withColumn("pos", F.least("pos", F.lit(LAST_POSITION)))
-    grouped = found.groupBy(*keys, "lexeme").agg(F.slice(F.sort_array(F.collect_set("pos")), 1, MOST_POSITIONS).alias("positions"))
-    return grouped.select(*keys, "lexeme", F.size("positions").alias("tf"), "positions")
+def grouped(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Occurrences as postings: keys, lexeme, tf, positions (ascending, bounded)."""
+    found = found.withColumn("pos", F.least("pos", F.lit(LAST_POSITION)))
+    got = found.groupBy(*keys, "lexeme").agg(F.slice(F.sort_array(F.collect_set("pos")), 1, MOST_POSITIONS).alias("positions"))
+    return got.select(*keys, "lexeme", F.size("positions").alias("tf"), "positions")
+
+
+def postings(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content", only: list[str] | None = None) -> DataFrame:
+    """keys, lexeme, tf, positions. Grouped by chunk and lexeme with partial aggregation. only: postings of these lexemes,
+    of chunks whose text holds every one of them: what a query needs where nothing is stored."""
+    if only is None:
+        return grouped(occurrences(df, keys, analyzer, content), keys)
+    words = T.plain_words(F.col(content))
+    some = df.where(reduce(lambda x, y: x & y, [F.contains(words, F.lit(w)) for w in only], F.lit(True)))
+    return grouped(occurrences(some, keys, analyzer, content, only), keys)
+
+
+def english_postings(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Postings under the English analyzer: Porter2 stems, stop words that take a place."""
+    return grouped(lexemes(df, keys, content), keys)
 
 
 def document_frequency(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -44,7 +67,10 @@ def pair_weight(d: Column) -> Column:
 
 
 class IndexStore:
-    """Versioned tables in a folder: each write is a new snapshot, and a pointer file turns readers to it at once."""
+    """Versioned tables in a folder. A version's tables are files of one snapshot, which a pointer file names: readers go
+    from one whole snapshot to the next, whatever fails in between."""
+
+    POINTER = "_current"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,46 +80,79 @@ class IndexStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def replace(self, table: str, version: str, df: DataFrame, sort_by: list[str] | None = None) -> None:
-        """All rows of a version at once; a failed write leaves the former snapshot."""
-        name = uuid.uuid4().hex
-        out = df.sortWithinPartitions(*sort_by) if sort_by else df
-        out.write.parquet(f"{self.root}/{table}/{version}/{name}")
-        fs, pointer = self._fs(f"{self.root}/{table}/{version}/_current")
-        _, fresh = self._fs(f"{self.root}/{table}/{version}/_fresh-{name}")
-        stream = fs.create(fresh, True)
-        stream.write(name.encode())
-        stream.close()
-        fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
-
-    def _current(self, table: str, version: str) -> str | None:
-        fs, pointer = self._fs(f"{self.root}/{table}/{version}/_current")
+    def _snapshot(self, version: str) -> dict[str, str]:
+        """Table to folder, of the current snapshot."""
+        fs, pointer = self._fs(f"{self.root}/{version}/{self.POINTER}")
         if not fs.exists(pointer):
-            return None
+            return {}
         stream = fs.open(pointer)
-        name = bytes(b & 0xFF for b in stream.readAllBytes()).decode()
+        data = json.loads(bytes(b & 0xFF for b in stream.readAllBytes()).decode())
         stream.close()
-        return f"{self.root}/{table}/{version}/{name}"
+        return data
+
+    def _point(self, version: str, tables: dict[str, str]) -> None:
+        """Turn readers to the tables: the pointer is renamed over the former one in one step."""
+        _, fresh = self._fs(f"{self.root}/{version}/_fresh-{uuid.uuid4().hex}")
+        fs, pointer = self._fs(f"{self.root}/{version}/{self.POINTER}")
+        stream = fs.create(fresh, True)
+        stream.write(json.dumps(tables).encode())
+        stream.close()
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fresh, pointer, options)
+
+    def replace(self, version: str, tables: dict[str, DataFrame], sort_by: dict[str, list[str]] | None = None, kept: int = 1) -> None:
+        """These tables of a version, all at once; tables that aren't named stay. Former folders but the last ``kept``
+        snapshots' go. sort_by: rows are dealt by ranges of these columns and sorted, so that readers skip files."""
+        before = self._snapshot(version)
+        after = dict(before)
+        for name, df in tables.items():
+            out = df.drop("version")
+            if sort_by and name in sort_by:
+                out = out.repartitionByRange(*sort_by[name]).sortWithinPartitions(*sort_by[name])
+            after[name] = f"{name}-{uuid.uuid4().hex}"
+            out.write.parquet(f"{self.root}/{version}/{after[name]}")
+        self._point(version, {k: v for k, v in after.items()})
+        if kept == 1:
+            self._clean(version, {*before.values(), *after.values()})
+
+    def _clean(self, version: str, used: set[str]) -> None:
+        """Folders that neither the current snapshot nor the one before it names: readers of the latter may be at work."""
+        fs, folder = self._fs(f"{self.root}/{version}")
+        for s in fs.listStatus(folder):
+            if s.isDirectory() and s.getPath().getName() not in used:
+                fs.delete(s.getPath(), True)
 
     def append(self, table: str, version: str, df: DataFrame) -> None:
-        path = self._current(table, version)
-        if path is None:
-            self.replace(table, version, df)
-        else:
-            df.write.mode("append").parquet(path)
+        """Rows added to a table: a new snapshot that holds the former rows as well."""
+        old = self.read(table, version)
+        self.replace(version, {table: df if old is None else old.drop("version").unionByName(df.drop("version"))})
 
     def read(self, table: str, version: str) -> DataFrame | None:
-        path = self._current(table, version)
-        return None if path is None else self.spark.read.parquet(path).withColumn("version", F.lit(version))
+        name = self._snapshot(version).get(table)
+        return None if name is None else self.spark.read.parquet(f"{self.root}/{version}/{name}").withColumn("version", F.lit(version))
+
+    def read_through(self, table: str, version: str, build: Callable[[], DataFrame], sort_by: list[str] | None = None) -> DataFrame:
+        """The stored table, or, where there is none, what build gives, stored first."""
+        if table not in self._snapshot(version):
+            self.replace(version, {table: build()}, {table: sort_by} if sort_by else None)
+        return self.read(table, version)
 
     def versions(self, table: str) -> list[str]:
-        fs, root = self._fs(f"{self.root}/{table}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
+        fs, root = self._fs(self.root)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
+        return [v for v in names if table in self._snapshot(v)]
 
     def delete(self, table: str, version: str | None = None) -> None:
-        fs, path = self._fs(f"{self.root}/{table}" + (f"/{version}" if version else ""))
-        fs.delete(path, True)
+        """A table of a version, or of all: the pointer turns first, the files go after it."""
+        for v in [version] if version else self.versions(table):
+            tables = self._snapshot(v)
+            if name := tables.pop(table, None):
+                self._point(v, tables)
+                fs, path = self._fs(f"{self.root}/{v}/{name}")
+                fs.delete(path, True)
 
     def drop_all(self) -> None:
         fs, path = self._fs(self.root)

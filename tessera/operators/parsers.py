@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import sections as X
@@ -44,6 +46,12 @@ def register(parser: Parser) -> None:
     _REGISTRY[parser.suffix] = parser
 
 
+def section_rows(df: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
+    """Sections of every row by the parser of its path's suffix; rows whose suffix no parser knows give none."""
+    parts = [p.section_rows(df.where(F.endswith(F.col(path), F.lit(suffix))), keys) for suffix, p in _REGISTRY.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def parser_for(path: str) -> Parser:
     for suffix, parser in _REGISTRY.items():
         if path.endswith(suffix):

@@ -15,14 +15,17 @@ def page_tags(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("version", "page").agg(listed("topics").alias("topics"), listed("extensions").alias("extensions"), first.alias("f")).select("version", "page", "topics", "extensions", "f.title", "f.summary")
 
 
-def related(pages: DataFrame, page: str, limit: int = DEFAULT_LIMIT, exact: bool = True) -> DataFrame:
-    """Pages that share most tags with ``page``. exact=False first cuts the candidates to the 3 limit first by name (at
-    most 100), as a plain index scan would."""
+def related(pages: DataFrame, page: str, limit: int = DEFAULT_LIMIT, exact: bool = True, subject: str | None = None, extension: str | None = None) -> DataFrame:
+    """Pages that share most tags with ``page``; of a subject or an extension, if given. exact=False first cuts the
+    candidates to the 3 limit first by name (at most 100), as a plain index scan would, and filters those."""
     source = pages.where(F.col("page") == page).select(F.col("version"), F.col("topics").alias("st"), F.col("extensions").alias("se"))
     met = pages.where(F.col("page") != page).join(F.broadcast(source.limit(1)), "version")
     met = met.where(F.coalesce(F.arrays_overlap("topics", "st"), F.lit(False)) | F.coalesce(F.arrays_overlap("extensions", "se"), F.lit(False)))
     if not exact:
         met = met.orderBy("page").limit(min(3 * limit, 100))
+    for wanted, tags in ((subject, "topics"), (extension, "extensions")):
+        if wanted:
+            met = met.where(F.array_contains(tags, wanted))
     shared = F.concat(F.array_intersect("st", "topics"), F.array_intersect("se", "extensions"))
     score = F.try_divide(F.size(shared), F.size("st") + F.size("se"))
     met = met.select("version", "page", "title", score.alias("similarity"), F.slice(shared, 1, MOST_SHARED).alias("shared"))

@@ -61,38 +61,45 @@ def section_rows(df: DataFrame, keys: list[str], strict: bool = False) -> DataFr
     """A row per section: keys, ordinal, title, start_line, end_line, level, section_content, chunk_content.
 
     chunk_content takes the 1-based start as a 0-based place, up to the next section's start: a section's own heading is
-    left out and the next one's is taken in. strict gives section_content instead.
+    left out and the next one's is taken in. strict gives section_content instead. Each section's text is cut out in its
+    document's row: a section carries its own lines, not the document's.
     """
     df = sections(with_lines(df))
-    out = df.select(*keys, "lines", "bare", F.size("lines").alias("n"), "sections", F.posexplode("sections").alias("ordinal", "s"))
-    start, end = F.col("s.start_line"), F.col("s.end_line")
-    following = F.get("sections", F.col("ordinal") + 1)["start_line"]
-    stop = F.least(F.coalesce(following, F.col("n")), F.col("n"))
-    own = F.array_join(F.slice("lines", start, F.greatest(F.lit(0), end - start + 1)), "\n")
-    chunk = F.array_join(F.slice("lines", F.least(start + 1, F.col("n") + 1), F.greatest(F.lit(0), stop - start)), "\n")
-    above = F.filter(F.reverse(F.slice("bare", F.lit(1), start)), lambda x: x.rlike(r"^={2,5}\s+.+$"))
-    level = F.coalesce(F.length(F.regexp_extract(F.get(above, F.lit(0)), "^(=+)", 1)), F.lit(2))
-    return out.select(*keys, "ordinal", "s.title", "s.start_line", "s.end_line", level.alias("level"), own.alias("section_content"), (own if strict else chunk).alias("chunk_content"))
+    n = F.size("lines")
+    df = held(df, deeper=F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("bare", i).rlike(r"^={2,5}\s+.+$")))
+
+    def whole(s: Column, i: Column) -> Column:
+        start, end = s["start_line"], s["end_line"]
+        stop = F.least(F.coalesce(F.get("sections", i + 1)["start_line"], n), n)
+        own = F.array_join(F.slice("lines", start, F.greatest(F.lit(0), end - start + 1)), "\n")
+        chunk = F.array_join(F.slice("lines", F.least(start + 1, n + 1), F.greatest(F.lit(0), stop - start)), "\n")
+        above = F.array_max(F.filter("deeper", lambda h: h < start))
+        level = F.coalesce(F.length(F.regexp_extract(F.get("bare", above), "^(=+)", 1)), F.lit(2))
+        return F.struct(s["title"].alias("title"), start.alias("start_line"), end.alias("end_line"), level.alias("level"), own.alias("section_content"), (own if strict else chunk).alias("chunk_content"))
+
+    out = df.select(*keys, F.posexplode(F.transform("sections", whole)).alias("ordinal", "s"))
+    return out.select(*keys, "ordinal", "s.title", "s.start_line", "s.end_line", "s.level", "s.section_content", "s.chunk_content")
 
 
 def code_blocks(df: DataFrame, keys: list[str]) -> DataFrame:
     """A row per closed fence pair: keys, ordinal, language, content, context, start_line, end_line."""
     df = with_lines(df)
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.floor(F.size("fences") / 2).cast("int")),
-        lambda p: F.struct(F.get("fences", 2 * p - 2).alias("open"), F.get("fences", 2 * p - 1).alias("shut"), F.coalesce(F.get("fences", 2 * p - 3), F.lit(-1)).alias("after")),
-    )
-    pairs = F.when(F.size("fences") >= 2, pairs).otherwise(F.slice(pairs, 1, 0))
-    out = df.select(*keys, "lines", "bare", "heads", F.posexplode(pairs).alias("ordinal", "p"))
-    opened, shut, after = F.col("p.open"), F.col("p.shut"), F.col("p.after")
-    # the last line since the last block that isn't blank or a heading decides the language
-    between = F.filter(F.reverse(F.slice("bare", after + 2, F.greatest(F.lit(0), opened - after - 1))), lambda x: (x != "") & ~x.rlike(HEADING))
-    last = F.get(between, F.lit(0))
-    language = F.when(last.rlike(SOURCE), F.lower(T.trimmed(F.regexp_extract(last, SOURCE, 1)))).otherwise("")
-    head = F.array_max(F.filter("heads", lambda h: h < opened))
-    context = F.coalesce(T.trimmed(F.regexp_extract(F.get("bare", head), r"^={1,5}\s+(.+)$", 1)), F.lit(""))
-    content = F.array_join(F.slice("lines", opened + 2, F.greatest(F.lit(0), shut - opened - 1)), "\n")
-    return out.select(*keys, "ordinal", F.coalesce(language, F.lit("")).alias("language"), content.alias("content"), context.alias("context"), (opened + 1).cast("int").alias("start_line"), (shut + 1).cast("int").alias("end_line"))
+
+    def block(p: Column) -> Column:
+        opened, shut, after = F.get("fences", 2 * p - 2), F.get("fences", 2 * p - 1), F.coalesce(F.get("fences", 2 * p - 3), F.lit(-1))
+        # the last line since the last block that isn't blank or a heading decides the language
+        between = F.filter(F.reverse(F.slice("bare", after + 2, F.greatest(F.lit(0), opened - after - 1))), lambda x: (x != "") & ~x.rlike(HEADING))
+        last = F.get(between, F.lit(0))
+        language = F.when(last.rlike(SOURCE), F.lower(T.trimmed(F.regexp_extract(last, SOURCE, 1)))).otherwise("")
+        head = F.array_max(F.filter("heads", lambda h: h < opened))
+        context = F.coalesce(T.trimmed(F.regexp_extract(F.get("bare", head), r"^={1,5}\s+(.+)$", 1)), F.lit(""))
+        content = F.array_join(F.slice("lines", opened + 2, F.greatest(F.lit(0), shut - opened - 1)), "\n")
+        return F.struct(F.coalesce(language, F.lit("")).alias("language"), content.alias("content"), context.alias("context"), (opened + 1).cast("int").alias("start_line"), (shut + 1).cast("int").alias("end_line"))
+
+    blocks = F.transform(F.sequence(F.lit(1), F.floor(F.size("fences") / 2).cast("int")), block)
+    blocks = F.when(F.size("fences") >= 2, blocks).otherwise(F.slice(blocks, 1, 0))
+    out = df.select(*keys, F.posexplode(blocks).alias("ordinal", "b"))
+    return out.select(*keys, "ordinal", "b.language", "b.content", "b.context", "b.start_line", "b.end_line")
 
 
 def header_block(content: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from .operators import related as R
 from .operators import search as S
 from .operators import sections as X
 from .operators import subjects as J
-from .plans.session import workers_find_package
+from .plans.session import shared_dir, workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,9 +121,9 @@ def clean_sql(c: str, rules: list[tuple[str, str]]) -> str:
 
 TERMS_SQL = f"""
 tokens AS (SELECT chunk_id, version, unnest({tokens_sql('content')}) AS token, generate_subscripts({tokens_sql('content')}, 1) AS pos FROM corpus),
-terms AS (SELECT chunk_id, version, {stem_sql('token')} AS lexeme, pos FROM tokens WHERE pos <= 16383)
+terms AS (SELECT chunk_id, version, {stem_sql('token')} AS lexeme, pos FROM tokens)
 """
-POSTS_SQL = "posts AS (SELECT chunk_id, version, lexeme, list_slice(list_sort(list(pos)), 1, 256) AS positions FROM terms GROUP BY ALL)"
+POSTS_SQL = "posts AS (SELECT chunk_id, version, lexeme, list_slice(list_sort(list(DISTINCT least(pos, 16383))), 1, 256) AS positions FROM terms GROUP BY ALL)"
 
 
 def trgm_sql(c: str) -> str:
@@ -201,9 +202,9 @@ def first_tag(spark, sf):
     return corpus(spark, sf).select("chunk_id", F.get("topics", F.lit(0)).alias("subject"), F.get("extensions", F.lit(0)).alias("extension"))
 
 
-@query("path_to_page", f"WITH {MARKUP_SQL} SELECT doc_id, regexp_replace(path, '\\.adoc$', '') AS page, regexp_replace(path, '\\.adoc$', '') || '.adoc' AS path FROM markup WHERE ends_with(path, '.adoc') AND starts_with(path, 'doc-1')")
+@query("path_to_page", f"WITH {MARKUP_SQL} SELECT doc_id, regexp_replace(path, '\\.adoc$', '') AS page, regexp_replace(path, '\\.adoc$', '') || '.adoc' AS path FROM markup WHERE ends_with(path, '.adoc') AND starts_with(path, 'doc-')")
 def path_to_page(spark, sf):
-    m = markup(spark, sf).where(F.col("path").endswith(".adoc") & F.col("path").startswith("doc-1"))
+    m = markup(spark, sf).where(F.col("path").endswith(".adoc") & F.col("path").startswith("doc-"))
     return m.select("doc_id", T.page_name(F.col("path")).alias("page"), F.concat(T.page_name(F.col("path")), F.lit(".adoc")).alias("path"))
 
 
@@ -327,9 +328,30 @@ def code_block_language(spark, sf):
     return X.code_blocks(markup(spark, sf), ["doc_id"]).select("doc_id", "start_line", "language", "context")
 
 
-@query("first_paragraph")
+def described_sql() -> str:
+    """Documents with a summary, with a description, with neither; blocks, conditions and directives before the paragraph."""
+    return """
+described AS (SELECT doc_id, '= Doc ' || doc_id || chr(10) || CASE doc_id % 4 WHEN 0 THEN ':summary: ' || left(replace(text, chr(10), ' '), 500) || chr(10) WHEN 1 THEN ':description: All about *' || source || '* and ' || left(replace(text, chr(10), ' '), 400) || chr(10) ELSE '' END
+  || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'ifdef::a[]' || chr(10) || 'left out' || chr(10) || 'endif::[]' || chr(10) || '----' || chr(10) || 'code' || chr(10) || chr(10) || '----' || chr(10) WHEN 1 THEN '[NOTE]' || chr(10) || 'include::x.adoc[]' || chr(10) ELSE '' END
+  || list_slice(string_split(text, chr(10)), 1, 2)[1] || chr(10) || coalesce(list_slice(string_split(text, chr(10)), 1, 2)[2], '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE chr(10) || '== Next' END || chr(10) || 'more' AS content, list_slice(string_split(text, chr(10)), 1, 2) AS wanted FROM documents),
+paragraphs AS (SELECT doc_id, content, array_to_string(CASE WHEN """ + trim_sql("wanted[1]") + """ = '' THEN CASE WHEN """ + trim_sql("coalesce(wanted[2], '')") + """ = '' THEN CASE WHEN doc_id % 2 = 0 THEN ['more'] ELSE [] END ELSE [""" + trim_sql("wanted[2]") + """] END WHEN """ + trim_sql("coalesce(wanted[2], '')") + """ = '' THEN [""" + trim_sql("wanted[1]") + """] ELSE [""" + trim_sql("wanted[1]") + ", " + trim_sql("wanted[2]") + """] END, ' ') AS raw FROM described),
+found AS (SELECT doc_id, content, """ + trim_sql(clean_sql(trim_sql(clean_sql("raw", T.CLEANING)), T.DESCRIPTION_CLEANING)) + """ AS paragraph FROM paragraphs)"""
+
+
+def described(spark, sf) -> DataFrame:
+    nl, text = F.lit("\n"), F.col("text")
+    flat, lines = F.replace(text, F.lit("\n"), F.lit(" ")), F.split(text, "\n")
+    i = F.col("doc_id")
+    about = F.when(i % 4 == 0, F.concat(F.lit(":summary: "), F.substring(flat, 1, 500), nl)).when(i % 4 == 1, F.concat(F.lit(":description: All about *"), F.col("source"), F.lit("* and "), F.substring(flat, 1, 400), nl)).otherwise("")
+    before = F.when(i % 3 == 0, "ifdef::a[]\nleft out\nendif::[]\n----\ncode\n\n----\n").when(i % 3 == 1, "[NOTE]\ninclude::x.adoc[]\n").otherwise("")
+    after = F.when(i % 2 == 0, "\n").otherwise("\n== Next")
+    content = F.concat(F.lit("= Doc "), i.cast("string"), nl, about, nl, before, F.get(lines, F.lit(0)), nl, F.coalesce(F.get(lines, F.lit(1)), F.lit("")), after, F.lit("\nmore"))
+    return table(spark, sf, "documents").select("doc_id", content.alias("content"))
+
+
+@query("first_paragraph", f"WITH {described_sql()} SELECT doc_id, paragraph FROM found")
 def first_paragraph(spark, sf):
-    return X.with_first_paragraph(markup(spark, sf).select("doc_id", "content"), F.col("content"), "paragraph").select("doc_id", "paragraph")
+    return X.with_first_paragraph(described(spark, sf), F.col("content"), "paragraph").select("doc_id", "paragraph")
 
 
 @query("header_metadata", f"WITH {MARKUP_SQL}, h AS (SELECT doc_id, regexp_split_to_array(content, '(?m)^== ')[1] AS header FROM markup) SELECT doc_id, array_to_string(list_transform(string_split(regexp_extract(header, '(?m)^:topics:\\s*(.*)$', 1), ','), lambda x: trim(x)), '|') AS topics, array_to_string(list_transform(string_split(regexp_extract(header, '(?m)^:categories:\\s*(.*)$', 1), ','), lambda x: trim(x)), '|') AS categories, regexp_extract(header, '(?m)^:summary:\\s*(.*)$', 1) AS summary FROM h")
@@ -344,10 +366,19 @@ def doc_title(spark, sf):
     return markup(spark, sf).select("doc_id", X.page_title(c, T.page_name(F.col("path"))).alias("title"), X.document_title(c).alias("api_title"))
 
 
-@query("description", f"WITH {MARKUP_SQL} SELECT doc_id, regexp_extract(content, '(?m)^:summary:\\s*(.*)$', 1) AS description FROM markup")
+def truncated_sql(c: str, n: int = 300) -> str:
+    head = f"left({c}, {n + 1})"
+    at = f"(CASE WHEN contains({head}, ' ') THEN length({head}) - position(' ' IN reverse({head})) ELSE -1 END)"
+    return f"CASE WHEN length({c}) <= {n} THEN {c} WHEN {at} > {round(0.7 * n)} THEN left({c}, {at}) || '…' ELSE left({c}, {n}) || '…' END"
+
+
+NAMED_SQL = trim_sql(clean_sql(trim_sql(clean_sql("regexp_extract(content, '(?m)^:description:\\s*(.+)$', 1)", T.CLEANING)), T.DESCRIPTION_CLEANING))
+
+
+@query("description", f"WITH {described_sql()}, c AS (SELECT doc_id, coalesce(nullif(regexp_extract(content, '(?m)^:summary:\\s*(.*)$', 1), ''), nullif({NAMED_SQL}, ''), paragraph) AS d FROM found) SELECT doc_id, {truncated_sql('d')} AS description FROM c")
 def description(spark, sf):
     c = F.col("content")
-    return X.with_description(markup(spark, sf).select("doc_id", "content"), c, X.attribute(c, "summary")).select("doc_id", "description")
+    return X.with_description(described(spark, sf), c, X.attribute(c, "summary")).select("doc_id", "description")
 
 
 @query("first_sentence", f"WITH s AS (SELECT doc_id, regexp_replace({trim_sql('text')}, '^={{1,5}}\\s+', '') AS t FROM documents) SELECT doc_id, left(coalesce(nullif(regexp_extract(t, '^(.*?\\.)(?:\\s|$)', 1), ''), t), 200) AS summary FROM s")
@@ -415,8 +446,7 @@ RANK_ONE_SQL = "list_sum(list_transform(range(1, len(positions) + 1), lambda j:
 
 @query("search_single_term", f"WITH {CORPUS_SQL}, {TERMS_SQL}, {POSTS_SQL} SELECT chunk_id, round({RANK_ONE_SQL}, 6) AS score FROM posts WHERE version = 'en' AND lexeme = 'shth'")
 def search_single_term(spark, sf):
-    posts = I.postings(plain(spark, sf).where("version = 'en'"), ["version", "chunk_id"])
-    return S.matches(S.literal_query(spark, "shth"), posts, ["qid"], ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
+    return S.ranked(index_of(spark, sf), ["shth"], ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def and_sql(terms: list[str]) -> str:
@@ -430,10 +460,20 @@ def and_sql(terms: list[str]) -> str:
                FROM hit h JOIN flat x ON x.chunk_id = h.chunk_id JOIN flat y ON y.chunk_id = h.chunk_id AND x.lexeme < y.lexeme GROUP BY h.chunk_id)"""
 
 
+def index_of(spark, sf, version: str = "en", analyzer: str = "rule") -> DataFrame:
+    """The stored postings of a version of the corpus; they are made when they are first asked for."""
+    store = I.IndexStore(spark, f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}")
+    build = S.RULE.posts if analyzer == "rule" else S.ENGLISH.posts
+    return store.read_through(f"postings-{analyzer}", version, lambda: build(plain(spark, sf).where(F.col("version") == version), ["chunk_id"]), ["lexeme"])
+
+
 def _ranked(spark, sf, text: str) -> DataFrame:
-    base = plain(spark, sf).where("version = 'en'")
-    posts = I.postings(base, ["chunk_id"])
-    return S.matches(S.literal_query(spark, text), posts, ["qid"], ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
+    return S.ranked(index_of(spark, sf), S.RULE.query(text), ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("index_store", f"WITH {CORPUS_SQL}, {TERMS_SQL}, {POSTS_SQL} SELECT version, lexeme, count(*) AS chunks, sum(len(positions))::BIGINT AS places FROM posts WHERE version = 'en' GROUP BY ALL")
+def index_store(spark, sf):
+    return index_of(spark, sf).groupBy("version", "lexeme").agg(F.count("*").alias("chunks"), F.sum("tf").alias("places"))
 
 
 PAIR = ["hest", "tion"]
@@ -449,6 +489,28 @@ def search_and_rank(spark, sf):
     return _ranked(spark, sf, " ".join(PAIR))
 
 
+@query("search_unindexed", f"{and_sql(PAIR)} SELECT chunk_id, score FROM ranked")
+def search_unindexed(spark, sf):
+    """The same search over texts of which nothing is stored."""
+    return S.ranked_texts(plain(spark, sf).where("version = 'en'"), " ".join(PAIR), ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+ENGLISH_SQL = """WITH words AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda w: w <> '') AS w FROM documents WHERE lang = 'en'),
+    tokens AS (SELECT chunk_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM words),
+    named AS (SELECT chunk_id, least(pos, 16383) AS p, CASE WHEN regexp_full_match(token, 'hest(ed|ly|ing|es)?') THEN 'hest' WHEN regexp_full_match(token, 'tion(ed|ing|ly|es|lying|lyed|edly|ingly)?') THEN 'tion' END AS lexeme FROM tokens),
+    posts AS (SELECT chunk_id, lexeme, list_slice(list_sort(list(DISTINCT p)), 1, 256) AS positions FROM named WHERE lexeme IS NOT NULL GROUP BY ALL),
+    flat AS (SELECT chunk_id, lexeme, unnest(positions) AS p FROM posts WHERE chunk_id IN (SELECT chunk_id FROM posts GROUP BY chunk_id HAVING count(*) = 2))
+    SELECT x.chunk_id, round(1 - exp(sum(CASE WHEN x.p = y.p THEN 0 ELSE ln(1 - sqrt(0.01 * CASE WHEN abs(x.p - y.p) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(x.p - y.p) / 1.5 - 2)) END)) END)), 6) AS score
+    FROM flat x JOIN flat y ON x.chunk_id = y.chunk_id AND x.lexeme < y.lexeme GROUP BY x.chunk_id"""
+
+
+@query("search_english", ENGLISH_SQL)
+def search_english(spark, sf):
+    """Under the English analyzer: the query's forms and its stop words fall away."""
+    lexemes = S.ENGLISH.query("the hesting of tions")
+    return S.ranked(index_of(spark, sf, analyzer="english"), lexemes, ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("search_count", f"{and_sql(PAIR)} SELECT count(*) AS total FROM hit")
 def search_count(spark, sf):
     return _ranked(spark, sf, " ".join(PAIR)).agg(F.count("*").alias("total"))
@@ -467,22 +529,19 @@ def search_page2(spark, sf):
 
 @query("pagination_envelope", f"{and_sql(PAIR)}, page AS (SELECT * FROM ranked ORDER BY score DESC, chunk_id LIMIT 10 OFFSET 10) SELECT (SELECT count(*) FROM ranked) AS total_count, count(*) AS returned_count, 10 + count(*) < (SELECT count(*) FROM ranked) AS has_more FROM page")
 def pagination_envelope(spark, sf):
-    hits = _ranked(spark, sf, " ".join(PAIR))
-    total = hits.agg(F.count("*").alias("total_count"))
-    page = hits.orderBy(F.desc("score"), "chunk_id").offset(10).limit(10).agg(F.count("*").alias("returned_count"))
-    return total.join(page).withColumn("has_more", F.col("returned_count") + 10 < F.col("total_count"))
+    return _ranked(spark, sf, " ".join(PAIR)).agg(F.count("*").alias("n")).select(*S.page_info(F.col("n"), 10, 10))
 
 
-QUERY_SQL = f"SELECT item_id, unnest(list_distinct(list_transform(list_slice({tokens_sql('text')}, 1, 3), lambda w: {stem_sql('w')}))) AS lexeme, len(list_distinct(list_transform(list_slice({tokens_sql('text')}, 1, 3), lambda w: {stem_sql('w')}))) AS k FROM benchmark"
+QUERY_SQL = f"SELECT item_id, unnest(list_distinct(list_transform({tokens_sql('text')}, lambda w: {stem_sql('w')}))) AS lexeme, len(list_distinct(list_transform({tokens_sql('text')}, lambda w: {stem_sql('w')}))) AS k FROM benchmark"
 
 
 @query("batch_search", f"WITH {CORPUS_SQL}, {TERMS_SQL}, {POSTS_SQL}, q AS ({QUERY_SQL}) SELECT q.item_id, p.version, count(*) AS hits FROM (SELECT item_id, version, chunk_id FROM q JOIN posts USING (lexeme) GROUP BY item_id, version, chunk_id HAVING count(*) = any_value(k)) p JOIN (SELECT DISTINCT item_id FROM q) q USING (item_id) GROUP BY ALL")
 def batch_search(spark, sf):
-    asked = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.transform(F.slice(T.tokenize(F.col("text")), 1, 3), T.stem)).alias("lexemes"))
-    asked = asked.select("item_id", F.explode("lexemes").alias("lexeme"), F.size("lexemes").alias("k"))
-    found = I.occurrences(plain(spark, sf), ["version", "chunk_id"]).select("version", "chunk_id", "lexeme").distinct()
-    hits = found.join(asked, "lexeme").groupBy("item_id", "version", "chunk_id").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("n = k")
-    return hits.groupBy("item_id", "version").agg(F.count("*").alias("hits"))
+    """Every passage of the benchmark, whole, as a query over all versions: the documents that hold all its words."""
+    asked = table(spark, sf, "benchmark").select("item_id", T.stems(F.col("text")).alias("lexemes"))
+    found = I.occurrences(plain(spark, sf), ["version", "chunk_id"]).join(F.broadcast(asked.select(F.explode("lexemes").alias("lexeme")).distinct()), "lexeme", "left_semi")
+    posts = found.select("version", "chunk_id", "lexeme").distinct()
+    return S.many(asked, posts, ["item_id"], ["version", "chunk_id"]).groupBy("item_id", "version").agg(F.count("*").alias("hits"))
 
 
 TYPO = "thear onntsh retion"
@@ -503,7 +562,7 @@ def fuzzy_topk(spark, sf):
 @query("search_fallback", f"WITH s AS (SELECT doc_id, {similarity_sql(trgm_sql('text'), trgm_sql(chr(39) + 'zzthe theazz' + chr(39)))} AS score FROM documents WHERE lang = 'en') SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0.1 ORDER BY s.score DESC, doc_id LIMIT 20")
 def search_fallback(spark, sf):
     base = plain(spark, sf).where("version = 'en'")
-    page, _ = S.search(base, I.postings(base, ["chunk_id"]), "zzthe theazz", extension="src0")
+    page, _ = S.search(base, index_of(spark, sf).drop("version"), "zzthe theazz", extension="src0")
     return page.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -650,11 +709,11 @@ def rows_of_all_extensions(spark, sf):
     return table(spark, sf, "documents").groupBy(T.extension_of(path).alias("extension")).agg(F.count("*").alias("n"))
 
 
-@query("group_by_extension", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'core' ELSE source END AS extension, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS paths FROM documents GROUP BY 1")
+@query("group_by_extension", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'core' ELSE source END AS extension, count(*) AS paths, min(doc_id) AS first_id, max(doc_id) AS last_id, bit_xor(doc_id * 2654435761 % 4294967296) AS digest FROM documents GROUP BY 1")
 def group_by_extension(spark, sf):
     path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("guide-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("extensions/"), F.col("source"), F.lit("/x.adoc")))
-    ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return table(spark, sf, "documents").groupBy(T.extension_of(path).alias("extension")).agg(F.md5(F.array_join(ids, ",")).alias("paths"))
+    docs = table(spark, sf, "documents").select("doc_id", T.extension_of(path).alias("extension"))
+    return docs.groupBy("extension").agg(F.count("*").alias("paths"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.bit_xor(F.col("doc_id") * 2654435761 % 4294967296).alias("digest"))
 
 
 # ---- subjects ---------------------------------------------------------------------------------------------------------------
@@ -694,8 +753,9 @@ def subject_by_topic_vote(spark, sf):
 
 # ---- fuzzy titles -----------------------------------------------------------------------------------------------------------
 
-ASKED = "large polished brass"
-A, B = f"'{ASKED}'", "lower(p_name)"
+ASKED = ["large", "large rod", "old polished rod", "small widgets of the blue ring", "brass"]
+A, B = "q", "lower(p_name)"
+ASKED_SQL = f"asked(q) AS (VALUES {', '.join(f'({q!r})' for q in ASKED)}), pairs AS (SELECT q, p_partkey, p_name FROM part, asked)"
 LEV_SQL = f"(CASE WHEN {B} = {A} THEN 1 ELSE 1 - levenshtein({A}, {B})::DOUBLE / greatest(length({B}), length({A})) END)"
 CONT_SQL = f"(CASE WHEN contains({B}, {A}) OR contains({A}, {B}) THEN least(length({B}), length({A}))::DOUBLE / greatest(length({B}), length({A})) ELSE 0 END)"
 
@@ -708,37 +768,38 @@ OVER_SQL = f"(len(list_intersect({words_sql(A)}, {words_sql(B)}))::DOUBLE / len(
 
 
 def _titles(spark, sf):
-    return table(spark, sf, "part"), F.lit(ASKED), F.col("p_name")
+    part = table(spark, sf, "part").select("p_partkey", "p_name", F.explode(F.array(*map(F.lit, ASKED))).alias("q"))
+    return part, F.col("q"), F.col("p_name")
 
 
-@query("levenshtein_similarity", f"SELECT p_partkey, round({LEV_SQL}, 6) AS score FROM part")
+@query("levenshtein_similarity", f"WITH {ASKED_SQL} SELECT q, p_partkey, round({LEV_SQL}, 6) AS score FROM pairs")
 def levenshtein_similarity(spark, sf):
     part, a, b = _titles(spark, sf)
-    return part.select("p_partkey", F.round(Z.levenshtein_similarity(a, b), 6).alias("score"))
+    return part.select("q", "p_partkey", F.round(Z.levenshtein_similarity(a, b), 6).alias("score"))
 
 
-@query("containment", f"SELECT p_partkey, round({CONT_SQL}, 6)::DOUBLE AS score FROM part")
+@query("containment", f"WITH {ASKED_SQL} SELECT q, p_partkey, round({CONT_SQL}, 6)::DOUBLE AS score FROM pairs")
 def containment(spark, sf):
     part, a, b = _titles(spark, sf)
-    return part.select("p_partkey", F.round(Z.containment(a, b), 6).alias("score"))
+    return part.select("q", "p_partkey", F.round(Z.containment(a, b), 6).alias("score"))
 
 
-@query("word_overlap", f"SELECT p_partkey, round({OVER_SQL}, 6) AS score FROM part")
+@query("word_overlap", f"WITH {ASKED_SQL} SELECT q, p_partkey, round({OVER_SQL}, 6) AS score FROM pairs")
 def word_overlap(spark, sf):
     part, a, b = _titles(spark, sf)
-    return part.select("p_partkey", F.round(Z.word_overlap(a, b), 6).alias("score"))
+    return part.select("q", "p_partkey", F.round(Z.word_overlap(a, b), 6).alias("score"))
 
 
-@query("combined_score", f"SELECT p_partkey, round(0.4 * {LEV_SQL} + 0.35 * {CONT_SQL} + 0.25 * {OVER_SQL}, 5) AS score FROM part")
+@query("combined_score", f"WITH {ASKED_SQL} SELECT q, p_partkey, round(0.4 * {LEV_SQL} + 0.35 * {CONT_SQL} + 0.25 * {OVER_SQL}, 5) AS score FROM pairs")
 def combined_score(spark, sf):
     part, a, b = _titles(spark, sf)
-    return part.select("p_partkey", F.round(Z.combined(a, b), 5).alias("score"))
+    return part.select("q", "p_partkey", F.round(Z.combined(a, b), 5).alias("score"))
 
 
-@query("best_title_match", f"WITH s AS (SELECT p_partkey, p_name, 0.4 * {LEV_SQL} + 0.35 * {CONT_SQL} + 0.25 * {OVER_SQL} AS score FROM part) SELECT p_name AS value, round(score, 5) AS score FROM s WHERE score >= 0.3 ORDER BY s.score DESC, p_partkey LIMIT 1")
+@query("best_title_match", f"WITH {ASKED_SQL}, s AS (SELECT q, p_partkey, p_name, {B} = {A} AS exact, CASE WHEN {B} = {A} THEN 1 ELSE 0.4 * {LEV_SQL} + 0.35 * {CONT_SQL} + 0.25 * {OVER_SQL} END AS score, {CONT_SQL} AS held, {OVER_SQL} AS shared FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY exact DESC, score DESC, p_partkey) AS rn FROM s) SELECT q, p_name AS value, round(score, 5) AS score, CASE WHEN exact THEN 'exact' WHEN held > 0.5 THEN 'partial' WHEN shared > 0.3 THEN 'keyword' ELSE 'partial' END AS match_type FROM r WHERE rn = 1 AND score >= 0.3")
 def best_title_match(spark, sf):
-    part = table(spark, sf, "part").select(F.lit(ASKED).alias("q"), "p_name", "p_partkey")
-    return Z.best_match(part, ["q"], "q", "p_name", "p_partkey").select("value", F.round("score", 5).alias("score"))
+    part, _, _ = _titles(spark, sf)
+    return Z.best_match(part, ["q"], "q", "p_name", "p_partkey").select("q", "value", F.round("score", 5).alias("score"), "match_type")
 
 
 # ---- sources and SQL functions ----------------------------------------------------------------------------------------------

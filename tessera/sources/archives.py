@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,25 +14,33 @@ from pyspark.sql import functions as F
 
 
 def entries(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """archive, name, content of each file in the zips at path; a damaged archive gives the entries before the damage."""
+    """archive, name, content of each file in the zips at path, an entry at a time; of a damaged archive those that can be read."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for archive, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = []
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for info in z.infolist():
-                            if not info.is_dir() and info.filename.endswith(suffix):
-                                rows.append((archive, info.filename, z.read(info).decode("utf-8", "replace")))
-                except (zipfile.BadZipFile, OSError):
-                    pass
-                yield pd.DataFrame(rows, columns=["archive", "name", "content"])
+                    z = zipfile.ZipFile(io.BytesIO(data))
+                    listed = z.infolist()
+                except DAMAGED:
+                    continue
+                for info in listed:
+                    if info.is_dir() or not info.filename.endswith(suffix):
+                        continue
+                    try:
+                        text = z.read(info).decode("utf-8", "replace")
+                    except DAMAGED:
+                        continue
+                    yield pd.DataFrame([(archive, info.filename, text)], columns=["archive", "name", "content"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(unpack, "archive string, name string, content string")
 
 
+#: What the reader raises for broken, encrypted and unknown forms of archives.
+DAMAGED = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError, struct.error)
+
+
 def versioned_docs(entry: DataFrame, versions: list[str], folder: str = "guides", suffix: str = ".adoc") -> DataFrame:
     """version, path, content: one pass over the archive serves all versions; path is what follows the version's folder."""
     marker = F.transform(F.array(*[F.lit(v) for v in versions]), lambda v: F.struct(v.alias("version"), F.concat(F.lit("_versions/"), v, F.lit(f"/{folder}/")).alias("mark")))

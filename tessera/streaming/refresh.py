@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import incremental as N
 from ..operators import sections as X
 from ..operators.index import IndexStore, postings
@@ -14,33 +15,67 @@ from ..operators.index import IndexStore, postings
 RAW = "version string, path string, content string, extension string, seq long"
 
 
-def refresh_batch(store: IndexStore, arrived: DataFrame) -> list[str]:
-    """The latest content of each arrived path is merged; chunks of changed pages alone are parsed anew.
+COLUMNS = ["path", "content", "extension"]
+
+
+def refresh_version(store: IndexStore, version: str, raw: DataFrame) -> bool:
+    """All documents of a version, as they are now: chunks and postings of unchanged pages are kept, changed pages alone are
+    parsed and analyzed, removed ones go. All tables turn at once. False if nothing changed."""
+    raw = raw.select(F.lit(version).alias("version"), *COLUMNS)
+    now, before = N.manifest(raw), store.read("manifest", version)
+    chunks, posts = store.read("chunks", version), store.read("postings", version)
+    if before is None or chunks is None or posts is None:
+        table = X.chunks(raw)
+        found = postings(table, ["page", "ordinal"])
+    else:
+        moved, gone = N.changed(now, before), N.removed(now, before)
+        if moved.isEmpty() and gone.isEmpty():
+            return False
+        stale = moved.select("path").union(gone.select("path")).select(T.page_name(F.col("path")).alias("page")).distinct()
+        fresh = X.chunks(raw.join(moved.select("path"), "path", "left_semi").select("version", *COLUMNS))
+        kept = chunks.join(stale, "page", "left_anti")
+        table = kept.unionByName(fresh.select(*kept.columns))
+        found = posts.drop("version").join(stale, "page", "left_anti").unionByName(postings(fresh, ["page", "ordinal"]))
+    store.replace(version, {"raw": raw, "manifest": now, "chunks": table, "postings": found}, {"chunks": ["page", "ordinal"], "postings": ["lexeme"]})
+    return True
+
+
+def _held(store: IndexStore, version: str) -> DataFrame | None:
+    old = store.read("raw", version)
+    return None if old is None else old.select(*COLUMNS)
+
 
-    Returns the versions whose tables changed. A failed write leaves a version's former tables.
-    """
+def refresh_batch(store: IndexStore, arrived: DataFrame) -> list[str]:
+    """The latest row of each arrived path is merged; one without content removes the path. Returns the versions that changed."""
     fresh = N.latest(arrived, ["version", "path"], "seq")
     turned = []
-    for (version,) in fresh.select("version").distinct().collect():
-        mine = fresh.where(F.col("version") == version).select("version", "path", "content", "extension")
-        old = store.read("raw", version)
-        raw = mine if old is None else old.select(*mine.columns).join(mine.select("path"), "path", "left_anti").select(*mine.columns).unionByName(mine)
-        before, chunks = store.read("manifest", version), store.read("chunks", version)
-        if before is not None and chunks is not None:
-            if N.changed(N.manifest(raw), before).isEmpty():
-                continue
-            table = N.rebuild(raw, chunks, before)
-        else:
-            table = X.chunks(raw)
-        store.replace("chunks", version, table.drop("version"), ["page", "ordinal"])
-        keyed = store.read("chunks", version)
-        store.replace("postings", version, postings(keyed, ["page", "ordinal"]), ["lexeme"])
-        store.replace("manifest", version, N.manifest(raw).drop("version"))
-        store.replace("raw", version, raw.drop("version"))
-        turned.append(version)
+    for (version,) in sorted(fresh.select("version").distinct().collect()):  # versions are configured, and few
+        mine, old = fresh.where(F.col("version") == version).select(*COLUMNS), _held(store, version)
+        raw = mine.where("content is not null")
+        if old is not None:
+            raw = old.join(mine.select("path"), "path", "left_anti").select(*COLUMNS).unionByName(raw)
+        if refresh_version(store, version, raw):
+            turned.append(version)
     return turned
 
 
+def refresh_extension(store: IndexStore, version: str, extension: str, listing: DataFrame) -> bool:
+    """All documents of one source, as they are now; those of other sources stay as they are."""
+    mine, old = listing.select("path", "content", F.lit(extension).alias("extension")), _held(store, version)
+    return refresh_version(store, version, mine if old is None else old.where(~F.col("extension").eqNullSafe(F.lit(extension))).unionByName(mine))
+
+
+def refresh_extensions(store: IndexStore, version: str, sources: dict[str, Callable[[], DataFrame]]) -> dict[str, bool | str]:
+    """Each source in turn: whether it changed, or why it failed; a failure doesn't stop the others."""
+    out: dict[str, bool | str] = {}
+    for extension, load in sources.items():
+        try:
+            out[extension] = refresh_extension(store, version, extension, load())
+        except Exception as e:  # reported, and the next source is refreshed
+            out[extension] = str(e)
+    return out
+
+
 def refresh_stream(spark: SparkSession, source: str, store: IndexStore, checkpoint: str, once: bool = True, seen: Callable[[list[str]], None] | None = None):
     """A Structured Streaming query over Parquet files of RAW rows; once: what there is, then stop."""
 

@@ -7,7 +7,7 @@ from tessera.operators import index as I
 from tessera.operators import search as S
 from tessera.operators import sections as X
 from tessera.plans import validate as V
-from tessera.plans.api import Service, Status
+from tessera.plans.api import Service, Status, total_count_header
 
 PAGES = {
     "security.adoc": "= Security\n:topics: security\n\nSecurity overview of tokens.\n\n== Tokens\n\ntoken security rules apply",
@@ -50,7 +50,34 @@ def test_document_batch_related_catalog(service):
     assert info["returnedCount"] == 3 and hits.first().path == "security.adoc"
 
 
+def test_versions_filters_fields_and_totals(service):
+    for call in (lambda v: service.search("security", version=v), lambda v: service.related("rest.adoc", version=v), lambda v: service.document("rest.adoc", version=v), lambda v: service.catalog(version=v)):
+        with pytest.raises(V.InvalidInput, match="old"):
+            call("9.9")
+    assert service.search("security", version="old")[1]["totalCount"] == 1
+    assert service.related("security.adoc", subject="security").first().page == "rest" and service.related("security.adoc", subject="messaging").first().page == "kafka" and service.related("security.adoc", subject="cloud").count() == 0
+    assert service.related("security.adoc", extension="other").count() == 0 and {r.page for r in service.related("security.adoc", extension="core").collect()} == {"rest", "kafka"}
+    with pytest.raises(V.InvalidInput):
+        service.related("security.adoc", subject="nothing")
+    assert service.related("security.adoc", fields="page,similarity").columns == ["page", "similarity"]
+    assert service.document("rest.adoc", fields="title").columns == ["title"] and service.batch(["rest.adoc"], fields="title")[0].columns == ["pos", "path", "title", "error"]
+    hits, info = service.documents("security", fields="path,score")
+    assert hits.columns == ["path", "score"] and total_count_header(info) == {"X-Total-Count": "3"}
+    with pytest.raises(V.InvalidInput, match="Available"):
+        service.search("security", fields="nothing")
+
+
+def test_english_service(spark, service):
+    posts = S.ENGLISH.posts(service.chunks, ["version", "chunk_id"])
+    english = Service(service.raw, service.chunks, posts, analyzer=S.ENGLISH)
+    assert english.search("the tokens of a rule")[1]["totalCount"] == 1 and english.search("writes")[0].first().page == "rest"
+    assert english.syntax()["stemming"]["algorithm"] == "Porter2" and "the" in english.syntax()["stopWords"]["words"]
+    assert S.combined(service.chunks.where("version = 'main'"), service.posts.where("version = 'main'"), "kafka", limit=1).first().page == "kafka"
+
+
 def test_static_and_status(service):
+    assert {e["name"] for e in service.meta()["endpoints"]} >= {"search", "documents", "document", "batch", "related", "catalog", "syntax", "status"}
+    assert {"tokenization", "stemming", "stopWords", "scoring", "fuzzyMatching", "unsupported", "examples", "tips"} <= set(service.syntax())
     assert service.syntax()["supported"] and service.root()["links"] and "old" in service.meta()["versions"]
     assert service.status.report()[0] == 503
     service.status.finish("main")
@@ -67,7 +94,7 @@ def test_cached_versions(service):
 
 def test_and_rank_of_neighbours(spark):
     df = spark.createDataFrame([(1, "alpha beta")], "chunk_id int, content string")
-    r = S.matches(S.literal_query(spark, "alpha beta"), I.postings(df, ["chunk_id"]), ["qid"], ["chunk_id"]).first()
+    r = S.ranked(I.postings(df, ["chunk_id"]), S.RULE.query("alpha beta"), ["chunk_id"]).first()
     assert r.score == pytest.approx(S.adjacent_rank()) and math.isclose(r.score, 0.0991032, abs_tol=1e-6)
 
 

@@ -1,5 +1,6 @@
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.index import IndexStore
@@ -48,6 +49,76 @@ def test_raw_documents(spark, tmp_path):
     assert D.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def table(store, name, version="1"):
+    return sorted(map(repr, store.read(name, version).collect()))
+
+
+def test_refresh_removes_keeps_and_turns_all_tables_at_once(spark, tmp_path, monkeypatch):
+    store = IndexStore(spark, str(tmp_path / "store"))
+    pages = lambda **c: spark.createDataFrame([(f"{k}.adoc", v, "core") for k, v in c.items()], "path string, content string, extension string")
+    assert R.refresh_version(store, "1", pages(a="= A\none two", b="= B\nthree", c="= C\nfour"))
+    assert not R.refresh_version(store, "1", pages(a="= A\none two", b="= B\nthree", c="= C\nfour"))
+    assert R.refresh_version(store, "1", pages(a="= A\none two", b="= B\nseven", d="= D\nfive"))
+    want = R.X.chunks(pages(a="= A\none two", b="= B\nseven", d="= D\nfive").selectExpr("'1' AS version", "*"))
+    assert sorted(r.page for r in store.read("chunks", "1").collect()) == sorted(r.page for r in want.collect())
+    assert {r.path for r in store.read("manifest", "1").collect()} == {"a.adoc", "b.adoc", "d.adoc"}
+    words = {r.lexeme for r in store.read("postings", "1").collect()}
+    assert {"one", "seven", "five"} <= words and not {"three", "four"} & words
+    # a write that fails after some tables leaves all of them as they were
+    before = {n: table(store, n) for n in ("raw", "manifest", "chunks", "postings")}
+    writes, plain = [], type(store.read("raw", "1").write).parquet
+
+    def parquet(self, path, *args, **kwargs):
+        writes.append(path)
+        if len(writes) > 2:
+            raise OSError("disk full")
+        return plain(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(type(store.read("raw", "1").write), "parquet", parquet)
+    with pytest.raises(OSError):
+        R.refresh_version(store, "1", pages(a="= A\nnine"))
+    monkeypatch.undo()
+    assert len(writes) == 3 and before == {n: table(store, n) for n in before}
+    assert R.refresh_version(store, "1", pages(a="= A\nnine")) and len(table(store, "raw")) == 1
+
+
+def test_refresh_of_one_extension_and_tombstones(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "store"))
+    listing = lambda **c: (lambda: spark.createDataFrame([(k, v) for k, v in c.items()], "path string, content string"))
+
+    def broken():
+        raise OSError("unreachable")
+
+    out = R.refresh_extensions(store, "main", {"x": listing(a="= A\none", b="= B\ntwo"), "bad": broken, "y": listing(c="= C\nthree")})
+    assert out == {"x": True, "bad": "unreachable", "y": True}
+    assert R.refresh_extensions(store, "main", {"x": listing(a="= A\none"), "y": listing(c="= C\nthree")}) == {"x": True, "y": False}
+    assert {(r.path, r.extension) for r in store.read("raw", "main").collect()} == {("a", "x"), ("c", "y")}
+    arrived = spark.createDataFrame([("main", "c", None, "y", 1)], R.RAW)
+    assert R.refresh_batch(store, arrived) == ["main"] and [r.path for r in store.read("raw", "main").collect()] == ["a"]
+    built = []
+    one = store.read_through("manifest", "new", lambda: built.append(1) or spark.createDataFrame([("p", "s")], "path string, sha string"))
+    assert one.count() == 1 and store.read_through("manifest", "new", lambda: built.append(1)).count() == 1 and built == [1]
+
+
+def test_damaged_archives_give_what_can_be_read(spark, tmp_path):
+    import io
+    import zipfile
+
+    def archive(names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n in names:
+                z.writestr(n, f"text of {n} " * 50)
+        return bytearray(out.getvalue())
+
+    good, broken = archive(["a.adoc", "b.adoc", "c.txt"]), archive(["d.adoc", "e.adoc"])
+    broken[45:60] = b"\xff" * 15  # inside the first entry's data
+    for name, data in (("good", good), ("broken", broken), ("cut", good[:100]), ("empty", b"")):
+        (tmp_path / f"{name}.zip").write_bytes(bytes(data))
+    got = {r.name for r in A.entries(spark, str(tmp_path), ".adoc").collect()}
+    assert {"a.adoc", "b.adoc", "e.adoc"} <= got <= {"a.adoc", "b.adoc", "d.adoc", "e.adoc"}
+
+
 def test_stream_refresh(spark, tmp_path):
     store, source = IndexStore(spark, str(tmp_path / "store")), str(tmp_path / "in")
     write = lambda rows: spark.createDataFrame(rows, R.RAW).coalesce(1).write.mode("append").parquet(source)
