@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,13 +12,18 @@ from pyspark.sql import functions as F
 from .functions import fuzzy as Z
 from .functions import text as T
 from .operators import catalog as C
+from .operators import documents as D
 from .operators import incremental as N
 from .operators import index as I
 from .operators import related as R
 from .operators import search as S
 from .operators import sections as X
 from .operators import subjects as J
+from .plans.api import Service
 from .plans.session import shared_dir, workers_find_package
+from .sources import archives as A_
+from .sources import playbook as P
+from .sources import rawdocs as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +125,8 @@ def clean_sql(c: str, rules: list[tuple[str, str]]) -> str:
     return c
 
 
+SLUG_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[''`]', '', 'g'), '[^a-z0-9-]', '-', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g')"
+
 TERMS_SQL = f"""
 tokens AS (SELECT chunk_id, version, unnest({tokens_sql('content')}) AS token, generate_subscripts({tokens_sql('content')}, 1) AS pos FROM corpus),
 terms AS (SELECT chunk_id, version, {stem_sql('token')} AS lexeme, pos FROM tokens)
@@ -312,7 +320,19 @@ def section_level(spark, sf):
     return X.section_rows(markup(spark, sf), ["doc_id"]).select("doc_id", "ordinal", F.col("level").cast("int").alias("level"))
 
 
-@query("chunk_table")
+CHUNK_SQL = "chunk AS (SELECT s.doc_id, s.ordinal, s.title AS section, coalesce(string_agg(l.line, chr(10) ORDER BY l.i), '') AS content FROM sections s LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.i >= s.start_line AND (s.next_start IS NULL OR l.i < s.next_start) GROUP BY ALL)"
+
+
+def chunk_table_sql() -> str:
+    t = f"regexp_replace({trim_sql('c.content')}, '^={{1,5}}\\s+', '')"
+    summary = f"CASE WHEN {trim_sql('c.content')} = '' THEN '' ELSE left(coalesce(nullif(regexp_extract({t}, '^(.*?\\.)(?:\\s|$)', 1), ''), {t}), 200) END"
+    slug = SLUG_SQL.format("c.section")
+    return f"""WITH {SECTIONS_SQL}, {CHUNK_SQL} SELECT d.lang AS version, 'doc-' || d.doc_id AS page, 'doc-' || d.doc_id || '#' || {slug} AS chunk_key, 'Doc ' || d.doc_id AS title, c.section, c.ordinal::INT AS ordinal,
+    'https://docs.example.org/guides/doc-' || d.doc_id || CASE WHEN {slug} = '' THEN '' ELSE '#' || {slug} END AS url, array_to_string(list_concat([d.lang, d.source], ['web', 'data']), ',') AS topics, d.source AS extensions, {summary} AS summary, md5(c.content) AS digest
+    FROM chunk c JOIN documents d USING (doc_id)"""
+
+
+@query("chunk_table", chunk_table_sql())
 def chunk_table(spark, sf):
     out = X.chunks(markup(spark, sf))
     return out.select("version", "page", "chunk_key", "title", "section", "ordinal", "url", F.array_join("topics", ",").alias("topics"), F.array_join("extensions", ",").alias("extensions"), "summary", F.md5("content").alias("digest"))
@@ -391,9 +411,6 @@ def truncate_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.truncate_words(F.col("text"), 300).alias("cut"))
 
 
-SLUG_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[''`]', '', 'g'), '[^a-z0-9-]', '-', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g')"
-
-
 @query("slug_url", f"SELECT p_partkey, {SLUG_SQL.format('p_name')} AS slug, 'https://docs.example.org/guides/part-' || p_partkey || CASE WHEN {SLUG_SQL.format('p_name')} = '' THEN '' ELSE '#' || {SLUG_SQL.format('p_name')} END AS url FROM part")
 def slug_url(spark, sf):
     page = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(".adoc"))
@@ -687,7 +704,10 @@ def latest_per_path(spark, sf):
     return N.latest(rows, ["user_id", "event_type"], "event_id")
 
 
-@query("incremental_rebuild")
+CHANGED_SQL = MARKUP_SQL.replace("markup AS (", "before AS (") + """, markup AS (SELECT doc_id, version, path, extension, content || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'More text.' ELSE '' END AS content FROM before WHERE doc_id % 13 <> 0)"""
+
+
+@query("incremental_rebuild", f"WITH {SECTIONS_SQL.replace(MARKUP_SQL, CHANGED_SQL)}, {CHUNK_SQL} SELECT d.lang AS version, 'doc-' || d.doc_id AS page, c.ordinal::INT AS ordinal, c.section, md5(c.content) AS digest FROM chunk c JOIN documents d USING (doc_id)")
 def incremental_rebuild(spark, sf):
     """Chunks after a change, by keeping unchanged pages: equal to parsing everything (tests compare the two)."""
     before = markup(spark, sf)
@@ -819,3 +839,252 @@ def sql_parse_sections(spark, sf):
     register(spark)
     markup(spark, sf).createOrReplaceTempView("markup_docs")
     return spark.sql("SELECT doc_id, s.* FROM markup_docs, LATERAL parse_sections(content) s")
+
+
+@query("sql_parse_code_blocks", ORACLES["parse_code_blocks"])
+def sql_parse_code_blocks(spark, sf):
+    from .functions.sqlfuncs import register
+
+    register(spark)
+    markup(spark, sf).createOrReplaceTempView("markup_docs")
+    return spark.sql("SELECT doc_id, b.start_line, b.end_line, md5(b.content) AS digest FROM markup_docs, LATERAL parse_code_blocks(content) b")
+
+
+@query("sql_rank", f"{and_sql(PAIR)} SELECT chunk_id, score FROM ranked")
+def sql_rank(spark, sf):
+    """The rank of two lexemes from their positions, in SQL."""
+    from .functions.sqlfuncs import register
+
+    register(spark)
+    index_of(spark, sf).where(F.col("lexeme").isin(PAIR)).createOrReplaceTempView("stored_postings")
+    return spark.sql(f"SELECT x.chunk_id, round(ts_rank_pair(x.positions, y.positions), 6) AS score FROM stored_postings x JOIN stored_postings y ON x.chunk_id = y.chunk_id AND x.lexeme = '{PAIR[0]}' AND y.lexeme = '{PAIR[1]}'")
+
+
+@query("parser_sections", ORACLES["parse_sections"])
+def parser_sections(spark, sf):
+    """Sections by the parser that is registered for the path's suffix."""
+    from .operators import parsers
+
+    return parsers.section_rows(markup(spark, sf), ["doc_id"]).select("doc_id", "ordinal", "title", "start_line", "end_line")
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+RAW_SQL = "SELECT lang AS version, 'doc-' || doc_id || '.adoc' AS path, md5(text) AS digest FROM documents"
+
+
+def _raw(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("lang").alias("version"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".adoc")).alias("path"), F.col("text").alias("content"))
+
+
+@query("raw_documents", RAW_SQL)
+def raw_documents(spark, sf):
+    """Documents written and read again."""
+    path = _folder(spark, "raw")
+    W.write(_raw(spark, sf), path)
+    return W.read_table(spark, path).select("version", "path", F.md5("content").alias("digest"))
+
+
+@query("raw_paths", "SELECT 'doc-' || doc_id || '.adoc' AS path FROM documents WHERE lang = 'en'")
+def raw_paths(spark, sf):
+    return W.list_paths(_raw(spark, sf), "en")
+
+
+ITEM_SQL = "'item-' || item_id || '.adoc'"
+
+
+def _archive(spark, sf, names: Callable[[int], list[str]]) -> str:
+    """An archive of the benchmark's passages (a bounded table), each under some names."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in table(spark, sf, "benchmark").select("item_id", "text").toLocalIterator():
+            for name in names(r.item_id):
+                z.writestr(name, r.text)
+    path = f"{_folder(spark, 'archive')}.zip"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(out.getvalue())
+    stream.close()
+    return path
+
+
+@query("archive_versions", f"SELECT v.version, {ITEM_SQL} AS path, md5(text) AS digest FROM benchmark, (VALUES ('3.1'), ('main')) v(version) WHERE v.version = 'main' OR item_id % 2 = 0")
+def archive_versions(spark, sf):
+    """One archive serves all versions; what isn't a page of one of them is left."""
+    names = lambda i: [f"repo/_versions/{v}/guides/item-{i}.adoc" for v in (["3.1", "main"] if i % 2 == 0 else ["main"])] + [f"repo/_versions/9/guides/item-{i}.adoc", f"repo/item-{i}.txt"]
+    return A_.versioned_docs(A_.entries(spark, _archive(spark, sf, names)), ["3.1", "main"]).select("version", "path", F.md5("content").alias("digest"))
+
+
+@query("archive_extension", f"SELECT 'extensions/some/' || {ITEM_SQL} AS path, md5(text) AS digest FROM benchmark")
+def archive_extension(spark, sf):
+    names = lambda i: [f"repo-1/docs/modules/ROOT/pages/item-{i}.adoc", f"repo-1/docs/modules/other/pages/item-{i}.adoc", f"repo-1/readme-{i}.md"]
+    return A_.extension_docs(A_.entries(spark, _archive(spark, sf, names)), "some").select("path", F.md5("content").alias("digest"))
+
+
+PLAYBOOK = """
+content:
+  sources:
+    - {url: "https://github.com/acme/one.git", branches: [HEAD, "/x/", "2.x"], start_path: docs}
+    - {url: "https://github.com/acme/two", branches: main}
+    - {url: "https://elsewhere.org/acme/three", branches: main}
+    - {url: "https://github.com/acme/four"}
+"""
+
+
+@query("playbook_sources", "SELECT * FROM (VALUES ('one', 'acme', 'one', '2.x', 'docs'), ('two', 'acme', 'two', 'main', ''), ('four', 'acme', 'four', 'main', '')) v(name, owner, repo, branch, start_path)")
+def playbook_sources(spark, sf):
+    return P.sources_table(spark, PLAYBOOK)
+
+
+@query("manifest_json", f"SELECT {ITEM_SQL} AS path, md5(text) AS sha FROM benchmark")
+def manifest_json(spark, sf):
+    """A JSON manifest of files with fields that aren't known; paths lose their prefix."""
+    path = _folder(spark, "manifest")
+    name = F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit(".adoc"))
+    row = F.struct(name.alias("name"), F.concat(F.lit("docs/"), name).alias("path"), F.md5("text").alias("sha"), F.lit(1).alias("size"))
+    table(spark, sf, "benchmark").agg(F.to_json(F.collect_list(row)).alias("value")).coalesce(1).write.text(path)
+    return P.manifest_paths(P.read_manifest(spark, path), "docs/")
+
+
+@query("store_tables", "SELECT lang AS version, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang")
+def store_tables(spark, sf):
+    """A version's table replaced, another appended to, a third deleted."""
+    store, docs = I.IndexStore(spark, _folder(spark, "store")), table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    store.replace("en", {"docs": docs.where("doc_id < 0")})
+    store.replace("en", {"docs": docs.where("lang = 'en'")})
+    store.replace("fr", {"docs": docs.where("lang = 'fr' AND doc_id % 2 = 0")})
+    store.append("docs", "fr", docs.where("lang = 'fr' AND doc_id % 2 <> 0"))
+    store.replace("de", {"docs": docs})
+    store.delete("docs", "de")
+    parts = [store.read("docs", v) for v in store.versions("docs")]
+    return parts[0].unionByName(parts[1]).groupBy("version").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("refresh_version", "SELECT 'en' AS version, 'doc-' || doc_id || '.adoc' AS path, md5(CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END) AS sha FROM documents WHERE lang = 'en' AND doc_id % 13 <> 0")
+def refresh_version(spark, sf):
+    """A version loaded, then refreshed from a listing in which pages changed, came and went."""
+    from .streaming import refresh
+
+    store, i = I.IndexStore(spark, _folder(spark, "store")), F.col("doc_id")
+    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("doc-"), i.cast("string"), F.lit(".adoc")).alias("path"), F.col("text").alias("content"), F.col("source").alias("extension"))
+    refresh.refresh_version(store, "en", docs.where(i % 10 != 0))
+    refresh.refresh_version(store, "en", docs.where(i % 13 != 0).withColumn("content", F.when(i % 7 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content"))))
+    pages = store.read("chunks", "en").select(F.concat("page", F.lit(".adoc")).alias("path")).distinct()
+    return store.read("manifest", "en").join(pages, "path", "left_semi").select("version", "path", "sha")
+
+
+# ---- documents, tags, subjects ------------------------------------------------------------------------------------------------
+
+@query("page_first_tags", "SELECT 'doc-' || doc_id AS page, lang AS subject, source AS extension FROM documents")
+def page_first_tags(spark, sf):
+    m = markup(spark, sf)
+    pages = m.select("version", T.page_name(F.col("path")).alias("page"))
+    return D.with_tags(pages, X.chunks(m)).select("page", "subject", "extension")
+
+
+@query("page_chunks", f"WITH {SECTIONS_SQL} SELECT ordinal::INT AS ordinal, title AS section FROM sections WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE lang = 'en') ORDER BY ordinal LIMIT 1000")
+def page_chunks(spark, sf):
+    first = table(spark, sf, "documents").where("lang = 'en'").agg(F.min("doc_id")).first()[0]
+    return D.page_chunks(X.chunks(markup(spark, sf).where(F.col("doc_id") == first)), "en", f"doc-{first}").select("ordinal", "section")
+
+
+@query("select_fields", f"WITH {CORPUS_SQL} SELECT chunk_id, page FROM corpus")
+def select_fields(spark, sf):
+    return D.select_fields(plain(spark, sf), "page, chunk_id")
+
+
+CATEGORY_WORDS = ["unknown", "Web", " data ", "nothing", "messaging", "core"]
+CATEGORY_VALUES = ", ".join(f"('{c}', '{s}')" for c, s in J.CATEGORIES.items())
+
+
+def first_category_sql(places: str) -> str:
+    words = f"[{', '.join(repr(w) for w in CATEGORY_WORDS)}]"
+    return f"cat AS (SELECT doc_id, arg_min(v.subject, pos) AS subject FROM (SELECT doc_id, unnest({places}) AS k, generate_subscripts({places}, 1) AS pos FROM documents) t JOIN (VALUES {CATEGORY_VALUES}) v(word, subject) ON v.word = lower(trim({words}[k + 1])) GROUP BY doc_id)"
+
+
+def _categories():
+    words = F.array(*[F.lit(w) for w in CATEGORY_WORDS])
+    return F.array(*[F.get(words, (F.col("doc_id") % k).cast("int")) for k in (4, 6, 5)])
+
+
+@query("subject_by_category", f"WITH {first_category_sql('[doc_id % 4, doc_id % 6, doc_id % 5]')} SELECT d.doc_id, coalesce(cat.subject, 'misc') AS subject FROM documents d LEFT JOIN cat USING (doc_id)")
+def subject_by_category(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(J.by_categories(_categories()), F.lit(J.DEFAULT)).alias("subject"))
+
+
+OVERRIDES = {"guides/security-intro-10.adoc": "cloud", "guides/kafka-*-?1.adoc": "tooling", "**/{cli,docker}*7.adoc": "extensions", "guides/[g-h]*2?.adoc": "messaging"}
+
+
+@query("derive_subject", f"""WITH t AS (SELECT doc_id, unnest([doc_id % 8, doc_id % 5, doc_id % 7]) AS k, generate_subscripts([1, 2, 3], 1) AS pos FROM documents WHERE doc_id % 3 = 0),
+m AS (SELECT doc_id, pos, s.subject FROM t JOIN (VALUES {TOPIC_VALUES}) s(word, subject) ON s.word = [{', '.join(repr(v) for v in VOTES)}][k + 1]), v AS (SELECT doc_id, subject, count(*) AS n, min(pos) AS first FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rn FROM v),
+{first_category_sql('[doc_id % 4, doc_id % 6, doc_id % 5]')},
+p AS (SELECT doc_id, lower('guides/' || [{', '.join(repr(w) for w in WORDS)}][doc_id % {len(WORDS)} + 1] || '-' || doc_id || '.adoc') AS path FROM documents)
+SELECT p.doc_id, CASE WHEN path = 'guides/security-intro-10.adoc' THEN 'cloud' WHEN regexp_full_match(path, 'guides/kafka-[^/]*-[^/]1\\.adoc') THEN 'tooling' WHEN regexp_full_match(path, '.*/(cli|docker)[^/]*7\\.adoc') THEN 'extensions' WHEN regexp_full_match(path, 'guides/[g-h][^/]*2[^/]\\.adoc') THEN 'messaging'
+  ELSE coalesce(CASE WHEN p.doc_id % 2 = 0 THEN cat.subject END, r.subject, {RULE_SQL}) END AS subject
+FROM p LEFT JOIN cat ON cat.doc_id = p.doc_id LEFT JOIN r ON r.doc_id = p.doc_id AND rn = 1""")
+def derive_subject(spark, sf):
+    """All six steps: exact and glob overrides, categories, topics, path rules, the default."""
+    i, words, votes = F.col("doc_id"), F.array(*map(F.lit, WORDS)), F.array(*map(F.lit, VOTES))
+    path = F.concat(F.lit("guides/"), F.get(words, (i % len(WORDS)).cast("int")), F.lit("-"), i.cast("string"), F.lit(".adoc"))
+    topics = F.when(i % 3 == 0, F.array(*[F.get(votes, (i % k).cast("int")) for k in (8, 5, 7)])).otherwise(F.array().cast("array<string>"))
+    categories = F.when(i % 2 == 0, _categories()).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "documents").select("doc_id", J.derive(path, categories, topics, OVERRIDES).alias("subject"))
+
+
+GLOBS = {"guides/*.adoc": r"guides/[^/]*\.adoc", "**/kafka-*": ".*/kafka-[^/]*", "guides/{rest,cli}-?*.adoc": r"guides/(rest|cli)-[^/][^/]*\.adoc", "guides/[!a-k]*": "guides/[^a-k][^/]*", "*.adoc": r"[^/]*\.adoc"}
+
+
+@query("glob_match", f"WITH p AS ({SUBJECT_PATH_SQL}), g(path_glob, pattern) AS (VALUES " + ", ".join(f"('{g}', '{r}')" for g, r in GLOBS.items()) + ") SELECT path_glob, count(*) FILTER (regexp_full_match(path, pattern)) AS n FROM p, g GROUP BY path_glob")
+def glob_match(spark, sf):
+    paths = _subject_paths(spark, sf).select(F.lower("path").alias("path"))
+    hit = F.array(*[F.struct(F.lit(g).alias("path_glob"), F.col("path").rlike(f"^(?:{J.glob_to_regex(g)})$").alias("hit")) for g in GLOBS])
+    return paths.select(F.explode(hit).alias("g")).groupBy("g.path_glob").agg(F.count_if("g.hit").alias("n"))
+
+
+# ---- the service --------------------------------------------------------------------------------------------------------------
+
+def _service(spark, sf) -> Service:
+    chunks = corpus(spark, sf).where("version = 'en'").withColumn("title", F.lit("")).withColumn("summary", F.lit("")).withColumn("ordinal", F.lit(0))
+    return Service(markup(spark, sf).select("version", "path", "content", "extension"), chunks, index_of(spark, sf))
+
+
+@query("service_search", f"{and_sql(PAIR)} SELECT chunk_id, score FROM ranked WHERE list_contains(extensions, 'src0') ORDER BY score DESC, chunk_id LIMIT 5")
+def service_search(spark, sf):
+    page, _ = _service(spark, sf).search(" ".join(PAIR), version="en", extension="src0", limit=5, fields="chunk_id,score")
+    return page.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("service_documents", f"{and_sql(PAIR)} SELECT 'doc-' || r.chunk_id || '.adoc' AS path, score FROM (SELECT * FROM ranked ORDER BY score DESC, chunk_id LIMIT 5) r JOIN corpus c ON c.chunk_id = r.chunk_id WHERE list_contains(c.topics, 'en')")
+def service_documents(spark, sf):
+    page, _ = _service(spark, sf).documents(" ".join(PAIR), version="en", limit=5, fields="path,score")
+    return page.select("path", F.round("score", 6).alias("score"))
+
+
+@query("service_batch", "SELECT q.pos, q.path, CASE WHEN d.doc_id IS NOT NULL THEN 'Doc ' || d.doc_id END AS title, CASE WHEN d.doc_id IS NULL THEN 'Document not found' END AS error FROM (SELECT 0 AS pos, 'doc-' || min(doc_id) || '.adoc' AS path FROM documents WHERE lang = 'en' UNION ALL SELECT 1, 'none.adoc') q LEFT JOIN documents d ON 'doc-' || d.doc_id || '.adoc' = q.path")
+def service_batch(spark, sf):
+    first = table(spark, sf, "documents").where("lang = 'en'").agg(F.min("doc_id")).first()[0]
+    return _service(spark, sf).batch([f"doc-{first}.adoc", "none.adoc"], version="en", brief=True, fields="title")[0].orderBy("pos")
+
+
+@query("service_related", f"WITH {CORPUS_SQL}, s AS (SELECT version, topics AS st, extensions AS se, page AS own FROM corpus WHERE chunk_id = (SELECT min(doc_id) FROM documents WHERE lang = 'en')), r AS (SELECT c.page, (len(list_intersect(s.st, c.topics)) + len(list_intersect(s.se, c.extensions)))::DOUBLE / (len(s.st) + len(s.se)) AS similarity FROM corpus c JOIN s USING (version) WHERE c.page <> s.own AND list_contains(c.extensions, 'src2')) SELECT page, round(similarity, 6) AS similarity FROM r WHERE similarity >= 0.05 ORDER BY r.similarity DESC, page LIMIT 20")
+def service_related(spark, sf):
+    first = table(spark, sf, "documents").where("lang = 'en'").agg(F.min("doc_id")).first()[0]
+    return _service(spark, sf).related(f"doc-{first}.adoc", version="en", limit=20, extension="src2", fields="page,similarity").select("page", F.round("similarity", 6).alias("similarity"))
+
+
+@query("service_catalog", f"WITH {CORPUS_SQL}, u AS (SELECT page, 'subject' AS kind, unnest(topics) AS name FROM corpus WHERE version = 'en' UNION ALL SELECT page, 'extension', unnest(extensions) FROM corpus WHERE version = 'en') SELECT kind, name, count(DISTINCT page) AS pages FROM u GROUP BY ALL")
+def service_catalog(spark, sf):
+    got = _service(spark, sf).catalog("en")
+    rows = [("subject", x["name"], x["docCount"]) for x in got["subjects"]] + [("extension", x["name"], x["docCount"]) for x in got["extensions"]]
+    return spark.createDataFrame(rows, "kind string, name string, pages long")
+
+
+@query("search_weighted", f"{and_sql(PAIR)}, s AS (SELECT c.chunk_id, 0.7 * coalesce(r.score, 0) / (SELECT max(score) FROM ranked) + 0.3 * {similarity_sql(trgm_sql('c.page'), trgm_sql(chr(39) + ' '.join(PAIR) + chr(39)))} AS score FROM corpus c LEFT JOIN ranked r ON r.chunk_id = c.chunk_id WHERE c.version = 'en') SELECT chunk_id, round(score, 4) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, chunk_id LIMIT 5")
+def search_weighted(spark, sf):
+    chunks = plain(spark, sf).where("version = 'en'").withColumn("title", F.col("page"))
+    return S.combined(chunks, index_of(spark, sf), " ".join(PAIR), limit=5).select("chunk_id", F.round("score", 4).alias("score"))
