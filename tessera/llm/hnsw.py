@@ -5,8 +5,12 @@ them one before anything is shuffled. Nodes are dealt into shards of about ``sha
 shard's graph is built in blocks: a block of new nodes searches the graph so far, all at once in array operations, and
 is linked by the diversity rule in both directions. Layers are flat arrays of neighbours; nodes are in descending order
 of their level, so layer l is the first rows. Vectors of differing norms get one more coordinate that makes the norms
-equal, under which the largest inner product is the nearest node. Queries meet every shard in blocks; hits are scored
-in double precision on the original vectors, and shard results are merged.
+equal, under which the largest inner product is the nearest node. Queries go to every shard and stream through it, a
+block at a time; a shard is held by one task, or by a few where there are fewer shards than cores. Hits are scored in
+double precision on the original vectors, and shard results are merged.
+
+A shard is a task's work in building and in searching, so shards grow with the table, up to ``MOST_SHARD_ROWS``; beyond,
+their number grows, and with it what a query costs.
 
 Edge cases: vectors that are null, empty, all zero or that hold null or non-finite components, and rows without an id,
 take no part; a query meets vectors of its own dimension only; ties go to the smaller id; rows that repeat an
@@ -29,7 +33,7 @@ from ..plans.session import workers_find_package
 from .common import load, written
 
 M, WIDE, EF_BUILD, EF_SEARCH = 16, 32, 80, 160
-SHARD_ROWS, QUERY_BLOCK, TOP_NORMS = 8192, 1024, 32
+SHARD_ROWS, MOST_SHARD_ROWS, SHARDS, QUERY_BLOCK, TOP_NORMS = 8192, 1 << 17, 64, 1024, 32
 
 
 def search_layer(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, at_once: int = 4, again: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +258,16 @@ def _dump(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def build_index(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(dim, shard, shards, data): each shard's flat arrays, written in the shared folder."""
+def build_index(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
+    """(dim, shard, shards, data): each shard's flat arrays, written in the shared folder. A shard has about shard_rows
+    nodes; by default the table's SHARDSth part, between SHARD_ROWS and MOST_SHARD_ROWS."""
     nodes = written(distinct_vectors(valid_vectors(df, id_col, vector_col), k), "vectors")
-    sizes = nodes.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("h") / shard_rows)).cast("int").alias("shards"))
-    dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int"))
+    n = F.approx_count_distinct("h")
+    rows = F.lit(shard_rows) if shard_rows else F.least(F.greatest(n / SHARDS, F.lit(SHARD_ROWS)), F.lit(MOST_SHARD_ROWS))
+    sizes = written(nodes.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(n / rows)).cast("int").alias("shards")), "shards")
+    # a stated number of partitions: what a shard takes isn't seen in its bytes, by which small partitions would be merged
+    tasks = 2 * (sizes.agg(F.sum("shards")).first()[0] or 1)
+    dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int")).repartition(tasks, "dim", "shard")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, shard, shards = (int(x) for x in key)
@@ -278,35 +287,58 @@ def build_index(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
 FOUND = "query_id long, vec_id long, score double"
 
 
+class Held:
+    """A shard in memory."""
+
+    def __init__(self, data: bytes):
+        with np.load(io.BytesIO(data)) as z:
+            arrays = dict(z)
+        layers = [arrays[f"layer{i}"].astype(np.int64) for i in range(sum(x.startswith("layer") for x in arrays))]
+        self.graph, self.v, self.ids, self.count = Graph(arrays["x"], layers), arrays["v"], arrays["ids"], arrays["count"]
+        self.start = np.concatenate(([0], np.cumsum(self.count)))
+
+    def nearest(self, names: np.ndarray, wanted: np.ndarray, k: int, ef: int) -> pa.RecordBatch:
+        """The k best of each query, scored on the original vectors."""
+        hits = self.graph.search(np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1).astype(np.float32), max(ef, 2 * k))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for name, query, hit in zip(names.tolist(), wanted, hits, strict=True):
+            hit = hit[hit >= 0]
+            score = np.repeat((self.v[hit] * query).sum(axis=1), self.count[hit])
+            ids = np.concatenate([self.ids[self.start[h] : self.start[h + 1]] for h in hit])
+            ids, score = ids[ids != name], score[ids != name]
+            best = np.lexsort((ids, -score))[:k]
+            out.append((ids[best], score[best]))
+        asked = np.repeat(names, [len(x) for x, _ in out])
+        return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], ["query_id", "vec_id", "score"])
+
+
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all shards' hits. queries: vec_id, v."""
-    count = queries.count()
-    blocks = max(1, -(-count // block))
     sizes = index.groupBy("dim").agg(F.max("shards").alias("shards"))
-    asked = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("qb"))
-    asked = asked.join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    held = index.select("dim", "shard", "data").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(key: tuple, q: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(q) and len(shard):
-            with np.load(io.BytesIO(shard["data"].iloc[0])) as z:
-                arrays = dict(z)
-            layers = [arrays[f"layer{i}"].astype(np.int64) for i in range(sum(x.startswith("layer") for x in arrays))]
-            graph, v, start = Graph(arrays["x"], layers), arrays["v"], np.concatenate(([0], np.cumsum(arrays["count"])))
-            names, wanted = q["vec_id"].to_numpy(), np.stack(q["v"].to_list()).astype(np.float64)
-            hits = graph.search(np.concatenate([wanted, np.zeros((len(q), 1))], axis=1).astype(np.float32), max(ef, 2 * k))
-            for name, query, hit in zip(names, wanted, hits, strict=True):
-                hit = hit[hit >= 0]
-                score = (v[hit] * query).sum(axis=1)
-                ids = np.concatenate([arrays["ids"][start[h] : start[h + 1]] for h in hit])
-                score = np.repeat(score, arrays["count"][hit])
-                ids, score = ids[ids != name], score[ids != name]
-                best = np.lexsort((ids, -score))[:k]
-                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    hits = asked.groupBy("dim", "shard", "qb").cogroup(held.groupBy("dim", "shard", "qb")).applyInPandas(find, FOUND)
+    shards = index.count()
+    copies = max(1, -(-2 * index.sparkSession.sparkContext.defaultParallelism // max(1, shards)))  # follows the cores, not the rows
+    asked = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(copies)).cast("int").alias("part"))
+    asked = asked.join(sizes, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "part", F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("data"))
+    part = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("part")
+    held = index.select("dim", "shard", part, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "data")
+    keys = ["dim", "shard", "part"]
+    rows = held.unionByName(asked).repartition(2 * max(1, shards) * copies, *keys).sortWithinPartitions(*keys, "kind")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            kind = batch.column(3).to_numpy()
+            at = 0
+            for stop in [*np.flatnonzero(kind == 0).tolist(), len(kind)]:  # a shard's own row comes before its queries
+                for a in range(at, stop, block):
+                    part = batch.slice(a, min(block, stop - a))
+                    names = part.column(4).to_numpy()
+                    yield shard.nearest(names, part.column(5).flatten().to_numpy().reshape(len(names), -1).astype(np.float64), k, ef)
+                if stop < len(kind):
+                    shard = Held(batch.column(6)[stop].as_py())
+                at = stop + 1
+
+    hits = rows.mapInArrow(find, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
