@@ -1,8 +1,9 @@
 """Token-id files under Re-Pair grammar compression, a shard at a time, with random access by document.
 
-In each round the pairs of adjacent symbols that occur most are replaced by nonterminals, all over the shard; rounds go
-on until no pair occurs often enough to pay for its rule. A round replaces many pairs at once (each of a count of at
-least a share of the top pair's), which keeps a round a handful of array passes. No rule crosses a document's end, so
+In each round the pairs of adjacent symbols that occur most are replaced by nonterminals, all over the shard. Rounds go
+on as long as they save at least ``gain`` of the symbols, so that a shard of copies has as many as its copies ask for;
+with a gain of 0 they go on until no pair occurs often enough to pay for its rule. A round replaces many pairs at once
+(each of a count of at least a share of the top pair's), which keeps a round a handful of array passes. No rule crosses a document's end, so
 a document is a range of symbols; each nonterminal's expansion length is stored, so that a range of ids is found
 without expanding what is before it.
 
@@ -35,7 +36,7 @@ from .tokens import chunks, encoder
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
-ROUNDS, LEAST, SHARE = 4, 8, 64
+GAIN, LEAST, SHARE = 1 / 256, 8, 64
 HASH_BITS = 19
 
 
@@ -89,7 +90,7 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def compress(doc_ids: list[int | None], encoded: list[bytes], rounds: int = ROUNDS, least: int = LEAST) -> bytes:
+def compress(doc_ids: list[int | None], encoded: list[bytes], gain: float = GAIN, least: int = LEAST) -> bytes:
     """A shard of documents, each given as its little-endian 32-bit ids (at least one)."""
     ids = np.frombuffer(b"".join(encoded), dtype="<u4")
     n_ids = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
@@ -103,10 +104,9 @@ def compress(doc_ids: list[int | None], encoded: list[bytes], rounds: int = ROUN
     last[np.cumsum(n_ids) - 1] = True
     left, right, length = [], [], [np.ones(len(terminals), dtype=np.int64)]
     symbols = len(terminals)
-    for _ in range(rounds):
-        done = _round(s, last, symbols, least)
-        if done is None:
-            break
+    before, least_saved = 0, 0.0
+    while abs(before - len(s)) >= least_saved and (done := _round(s, last, symbols, least)) is not None:
+        before, least_saved = len(s), gain * len(s)
         s, last, rules = done
         known = np.concatenate(length)
         left.append(rules >> 32)
@@ -189,15 +189,15 @@ class Shard:
 SHARDS = "pid int, shard int, before long, n_ids long, data binary"
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
-    """The ids of all documents, each with the end id, in ascending doc_id order, as shards at path."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, shard_ids: int = SHARD_IDS, gain: float = GAIN) -> None:
+    """The ids of all documents, each with the end id, in ascending doc_id order, as shards at path; gain: what a round must save."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, pid = encoder(vocabulary, byte_level=True).encode_many, np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
         ids, data, size, number, done = [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([size], pa.int64()), pa.array([compress(ids, data)], pa.binary())], ["pid", "shard", "before", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([size], pa.int64()), pa.array([compress(ids, data, gain)], pa.binary())], ["pid", "shard", "before", "n_ids", "data"])
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
