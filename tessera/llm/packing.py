@@ -130,7 +130,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
         pdf["sequence_id"], pdf["offset"] = (int(key[0]) << 32) + sequence, offset
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # rows that repeat one document are dealt like any others: the place of a written row tells them apart
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(in_group, PACKED)
 
 
