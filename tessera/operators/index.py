@@ -108,13 +108,20 @@ class IndexStore:
         snapshots' go. sort_by: rows are dealt by ranges of these columns and sorted, so that readers skip files."""
         before = self._snapshot(version)
         after = dict(before)
-        for name, df in tables.items():
-            out = df.drop("version")
-            if sort_by and name in sort_by:
-                out = out.repartitionByRange(*sort_by[name]).sortWithinPartitions(*sort_by[name])
-            after[name] = f"{name}-{uuid.uuid4().hex}"
-            out.write.parquet(f"{self.root}/{version}/{after[name]}")
-        self._point(version, {k: v for k, v in after.items()})
+        try:
+            for name, df in tables.items():
+                out = df.drop("version")
+                if sort_by and name in sort_by:
+                    out = out.repartitionByRange(*sort_by[name]).sortWithinPartitions(*sort_by[name])
+                after[name] = f"{name}-{uuid.uuid4().hex}"
+                out.write.parquet(f"{self.root}/{version}/{after[name]}")
+            self._point(version, after)
+        except Exception:
+            for name in after.keys() & tables.keys():  # what was written of a snapshot that never came
+                if after[name] != before.get(name):
+                    fs, path = self._fs(f"{self.root}/{version}/{after[name]}")
+                    fs.delete(path, True)
+            raise
         if kept == 1:
             self._clean(version, {*before.values(), *after.values()})
 

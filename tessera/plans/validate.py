@@ -55,15 +55,25 @@ def query(value: str | None) -> str:
     return q
 
 
-def limit(value: int | None, default: int = 20, most: int = MAX_LIMIT) -> int:
-    n = default if value is None else value
+def number(value: int | str | None, name: str, default: int) -> int:
+    """An integer from what a request holds; what isn't one is bad input, not a page that isn't there."""
+    if value is None or (isinstance(value, str) and not value.strip()):
+        return default
+    try:
+        return int(value)
+    except (TypeError, ValueError) as e:
+        raise InvalidInput(f"{name} must be an integer") from e
+
+
+def limit(value: int | str | None, default: int = 20, most: int = MAX_LIMIT) -> int:
+    n = number(value, "limit", default)
     if not 1 <= n <= most:
         raise InvalidInput(f"limit must be between 1 and {most}")
     return n
 
 
-def offset(value: int | None) -> int:
-    n = 0 if value is None else value
+def offset(value: int | str | None) -> int:
+    n = number(value, "offset", 0)
     if n < 0:
         raise InvalidInput("offset must not be negative")
     return n

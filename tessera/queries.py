@@ -760,6 +760,11 @@ def subject_counts(spark, sf):
     return J.counts(_subject_paths(spark, sf).select(J.by_path(F.col("path")).alias("subject")))
 
 
+@query("subjects_present", f"WITH p AS ({SUBJECT_PATH_SQL}) SELECT {RULE_SQL} AS name, count(*) AS docs FROM p GROUP BY ALL")
+def subjects_present(spark, sf):
+    return J.counts(_subject_paths(spark, sf).select(J.by_path(F.col("path")).alias("subject")), present=True)
+
+
 VOTES = ["rest", "kafka", "oidc", "metrics", "unknown", "docker", "http", "jwt"]
 TOPIC_VALUES = ", ".join(f"('{w}', '{s}')" for w, s in J.topic_table().items())
 

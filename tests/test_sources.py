@@ -78,6 +78,8 @@ def test_refresh_removes_keeps_and_turns_all_tables_at_once(spark, tmp_path, mon
     with pytest.raises(OSError):
         R.refresh_version(store, "1", pages(a="= A\nnine"))
     monkeypatch.undo()
+    left = {p.name for p in (tmp_path / "store" / "1").iterdir()}
+    assert not any(w.rsplit("/", 1)[1] in left for w in writes)  # nothing of the failed write stays
     assert len(writes) == 3 and before == {n: table(store, n) for n in before}
     assert R.refresh_version(store, "1", pages(a="= A\nnine")) and len(table(store, "raw")) == 1
 
