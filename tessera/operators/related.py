@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST, DEFAULT_LIMIT, MAX_LIMIT, MOST_SHARED = 0.05, 5, 20, 10
@@ -32,26 +32,45 @@ def related(pages: DataFrame, page: str, limit: int = DEFAULT_LIMIT, exact: bool
     return met.where(F.col("similarity") >= LEAST).orderBy(F.desc("similarity"), "page").limit(limit)
 
 
-def related_all(pages: DataFrame, k: int) -> DataFrame:
+def related_all(pages: DataFrame, k: int, rare: int = 100) -> DataFrame:
     """version, page, other, n_shared for the k pages of most shared tags of each page, ties by name.
 
-    Pages of equal tags are one class: the self-join runs over tags of classes, and only a class's k + 1 first pages by
-    name can be among anyone's k best, so no tag's pages are paired with each other.
+    A tag of at most ``rare`` pages pairs these pages, which costs so many rows a page and tag at most. More frequent tags
+    are few: pages with the same frequent tags are one class, classes meet over their tags, and only a class's k + 1 first
+    pages by name can be among anyone's k best that share frequent tags alone - a page that shares a rare one as well is
+    found by it, with all it shares, and stands before them. So no frequent tag's pages are paired with each other.
     """
-    from pyspark.sql import Window
+    tags = F.array_distinct(F.concat(F.transform("topics", lambda x: F.concat(F.lit("t:"), x)), F.transform("extensions", lambda x: F.concat(F.lit("e:"), x))))
+    rows = pages.select("version", "page", F.explode(tags).alias("tag"))
+    frequent = rows.groupBy("version", "tag").agg((F.count("*") > rare).alias("frequent"))
+    rows = rows.join(frequent, ["version", "tag"])
+    held = rows.groupBy("version", "page").agg(F.array_sort(F.collect_set(F.when(F.col("frequent"), F.col("tag")))).alias("common"))
+    held = held.withColumn("cls", F.xxhash64("version", "common"))
+    return _best(_by_rare(rows.where("not frequent"), held).unionByName(_by_classes(held.where("size(common) > 0"), k)), k)
 
-    tags = F.array_sort(F.array_distinct(F.concat(F.transform("topics", lambda x: F.concat(F.lit("t:"), x)), F.transform("extensions", lambda x: F.concat(F.lit("e:"), x)))))
-    keyed = pages.select("version", "page", tags.alias("tags")).where(F.size("tags") > 0)
-    classes = keyed.select("version", "tags").distinct().withColumn("cls", F.xxhash64("version", "tags"))
-    member = keyed.withColumn("cls", F.xxhash64("version", "tags"))
-    first = member.withColumn("rn", F.row_number().over(Window.partitionBy("cls", F.pmod(F.xxhash64("page"), F.lit(32))).orderBy("page"))).where(F.col("rn") <= k + 1)
+
+def _by_rare(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of pages that share a rare tag, with all that they share."""
+    one, two = rows.select("version", "tag", "page"), rows.select("version", "tag", F.col("page").alias("other"))
+    pairs = one.join(two, ["version", "tag"]).where("page <> other").groupBy("version", "page", "other").agg(F.count("*").alias("n"))
+    mine, theirs = held.select("version", "page", F.col("common").alias("x")), held.select("version", F.col("page").alias("other"), F.col("common").alias("y"))
+    both = pairs.join(mine, ["version", "page"]).join(theirs, ["version", "other"])
+    return both.select("version", "page", "other", (F.col("n") + F.size(F.array_intersect("x", "y"))).alias("n_shared"))
+
+
+def _by_classes(held: DataFrame, k: int) -> DataFrame:
+    """For each page the k + 1 best first pages of classes, by frequent tags."""
+    first = held.withColumn("rn", F.row_number().over(Window.partitionBy("cls", F.pmod(F.xxhash64("page"), F.lit(32))).orderBy("page"))).where(F.col("rn") <= k + 1)
     first = first.withColumn("rn", F.row_number().over(Window.partitionBy("cls").orderBy("page"))).where(F.col("rn") <= k + 1).select("cls", F.col("page").alias("other"))
-    exploded = classes.select("version", "cls", F.explode("tags").alias("tag"))
-    right = exploded.select("version", "tag", F.col("cls").alias("cls2"))
-    shared = exploded.join(right, ["version", "tag"]).groupBy("cls", "cls2").agg(F.count("*").alias("n_shared"))
+    exploded = held.select("version", "cls", "common").distinct().select("version", "cls", F.explode("common").alias("tag"))
+    shared = exploded.join(exploded.select("version", "tag", F.col("cls").alias("cls2")), ["version", "tag"]).groupBy("cls", "cls2").agg(F.count("*").alias("n_shared"))
     near = shared.join(first.withColumnRenamed("cls", "cls2"), "cls2").select("cls", "other", "n_shared")
     best = Window.partitionBy("cls").orderBy(F.desc("n_shared"), "other")
     near = near.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).drop("rn")
-    own = member.select("version", "page", "cls").join(near, "cls").where(F.col("page") != F.col("other"))
+    return held.select("version", "page", "cls").join(near, "cls").where(F.col("page") != F.col("other")).select("version", "page", "other", "n_shared")
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    pairs = pairs.groupBy("version", "page", "other").agg(F.max("n_shared").alias("n_shared"))
     mine = Window.partitionBy("version", "page").orderBy(F.desc("n_shared"), "other")
-    return own.withColumn("rn", F.row_number().over(mine)).where(F.col("rn") <= k).select("version", "page", "other", "n_shared")
+    return pairs.withColumn("rn", F.row_number().over(mine)).where(F.col("rn") <= k).select("version", "page", "other", "n_shared")

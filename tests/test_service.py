@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import index as I
+from tessera.operators import related as R
 from tessera.operators import search as S
 from tessera.operators import sections as X
 from tessera.plans import validate as V
@@ -75,6 +77,19 @@ def test_english_service(spark, service):
     assert S.combined(service.chunks.where("version = 'main'"), service.posts.where("version = 'main'"), "kafka", limit=1).first().page == "kafka"
 
 
+def test_related_pages_of_all_agree_with_all_pairs(spark):
+    random.seed(11)
+    for names, most, rare in ((30, 6, 4), (8, 4, 2), (60, 5, 100), (12, 5, 0)):
+        rows = [("v" if i % 3 else "w", f"p{random.randrange(1000):03d}x{i}", random.sample([f"t{min(random.randrange(names), random.randrange(names))}" for _ in range(most)], random.randint(0, most)), [f"e{random.randrange(4)}"] if random.random() < 0.7 else []) for i in range(90)]
+        got = {}
+        for r in R.related_all(spark.createDataFrame(rows, "version string, page string, topics array<string>, extensions array<string>"), 4, rare).collect():
+            got.setdefault((r.version, r.page), set()).add((r.other, r.n_shared))
+        for v, p, topics, extensions in rows:
+            mine = {("t", x) for x in topics} | {("e", x) for x in extensions}
+            near = [(-len(mine & ({("t", x) for x in t} | {("e", x) for x in e})), q) for w, q, t, e in rows if w == v and q != p]
+            assert got.get((v, p), set()) == {(q, -n) for n, q in sorted(near)[:4] if n}
+
+
 def test_static_and_status(service):
     assert {e["name"] for e in service.meta()["endpoints"]} >= {"search", "documents", "document", "batch", "related", "catalog", "syntax", "status"}
     assert {"tokenization", "stemming", "stopWords", "scoring", "fuzzyMatching", "unsupported", "examples", "tips"} <= set(service.syntax())
