@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,12 +10,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import thrifty
 from .shingles import U, mixed
 
 BLOCKS = 64
 SCHEMA = "block int, salt int, data binary"
 
 
+def _packed(part: np.ndarray) -> bytes:
+    """Compressed, the bytes of like weight together: integers of few digits are mostly zeros."""
+    data = np.ascontiguousarray(part.view(np.uint8).reshape(len(part), -1).T)
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, width: int = 8) -> np.ndarray:
+    """size bytes of integers of so many bytes each."""
+    flat = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, -1).T).ravel()
+
+
 def array_sum(df: DataFrame, length: int, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray:
     """The sum of what fill makes of each partition; length is a multiple of 64.
 
@@ -26,18 +38,18 @@ def array_sum(df: DataFrame, length: int, fill: Callable[[Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = fill(batches)
         if total is not None:
-            data = [zlib.compress(part.astype("<i8").tobytes(), 1) for part in total.reshape(BLOCKS, -1)]
+            data = [_packed(part) for part in total.astype("<i8").reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId() // 64] * BLOCKS, pa.int32()), pa.array(data, pa.binary())], ["block", "salt", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(length // BLOCKS, dtype=np.int64)
         for d in pdf["data"]:
-            total += np.frombuffer(zlib.decompress(d), dtype="<i8")
-        return pdf.iloc[:1].assign(data=[zlib.compress(total.astype("<i8").tobytes(), 1)])
+            total += _unpacked(d, 8 * len(total)).view("<i8")
+        return pdf.iloc[:1].assign(data=[_packed(total.astype("<i8"))])
 
     out = np.zeros((BLOCKS, length // BLOCKS), dtype=np.int64)
-    for row in df.mapInArrow(run, SCHEMA).groupBy("block", "salt").applyInPandas(add, SCHEMA).groupBy("block").applyInPandas(add, SCHEMA).collect():
-        out[row.block] = np.frombuffer(zlib.decompress(row.data), dtype="<i8")
+    for row in df.mapInArrow(thrifty(run), SCHEMA).groupBy("block", "salt").applyInPandas(add, SCHEMA).groupBy("block").applyInPandas(add, SCHEMA).collect():
+        out[row.block] = _unpacked(row.data, 8 * out.shape[1]).view("<i8")
     return out.ravel()
 
 
@@ -83,16 +95,16 @@ def id_filter(ids: DataFrame) -> IdFilter | None:
             values, some = batch.column(0).drop_null().to_numpy(), True
             _or_bits(packed, IdFilter.places(values, bits))
         if some:
-            data = [zlib.compress(part.tobytes(), 1) for part in packed.reshape(BLOCKS, -1)]
+            data = [_packed(part) for part in packed.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId() // 64] * BLOCKS, pa.int32()), pa.array(data, pa.binary())], ["block", "salt", "data"])
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, dtype=np.uint8)
         for d in pdf["data"]:
-            total |= np.frombuffer(zlib.decompress(d), dtype=np.uint8)
-        return pdf.iloc[:1].assign(data=[zlib.compress(total.tobytes(), 1)])
+            total |= _unpacked(d, block, 1)
+        return pdf.iloc[:1].assign(data=[_packed(total)])
 
     out = np.zeros((BLOCKS, block), dtype=np.uint8)
-    for row in ids.mapInArrow(fill, SCHEMA).groupBy("block", "salt").applyInPandas(unite, SCHEMA).groupBy("block").applyInPandas(unite, SCHEMA).collect():
-        out[row.block] = np.frombuffer(zlib.decompress(row.data), dtype=np.uint8)
+    for row in ids.mapInArrow(thrifty(fill), SCHEMA).groupBy("block", "salt").applyInPandas(unite, SCHEMA).groupBy("block").applyInPandas(unite, SCHEMA).collect():
+        out[row.block] = _unpacked(row.data, block, 1)
     return IdFilter(out.ravel())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,22 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import workers_find_package
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset on a single machine (tests) a temporary folder is made and set; on a cluster, whose executors
-    wouldn't see it, that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..plans.session import shared_dir, workers_find_package
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -42,8 +28,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Batches for Python workers are bounded by 8 MB, unless the session says otherwise: texts may be long, and a batch
+    exists several times, in the executor and in its worker."""
     workers_find_package(spark)
+    if spark.conf.get(ARROW_BYTES).rstrip("b") == str(64 << 20):
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -53,37 +50,90 @@ def partitions(spark: SparkSession) -> int:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (as long) and the text, under fixed names: other columns, and their names, can't clash."""
-    workers_find_package(df.sparkSession)
+    lean(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+@functools.cache
+def one_thread() -> None:
+    """A worker's matrix products take one thread each: a task has a core, and threads that wait for each other burn more."""
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:  # elsewhere than on Linux the library's own setting holds
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
+@functools.cache
+def _c_library() -> ctypes.CDLL | None:
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        return library if hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: allocators keep it otherwise, about as much again as a worker needs."""
+    pa.default_memory_pool().release_unused()
+    if (library := _c_library()) is not None:
+        library.malloc_trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with freed memory given back after every few megabytes of input, and at the end: workers outlive their tasks."""
+
+    def pulled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            done += batch.nbytes
+            yield batch
+            if done >= every:
+                done = 0
+                del batch
+                give_back()
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pulled(batches))
+        give_back()
+
+    return inner
+
+
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow by place: run gets and gives columns in order, whatever they are called."""
     plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(thrifty(run), plain).toDF(*schema.names)
+
 
+SALTS, LEAST_HOT = 64, 200
 
-SALTS = 64
 
+def hot_keys(table: DataFrame, *keys: str, count: str | None = None) -> list[int]:
+    """Hashes of the keys that more than a thousandth of a written table's rows have, and more than a few: at most a thousand.
+    count: a column that says how many rows a row stands for."""
+    rows = table.agg(F.sum(count) if count else F.count("*")).first()[0] or 0
+    n = table.groupBy(*keys).agg((F.sum(count) if count else F.count("*")).alias("_n")).where(F.col("_n") > max(LEAST_HOT, rows / 1000))
+    return [r[0] for r in n.select(F.xxhash64(*keys)).distinct().collect()]
 
-def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], hot: DataFrame, spread_by: list[str | Column], how: str = "inner") -> DataFrame:
-    """big joined with small on the key columns, where the keys in hot, each with more than a thousandth of big's rows, are salted.
 
-    hot has fewer than a thousand rows by its meaning, so it is broadcast; small repeats a hot key's rows for each salt.
-    """
+def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], hot: list[int], spread_by: list[str | Column], how: str = "inner") -> DataFrame:
+    """big joined with small on the key columns; big's rows of the keys in hot are salted, and small's repeated for each salt."""
     keys = [key] if isinstance(key, str) else key
-    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    left = big.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(marked, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    if not hot:
+        return big.join(small, keys, how)
+    among = F.xxhash64(*keys).isin(hot)
+    left = big.withColumn("_salt", F.when(among, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(0).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.when(among, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def hot_keys(table: DataFrame, key: str) -> DataFrame:
-    """The keys that more than a thousandth of a written table's rows have: fewer than a thousand."""
-    return table.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * 1000 > table.count()).select(key)
-
-
 def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 200_000) -> Iterator[pa.Table]:
     """Tables of whole keys from batches that are sorted by them: a worker holds some rows and one key's, not its partition."""
     held, rows = [], 0

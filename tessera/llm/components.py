@@ -18,7 +18,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = links.select("a", "b").where("a <> b")
     both = written(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
-    hubs = written(hot_keys(both, "b"), "hubs")
+    hubs = hot_keys(both, "b")
     for _ in range(most_rounds):
         near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", hubs, ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         least = written(labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("next")), "labels")

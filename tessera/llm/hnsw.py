@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import workers_find_package
-from .common import load, written
+from .common import load, thrifty, written
 
 M, WIDE, EF_BUILD, EF_SEARCH = 16, 32, 80, 160
 SHARD_ROWS, MOST_SHARD_ROWS, SHARDS, QUERY_BLOCK, TOP_NORMS = 8192, 1 << 17, 64, 1024, 32
@@ -249,7 +249,7 @@ def distinct_vectors(src: DataFrame, k: int) -> DataFrame:
         if known:
             yield rows()
 
-    return src.mapInArrow(run, "dim int, data binary, ids array<long>").withColumn("h", F.xxhash64("data"))
+    return src.mapInArrow(thrifty(run), "dim int, data binary, ids array<long>").withColumn("h", F.xxhash64("data"))
 
 
 def _dump(**arrays: np.ndarray) -> bytes:
@@ -338,7 +338,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
                     shard = Held(batch.column(6)[stop].as_py())
                 at = stop + 1
 
-    hits = rows.mapInArrow(find, FOUND)
+    hits = rows.mapInArrow(thrifty(find), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

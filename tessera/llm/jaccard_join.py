@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import array_sum, id_filter
-from .common import hot_keys, id_text, load, salted_join, whole_keys, written
+from .common import hot_keys, id_text, load, salted_join, thrifty, whole_keys, written
 from .components import components
 from .shingles import SEED, Shingler, U, mixed
 
@@ -139,7 +139,7 @@ def signatures(src: DataFrame, known: Sketch, size: int, percent: int, seed: int
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([batch.column(0), batch.column(2), n, *rows], schema, strict=True)], schema=schema)
 
-    return src.withColumn("th", F.xxhash64("text")).mapInArrow(run, SIGNATURE)
+    return src.withColumn("th", F.xxhash64("text")).mapInArrow(thrifty(run), SIGNATURE)
 
 
 def _check(s: np.ndarray) -> int:
@@ -205,7 +205,7 @@ def token_rows(sig: DataFrame) -> DataFrame:
                 key = np.frombuffer(b"".join(prefix), dtype=np.int64) ^ _turn(_sub(g, doubled))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(g), pa.array(meta)], ["key", "gid", "meta"])
 
-    return sig.select("gid", "n", "prefix", "dealt").mapInArrow(run, "key long, gid long, meta long")
+    return sig.select("gid", "n", "prefix", "dealt").mapInArrow(thrifty(run), "key long, gid long, meta long")
 
 
 def _sub(gid: np.ndarray, doubled: np.ndarray) -> np.ndarray:
@@ -258,7 +258,7 @@ def with_pivots(rows: DataFrame, percent: int) -> DataFrame:
             zero = np.zeros(pair.shape[1], dtype=np.int64)
             yield _rows(0, zero, zero, pair[0], zero, zero, pair[1])
 
-    return rows.mapInArrow(run, "kind int, tok long, sub int, gid long, n int, pos int, other long")
+    return rows.mapInArrow(thrifty(run), "kind int, tok long, sub int, gid long, n int, pos int, other long")
 
 
 def _rows(kind: int, tok, sub, gid, n, pos, other) -> pa.RecordBatch:
@@ -296,7 +296,7 @@ def bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
             seen = np.unique(seen, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(seen[0]), pa.array(seen[1])], ["g1", "g2"])
 
-    return rows.mapInArrow(run, "g1 long, g2 long")
+    return rows.mapInArrow(thrifty(run), "g1 long, g2 long")
 
 
 def texts_of(src: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
@@ -326,7 +326,7 @@ def texts_of(src: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, s
                     zipped.append(zlib.compress(text.as_buffer(), 3))
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(zipped, pa.binary())], ["sid", "zipped"])
 
-    return src.mapInArrow(run, "sid long, zipped binary")
+    return src.mapInArrow(thrifty(run), "sid long, zipped binary")
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -345,7 +345,7 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             good &= may_link(n1, bits1.to_pylist(), n2, bits2.to_pylist(), percent)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(good)), b.filter(pa.array(good))], ["a", "b"])
 
-    return written(both.select("a", "b", "n1", "bits1", "n2", "bits2").mapInArrow(run, "a long, b long"), "promising")
+    return written(both.select("a", "b", "n1", "bits1", "n2", "bits2").mapInArrow(thrifty(run), "a long, b long"), "promising")
 
 
 def large_promising(rows: DataFrame, percent: int) -> DataFrame:
@@ -364,7 +364,7 @@ def large_promising(rows: DataFrame, percent: int) -> DataFrame:
                 good[bucket] = _has_partner(n[bucket], comp[bucket], [bits[i] for i in bucket.tolist()], percent)
             yield from t.select(["tok", "low", "high", "sub", "sid", "comp"]).filter(pa.array(good)).to_batches()
 
-    return rows.select("tok", "low", "high", "sub", "sid", "comp", "n", "bits").mapInArrow(run, "tok long, low int, high int, sub int, sid long, comp long")
+    return rows.select("tok", "low", "high", "sub", "sid", "comp", "n", "bits").mapInArrow(thrifty(run), "tok long, low int, high int, sub int, sid long, comp long")
 
 
 def _has_partner(n: np.ndarray, comp: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
@@ -416,7 +416,7 @@ def large_links(rows: DataFrame, size: int, percent: int, seed: int) -> DataFram
                     a, b = (sid[bucket[[x[i] for x in links]]] for i in (0, 1))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(thrifty(run), "a long, b long")
 
 
 def _bucket_links(shingler: Shingler, zipped: pa.Array, comp: np.ndarray, percent: int, at_once: int = 6_000_000) -> list[tuple[int, int]]:
@@ -501,7 +501,7 @@ def verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int, seed:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
+    return written(both.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long").distinct(), "links")
 
 
 def by_bucket(rows: DataFrame, *keys: str) -> DataFrame:
@@ -573,9 +573,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             comp = components(links.union(late))
     whole = written(classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", "copies", F.coalesce("comp", "sid").alias("comp")), "whole")
     named = salted_join(whole, whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp", hot_keys(whole, "comp"), ["sid"]).select("sid", "comp", "component_id")
-    # a set that more than a thousandth of all rows have is salted; there are fewer than a thousand of them
-    rows_in_all = whole.agg(F.sum("copies")).first()[0] or 0
-    hot = whole.where(F.col("copies") * 1000 > rows_in_all).select("sid")
+    hot = hot_keys(whole, "sid", count="copies")
     own = some.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid")
     out = salted_join(own, named, "sid", hot, [F.spark_partition_id()]).drop("sid")
     alone = sig.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
@@ -631,7 +629,7 @@ def link_counts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     both = links.union(links.select("b", "a")).toDF("sid", "other")
     linked = both.join(of.toDF("other", "others"), "other").groupBy("sid").agg(F.sum("others").alias("others"))
     each = of.join(linked, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    hot = of.where(F.col("copies") * 1000 > (of.agg(F.sum("copies")).first()[0] or 0)).select("sid")
+    hot = hot_keys(of, "sid", count="copies")
     out = salted_join(rows.where("sid is not null"), each, "sid", hot, [F.spark_partition_id()]).select("doc_id", "n_shingles", "n_links")
     return out.unionByName(rows.where("sid is null").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links")))
 
@@ -661,8 +659,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     plain = plain.withColumn("_passes", named(key))
     some = plain.where("_passes").select("_row", F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("th").alias("_th"))
-    gone = marked.agg(F.sum("count")).first()[0] or 0
-    hot = marked.where(F.col("count") * 1000 > gone).select(*ident)
+    hot = hot_keys(marked, *ident, count="count")
     met = salted_join(some, marked.select(*ident, "_stays"), ident, hot, [F.spark_partition_id()], "left").where("_stays is null or _stays")
     once = met.where("_stays").groupBy(*ident).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     kept = [plain.where("not _passes").select("_row.*"), met.where("_stays is null").select("_row.*"), once.select("_row.*")]
@@ -671,3 +668,15 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"))
+
+
+#: op9's rows in SQL: all pairs that share a shingle, and everything that can be reached over links.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(reached.other) AS component_id FROM documents d JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""

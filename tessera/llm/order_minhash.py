@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, load, written
+from .common import id_text, load, thrifty, written
 
 K, M, ELL = 8, 32, 2
 U = np.uint64
@@ -166,7 +166,7 @@ def fingerprints(docs: DataFrame, k: int = K, m: int = M, ell: int = ELL) -> Dat
 
     src = id_text(docs).withColumn("tie", F.xxhash64("text"))
     dealt = src.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    done = written(dealt.mapInArrow(run, INNER), "order-minhash")
+    done = written(dealt.mapInArrow(thrifty(run), INNER), "order-minhash")
     firsts = done.where("kind = 1").select("pid", F.col("text").alias("after"))
     pids = sorted(r[0] for r in firsts.select("pid").collect())  # one number a partition
     turn = done.sparkSession.createDataFrame(list(zip(pids, [*pids[1:], *pids[:1]], strict=True)), "pid int, next int")

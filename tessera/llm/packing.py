@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, load, written
+from .common import id_text, load, thrifty, written
 from .tokens import chunks, encoder
 
 CAPACITY = 4096
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: in
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return id_text(docs).mapInArrow(run, PIECES)
+    return id_text(docs).mapInArrow(thrifty(run), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, piece: int = 256, windows: int = 256) -> DataFrame:

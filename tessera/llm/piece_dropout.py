@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_text, load
+from .common import id_text, load, thrifty
 from .segments import MOST_BYTES, SegmentTable, spread
 from .shingles import U, byte_chunks, mixed
 from .tokens import chunks, vocabulary_path
@@ -326,7 +326,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float =
             for a, b in chunks(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(encode_many(texts[a:b]), pa.binary())], ["doc_id", "ids"])
 
-    return id_text(docs).mapInArrow(run, ENCODED)
+    return id_text(docs).mapInArrow(thrifty(run), ENCODED)
 
 
 def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
@@ -345,7 +345,7 @@ def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: flo
                     ["doc_id", "n_chars", "n_tokens", "ids_crc32", "lossless"],
                 )
 
-    return id_text(docs).mapInArrow(run, RESULT)
+    return id_text(docs).mapInArrow(thrifty(run), RESULT)
 
 
 def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, load, table_path
+from .common import id_text, load, table_path, thrifty
 from .segments import spread
 from .tokens import chunks, encoder
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
-GAIN, LEAST, SHARE = 1 / 256, 8, 64
+GAIN, LEAST, SHARE = 1 / 100, 8, 64
 HASH_BITS = 19
 
 
@@ -214,7 +214,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
 
     src = id_text(docs).withColumn("tie", F.xxhash64("text"))
     dealt = src.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    dealt.mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(thrifty(run), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -239,7 +239,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for n, e in zip(shard.n_ids.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(at + ends - shard.n_ids), pa.array(shard.n_ids), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("at", "data").mapInArrow(run, READ)
+    return placed.select("at", "data").mapInArrow(thrifty(run), READ)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

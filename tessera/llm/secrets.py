@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import workers_find_package
-from .common import id_text, load, map_rows
+from .common import id_text, load, map_rows, thrifty
 
 KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -233,7 +233,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], FOUND.replace(" long", "").replace(" string", "").replace(" double", "").split(", "))
 
-    return id_text(docs).mapInArrow(run, FOUND)
+    return id_text(docs).mapInArrow(thrifty(run), FOUND)
 
 
 def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:

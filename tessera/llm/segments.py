@@ -109,7 +109,7 @@ class _Column:
     def add(self, values: np.ndarray) -> None:
         need = self.used + len(values)
         if need > len(self.data):
-            self.data = np.concatenate([self.data[: self.used], np.zeros(max(need, len(self.data)), dtype=self.data.dtype)])
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(need - self.used, len(self.data) // 2), dtype=self.data.dtype)])
         self.data[self.used : need] = values
         self.used = need
 
@@ -118,9 +118,11 @@ class _Entries:
     """Segments with their bytes and ids; a segment's place is found by its hash."""
 
     def __init__(self) -> None:
-        self.keys, self.entry = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-        self.head, self.tail, self.n_bytes, self.at_byte, self.raw = _Column("u8"), _Column("u8"), _Column("i8"), _Column("i8"), _Column("u1")
-        self.n_ids, self.at_id, self.ids = _Column("i8"), _Column("i8"), _Column("u4")
+        self.keys, self.entry = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int32)
+        self.head, self.tail, self.n_bytes = _Column("u8"), _Column("u8"), _Column("i4")
+        #: the bytes of segments that the two don't hold
+        self.at_byte, self.raw = _Column("i4"), _Column("u1")
+        self.n_ids, self.at_id, self.ids = _Column("i4"), _Column("i4"), _Column("u4")
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -135,19 +137,30 @@ class _Entries:
         return first
 
     def add(self, keys: np.ndarray, head: np.ndarray, tail: np.ndarray, raw: np.ndarray, n_bytes: np.ndarray, parts: np.ndarray, length: np.ndarray) -> None:
-        """keys ascending; raw and parts: all their bytes and all their ids one after another."""
+        """keys ascending; raw and parts: the bytes of those that are long, and all ids, one after another."""
         place, new = np.searchsorted(self.keys, keys), np.arange(len(keys)) + self.head.used
         self.keys, self.entry = np.insert(self.keys, place, keys), np.insert(self.entry, place, new)
-        self.at_byte.add(self.raw.used + np.cumsum(n_bytes) - n_bytes)
+        held = np.where(n_bytes > SHORT, n_bytes, 0)
+        self.at_byte.add(self.raw.used + np.cumsum(held) - held)
         for column, values in ((self.head, head), (self.tail, tail), (self.n_bytes, n_bytes), (self.raw, raw), (self.at_id, self.add_ids(parts, length)), (self.n_ids, length)):
             column.add(values)
 
+    @property
+    def full(self) -> bool:
+        return self.ids.used > MOST_HELD or self.raw.used > MOST_HELD
+
+
+#: What an entry's first two numbers hold of its bytes.
+SHORT = 16
+#: Ids, or bytes, of a table at most: places are 32-bit.
+MOST_HELD = 1 << 26
+
 
 class SegmentTable:
     """Ids by segment: found by a 64-bit hash, and told apart by their bytes, which the table keeps. Segments that share a
     hash with another one are encoded where they occur. Beyond most entries a new table is begun, beside the last one."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 700_000):
         self.encode, self.most = encode, most
         self.now, self.older = _Entries(), None
 
@@ -155,7 +168,7 @@ class SegmentTable:
         """Whether each range of bytes is the segment of the entry."""
         now, n = self.now, stop - start
         out = (now.n_bytes.data[at] == n) & (now.head.data[at] == head) & (now.tail.data[at] == tail)
-        long = np.flatnonzero(out & (n > 16))
+        long = np.flatnonzero(out & (n > SHORT))
         if len(long):
             m = n[long]
             equal = now.raw.data[spread(now.at_byte.data[at[long]], m)] == data[spread(start[long], m)]
@@ -167,7 +180,7 @@ class SegmentTable:
 
     def ids_of(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, the number of ids of each range of bytes). text_of: strings of places in start."""
-        if len(self.now.keys) > self.most:
+        if len(self.now.keys) > self.most or self.now.full:
             self.now, self.older = _Entries(), self.now
         keys, head, tail = self.hashes(data, start, stop)
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
@@ -178,13 +191,15 @@ class SegmentTable:
             some, at = at >= 0, at[at >= 0]
             if len(at):
                 n, m = old.n_bytes.data[at], old.n_ids.data[at]
-                now.add(unique[missing[some]], old.head.data[at], old.tail.data[at], old.raw.data[spread(old.at_byte.data[at], n)], n, old.ids.data[spread(old.at_id.data[at], m)], m)
+                long = n > SHORT
+                now.add(unique[missing[some]], old.head.data[at], old.tail.data[at], old.raw.data[spread(old.at_byte.data[at[long]], n[long])], n, old.ids.data[spread(old.at_id.data[at], m)], m)
                 missing = missing[~some]
         if len(missing):
             at = first[missing]
             made = self.encode(text_of(at))
             n = stop[at] - start[at]
-            now.add(unique[missing], head[at], tail[at], data[spread(start[at], n)], n, np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(d) // 4 for d in made], dtype=np.int64))
+            long = n > SHORT
+            now.add(unique[missing], head[at], tail[at], data[spread(start[at[long]], n[long])], n, np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(d) // 4 for d in made], dtype=np.int64))
         at = now.find(unique)[inverse]
         length, place = now.n_ids.data[at], now.at_id.data[at]
         odd = np.flatnonzero(~self.same(data, start, stop, head, tail, at))

@@ -7,7 +7,6 @@ hashes, each times its place's constant, mixed again.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -16,7 +15,6 @@ import pyarrow as pa
 
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_INVERSE = pow(_P, -1, 1 << 64)
 SEED = 20240
 #: Bytes that are worked on together; a longer text is alone.
 CHUNK = 1 << 20
@@ -58,25 +56,6 @@ def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int
     return h, heads[0], heads[1]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-@functools.lru_cache(maxsize=1)
-def shared_powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse for a chunk of bytes: one pair of arrays for all that a worker runs."""
-    return _powers(_P, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
-
-
-def _byte_values() -> np.ndarray:
-    values = mixed(np.arange(1, 257, dtype=U) * U(_P) + U(SEED))
-    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
-
-_VALUE = _byte_values()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -98,7 +77,10 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def byte_chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(a, b, bytes, offsets) for ranges of whole texts of about so many bytes together; a longer text is alone."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if texts.type != pa.large_string():
+        texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     a = 0

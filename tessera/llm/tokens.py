@@ -19,6 +19,8 @@ import pyarrow as pa
 from .segments import MOST_BYTES, SegmentTable, flagged, lowered, odd_space, split_words, trailing, words
 from .shingles import byte_chunks
 
+#: Segments kept. Packing runs where the pipeline's other stages have left their memory, and so keeps fewer.
+MOST_SEGMENTS = {True: 700_000, False: 250_000}
 LOWER = r"a-z\xdf-\xf6\xf8-\xff"
 LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 SIMPLE = {True: re.compile(rf" [{LETTER}]+"), False: re.compile(rf"[{LOWER}]+")}
@@ -57,7 +59,7 @@ class SegmentEncoder:
         self.byte_level, self.simple = byte_level, SIMPLE[byte_level].fullmatch
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.table = SegmentTable(self._encode_segments)
+        self.table = SegmentTable(self._encode_segments, MOST_SEGMENTS[byte_level])
         vocab = self.tokenizer.get_vocab()
         #: ids that open a segment (byte level: a space) or close one (a word's end)
         self.mark = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -100,7 +102,7 @@ class SegmentEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for a, b, data, offsets in byte_chunks(pa.array(texts, pa.large_string()), MOST_BYTES):
+        for a, b, data, offsets in byte_chunks(pa.array(texts, pa.large_string()), MOST_BYTES if self.byte_level else MOST_BYTES // 2):
             odd = flagged(odd_space(data) if self.byte_level else data >= 0xC4, offsets)
             if not self.byte_level:
                 data = lowered(data)

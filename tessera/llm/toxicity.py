@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import array_sum
-from .common import id_text, load, map_rows, written
+from .common import id_text, load, map_rows, thrifty, written
 from .shingles import _LOWER, CHUNK, SEED, U, byte_chunks, runs, span_hashes
 
 # The fixed lexicon (fixed values): insults in English.
@@ -254,7 +254,7 @@ def scores(docs: DataFrame, weight: np.ndarray, bias: float) -> DataFrame:
             score = scorer(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return src.mapInArrow(run, SCORED)
+    return src.mapInArrow(thrifty(run), SCORED)
 
 
 def mark_toxic(docs: DataFrame, weight: np.ndarray, bias: float, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
