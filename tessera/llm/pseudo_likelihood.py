@@ -1,17 +1,25 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Every word of a document is predicted from the words on both sides of it (``SIDE`` each way), itself masked. The output
-is two-level: the network gives the probability of the word's class, and the corpus counts the word's share of its
-class; classes are runs of the frequency order with about equal shares of all words. Every distinct word is counted, and
-has its own class and share; words that were never counted share one. A document's score is the sum of the conditional
-log-probabilities of all its words.
-
-Training: counts come from all documents. In each of ``ROUNDS`` rounds the partitions start from the same network, run
-mini-batches of Adam over every window of their texts, and their networks are averaged by their numbers of windows, in
-sums of fixed size. Texts are streamed: a chunk's windows are made and shuffled as they are trained on, and none are kept.
-
-Words are as in the shingle operators: runs of non-space after A-Z become a-z; a word is known by its 64-bit hash. As a
-neighbour in a window, where it is an input of the network, it has the embedding of a bucket of its hash.
+Every word of a document is predicted from the words on both sides of it (``SIDE`` each way), itself masked. A document's
+score is the sum of the conditional log-probabilities of all its words.
+
+The items that the network tells apart are the ``KNOWN`` most frequent words of at least ``LEAST`` occurrences and, for
+all other words, cells by their hashes. An item's probability is that of its class (a softmax over runs of the frequency
+order of about equal shares) times those of the turns on its way down a binary tree over the class's items; both depend
+on the context, every inner node has a vector of its own, and the tree's turns start from the exact corpus counts. A
+word in a cell has its exact count's share of the cell. So probabilities are over words and sum to one. The counts of
+all distinct words stay distributed: words in cells meet them in a join; what the driver and the workers hold is bounded.
+
+Training: counts come from all documents, and every window of every document is trained on once. In each of ``ROUNDS``
+rounds the partitions start from the same network, run mini-batches of Adam over the windows of the documents that
+belong to the round (by their texts' hashes), and their networks are averaged: dense layers by the numbers of windows, a
+word's or node's vector by how often each partition met it. Texts are streamed: a chunk's windows are made and shuffled
+as they are trained on, and none are kept.
+
+``held_log_prob`` leaves a document's own occurrences out of the counts of the words in cells; ``n_unknown`` is the number
+of its words that no other document holds, in so far as they are in cells (a document that occurs twice has none).
+
+Words are as in the shingle operators: runs of non-space after A-Z become a-z; a word is known by its 64-bit hash.
 Edge cases: null, empty and wordless texts have no words and score 0; repeated rows score alike; null doc_ids are
 kept; an empty table gives no rows, and the untrained network; other columns are ignored.
 """
@@ -22,132 +30,183 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import array_sum
-from .common import id_text, load
-from .shingles import _INVERSE, _P, _SPACE, _VALUE, CHUNK, U, _powers, byte_chunks, mixed, runs, shared_powers
+from .common import id_text, load, one_thread, thrifty, written
+from .segments import spread
+from .shingles import CHUNK, U, byte_chunks, word_hashes
 
-BITS = 15
-BUCKETS, CLASSES, DIM, HIDDEN, SIDE = 1 << BITS, 64, 12, 32, 2
-ROUNDS, BATCH, RATE = 2, 512, 0.004
+KNOWN, LEAST, MOST_CELLS = 1 << 15, 32, 1 << 12
+CLASSES, DIM, HIDDEN, TURN, SIDE = 64, 12, 32, 8, 2
+ROUNDS, BATCH, RATE, SPARSE_RATE = 2, 2048, 0.004, 0.1
 HELD = 128 * BATCH  # windows that are made at once
 MOST_HELD = 1 << 20  # distinct words that a task holds while it counts
-PAD = BUCKETS
 FIXED = 1 << 24  # parameters are summed as fixed-point integers
 
 
-class Words:
-    """Hashes of the words of each text of a chunk."""
+def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, hashes of all words, where each text's words start and the last one's end) for ranges of texts."""
+    for a, b, data, offsets in byte_chunks(texts, CHUNK):
+        yield a, b, *word_hashes(data, offsets)
 
-    def __init__(self) -> None:
-        self.up, self.down = shared_powers()
 
-    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(a, b, hashes of all words, where each text's words start and the last one's end)."""
-        for a, b, data, offsets in byte_chunks(texts, CHUNK):
-            n = len(data)
-            up, down = (self.up, self.down) if n < len(self.up) else (_powers(_P, n + 1), _powers(_INVERSE, n + 1))
-            start, stop = runs(~_SPACE[data], offsets)
-            sums = np.zeros(n + 1, dtype=U)
-            np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-            yield a, b, mixed((sums[stop] - sums[start]) * down[start]), np.searchsorted(start, offsets)
-
-
-def buckets(words: np.ndarray) -> np.ndarray:
-    return (words >> U(64 - BITS)).astype(np.int32)
-
-
-def windows(words: np.ndarray, bound: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(len(at), 2 SIDE): the words around each position, PAD beyond the text."""
+def windows(items: np.ndarray, bound: np.ndarray, at: np.ndarray, pad: int) -> np.ndarray:
+    """(len(at), 2 SIDE): the items around each position, pad beyond the text."""
     doc = np.searchsorted(bound, at, "right") - 1
+    first, last = bound[doc], bound[doc + 1]
     out = np.empty((len(at), 2 * SIDE), dtype=np.int32)
     for c, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         place = at + d
-        inside = (place >= bound[doc]) & (place < bound[doc + 1])
-        out[:, c] = np.where(inside, words[np.clip(place, 0, len(words) - 1)], PAD)
+        inside = (place >= first) & (place < last)
+        out[:, c] = np.where(inside, items[np.clip(place, 0, len(items) - 1)], pad)
     return out
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's class, and the log of its share in the class."""
-    order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order] + 1e-3)
-    label = np.empty(len(counts), dtype=np.int32)
-    label[order] = np.minimum(CLASSES - 1, (CLASSES * (mass - counts[order]) / mass[-1]).astype(np.int32))
-    size = counts + 0.5  # unseen words have a share as well
-    total = np.bincount(label, weights=size, minlength=CLASSES)
-    return label, np.log(size / total[label])
+class Vocabulary:
+    """The items: known words by hash, then cells; their classes, and the ways to them through the classes' trees.
+
+    words, counts: known words and their counts; cell_counts, cell_words: all other words' counts and numbers, by cell.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, cell_counts: np.ndarray, cell_words: np.ndarray):
+        order = np.argsort(words)
+        self.keys, known = np.append(words[order], U((1 << 64) - 1)), len(words)
+        self.known, self.cells = known, len(cell_counts)
+        self.size = known + self.cells
+        #: a cell's share for a word of count c is (c + 1/2) over this; words that were never counted share one half
+        self.cell_total = cell_counts + 0.5 * (cell_words + 1)
+        self.mass = np.concatenate([counts[order].astype(np.float64), self.cell_total])
+        bits = max(1, known.bit_length() + 1)
+        self.shift = U(64 - bits)
+        #: where the keys of each leading bits start: hashes are even, so the place is a step or two away
+        self.first = np.searchsorted(self.keys[:known], np.arange(1 << bits, dtype=U) << self.shift).astype(np.int32)
+        self._classes()
+        self._trees()
+
+    def _classes(self) -> None:
+        """Runs of the frequency order with about equal shares."""
+        self.order = np.argsort(-self.mass, kind="stable")
+        total = np.cumsum(self.mass[self.order])
+        self.label = np.empty(self.size, dtype=np.int32)
+        run = np.minimum(CLASSES - 1, CLASSES * (total - self.mass[self.order]) / total[-1]).astype(np.int32)
+        run = np.cumsum(np.concatenate(([0], run[1:] != run[:-1])))  # a word of several shares leaves none empty
+        self.label[self.order], self.classes = run, int(run[-1]) + 1
+
+    def _trees(self) -> None:
+        """Halving each class's run: a node is the place where a run is cut; the way to an item is its nodes and turns."""
+        label = self.label[self.order]
+        total = np.concatenate(([0.0], np.cumsum(self.mass[self.order])))
+        place = np.arange(self.size)
+        low, high = np.searchsorted(label, label), np.searchsorted(label, label, "right")
+        self.prior = np.zeros(self.size, dtype=np.float32)
+        nodes, turns, owners = [], [], []
+        at = np.flatnonzero(high - low > 1)
+        while len(at):
+            middle = (low[at] + high[at]) >> 1
+            self.prior[middle] = np.log((total[high[at]] - total[middle]) / (total[middle] - total[low[at]]))
+            right = place[at] >= middle
+            nodes.append(middle), turns.append(right), owners.append(self.order[at])
+            low[at[right]], high[at[~right]] = middle[right], middle[~right]
+            at = at[high[at] - low[at] > 1]
+        owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
+        by = np.argsort(owner, kind="stable")
+        self.node = (np.concatenate(nodes) if nodes else owner)[by].astype(np.int32)
+        self.turn = (np.concatenate(turns) if turns else owner)[by].astype(np.float32)
+        self.depth = np.bincount(owner, minlength=self.size)
+        self.way = np.cumsum(self.depth) - self.depth
+
+    def cell_of(self, words: np.ndarray) -> np.ndarray:
+        return (words >> U(64 - self.cells.bit_length() + 1)).astype(np.int64)
+
+    def items(self, words: np.ndarray) -> np.ndarray:
+        """The item of each word: its own, or its cell's."""
+        at = self.first[words >> self.shift]
+        going = np.flatnonzero(self.keys[at] < words)
+        while len(going):
+            at[going] += 1
+            going = going[self.keys[at[going]] < words[going]]
+        return np.where((self.keys[at] == words) & (at < self.known), at, self.known + self.cell_of(words)).astype(np.int32)
 
 
 class Network:
-    """Embeddings of the window, one hidden layer, and scores of the classes; parameters are one flat float32 array."""
-
-    SHAPES = [(BUCKETS + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
-    SIZE = sum(int(np.prod(s)) for s in SHAPES)
-
-    def __init__(self, flat: np.ndarray):
-        self.flat, self.parts, at = flat, [], 0
-        for shape in self.SHAPES:
-            n = int(np.prod(shape))
-            self.parts.append(flat[at : at + n].reshape(shape))
+    """Embeddings of the window, one hidden layer, scores of the classes, and a vector for each node of the trees;
+    parameters are one flat float32 array."""
+
+    def __init__(self, known: Vocabulary, flat: np.ndarray | None = None, seed: int = 5):
+        size = known.size
+        self.shapes = [(size + 1, DIM), (size, TURN), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, known.classes), (known.classes,)]
+        sizes = [int(np.prod(s)) for s in self.shapes]
+        self.size, self.sparse = sum(sizes), sizes[0] + sizes[1]
+        fresh = flat is None
+        self.flat, self.parts, at = np.zeros(self.size, dtype=np.float32) if fresh else flat, [], 0
+        for shape, n in zip(self.shapes, sizes, strict=True):
+            self.parts.append(self.flat[at : at + n].reshape(shape))
             at += n
-
-    @classmethod
-    def fresh(cls, seed: int = 5) -> Network:
-        rng = np.random.default_rng(seed)
-        out = cls(np.zeros(cls.SIZE, dtype=np.float32))
-        e, w, _, v, _ = out.parts
-        e[:-1] = rng.normal(0, 0.3, (BUCKETS, DIM))
-        w[:] = rng.normal(0, (2 * SIDE * DIM) ** -0.5, w.shape)
-        v[:] = rng.normal(0, HIDDEN**-0.5, v.shape)
-        return out
-
-    def log_classes(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e, w, b, v, c = self.parts
-        x = e[around].reshape(len(around), -1)
-        h = np.tanh(x @ w + b)
-        z = h @ v + c
-        z -= z.max(axis=1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float = RATE, batch: int = BATCH, state: Moments | None = None) -> None:
-        """One pass of Adam over the windows in the given order; embeddings by Adagrad on the rows that occur.
-
-        state carries on a pass whose windows come in several calls.
-        """
-        e, w, b, v, c = self.parts
-        state = state or Moments(self)
-        for at in range(0, len(target), batch):
-            some, y = around[at : at + batch], target[at : at + batch]
-            flat = some.ravel()
-            x = e.take(flat, axis=0).reshape(len(y), -1)
-            h = np.tanh(x @ w + b)
-            g = h @ v + c
-            g -= g.max(axis=1, keepdims=True)
-            np.exp(g, out=g)
-            g /= g.sum(axis=1, keepdims=True)
-            g[np.arange(len(y)), y] -= 1
-            g /= len(y)
-            back = (g @ v.T) * (1 - h * h)
-            grads = [x.T @ back, back.sum(axis=0), h.T @ g, g.sum(axis=0)]
+        if fresh:
+            rng, (e, _, w, _, v, _) = np.random.default_rng(seed), self.parts
+            e[:-1] = rng.normal(0, 0.3, (size, DIM))
+            w[:] = rng.normal(0, (2 * SIDE * DIM) ** -0.5, w.shape)
+            v[:] = rng.normal(0, HIDDEN**-0.5, v.shape)
+
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e, _, w, b, _, _ = self.parts
+        x = e.take(around.ravel(), axis=0).reshape(len(around), -1)
+        return x, np.tanh(x @ w + b)
+
+    def classes(self, h: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes: a row for each class, a column for each row of h."""
+        z = self.parts[4].T @ h.T
+        z += self.parts[5][:, None]
+        z -= z.max(axis=0)
+        np.exp(z, out=z)
+        z /= z.sum(axis=0)
+        return z
+
+    def turns(self, h: np.ndarray, items: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For every node on the ways to the items: (row, node, its vector, the row's part of h, the score of a right turn)."""
+        depth = known.depth[items]
+        row, at = np.repeat(np.arange(len(items)), depth), spread(known.way[items], depth)
+        node = known.node[at]
+        vector, t = self.parts[1].take(node, axis=0), h[:, :TURN].take(row, axis=0)
+        return row, node, vector, t, known.prior[node] + np.einsum("ij,ij->i", vector, t), known.turn[at]
+
+    def log_items(self, around: np.ndarray, items: np.ndarray, known: Vocabulary) -> np.ndarray:
+        """The log-probability of each item in its window."""
+        _, h = self.hidden(around)
+        p = self.classes(h)[known.label[items], np.arange(len(items))]
+        row, _, _, _, z, turn = self.turns(h, items, known)
+        lost = np.log1p(np.exp(np.where(turn > 0, -z, z)))
+        return np.log(p) - np.bincount(row, lost, minlength=len(items))
+
+    def train(self, around: np.ndarray, items: np.ndarray, known: Vocabulary, state: Moments) -> None:
+        """One pass over the windows in the given order: Adam, and Adagrad on the vectors that occur. state carries on a
+        pass whose windows come in several calls."""
+        e, u, w, b, v, c = self.parts
+        for first in range(0, len(items), BATCH):
+            some, y = around[first : first + BATCH], items[first : first + BATCH]
+            n = len(y)
+            x, h = self.hidden(some)
+            g = self.classes(h)
+            g[known.label[y], np.arange(n)] -= 1
+            g /= n
+            up = g.T @ v.T
+            row, node, vector, t, z, turn = self.turns(h, y, known)
+            miss = ((1 / (1 + np.exp(-z)) - turn) / n).astype(np.float32)
+            if len(row):
+                starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                up[row[starts], :TURN] += np.add.reduceat(miss[:, None] * vector, starts, axis=0)
+            back = up * (1 - h * h)
             state.t += 1
-            for p, q, m, s in zip(self.parts[1:], grads, state.first, state.second, strict=True):
+            for p, q, m, s in zip(self.parts[2:], [x.T @ back, back.sum(axis=0), (g @ h).T, g.sum(axis=1)], state.first, state.second, strict=True):
                 m += 0.1 * (q - m)
                 s += 0.01 * (q * q - s)
-                p -= rate * (m / (1 - 0.9**state.t)) / (np.sqrt(s / (1 - 0.99**state.t)) + 1e-8)
-            order = np.argsort(flat)
-            rows = flat[order]
-            new = np.concatenate(([True], rows[1:] != rows[:-1]))
-            rows, place = rows[new], np.empty(len(flat), dtype=np.int64)
-            place[order] = np.cumsum(new) - 1
-            cell = (place[:, None] * DIM + np.arange(DIM)).ravel()
-            total = np.bincount(cell, (back @ w.T).ravel()).reshape(-1, DIM).astype(np.float32)
-            total[rows == PAD] = 0
-            state.seen[rows] += np.einsum("ij,ij->i", total, total) / DIM
-            e[rows] = e.take(rows, axis=0) - 0.1 * total / (np.sqrt(state.seen[rows])[:, None] + 1e-8)
+                p -= RATE * (m / (1 - 0.9**state.t)) / (np.sqrt(s / (1 - 0.99**state.t)) + 1e-8)
+            state.step(0, e, some.ravel(), (back @ w.T).reshape(-1, DIM))
+            state.step(1, u, node, miss[:, None] * t)
+            e[-1] = 0
 
 
 class Moments:
@@ -155,33 +214,37 @@ class Moments:
 
     def __init__(self, net: Network):
         self.t = 0
-        self.first = [np.zeros_like(p) for p in net.parts[1:]]
-        self.second = [np.zeros_like(p) for p in net.parts[1:]]
-        self.seen = np.zeros(len(net.parts[0]), dtype=np.float32)
-
-
-class Vocabulary:
-    """All counted words' classes and shares, found by hash; the last place is that of all words that weren't counted."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        n = len(keys)
-        self.keys = np.append(keys[order], U((1 << 64) - 1))
-        self.counts = np.append(counts[order], 0)
-        label, share = classes_of(self.counts)
-        self.label, self.share = label.astype(np.int8), share.astype(np.float32)
-        bits = max(1, n.bit_length())
-        self.shift = U(64 - bits)
-        #: where the keys of each leading bits start: hashes are even, so the place is a step or two away
-        self.first = np.searchsorted(self.keys[:n], np.arange(1 << bits, dtype=U) << self.shift).astype(np.int32)
-
-    def places(self, words: np.ndarray) -> np.ndarray:
-        at = self.first[words >> self.shift]
-        going = np.flatnonzero(self.keys[at] < words)
-        while len(going):
-            at[going] += 1
-            going = going[self.keys[at[going]] < words[going]]
-        return np.where(self.keys[at] == words, at, len(self.keys) - 1)
+        self.first = [np.zeros_like(p) for p in net.parts[2:]]
+        self.second = [np.zeros_like(p) for p in net.parts[2:]]
+        self.squares = [np.zeros(len(p), dtype=np.float32) for p in net.parts[:2]]
+        self.met = [np.zeros(len(p), dtype=np.int64) for p in net.parts[:2]]
+        self.mark = [np.zeros(len(p), dtype=bool) for p in net.parts[:2]]
+        self.place = [np.zeros(len(p), dtype=np.uint16) for p in net.parts[:2]]
+
+    def step(self, k: int, table: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        """Adagrad on the rows of a table that occur; fewer than 65,536 of them at once."""
+        mark, place = self.mark[k], self.place[k]
+        mark[at] = True
+        rows = np.flatnonzero(mark)
+        if not len(rows):
+            return
+        mark[rows] = False
+        place[rows] = np.arange(len(rows), dtype=np.uint16)
+        own = place[at]
+        order = np.argsort(own, kind="stable")  # of short integers: by radix
+        own = own[order]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        count = np.diff(np.append(starts, len(own)))
+        grad = grad.take(order, axis=0)
+        total = grad.take(starts, axis=0)
+        several = np.flatnonzero(count > 1)  # most rows occur once
+        if len(several):
+            n = count[several]
+            total[several] = np.add.reduceat(grad.take(spread(starts[several], n), axis=0), np.cumsum(n) - n, axis=0)
+        self.met[k][rows] += count
+        square = self.squares[k][rows] + np.einsum("ij,ij->i", total, total) / table.shape[1]
+        self.squares[k][rows] = square
+        table[rows] -= SPARSE_RATE * total / (np.sqrt(square)[:, None] + 1e-8)
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,17 +255,17 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return every[first], np.add.reduceat(some, first)
 
 
-def word_counts(src: DataFrame) -> Vocabulary:
-    """The exact count of every distinct word. The driver gets 16 bytes for each."""
+def word_counts(src: DataFrame) -> DataFrame:
+    """word, n: the exact count of every distinct word; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keys, counts, held = Words(), [], [], 0
+        keys, counts, held = [], [], 0
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["word", "n"])
 
         for batch in batches:
-            for _, _, w, _ in words.chunks(batch.column(0)):
+            for _, _, w, _ in words_of(batch.column(0)):
                 if not len(w):
                     continue
                 k, c = np.unique(w, return_counts=True)
@@ -218,74 +281,127 @@ def word_counts(src: DataFrame) -> Vocabulary:
             keys, counts = ([x] for x in summed(keys, counts))
             yield rows()
 
-    got = src.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    return Vocabulary(got.column("word").to_numpy().view(U), got.column("n").to_numpy())
+    return written(src.select("text").mapInArrow(thrifty(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def train(src: DataFrame, known: Broadcast, rounds: int = ROUNDS) -> Network:
-    """The averaged network after all rounds; known: the vocabulary, broadcast. The driver holds one network at a time."""
-    spark = src.sparkSession
-    net = Network.fresh()
-    length = -(-(Network.SIZE + 1) // 64) * 64
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The driver gets KNOWN words and the sums of the cells."""
+    top = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    words, n = top.column("word").to_numpy().view(U), top.column("n").to_numpy()
+    cells = 1 << min(MOST_CELLS.bit_length() - 1, max(6, ((counts.count() - len(words)) // 8).bit_length()))
+    bits = cells.bit_length() - 1
+    total, number = np.zeros(cells), np.zeros(cells)
+    for r in counts.groupBy(F.shiftrightunsigned("word", 64 - bits).alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        total[r.cell], number[r.cell] = r.n, r.words
+    mine = (words >> U(64 - bits)).astype(np.int64)
+    return Vocabulary(words, n, total - np.bincount(mine, n, minlength=cells), number - np.bincount(mine, minlength=cells))
+
+
+def train(src: DataFrame, shared: Broadcast, rounds: int = ROUNDS) -> Network:
+    """The averaged network after all rounds; shared: the vocabulary. The driver holds one network at a time."""
+    size = shared.value.size
+    net = Network(shared.value)
+    length = -(-(net.size + 2 * size + 2) // 64) * 64
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(net.flat)
+        start = src.sparkSession.sparkContext.broadcast(net.flat)
 
-        def fill(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> np.ndarray | None:
-            vocabulary, local, n = known.value, Network(shared.value.copy()), 0
-            state, words, rng = Moments(local), Words(), np.random.default_rng(r)
+        def fill(batches: Iterator[pa.RecordBatch], r: int = r, start: Broadcast = start) -> np.ndarray | None:
+            one_thread()
+            known, n = shared.value, 0
+            local = Network(known, start.value.copy())
+            state, rng = Moments(local), np.random.default_rng(r)
             for batch in batches:
-                for _, _, w, bound in words.chunks(batch.column(0)):
-                    order, label, near = rng.permutation(len(w)), vocabulary.label[vocabulary.places(w)], buckets(w)
+                for _, _, w, bound in words_of(batch.column(0)):
+                    order, items = rng.permutation(len(w)), known.items(w)
                     for x in range(0, len(w), HELD):
                         at = order[x : x + HELD]
-                        local.train(windows(near, bound, at), label[at], state=state)
+                        local.train(windows(items, bound, at, size), items[at], known, state)
                     n += len(w)
             if not n:
                 return None
+            # changes, each weighted by how often its parameter was met
+            change = np.round(np.clip((local.flat - start.value).astype(np.float64), -1e2, 1e2) * FIXED)
             out = np.zeros(length, dtype=np.int64)
-            out[: Network.SIZE] = np.round(np.clip(local.flat.astype(np.float64), -1e3, 1e3) * FIXED) * n / (1 << 10)
-            out[Network.SIZE] = n
+            weight = [np.repeat(np.minimum(m, 1 << 20), p.shape[1]) for m, p in zip(state.met, local.parts[:2], strict=True)]
+            out[: local.sparse] = change[: local.sparse] / (1 << 10) * np.concatenate(weight)
+            out[local.sparse : local.size] = change[local.sparse :] / (1 << 10) * n
+            out[local.size : local.size + 2 * size + 1] = np.concatenate([np.minimum(m, 1 << 20) for m in state.met])
+            out[local.size + 2 * size + 1] = n
             return out
 
-        total = array_sum(src.select("text"), length, fill)
-        shared.unpersist()
-        if total[Network.SIZE]:
-            net = Network((total[: Network.SIZE].astype(np.float64) * (1 << 10) / FIXED / total[Network.SIZE]).astype(np.float32))
+        share = src.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r) if rounds > 1 else src
+        total = array_sum(share.select("text"), length, fill).astype(np.float64)
+        start.unpersist()
+        n = total[net.size + 2 * size + 1]
+        if n:
+            met = total[net.size : net.size + 2 * size + 1]
+            weight = np.concatenate([np.repeat(met[: size + 1], DIM), np.repeat(met[size + 1 :], TURN), np.full(net.size - net.sparse, n)])
+            net = Network(shared.value, (net.flat + total[: net.size] * (1 << 10) / FIXED / np.maximum(1, weight)).astype(np.float32))
     return net
 
 
-SCORED = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
+PARTS = "kind int, row long, doc_id long, n_tokens long, log_prob double, word long, times int"
 
 
-def score(docs: DataFrame, net: Network, known: Broadcast) -> DataFrame:
-    """doc_id, n_tokens, log_prob (the sum over all words), mean_log_prob (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(net.flat)
+def scored(src: DataFrame, net: Network, shared: Broadcast) -> DataFrame:
+    """kind 0: a document's row, number of words and the log-probability of its items; kind 1: a word in a cell that the
+    document of the row has, and how often. Written, so that row numbers are the same for all who read them."""
+    size, start = shared.value.size, src.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net, words = known.value, Network(shared.value), Words()
+        one_thread()
+        known, net = shared.value, Network(shared.value, start.value)
+        less = np.concatenate([np.zeros(known.known), np.log(known.cell_total)])
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            size, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
-            for a, b, w, bound in words.chunks(batch.column(1)):
-                place, near = vocabulary.places(w), buckets(w)
-                label, share = vocabulary.label[place], vocabulary.share[place]
-                logp = np.empty(len(w) + 1)
+            ids = batch.column(0)
+            for a, b, w, bound in words_of(batch.column(1)):
+                items = known.items(w)
+                logp = np.empty(len(w))
                 for x in range(0, len(w), 8192):
                     at = np.arange(x, min(x + 8192, len(w)))
-                    _, _, z = net.log_classes(windows(near, bound, at))
-                    logp[at] = z[np.arange(len(at)), label[at]] + share[at]
-                logp[-1] = 0
-                sums = np.concatenate(([0], np.cumsum(logp[:-1])))
-                size[a:b], total[a:b] = np.diff(bound), sums[bound[1:]] - sums[bound[:-1]]
-            mean = np.divide(total, size, out=np.zeros_like(total), where=size > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total), pa.array(mean, mask=size == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return id_text(docs).mapInArrow(run, SCORED)
+                    logp[at] = net.log_items(windows(items, bound, at, size), items[at], known)
+                sums = np.concatenate(([0.0], np.cumsum(logp - less[items])))
+                rows, n = row + np.arange(b - a), np.diff(bound)
+                none = pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, dtype=np.int32)), pa.array(rows), ids.slice(a, b - a), pa.array(n), pa.array(sums[bound[1:]] - sums[bound[:-1]]), none, none.cast(pa.int32())], NAMES)
+                rare = np.flatnonzero(items >= known.known)
+                doc = np.searchsorted(bound, rare, "right") - 1
+                order = np.argsort(w[rare])
+                order = order[np.argsort(doc[order].astype(np.uint16) if b - a < 1 << 16 else doc[order], kind="stable")]
+                doc, word = doc[order], w[rare][order]
+                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])))) if len(doc) else np.zeros(0, dtype=np.int64)
+                times = np.diff(np.append(first, len(doc))).astype(np.int32)
+                none = pa.nulls(len(first), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), dtype=np.int32)), pa.array(rows[doc[first]]), none, none, none.cast(pa.float64()), pa.array(word[first].view(np.int64)), pa.array(times)], NAMES)
+                row += b - a
+
+    return written(src.mapInArrow(thrifty(run), PARTS), "scored")
+
+
+NAMES = [c.split()[0] for c in PARTS.split(", ")]
+
+
+def score(docs: DataFrame, net: Network, shared: Broadcast, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_prob (the sum over all words), mean_log_prob (null without words), held_log_prob, n_unknown."""
+    parts = scored(id_text(docs), net, shared)
+    n, times = F.coalesce("n", F.lit(0)), F.col("times")
+    rare = parts.where("kind = 1").select("row", "word", "times").join(counts, "word", "left")
+    rare = rare.groupBy("row").agg(
+        F.sum(times * F.log(n + 0.5)).alias("own"),
+        F.sum(times * F.log(F.greatest(n - times, F.lit(0)) + 0.5)).alias("held"),
+        F.sum(F.when(n <= times, times).otherwise(0)).alias("n_unknown"),
+    )
+    out = parts.where("kind = 0").select("row", "doc_id", "n_tokens", "log_prob").join(rare, "row", "left").na.fill(0, ["own", "held", "n_unknown"])
+    total = F.col("log_prob") + F.col("own")
+    return out.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"), (F.col("log_prob") + F.col("held")).alias("held_log_prob"), F.col("n_unknown").cast("long").alias("n_unknown"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     src = id_text(docs)
-    known = src.sparkSession.sparkContext.broadcast(word_counts(src))
-    return score(docs, train(src, known), known)
+    counts = word_counts(src)
+    shared = src.sparkSession.sparkContext.broadcast(vocabulary(counts))
+    return score(docs, train(src, shared), shared, counts)
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
