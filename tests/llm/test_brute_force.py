@@ -1,8 +1,11 @@
 """Operators against brute force, exact round trips and held-out labels, on small tables."""
 
 import hashlib
+import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,7 +14,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import hnsw, jaccard_join, order_minhash, packing, piece_dropout, pseudo_likelihood, registry, repair, secrets, toxicity
+from tessera.llm import arrays, common, hnsw, jaccard_join, order_minhash, packing, piece_dropout, pseudo_likelihood, registry, repair, secrets, toxicity
 from tessera.llm.shingles import span_hashes
 from tessera.llm.tokens import SegmentEncoder, vocabulary_path
 
@@ -136,6 +139,16 @@ def test_shards_decode_at_random_places():
             assert np.array_equal(shard.ids(i, a, b), p[a:b])
 
 
+def test_grammar_goes_on_while_it_pays():
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 3000, 2000).astype("<u4")
+    copies = [text.tobytes()] * 64
+    few, whole = (repair.Shard(repair.compress(list(range(64)), copies, gain=g)) for g in (repair.GAIN, 0.0))
+    for shard in (few, whole):
+        assert np.array_equal(shard.whole(), np.tile(text, 64)) and shard.length.max() > 500 and len(shard.symbols) < 64 * 8
+    assert (whole.n_symbols == 2).all()  # one rule, and the end, which stays a symbol of its own
+
+
 def test_packing_is_whole_and_tight(spark, sf, docs):
     tok = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
     pieces, used = defaultdict(list), defaultdict(list)
@@ -159,6 +172,15 @@ def test_packing_is_whole_and_tight(spark, sf, docs):
     assert lost < 0.05 * total
 
 
+def test_repeated_rows_are_dealt_over_groups(spark):
+    df = spark.createDataFrame([(7, "one document that very many rows repeat " * 40)] * 6000, "doc_id long, text string")
+    rows = packing.pack(df, windows=16).collect()
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert len({r.sequence_id >> 32 for r in rows}) > 8 and max(used.values()) <= 4096 and sum(r.start == 0 for r in rows) == 6000
+
+
 def test_differencing_is_even():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 1000, 400)
@@ -181,6 +203,42 @@ def test_order_minhash_by_plain_code(spark, sf, docs):
         assert r.near_next == (omh.signature(d.text) == omh.signature(after)).mean()
 
 
+def plain_signature(text, k=8, m=32, ell=2, seed=1):
+    """Order MinHash from its definition, with Python's integers."""
+    p, mix, full = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (1 << 64) - 1
+
+    def stir(x):
+        x = (x ^ x >> 30) * mix[0] & full
+        x = (x ^ x >> 27) * mix[1] & full
+        return x ^ x >> 31
+
+    if not text:
+        return [0] * m
+    seen, numbered = defaultdict(int), []
+    for i in range(max(1, len(text) - k + 1)):
+        gram = text[i : i + k]
+        name = stir((len(gram) + sum(ord(c) * pow(p, j, 1 << 64) for j, c in enumerate(gram))) & full) >> 24
+        numbered.append((stir((name * p + seen[name] * mix[1]) & full), i))
+        seen[name] += 1
+    out = []
+    for j in range(m):
+        flip, times = stir((seed + j) * p & full), stir((seed + m + j) * p & full) | 1
+        least = sorted(numbered, key=lambda g: (g[0] ^ flip) * times & full)[:ell]
+        h = len(least)
+        for g, _ in sorted(least, key=lambda g: g[1]):
+            h = stir((h * p + g) & full)
+        out.append(h >> 32)
+    return out
+
+
+def test_order_minhash_follows_its_definition():
+    random.seed(6)
+    texts = ["", "a", "abcdefg", "abcdefgh", "aaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabcabc"] + ["".join(random.choice("abcde é漢😀") for _ in range(random.randint(1, 300))) for _ in range(25)]
+    omh = order_minhash.OrderMinHash()
+    for text in texts:
+        assert omh.signature(text).tolist() == plain_signature(text), text
+
+
 def test_order_minhash_feels_order():
     omh = order_minhash.OrderMinHash(m=64)
     random.seed(5)
@@ -222,15 +280,31 @@ def near_copies(n, seed, length=60, edits=5):
     return out
 
 
-@pytest.mark.parametrize(("sub_bucket", "large"), [(4096, 48), (4, 2)])
-def test_jaccard_equals_all_pairs(spark, docs, monkeypatch, sub_bucket, large):
+@pytest.mark.parametrize(("sub_bucket", "large", "least_hot", "most_bits"), [(4096, 48, 200, 1 << 29), (4, 2, 200, 1 << 29), (4, 2, 1, 1)])
+def test_jaccard_equals_all_pairs(spark, docs, monkeypatch, sub_bucket, large, least_hot, most_bits):
+    """Also with dealt buckets, salted keys, and joins in place of filters."""
     monkeypatch.setattr(jaccard_join, "SUB_BUCKET", sub_bucket)
     monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(common, "LEAST_HOT", least_hot)
+    monkeypatch.setattr(arrays.IdFilter, "MOST", most_bits)
     texts = [r.text for r in docs[:60]] + near_copies(90, 1) + near_copies(40, 2, 30, 3) + ["same words here again and again"] * 5
     want, sizes = classes(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in jaccard_join.jaccard_components(df).collect()}
     assert [got[i].component_id for i in range(len(texts))] == want and [got[i].n_shingles for i in range(len(texts))] == sizes
+    repeated = df.unionAll(df.where("doc_id % 7 = 0")).repartition(3)  # rows that repeat, in several partitions
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(repeated).collect()) == sorted(set(want))
+
+
+def test_whole_keys_come_together():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 40, 5000))
+    keys[1000:4000] = keys[1000]
+    keys.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 70])], ["k"]) for a in range(0, 5000, 70)]
+    got = [t.column("k").to_numpy() for t in common.whole_keys(iter(batches), ["k"], least=300)]
+    assert np.array_equal(np.concatenate(got), keys) and len(got) > 3
+    assert all(not set(a) & set(b) for i, a in enumerate(got) for b in got[i + 1 :]) and list(common.whole_keys(iter([]), ["k"])) == []
 
 
 def test_jaccard_query(spark, sf, docs):
@@ -239,6 +313,16 @@ def test_jaccard_query(spark, sf, docs):
     assert [got[d.doc_id] for d in docs] == [docs[i].doc_id for i in want]
 
 
+def test_jaccard_query_equals_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.sql(registry.oracle_sql()["op9_jaccard_join"])
+    rows = jaccard_join.op9_jaccard_join(spark, sf).collect()
+    assert sorted(want.columns) == sorted(rows[0].asDict()) and sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(tuple(r) for r in want.select("doc_id, n_shingles, component_id").fetchall())
+
+
 def test_secrets_by_plain_patterns(spark, sf, docs):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     cases = ['API_KEY = "abc123xyz"', "token=a token=token:abcdef", "AKIA" + "A" * 15, "AKIA" + "Z" * 16, "f" * 23 + " " + "0" * 24, "ſecret=abcdef password: hunter22", "passphrase is xK9$mQ2vLp!", "é password=é password=abcdef"]
@@ -261,6 +345,62 @@ def test_guess_costs():
         assert cost(a + b) <= cost(a) + cost(b) + 1e-9
 
 
+def plain_guess_cost(value):
+    """The same segmentation, every edge of every place followed to its end."""
+    S, n, low = secrets, len(value), value.lower()
+    plain, best, pick = low.translate(S.LEET), [0.0] + [math.inf] * len(value), math.log10(6)
+    spoken, vowel, cluster = re.compile(r"[A-Za-z]?[a-z]{2,13}"), re.compile("[aeiouyAEIOUY]"), re.compile("[^aeiouyAEIOUY]{5}")
+    for i in range(n):
+        edges = [(i + 1, S._brute(value[i]))]
+        for j in range(i + 3, min(n, i + S.LONGEST_WORD) + 1):
+            word, leet = S.RANK.get(low[i:j]), S.RANK.get(plain[i:j])
+            if word or leet:
+                edges.append((j, pick + math.log10((word or leet) + 1) + 0.3 * (value[i:j] != low[i:j]) + 0.6 * (not word)))
+        if m := spoken.match(value, i):
+            edges += [(j, pick + 4.0) for j in range(i + 3, m.end() + 1) if vowel.search(value, i, j) and not cluster.search(value, i, j)]
+        if m := S.DATE.match(value, i):
+            edges.append((m.end(), pick + math.log10(365 * 120 if m.end() - i > 4 else 120)))
+        for width in range(1, 9):
+            j = i + width
+            while j + width <= n and value[j : j + width] == value[i : i + width]:
+                j += width
+                if width > 1:
+                    edges.append((j, pick + sum(map(S._brute, value[i : i + width])) + math.log10((j - i) / width)))
+                elif j - i >= 3:
+                    edges.append((j, pick + math.log10(94 * (j - i))))
+        j, turns = i + 1, 0
+        while j < n and j < i + 64 and low[j] in S.NEAR.get(low[j - 1], ()):
+            turns += j - i < 2 or ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
+            j += 1
+            if j - i >= 4:
+                edges.append((j, pick + math.log10(47 * (j - i)) + 0.7 * turns))
+        for j, cost in edges:
+            best[j] = min(best[j], best[i] + cost)
+    return best[n]
+
+
+def test_guess_costs_are_those_of_a_plain_program():
+    random.seed(9)
+    parts = ["password", "p@ss", "qwerty", "asdf", "1234", "19871204", "2020", "aaaa", "abab", "Tr0ub", "zxcv", "é", "bcdfg", "stormy", "$", "Q", "7", "==", "ab1", "summer", "x"]
+    for _ in range(400):
+        value = "".join(random.choice(parts) for _ in range(random.randint(0, 8)))
+        assert abs(secrets.guess_cost(value) - plain_guess_cost(value)) < 1e-9, value
+    for _ in range(25):
+        value = "".join(random.choice(parts) * random.choice([1, 1, 1, random.randint(1, 150)]) for _ in range(4))
+        assert abs(secrets.guess_cost(value) - plain_guess_cost(value)) < 1e-9, value
+
+
+def test_long_values_take_linear_time(spark):
+    began = time.time()
+    assert secrets.guess_cost("a" * 1_000_000) < 9 and secrets.guess_cost("ab" * 200_000) < 12
+    assert time.time() - began < 8
+    began = time.time()
+    spans, most = secrets.find_spans("password=" + "a" * 1_000_000 + " token: " + "qwertyuiop" * 2000)
+    assert time.time() - began < 8 and spans[0] == (0, 1_000_009, "assign") and most > 9
+    df = spark.createDataFrame([(1, "pwd => " + "z" * 100_000)], "doc_id long, text string")
+    assert secrets.secret_spans(df).first().n_guess == 0  # one character, repeated
+
+
 def test_mask(spark):
     text = "x token=abcdef1234567890abcdef1234567890 y"
     r = secrets.mask_secrets(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars long")).first()
@@ -302,6 +442,57 @@ def test_dropout_zero_is_the_library_and_all_decode(docs):
     assert a == some.encode_many(texts) and sum(x != y for x, y in zip(a, b, strict=True)) > 0.5 * len(docs)
 
 
+def plain_agenda(model, segment, key, dropout):
+    """The agenda as one list: the best candidate is taken out, and merged unless its own draw skips it."""
+    parts = [(i, i + 1, int(x)) for i, x in enumerate(model.symbols(segment))]
+    gone, ordinary = set(), {i: p for i, p in enumerate(model.pieces)}
+    by_name = {ordinary[int(i)]: int(i) for i in model.join} | model.char
+    while True:
+        best = None
+        for (a, m, x), (_, e, y) in zip(parts[:-1], parts[1:], strict=True):
+            if x < model.size and y < model.size and (a, m, e) not in gone and (piece := by_name.get(ordinary[x] + ordinary[y])) is not None:
+                if best is None or model.rank[piece] < best[0]:
+                    best = (model.rank[piece], a, m, e, piece)
+        if best is None:
+            return model.with_bytes(np.array([x for *_, x in parts], dtype=np.int64)).astype("<u4").tobytes()
+        _, a, m, e, piece = best
+        one = np.array([a]), np.array([m]), np.array([e])
+        if dropout and piece_dropout.skipped(np.array([key], dtype=np.uint64), piece_dropout.candidate(*one), dropout)[0]:
+            gone.add((a, m, e))
+            continue
+        at = next(i for i, p in enumerate(parts) if p[0] == a)
+        parts[at : at + 2] = [(a, e, piece)]
+
+
+def test_dropout_is_that_of_a_plain_agenda(docs):
+    model = piece_dropout.PieceModel("piece_bpe_32k.model")
+    segments = [t.replace(" ", "▁") for t in odd_texts(150) if t] + ["▁" + w for r in docs[:4] for w in r.text.split()[:150]] + ["a" * 90, "漢字かな" * 30]
+    key = np.random.default_rng(2).integers(0, 1 << 63, len(segments), dtype=np.uint64)
+    for dropout in (0.0, 0.1, 0.5):
+        want = [plain_agenda(model, s, k, dropout) for s, k in zip(segments, key, strict=True)]
+        assert model.encode_segments(segments, key, dropout) == want
+        assert [model.encode_long(s, int(k), dropout) for s, k in zip(segments, key, strict=True)] == want
+        ways = model.encode_segments(segments, key, dropout, True)
+        assert ways == [model.encode_long(s, int(k), dropout, True) for s, k in zip(segments, key, strict=True)]
+
+
+def test_what_is_kept_changes_no_draw(docs):
+    encoder = piece_dropout.DropoutEncoder("piece_bpe_32k.model", 0.2, seed=9)
+    text = " ".join(r.text for r in docs[:3])
+    (got,) = encoder.encode_many([text])
+    salt = np.array([zlib.crc32(text.encode())], dtype=np.uint64) * np.uint64(0x1_0001) + np.uint64(9 * 1_000_003)
+    segments = re.findall("▁+[^▁\n\t]*|[\n\t]+|[^▁\n\t]+", ("▁" + text.replace(" ", "▁")))
+    key = piece_dropout.mixed(piece_dropout.mixed(np.repeat(salt, len(segments))) + np.arange(len(segments)).astype(np.uint64))
+    assert got == b"".join(plain_agenda(encoder.model, s, k, 0.2) for s, k in zip(segments[:300], key, strict=False)) + got[sum(len(plain_agenda(encoder.model, s, k, 0.2)) for s, k in zip(segments[:300], key, strict=False)) :]
+
+
+def test_long_segments_take_linear_time():
+    encoder = piece_dropout.DropoutEncoder("piece_bpe_32k.model", 0.1)
+    text, began = "".join(chr(0x4E00 + i * 7 % 5000) for i in range(100_000)), time.time()
+    (ids,) = encoder.encode_many([text])
+    assert time.time() - began < 20 and encoder.model.decode(np.frombuffer(ids, dtype="<u4").astype(np.int64)) == text
+
+
 def test_each_occurrence_draws_its_own_dropout():
     encoder = piece_dropout.DropoutEncoder("piece_bpe_32k.model", 0.3, seed=3)
     texts = [f"{i} configuration" for i in range(300)] + ["configuration " * 300]
@@ -382,44 +573,190 @@ def test_links_are_all_pairs_within_the_threshold(spark):
     assert counts == {i: sum(i in p for p in near) for i in range(len(sets))}
 
 
-def test_every_window_trains_the_network(spark):
+def words_in(text):
+    return np.concatenate([w for _, _, w, _ in pseudo_likelihood.words_of(pa.array([text]))])
+
+
+def small_vocabulary(n=300, cells=16, seed=0):
+    rng = np.random.default_rng(seed)
+    words = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    return pseudo_likelihood.Vocabulary(words, rng.zipf(1.5, len(words)).clip(1, 10_000) + 31, rng.integers(0, 500, cells).astype(float), rng.integers(0, 9, cells).astype(float))
+
+
+def random_network(known, seed=1):
+    net, rng = pseudo_likelihood.Network(known), np.random.default_rng(seed)
+    net.flat += rng.normal(0, 0.3, net.size).astype(np.float32)
+    return net
+
+
+def test_probabilities_are_those_of_plain_loops_and_sum_to_one():
+    known = small_vocabulary()
+    net, rng = random_network(known), np.random.default_rng(2)
+    items, bound = rng.integers(0, known.size, 9).astype(np.int32), np.array([0, 2, 9])
+    around = pseudo_likelihood.windows(items, bound, np.arange(9), known.size)
+    got = net.log_items(around, items, known)
+    e, u, w, b, v, c = (p.astype(np.float64) for p in net.parts)
+
+    def way(item):  # halve the item's class until it is alone
+        run = [i for i in known.order.tolist() if known.label[i] == known.label[item]]
+        first = int(np.flatnonzero(known.label[known.order] == known.label[item])[0])
+        low, high = first, first + len(run)
+        while high - low > 1:
+            cut = (low + high) // 2
+            mass = lambda x, y: sum(known.mass[i] for i in known.order[x:y])
+            right = run.index(item) + first >= cut
+            yield cut, math.log(mass(cut, high) / mass(low, cut)), right
+            low, high = (cut, high) if right else (low, cut)
+
+    def log_p(ids, item):
+        h = np.tanh(np.concatenate([e[k] for k in ids]) @ w + b)
+        z = h @ v + c
+        out = z[known.label[item]] - math.log(sum(math.exp(x) for x in z))
+        for cut, prior, right in way(item):
+            score = prior + float(u[cut] @ h[: pseudo_likelihood.TURN])
+            out -= math.log1p(math.exp(-score if right else score))
+        return out
+
+    for i in range(9):
+        doc = 0 if i < 2 else 1
+        ids = [items[j] if bound[doc] <= j < bound[doc + 1] else known.size for j in (i - 2, i - 1, i + 1, i + 2)]
+        assert list(around[i]) == ids and abs(log_p(ids, int(items[i])) - got[i]) < 1e-4
+    every = np.arange(known.size, dtype=np.int32)
+    assert abs(np.exp(net.log_items(np.repeat(around[:1], known.size, axis=0), every, known)).sum() - 1) < 1e-4
+
+
+def test_gradients_lower_the_loss_of_every_part():
+    known = small_vocabulary(120, 8)
+    rng = np.random.default_rng(3)
+    around = rng.integers(0, known.size + 1, (4096, 4)).astype(np.int32)
+    items = (around[:, 1] * 7 % known.size).astype(np.int32)  # the word follows from its neighbour
+    net = pseudo_likelihood.Network(known)
+    state = pseudo_likelihood.Moments(net)
+    before, old = net.log_items(around, items, known).mean(), net.flat.copy()
+    for _ in range(15):
+        net.train(around, items, known, state)
+    after = net.log_items(around, items, known).mean()
+    assert after > before + 1 and all(m.any() for m in state.met)
+    assert (net.parts[1] != 0).any() and (net.flat != old).mean() > 0.5 and (net.parts[0][-1] == 0).all()
+
+
+def test_every_window_trains_the_network_once(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(20)] + [(99, "lone"), (100, None)], "doc_id long, text string").coalesce(1)
     src = df.select("text")
-    known = spark.sparkContext.broadcast(pseudo_likelihood.word_counts(src))
-    net, fresh = pseudo_likelihood.train(src, known, rounds=1), pseudo_likelihood.Network.fresh()
-    words = pseudo_likelihood.Words()
-    used = np.unique(np.concatenate([w[bound[0] : bound[20]] for _, _, w, bound in words.chunks(pa.array([r.text for r in df.collect()]))]))
-    moved = (net.parts[0] != fresh.parts[0]).any(axis=1)
-    used = pseudo_likelihood.buckets(used)
-    assert moved[used].all()  # each word is a neighbour in some window, and each of its windows is trained on
-
-
-def test_every_word_has_its_own_count_and_share(spark):
-    n = 60_000  # more distinct words than buckets
+    known = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(src))
+    met = []
+    plain = pseudo_likelihood.array_sum
+    try:
+        pseudo_likelihood.array_sum = lambda *x: met.append(plain(*x)) or met[-1]
+        net = pseudo_likelihood.train(src, spark.sparkContext.broadcast(known))
+    finally:
+        pseudo_likelihood.array_sum = plain
+    assert sum(m[net.size + 2 * known.size + 1] for m in met) == 801 and len(met) == pseudo_likelihood.ROUNDS
+    fresh = pseudo_likelihood.Network(known)
+    used = known.items(words_in(" ".join(r.text for r in df.where("doc_id < 20").collect())))
+    assert (net.parts[0] != fresh.parts[0]).any(axis=1)[used].all()
+
+
+def test_every_word_has_its_own_count(spark):
+    n = 20_000
     texts = [" ".join(["Common"] * 5000)] + [" ".join(f"r{i}" for i in range(a, a + 1000)) for a in range(0, n, 1000)] + [None, ""]
     src = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    known = pseudo_likelihood.word_counts(src)
-
-    def places(text):
-        return known.places(np.concatenate([w for _, _, w, _ in pseudo_likelihood.Words().chunks(pa.array([text]))]))
-
-    rare = places(" ".join(f"r{i}" for i in range(n)))
-    assert len(known.keys) == n + 2 and len(set(rare.tolist())) == n and (known.counts[rare] == 1).all()
-    assert known.counts[places("common")].tolist() == [5000] and known.counts[places(" ".join(f"never{i}" for i in range(5000)))].sum() == 0
-    mass = np.bincount(known.label, weights=np.exp(known.share.astype(float)))
-    assert np.allclose(mass[mass > 0], 1, atol=1e-3)
+    counts = pseudo_likelihood.word_counts(src)
+    known = pseudo_likelihood.vocabulary(counts)
+    got = {r.word: r.n for r in counts.collect()}
+    rare = words_in(" ".join(f"r{i}" for i in range(n)))
+    assert len(got) == n + 1 and all(got[int(x)] == 1 for x in rare.view(np.int64)) and got[int(words_in("common").view(np.int64)[0])] == 5000
+    assert known.known == 1 and known.items(words_in("common")).tolist() == [0] and (known.items(rare) > 0).all()
+    assert known.cell_total.sum() == n + 0.5 * (n + known.cells)
+
+
+def test_scores_are_sums_over_words_and_know_what_is_alone(spark):
+    random.seed(3)
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join(random.choice(common) if random.random() < 0.8 else f"u{i}x{j}" for j in range(60)) for i in range(60)]
+    texts += texts[:6] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = pseudo_likelihood.word_counts(df)
+    known = pseudo_likelihood.vocabulary(counts)
+    shared = spark.sparkContext.broadcast(known)
+    net = pseudo_likelihood.train(df, shared)
+    n = {r.word: r.n for r in counts.collect()}
+    for r in pseudo_likelihood.score(df, net, shared, counts).collect():
+        text = texts[r.doc_id] or ""
+        if not text:
+            assert (r.n_tokens, r.log_prob, r.mean_log_prob, r.n_unknown) == (0, 0, None, 0)
+            continue
+        w = words_in(text)
+        items = known.items(w)
+        p = net.log_items(pseudo_likelihood.windows(items, np.array([0, len(w)]), np.arange(len(w)), known.size), items, known)
+        names = w.view(np.int64).tolist()
+        own, held, alone = 0.0, 0.0, 0
+        for name, item in zip(names, items.tolist(), strict=True):
+            if item >= known.known:
+                own += math.log((n[name] + 0.5) / known.cell_total[item - known.known])
+                held += math.log((n[name] - names.count(name) + 0.5) / known.cell_total[item - known.known])
+                alone += n[name] == names.count(name)
+        assert abs(r.log_prob - p.sum() - own) < 1e-3 and abs(r.held_log_prob - p.sum() - held) < 1e-3 and r.n_unknown == alone
+        assert (r.n_unknown == 0) == (r.doc_id in {*range(6), *range(60, 66)})
 
 
 def test_a_pass_in_several_calls_is_one_pass():
-    rng = np.random.default_rng(1)
-    around, target = rng.integers(0, pseudo_likelihood.PAD + 1, (2048, 4)).astype(np.int32), rng.integers(0, pseudo_likelihood.CLASSES, 2048)
-    whole, parts = pseudo_likelihood.Network.fresh(), pseudo_likelihood.Network.fresh()
-    whole.train(around, target)
+    known, rng = small_vocabulary(), np.random.default_rng(1)
+    around, target = rng.integers(0, known.size + 1, (4096, 4)).astype(np.int32), rng.integers(0, known.size, 4096).astype(np.int32)
+    whole, parts = pseudo_likelihood.Network(known), pseudo_likelihood.Network(known)
+    whole.train(around, target, known, pseudo_likelihood.Moments(whole))
     state = pseudo_likelihood.Moments(parts)
-    for a in range(0, 2048, 1024):
-        parts.train(around[a : a + 1024], target[a : a + 1024], state=state)
+    for a in range(0, 4096, 2048):
+        parts.train(around[a : a + 2048], target[a : a + 2048], known, state)
     assert np.array_equal(whole.flat, parts.flat)
 
 
+def test_pipeline_is_what_plain_code_makes(spark, sf, docs, tmp_path):
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text) for r in docs] + [(10_000 + i, t) for i, t in enumerate(near_copies(25, 4))] + [(20_000, "api_key=abcdef123456 and no more"), (20_001, None), (20_002, "")]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    table, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        table = corpus_pipeline.written(stage(spark, table, str(tmp_path)), "stage")
+        kept.append({r.doc_id: r.text for r in table.collect()} if "text" in table.columns else table.collect())
+    clean, single, masked, packed = kept
+    toxic = {r.doc_id for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect() if r.predicted}
+    assert set(clean) == {i for i, _ in rows} - toxic and len(clean) > 0.8 * len(rows)
+    names, texts = zip(*sorted(clean.items()), strict=True)
+    of, _ = classes(list(texts))
+    assert set(single) == {names[i] for i in set(of)} and len(single) < len(clean) and all(single[i] == clean[i] for i in single)
+    assert set(masked) == set(single) and masked[20_000] == "[secret] and no more" and masked[20_001] is None
+    for i, text in single.items():
+        spans = secrets.find_spans(text)[0] if text else []
+        covered = set().union(*[range(a, b) for a, b, _ in spans]) if spans else set()
+        plain = "".join(c if k not in covered else "" for k, c in enumerate(text or ""))
+        assert (masked[i] or "").replace("[secret]", "") == plain.replace("[secret]", "")
+    tok = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    pieces, used = defaultdict(list), defaultdict(int)
+    for r in packed:
+        pieces[r.doc_id].append(r)
+        used[r.sequence_id] += r.length
+    assert set(pieces) == set(masked) and max(used.values()) <= 4096
+    for i, text in masked.items():
+        ids, at = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_toxicity_on_the_held_out_labels(spark):
+    """Labels of rows that the model didn't learn from, of a table of some size."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no such table")
+    got = {r.doc_id: r for r in toxicity.op4_toxicity(spark, sf).collect()}
+    held = [(r.toxic, got[r.doc_id].predicted) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and r.doc_id in got and got[r.doc_id].held_out]
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))

@@ -2,7 +2,6 @@
 
 import hashlib
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -80,6 +79,16 @@ def test_licenses(spark, odd_docs, no_docs):
     assert got == {1: ("mit", "header", None), 2: ("mit", "directory", "a"), 3: ("proprietary", "header", None), 4: (None, None, None), 5: ("cc-by-nc-4.0", "header", None), 6: ("apache-2.0", "header", None), 7: ("apache-2.0", "directory", "a/b/c")}
 
 
+def test_whole_licence_files(spark):
+    texts = {name: " ".join(text.split()) for name, text in licenses.TEMPLATES if len(text) > 300}
+    assert {"mit", "isc", "bsd-2-clause", "bsd-3-clause", "unlicense", "apache-2.0"} <= set(texts)
+    rows = [(i, f"p{i}/notes", f"Some Project\n\nCopyright (c) 2020 Some Body\n\n{text.replace('. ', '.\n')}") for i, text in enumerate(texts.values())]
+    rows += [(100, "p0/src/a.py", "x = 1"), (101, "q/readme", "Nothing is said here about any rights at all, only about walks by the sea."), (102, "q/b.py", None)]
+    got = {r.id: r for r in licenses.license_scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert all(got[i].licence == name and got[i].whole_cosine >= licenses.WHOLE for i, name in enumerate(texts))
+    assert got[100].licence == next(iter(texts)) and got[100].licence_from == "directory" and got[101].licence is None and got[102].licence is None
+
+
 def test_hnsw(spark):
     v = [[1.0, 0.0], [0.5, 0.5], [1.0, 0.0], None, [], [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [1.0], [2.0, 0.0]]
     rows = [(20 * i, x) for i, x in enumerate(v)] + [(None, [1.0, 1.0]), (5, [1.0, 0.0])]
@@ -101,15 +110,3 @@ def test_pipeline(spark, odd_docs, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert (out.count() > 0) == (name == "a")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "packing"]
-
-
-def test_network_is_what_plain_loops_give():
-    rng = np.random.default_rng(0)
-    net = pseudo_likelihood.Network.fresh()
-    words = rng.integers(0, pseudo_likelihood.BUCKETS, 7)
-    around = pseudo_likelihood.windows(words, np.array([0, 7]), np.arange(7))
-    e, w, b, v, c = net.parts
-    for i in range(7):
-        ids = [words[j] if 0 <= j < 7 else pseudo_likelihood.PAD for j in (i - 2, i - 1, i + 1, i + 2)]
-        z = np.tanh(np.concatenate([e[k] for k in ids]) @ w + b) @ v + c
-        assert np.allclose(net.log_classes(around[i : i + 1])[2][0], z - np.log(np.exp(z - z.max()).sum()) - z.max(), atol=1e-5)
