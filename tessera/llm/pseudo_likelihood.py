@@ -39,7 +39,7 @@ from .common import id_text, load, one_thread, thrifty, written
 from .segments import spread
 from .shingles import CHUNK, U, byte_chunks, word_hashes
 
-KNOWN, LEAST, MOST_CELLS = 1 << 15, 32, 1 << 12
+KNOWN, LEAST, MOST_CELLS = 1 << 15, 32, 1 << 8
 CLASSES, DIM, HIDDEN, TURN, SIDE = 64, 12, 32, 8, 2
 ROUNDS, BATCH, RATE, SPARSE_RATE = 2, 2048, 0.004, 0.1
 HELD = 128 * BATCH  # windows that are made at once
