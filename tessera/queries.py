@@ -557,7 +557,9 @@ def batch_search(spark, sf):
     """Every passage of the benchmark, whole, as a query over all versions: the documents that hold all its words."""
     asked = table(spark, sf, "benchmark").select("item_id", T.stems(F.col("text")).alias("lexemes"))
     found = I.occurrences(plain(spark, sf), ["version", "chunk_id"]).join(F.broadcast(asked.select(F.explode("lexemes").alias("lexeme")).distinct()), "lexeme", "left_semi")
-    posts = found.select("version", "chunk_id", "lexeme").distinct()
+    path = _folder(spark, "asked-words")  # the texts are read once, and their words met three times
+    found.select("version", "chunk_id", "lexeme").distinct().write.parquet(path)
+    posts = spark.read.parquet(path)
     return S.many(asked, posts, ["item_id"], ["version", "chunk_id"]).groupBy("item_id", "version").agg(F.count("*").alias("hits"))
 
 
