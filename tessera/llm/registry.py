@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, jaccard_join, licenses, order_minhash, packing, piece_dropout, pseudo_likelihood, repair, secrets, toxicity
+from . import cover_tree, hnsw, jaccard_join, licenses, middle, order_minhash, packing, piece_dropout, prefix_trie, pseudo_likelihood, repair, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_pseudo_likelihood": pseudo_likelihood.op10_pseudo_likelihood,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_fill_in_middle": middle.op12_fill_in_middle,
+        "op13_dual_tree": cover_tree.op13_dual_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {
+        "op9_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op12_fill_in_middle": middle.ORACLE_SQL,
+        "op13_dual_tree": cover_tree.ORACLE_SQL,
+    }
