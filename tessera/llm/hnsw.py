@@ -9,12 +9,15 @@ equal, under which the largest inner product is the nearest node. Queries go to
 block at a time; a shard is held by one task, or by a few where there are fewer shards than cores. Hits are scored in
 double precision on the original vectors, and shard results are merged.
 
-A shard is a task's work in building and in searching, so shards grow with the table, up to ``MOST_SHARD_ROWS``; beyond,
-their number grows, and with it what a query costs.
+Shards don't grow with the table, as recall at a given search width falls with a shard's size: their number grows, and
+with it what a query costs. They are bounded in bytes, too. Vectors whose norms differ by more than a factor of some 16 are
+in different shards (``NORM_CLASS`` binary digits a class), so that a large one doesn't flatten the others' differences;
+vectors are scaled by their largest component before they are squared, and each query by its own.
 
 Edge cases: vectors that are null, empty, all zero or that hold null or non-finite components, and rows without an id,
-take no part; a query meets vectors of its own dimension only; ties go to the smaller id; rows that repeat an
-id are candidates of their own, but as queries share one result, without any row of that id; fewer than k candidates give them all; an empty table
+take no part; a query meets vectors of its own dimension only; ties go to the smaller id; rows that repeat an id and a vector
+are one candidate; those that repeat an id with another vector are candidates of their own, but as queries share one result,
+without any row of that id; scores beyond the doubles are infinite; fewer than k candidates give them all; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from ..plans.session import workers_find_package
 from .common import load, thrifty, written
 
-M, WIDE, EF_BUILD, EF_SEARCH = 16, 32, 80, 160
-SHARD_ROWS, MOST_SHARD_ROWS, SHARDS, QUERY_BLOCK, TOP_NORMS = 8192, 1 << 17, 64, 1024, 32
+M, WIDE, EF_BUILD, EF_SEARCH = 16, 32, 80, 320
+SHARD_ROWS, SHARD_BYTES, QUERY_BLOCK, TOP_NORMS, NORM_CLASS = 8192, 64 << 20, 512, 32, 4
 
 
 def search_layer(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, at_once: int = 4, again: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -209,11 +212,18 @@ class Graph:
 def augmented(v: np.ndarray) -> np.ndarray:
     """float32 rows of equal norm: one more coordinate takes up what a norm lacks to the largest."""
     v = v.astype(np.float64)
+    v = v / np.abs(v).max()  # no square leaves the doubles
     square = (v * v).sum(axis=1)
     scale = np.sqrt(square.max())
     return np.concatenate([v / scale, np.sqrt(np.maximum(0, 1 - square / scale**2))[:, None]], axis=1).astype(np.float32)
 
 
+def norm_class(v: np.ndarray) -> int:
+    """Of a vector that isn't zero; the borders lie at a quarter and at four, not where norms usually are."""
+    largest = float(np.abs(v).max())
+    return int((np.log2(largest) + 0.5 * np.log2(((v / largest) ** 2).sum()) + NORM_CLASS / 2) // NORM_CLASS)
+
+
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     workers_find_package(df.sparkSession)
     v = F.col(vector_col).cast("array<double>")
@@ -227,29 +237,30 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def distinct_vectors(src: DataFrame, k: int) -> DataFrame:
-    """(dim, h, data, ids): each task's distinct vectors with their k + 1 least ids."""
+    """(dim, cls, data, ids, h): each task's distinct vectors with their k + 1 least ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, set[int]] = {}
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([len(x) // 8 for x in known], pa.int32()), pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.list_(pa.int64()))], ["dim", "data", "ids"])
+            classes = [norm_class(np.frombuffer(x, dtype="<f8")) for x in known]
+            out = pa.RecordBatch.from_arrays([pa.array([len(x) // 8 for x in known], pa.int32()), pa.array(classes, pa.int32()), pa.array(list(known), pa.binary()), pa.array([sorted(x)[: k + 1] for x in known.values()], pa.list_(pa.int64()))], ["dim", "cls", "data", "ids"])
             known.clear()
             return out
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (np.asarray(v.values.to_numpy(zero_copy_only=False), dtype="<f8") + 0.0).tobytes()  # -0 is 0
-                ids = known.setdefault(data, [])
-                ids.append(i)
+                ids = known.setdefault(data, set())
+                ids.add(i)
                 if len(ids) > 4 * k + 64:
-                    ids[:] = sorted(ids)[: k + 1]
+                    known[data] = set(sorted(ids)[: k + 1])
             if len(known) > 50_000:
                 yield rows()
         if known:
             yield rows()
 
-    return src.mapInArrow(thrifty(run), "dim int, data binary, ids array<long>").withColumn("h", F.xxhash64("data"))
+    return src.mapInArrow(thrifty(run), "dim int, cls int, data binary, ids array<long>").withColumn("h", F.xxhash64("data"))
 
 
 def _dump(**arrays: np.ndarray) -> bytes:
@@ -259,29 +270,29 @@ def _dump(**arrays: np.ndarray) -> bytes:
 
 
 def build_index(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
-    """(dim, shard, shards, data): each shard's flat arrays, written in the shared folder. A shard has about shard_rows
-    nodes; by default the table's SHARDSth part, between SHARD_ROWS and MOST_SHARD_ROWS."""
+    """(dim, cls, shard, shards, data): each shard's flat arrays, written in the shared folder. A shard has about shard_rows
+    nodes, by default SHARD_ROWS, and fewer where they would be more than SHARD_BYTES."""
     nodes = written(distinct_vectors(valid_vectors(df, id_col, vector_col), k), "vectors")
-    n = F.approx_count_distinct("h")
-    rows = F.lit(shard_rows) if shard_rows else F.least(F.greatest(n / SHARDS, F.lit(SHARD_ROWS)), F.lit(MOST_SHARD_ROWS))
-    sizes = written(nodes.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(n / rows)).cast("int").alias("shards")), "shards")
+    rows = F.greatest(F.lit(1), F.least(F.lit(shard_rows or SHARD_ROWS), F.floor(F.lit(SHARD_BYTES) / (12 * F.col("dim") + 400))))
+    sizes = nodes.groupBy("dim", "cls").agg(F.approx_count_distinct("h").alias("n"))
+    sizes = written(sizes.select("dim", "cls", F.greatest(F.lit(1), F.ceil(F.col("n") / rows)).cast("int").alias("shards")), "shards")
     # a stated number of partitions: what a shard takes isn't seen in its bytes, by which small partitions would be merged
     tasks = 2 * (sizes.agg(F.sum("shards")).first()[0] or 1)
-    dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int")).repartition(tasks, "dim", "shard")
+    dealt = nodes.join(sizes, ["dim", "cls"]).withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int")).repartition(tasks, "dim", "cls", "shard")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, shard, shards = (int(x) for x in key)
-        ids: dict[bytes, list[int]] = {}
+        dim, cls, shard, shards = (int(x) for x in key)
+        ids: dict[bytes, set[int]] = {}
         for data, part in zip(pdf.sort_values(["h", "data"])["data"], pdf.sort_values(["h", "data"])["ids"], strict=True):
-            ids.setdefault(data, []).extend(part)
+            ids.setdefault(data, set()).update(part)
         v = np.frombuffer(b"".join(ids), dtype="<f8").reshape(-1, dim)
         least = [sorted(x)[: k + 1] for x in ids.values()]
         graph = Graph.build(augmented(v))
         layers = {f"layer{i}": x.astype(np.int32) for i, x in enumerate(graph.layers)}
         data = _dump(v=v, x=graph.x, ids=np.concatenate([np.array(x, dtype=np.int64) for x in least]), count=np.array([len(x) for x in least]), **layers)
-        return pd.DataFrame({"dim": [dim], "shard": [shard], "shards": [shards], "data": [data]})
+        return pd.DataFrame({"dim": [dim], "cls": [cls], "shard": [shard], "shards": [shards], "data": [data]})
 
-    return written(dealt.groupBy("dim", "shard", "shards").applyInPandas(build, "dim int, shard int, shards int, data binary"), "hnsw")
+    return written(dealt.groupBy("dim", "cls", "shard", "shards").applyInPandas(build, "dim int, cls int, shard int, shards int, data binary"), "hnsw")
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -299,12 +310,15 @@ class Held:
 
     def nearest(self, names: np.ndarray, wanted: np.ndarray, k: int, ef: int) -> pa.RecordBatch:
         """The k best of each query, scored on the original vectors."""
-        hits = self.graph.search(np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1).astype(np.float32), max(ef, 2 * k))
+        scaled = wanted / np.abs(wanted).max(axis=1, keepdims=True)
+        hits = self.graph.search(np.concatenate([scaled, np.zeros((len(wanted), 1))], axis=1).astype(np.float32), max(ef, 2 * k))
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for name, query, hit in zip(names.tolist(), wanted, hits, strict=True):
             hit = hit[hit >= 0]
-            score = np.repeat((self.v[hit] * query).sum(axis=1), self.count[hit])
-            ids = np.concatenate([self.ids[self.start[h] : self.start[h + 1]] for h in hit])
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (self.v[hit] * query).sum(axis=1) + 0.0
+            score = np.repeat(np.where(np.isnan(score), -np.inf, score), self.count[hit])
+            ids = np.concatenate([np.zeros(0, dtype=np.int64), *[self.ids[self.start[h] : self.start[h + 1]] for h in hit]])
             ids, score = ids[ids != name], score[ids != name]
             best = np.lexsort((ids, -score))[:k]
             out.append((ids[best], score[best]))
@@ -314,31 +328,31 @@ class Held:
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all shards' hits. queries: vec_id, v."""
-    sizes = index.groupBy("dim").agg(F.max("shards").alias("shards"))
+    sizes = index.groupBy("dim", "cls").agg(F.max("shards").alias("shards"))
     shards = index.count()
     copies = max(1, -(-2 * index.sparkSession.sparkContext.defaultParallelism // max(1, shards)))  # follows the cores, not the rows
     asked = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(copies)).cast("int").alias("part"))
-    asked = asked.join(sizes, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "part", F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("data"))
+    asked = asked.join(sizes, "dim").select("dim", "cls", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "part", F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("data"))
     part = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("part")
-    held = index.select("dim", "shard", part, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "data")
-    keys = ["dim", "shard", "part"]
+    held = index.select("dim", "cls", "shard", part, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "data")
+    keys = ["dim", "cls", "shard", "part"]
     rows = held.unionByName(asked).repartition(2 * max(1, shards) * copies, *keys).sortWithinPartitions(*keys, "kind")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         for batch in batches:
-            kind = batch.column(3).to_numpy()
+            kind = batch.column(4).to_numpy()
             at = 0
             for stop in [*np.flatnonzero(kind == 0).tolist(), len(kind)]:  # a shard's own row comes before its queries
                 for a in range(at, stop, block):
                     part = batch.slice(a, min(block, stop - a))
-                    names = part.column(4).to_numpy()
-                    yield shard.nearest(names, part.column(5).flatten().to_numpy().reshape(len(names), -1).astype(np.float64), k, ef)
+                    names = part.column(5).to_numpy()
+                    yield shard.nearest(names, part.column(6).flatten().to_numpy().reshape(len(names), -1).astype(np.float64), k, ef)
                 if stop < len(kind):
-                    shard = Held(batch.column(6)[stop].as_py())
+                    shard = Held(batch.column(7)[stop].as_py())
                 at = stop + 1
 
-    hits = rows.mapInArrow(thrifty(find), FOUND)
+    hits = rows.mapInArrow(thrifty(find), FOUND).distinct()  # a query that is there twice has its hits twice
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
