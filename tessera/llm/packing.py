@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_text, load, thrifty, written
 from .tokens import chunks, encoder
 
-CAPACITY = 4096
+CAPACITY, MOST_ITEMS = 4096, 16384
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -34,8 +34,9 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     """Karmarkar-Karp: k lists of positions in sizes, with near-equal sums.
 
     A partial partition is k sums in descending order, less their least, with the contents of each window as a node
-    of a binary tree. The two partitions of the largest spread are merged again and again, windows of the one in
-    descending order with those of the other in ascending order.
+    of a binary tree; windows without contents aren't held, so all partitions together hold no more than the pieces. The
+    two partitions of the largest spread are merged again and again, windows of the one in descending order with those of
+    the other in ascending order.
     """
     n = len(sizes)
     if k == 1:
@@ -44,29 +45,33 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     nodes = n
     heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     for i in np.argsort(-sizes, kind="stable"):
-        sums, tree = np.zeros(k, dtype=np.int64), np.full(k, -1)
-        sums[0], tree[0] = sizes[i], i
-        heap.append((-int(sizes[i]), len(heap), sums, tree))
+        heap.append((-int(sizes[i]), len(heap), sizes[i : i + 1].astype(np.int64), np.array([i])))
     heapq.heapify(heap)
     turn = len(heap)
     while len(heap) > 1:
         _, _, a, ta = heapq.heappop(heap)
         _, _, b, tb = heapq.heappop(heap)
-        sums, tb = a + b[::-1], tb[::-1]
-        tree = np.maximum(ta, tb)
-        both = np.flatnonzero((ta >= 0) & (tb >= 0))
-        if len(both):
-            new = np.arange(nodes, nodes + len(both))
-            left[new], right[new], tree[both] = ta[both], tb[both], new
-            nodes += len(both)
+        both = len(a) + len(b) - k  # windows of contents in both
+        if both <= 0:
+            sums, tree = np.concatenate([a, b[::-1]]), np.concatenate([ta, tb[::-1]])
+        else:
+            sums, tree = np.zeros(k, dtype=np.int64), np.empty(k, dtype=np.int64)
+            sums[: len(a)], tree[: len(a)] = a, ta
+            sums[k - len(b) :] += b[::-1]
+            tree[len(a) :] = tb[::-1][both:]
+            shared = np.arange(len(a) - both, len(a))
+            new = np.arange(nodes, nodes + both)
+            left[new], right[new], tree[shared] = tree[shared], tb[::-1][:both], new
+            nodes += both
         order = np.argsort(-sums, kind="stable")
         sums, tree = sums[order], tree[order]
-        sums -= sums[-1]
+        if len(sums) == k:
+            sums -= sums[-1]
         heapq.heappush(heap, (-int(sums[0]), turn, sums, tree))
         turn += 1
     out = []
     for root in heap[0][3]:
-        items, stack = [], [int(root)] if root >= 0 else []
+        items, stack = [], [int(root)]
         while stack:
             x = stack.pop()
             if x < n:
@@ -74,16 +79,29 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
             else:
                 stack += [int(left[x]), int(right[x])]
         out.append(sorted(items))
-    return out
+    return out + [[] for _ in range(k - len(out))]
+
+
+def lumps(sizes: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Positions of pieces: each alone, or, where they are many for their sizes, small ones one after the other in lumps of
+    up to a 16th of the capacity, so that a group has a bounded number of items however short its texts are."""
+    if len(sizes) <= MOST_ITEMS:
+        return [np.array([i]) for i in range(len(sizes))]
+    small = sizes <= capacity // 32
+    some = np.flatnonzero(small)
+    lump = (np.cumsum(sizes[some]) - 1) // (capacity // 32)  # of up to capacity // 32 and one small piece
+    return [np.array([i]) for i in np.flatnonzero(~small)] + np.split(some, np.flatnonzero(lump[1:] != lump[:-1]) + 1)
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """The fewest windows that differencing fills within the capacity, from the least possible count upwards."""
     k = max(1, -(-int(sizes.sum()) // capacity))
+    items = lumps(sizes, capacity)
+    totals = np.array([int(sizes[x].sum()) for x in items])
     while True:
-        windows = differencing(sizes, k)
-        if max(int(sizes[w].sum()) for w in windows) <= capacity:
-            return [w for w in windows if w]
+        windows = differencing(totals, k)
+        if max(int(totals[w].sum()) for w in windows) <= capacity:
+            return [np.concatenate([items[i] for i in w]).tolist() for w in windows if w]
         k += 1
 
 

@@ -1,7 +1,10 @@
 """Odd rows and empty tables: every operator gives its defined result."""
 
 import hashlib
+import subprocess
+import sys
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -101,6 +104,45 @@ def test_hnsw(spark):
     assert hnsw.nearest(df.where("false")).count() == 0
 
 
+def test_hnsw_of_any_size(spark):
+    """Large and tiny finite components, beside ordinary ones, and repeated ids: exact neighbours, each once."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(400, 6))
+    v[:5] *= 1e39
+    v[5:10] *= 1e160
+    v[10:60] *= 1e-50
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, v[20].tolist()), (100, v[100].tolist()), (101, v[101].tolist()), (7, v[8].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    distinct = sorted({(i, tuple(x)) for i, x in rows})
+    ids, x = np.array([i for i, _ in distinct]), np.array([w for _, w in distinct])
+    assert set(got) == set(range(0, 400, 20))
+    for q, found in got.items():
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (x * v[q]).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:20]
+        assert found == [(int(ids[j]), score[j]) for j in order], q
+
+
+def test_hnsw_recall_at_the_largest_shard():
+    """Vectors without any structure are the hard case."""
+    rng = np.random.default_rng(0)
+    x, q = rng.normal(size=(hnsw.SHARD_ROWS, 64)), rng.normal(size=(100, 64))
+    shard = hnsw.Held(hnsw._dump(v=x, x=hnsw.augmented(x), ids=np.arange(len(x)), count=np.ones(len(x), dtype=np.int64), **{f"layer{i}": y for i, y in enumerate(hnsw.Graph.build(hnsw.augmented(x)).layers)}))
+    got = shard.nearest(np.full(100, -1) - np.arange(100), q * 1e-50, 20, hnsw.EF_SEARCH).to_pandas()
+    true = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(got.vec_id[got.query_id == -1 - i]) & set(true[i].tolist())) / 20 for i in range(100)]) >= 0.9
+
+
+def test_packing_of_a_million_empty_texts(tmp_path):
+    """A group of pieces of one id is packed without waste, in bounded memory."""
+    code = "import numpy as np, resource; from tessera.llm.packing import pack_sizes; w = pack_sizes(np.ones(1_000_000, dtype=np.int64)); assert len(w) == 245 and sorted(i for x in w for i in x) == list(range(1_000_000)); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 1000
+
+
 def test_pipeline(spark, odd_docs, tmp_path):
     clashing = odd_docs.withColumns({c: odd_docs.text for c in ("_th", "_id", "_row", "_key", "_passes", "_salt", "comp", "best", "stays", "count", "toxic_score_", "a b.c")})
     assert sorted(jaccard_join.keep_one(clashing).columns) == sorted(clashing.columns)
