@@ -1,13 +1,8 @@
-"""The Porter2 English stemmer as published, and the analyzer that uses it on a distinct vocabulary."""
+"""The Porter2 English stemmer as published, and the stop words of the analyzer that uses it."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 # The stop list of the default English full-text analyzer (fixed values).
 STOP = (
@@ -94,21 +89,3 @@ def porter2(word: str) -> str:
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.replace("Y", "y")
-
-
-def lexemes(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, lexeme, pos: stop words go but take a place; each distinct word is stemmed once and joined back."""
-    words = F.filter(F.split(F.lower(F.col(content)), "[^a-z0-9']+"), lambda w: w != "")
-    tokens = df.select(*keys, F.posexplode(words).alias("pos", "word")).where(~F.col("word").isin(*STOP))
-
-    def stem(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(lexeme=pdf["word"].map(porter2))
-
-    vocabulary = tokens.select("word").distinct().mapInPandas(stem, "word string, lexeme string")
-    return tokens.join(vocabulary, "word").select(*keys, "lexeme", (F.col("pos") + 1).alias("pos"))
-
-
-def query_lexemes(text: str) -> list[str]:
-    """The distinct stems of a query's words, without stop words."""
-    return list(dict.fromkeys(porter2(w) for w in re.split("[^a-z0-9']+", (text or "").lower()) if w and w not in STOP))

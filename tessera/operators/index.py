@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -11,10 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.porter2 import lexemes
-
-#: As in common full-text vectors, later places have the last position, and positions beyond so many are left out.
-LAST_POSITION, MOST_POSITIONS = 16383, 256
+from ..functions.parser import LAST_POSITION, MOST_POSITIONS
 
 
 def occurrences(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content", only: list[str] | None = None) -> DataFrame:
@@ -44,11 +42,6 @@ def postings(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "co
     return grouped(occurrences(some, keys, analyzer, content, only), keys)
 
 
-def english_postings(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Postings under the English analyzer: Porter2 stems, stop words that take a place."""
-    return grouped(lexemes(df, keys, content), keys)
-
-
 def document_frequency(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """by, lexeme, df (chunks that hold it), cf (all its occurrences)."""
     per = occurrences(df, [*by, *keys]).groupBy(*by, *keys, "lexeme").agg(F.count("*").alias("tf"))
@@ -66,9 +59,21 @@ def pair_weight(d: Column) -> Column:
     return F.sqrt(0.1 * 0.1 * near)
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files: another one after any rewrite."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 class IndexStore:
     """Versioned tables in a folder. A version's tables are files of one snapshot, which a pointer file names: readers go
-    from one whole snapshot to the next, whatever fails in between."""
+    from one whole snapshot to the next, whatever fails in between. The pointer also holds the stamp of what a table was made
+    of, under the table's name and an @."""
 
     POINTER = "_current"
 
@@ -103,11 +108,11 @@ class IndexStore:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(fresh, pointer, options)
 
-    def replace(self, version: str, tables: dict[str, DataFrame], sort_by: dict[str, list[str]] | None = None, kept: int = 1) -> None:
+    def replace(self, version: str, tables: dict[str, DataFrame], sort_by: dict[str, list[str]] | None = None, kept: int = 1, stamps: dict[str, str] | None = None) -> None:
         """These tables of a version, all at once; tables that aren't named stay. Former folders but the last ``kept``
         snapshots' go. sort_by: rows are dealt by ranges of these columns and sorted, so that readers skip files."""
         before = self._snapshot(version)
-        after = dict(before)
+        after = {k: v for k, v in before.items() if k.rstrip("@") not in tables or not k.endswith("@")} | {f"{k}@": v for k, v in (stamps or {}).items()}
         try:
             for name, df in tables.items():
                 out = df.drop("version")
@@ -141,10 +146,12 @@ class IndexStore:
         name = self._snapshot(version).get(table)
         return None if name is None else self.spark.read.parquet(f"{self.root}/{version}/{name}").withColumn("version", F.lit(version))
 
-    def read_through(self, table: str, version: str, build: Callable[[], DataFrame], sort_by: list[str] | None = None) -> DataFrame:
-        """The stored table, or, where there is none, what build gives, stored first."""
-        if table not in self._snapshot(version):
-            self.replace(version, {table: build()}, {table: sort_by} if sort_by else None)
+    def read_through(self, table: str, version: str, build: Callable[[], DataFrame], sort_by: list[str] | None = None, made_of: str | None = None) -> DataFrame:
+        """The stored table, or, where there is none, what build gives, stored first. made_of: the stamp of what it is made of;
+        a stored table of another stamp is built anew."""
+        now = self._snapshot(version)
+        if table not in now or (made_of is not None and now.get(f"{table}@") != made_of):
+            self.replace(version, {table: build()}, {table: sort_by} if sort_by else None, stamps={table: made_of} if made_of else None)
         return self.read(table, version)
 
     def versions(self, table: str) -> list[str]:
@@ -156,6 +163,7 @@ class IndexStore:
         """A table of a version, or of all: the pointer turns first, the files go after it."""
         for v in [version] if version else self.versions(table):
             tables = self._snapshot(v)
+            tables.pop(f"{table}@", None)
             if name := tables.pop(table, None):
                 self._point(v, tables)
                 fs, path = self._fs(f"{self.root}/{v}/{name}")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.porter2 import query_lexemes
+from ..functions.parser import english_postings, query_lexemes
 from . import index as I
 
 THRESHOLD = 0.1
@@ -26,7 +26,7 @@ class Analyzer:
 
 
 RULE = Analyzer(lambda q: list(dict.fromkeys(map(T.stem_word, T.tokens(q)))), lambda df, keys, content="content", only=None: I.postings(df, keys, content=content, only=only))
-ENGLISH = Analyzer(query_lexemes, lambda df, keys, content="content", only=None: I.english_postings(df, keys, content).where(F.col("lexeme").isin(only) if only is not None else F.lit(True)))
+ENGLISH = Analyzer(query_lexemes, english_postings)
 
 
 def ranked(posts: DataFrame, lexemes: list[str], doc_keys: list[str]) -> DataFrame:

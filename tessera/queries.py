@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fuzzy as Z
+from .functions import parser as E
 from .functions import text as T
 from .operators import catalog as C
 from .operators import documents as D
@@ -450,7 +451,7 @@ def branch_resolve(spark, sf):
 
 @query("inverted_index_df", f"WITH {CORPUS_SQL}, {TERMS_SQL} SELECT version, lexeme, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM terms GROUP BY ALL")
 def inverted_index_df(spark, sf):
-    return I.document_frequency(plain(spark, sf).where("true"), ["chunk_id"], ["version"])
+    return I.document_frequency(plain(spark, sf), ["chunk_id"], ["version"])
 
 
 @query("postings_positions", f"WITH {CORPUS_SQL}, {TERMS_SQL}, {POSTS_SQL} SELECT chunk_id, lexeme, len(positions)::INT AS tf, array_to_string(positions, ',') AS positions FROM posts")
@@ -478,10 +479,11 @@ def and_sql(terms: list[str]) -> str:
 
 
 def index_of(spark, sf, version: str = "en", analyzer: str = "rule") -> DataFrame:
-    """The stored postings of a version of the corpus; they are made when they are first asked for."""
+    """The stored postings of a version of the corpus; they are made when they are first asked for, and again after the
+    table's files have changed."""
     store = I.IndexStore(spark, f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}")
     build = S.RULE.posts if analyzer == "rule" else S.ENGLISH.posts
-    return store.read_through(f"postings-{analyzer}", version, lambda: build(plain(spark, sf).where(F.col("version") == version), ["chunk_id"]), ["lexeme"])
+    return store.read_through(f"postings-{analyzer}", version, lambda: build(plain(spark, sf).where(F.col("version") == version), ["chunk_id"]), ["lexeme"], I.stamp(spark, f"{sf}/documents.parquet"))
 
 
 def _ranked(spark, sf, text: str) -> DataFrame:
@@ -512,9 +514,9 @@ def search_unindexed(spark, sf):
     return S.ranked_texts(plain(spark, sf).where("version = 'en'"), " ".join(PAIR), ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-ENGLISH_SQL = """WITH words AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda w: w <> '') AS w FROM documents WHERE lang = 'en'),
+ENGLISH_SQL = f"""WITH words AS (SELECT doc_id AS chunk_id, {E.tokens_sql('text')} AS w FROM documents WHERE lang = 'en'),
     tokens AS (SELECT chunk_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM words),
-    named AS (SELECT chunk_id, least(pos, 16383) AS p, CASE WHEN regexp_full_match(token, 'hest(ed|ly|ing|es)?') THEN 'hest' WHEN regexp_full_match(token, 'tion(ed|ing|ly|es|lying|lyed|edly|ingly)?') THEN 'tion' END AS lexeme FROM tokens),
+    named AS (SELECT chunk_id, least(pos, 16383) AS p, CASE WHEN regexp_full_match(token, '(word|part):hest(ed|ly|ing|es)?') THEN 'hest' WHEN regexp_full_match(token, '(word|part):tion(ed|ing|ly|es|lying|lyed|edly|ingly)?') THEN 'tion' END AS lexeme FROM tokens),
     posts AS (SELECT chunk_id, lexeme, list_slice(list_sort(list(DISTINCT p)), 1, 256) AS positions FROM named WHERE lexeme IS NOT NULL GROUP BY ALL),
     flat AS (SELECT chunk_id, lexeme, unnest(positions) AS p FROM posts WHERE chunk_id IN (SELECT chunk_id FROM posts GROUP BY chunk_id HAVING count(*) = 2))
     SELECT x.chunk_id, round(1 - exp(sum(CASE WHEN x.p = y.p THEN 0 ELSE ln(1 - sqrt(0.01 * CASE WHEN abs(x.p - y.p) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(x.p - y.p) / 1.5 - 2)) END)) END)), 6) AS score
@@ -585,11 +587,17 @@ def search_fallback(spark, sf):
     return page.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query("typed_tokens", f"WITH t AS (SELECT doc_id, {E.tokens_sql('text')} AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS tokens, len(list_filter(w, lambda x: NOT starts_with(x, 'word:')))::BIGINT AS not_words, md5(array_to_string(w, ' ')) AS digest FROM t WHERE len(w) > 0")
+def typed_tokens(spark, sf):
+    """Every token of every document, whatever its language, with its kind, in its place."""
+    found = E.typed_tokens(table(spark, sf, "documents"), ["doc_id"], "text")
+    named = F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind", "token"))), lambda t: F.concat(t["kind"], F.lit(":"), t["token"]))
+    return found.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum((F.col("kind") != "word").cast("long")).alias("not_words"), F.md5(F.array_join(named, " ").cast("binary")).alias("digest"))
+
+
 @query("porter2_terms")
 def porter2_terms(spark, sf):
-    from .functions.porter2 import lexemes
-
-    return lexemes(plain(spark, sf).where("version = 'en'"), ["chunk_id"]).groupBy("lexeme").agg(F.count("*").alias("cf"), F.count_distinct("chunk_id").alias("df"))
+    return E.lexemes(plain(spark, sf).where("version = 'en'"), ["chunk_id"]).groupBy("lexeme").agg(F.count("*").alias("cf"), F.count_distinct("chunk_id").alias("df"))
 
 
 # ---- facets, related pages, lookups -----------------------------------------------------------------------------------------

@@ -122,3 +122,20 @@ def test_invalid(call):
 
 def test_valid():
     assert V.version(None) == "main" and V.limit(None) == 20 and V.limit("7") == 7 and V.offset("") == 0 and V.batch_paths(["a", "b", "a"]) == ["a", "b"] and V.keywords("The REST api") == ["rest", "api"]
+
+
+def test_stored_postings_follow_the_table(spark, tmp_path):
+    """A table that is rewritten under the same path in the same session is indexed anew; an unchanged one isn't."""
+    from tessera import queries as Q
+
+    def write(texts):
+        rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+
+    write(["hest one tion", "nothing here"])
+    found = [r.chunk_id for r in Q.search_and(spark, str(tmp_path)).collect()]
+    before = Q.index_of(spark, str(tmp_path)).inputFiles()
+    assert found == [0] and Q.index_of(spark, str(tmp_path)).inputFiles() == before
+    write(["no more", "hest then tion", "tion and hest"])
+    spark.catalog.refreshByPath(f"{tmp_path}/documents.parquet")
+    assert sorted(r.chunk_id for r in Q.search_and(spark, str(tmp_path)).collect()) == [1, 2] == sorted(r.chunk_id for r in Q.search_unindexed(spark, str(tmp_path)).collect())
