@@ -18,7 +18,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import workers_find_package
+from ..plans.session import spread, workers_find_package
 from .porter2 import STOP, porter2
 
 #: As in common full-text vectors, later places have the last position, and positions beyond so many are left out.
@@ -123,7 +123,7 @@ def query_lexemes(text: str) -> list[str]:
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     a, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        held.append(_BLANK.sub(" ", text) if text and ("<" in text or "&" in text) else text or "")
+        held.append(text or "")
         size += len(held[-1])
         if size >= CHUNK:
             yield a, held
@@ -136,6 +136,7 @@ class Tokens:
     """The tokens of a chunk of texts: doc, pos (from 1) and code of each, and the distinct (kind, token) by code."""
 
     def __init__(self, texts: list[str]):
+        texts = [_BLANK.sub(" ", t) if "<" in t or "&" in t else t for t in texts]
         joined = "\n".join(texts)
         c = _classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")] > 0
         edge = np.diff(np.concatenate(([0], c.view(np.int8), [0])))
@@ -159,7 +160,8 @@ class Tokens:
         self.pos = np.arange(total) - first[self.doc] + 1
 
 
-def _mapped(df: DataFrame, keys: list[str], content: str, run, fields: str) -> DataFrame:
+def _mapped(df: DataFrame, keys: list[str], content: str, run: Callable[[list[str]], tuple[np.ndarray, list[pa.Array]]], fields: str) -> DataFrame:
+    """keys and fields: run gives, for a list of texts, the place of the text that each of its rows is of, and the fields."""
     workers_find_package(df.sparkSession)
     src = df.select(*keys, F.col(content).cast("string").alias("content"))
     schema = T.StructType([*src.schema.fields[:-1], *T._parse_datatype_string(fields).fields])
@@ -167,17 +169,18 @@ def _mapped(df: DataFrame, keys: list[str], content: str, run, fields: str) -> D
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in _chunks(batch.column(len(keys)).to_pylist()):
-                doc, columns = run(Tokens(texts))
+                doc, columns = run(texts)
                 at = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *columns], schema.names)
 
-    return src.mapInArrow(each, schema)
+    return spread(src).mapInArrow(each, schema)
 
 
 def typed_tokens(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, pos, kind, token: every token of every text."""
 
-    def run(t: Tokens) -> tuple[np.ndarray, list[pa.Array]]:
+    def run(texts: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        t = Tokens(texts)
         kinds, tokens = (pa.array([x[i] for x in t.kinds], pa.string()) for i in (0, 1))
         at = pa.array(t.code)
         return t.doc, [pa.array(t.pos, pa.int32()), kinds.take(at), tokens.take(at)]
@@ -185,39 +188,61 @@ def typed_tokens(df: DataFrame, keys: list[str], content: str = "content") -> Da
     return _mapped(df, keys, content, run, "pos int, kind string, token string")
 
 
-def _lexemes(t: Tokens) -> tuple[list[str], np.ndarray]:
-    """(distinct lexemes, each token's place among them, -1 for stop words)."""
-    names: dict[str, int] = {}
+#: Of texts: the distinct lexemes, and for each occurrence its text's place, its lexeme's place and its position.
+Lexemes = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
+
+
+def english(texts: list[str]) -> Lexemes:
+    """Stop words go but take a place."""
+    t, names = Tokens(texts), {}
     by_code = np.array([-1 if (x := lexeme(*k)) is None else names.setdefault(x, len(names)) for k in t.kinds], dtype=np.int64)
-    return list(names), by_code[t.code] if len(by_code) else np.zeros(0, dtype=np.int64)
+    lex = by_code[t.code] if len(by_code) else np.zeros(0, dtype=np.int64)
+    kept = lex >= 0
+    return list(names), t.doc[kept], lex[kept], t.pos[kept]
 
 
-def lexemes(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, lexeme, pos: every occurrence; stop words go but take a place."""
+def lexemes(df: DataFrame, keys: list[str], content: str = "content", analyze: Callable[[list[str]], Lexemes] = english) -> DataFrame:
+    """keys, lexeme, pos: every occurrence."""
 
-    def run(t: Tokens) -> tuple[np.ndarray, list[pa.Array]]:
-        names, lex = _lexemes(t)
-        kept = lex >= 0
-        return t.doc[kept], [pa.array(names, pa.string()).take(pa.array(lex[kept])), pa.array(t.pos[kept], pa.int32())]
+    def run(texts: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        names, doc, lex, pos = analyze(texts)
+        return doc, [pa.array(names, pa.string()).take(pa.array(lex)), pa.array(pos, pa.int32())]
 
     return _mapped(df, keys, content, run, "lexeme string, pos int")
 
 
-def english_postings(df: DataFrame, keys: list[str], content: str = "content", only: list[str] | None = None) -> DataFrame:
+def _groups(names: list[str], doc: np.ndarray, lex: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an order by text and lexeme in which positions stay ascending, which rows begin a group, where)."""
+    order = np.argsort(doc * (len(names) + 1) + lex, kind="stable")
+    d, x = doc[order], lex[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])))[: len(d)]
+    return order, new, np.flatnonzero(new)
+
+
+def term_counts(df: DataFrame, keys: list[str], content: str = "content", analyze: Callable[[list[str]], Lexemes] = english) -> DataFrame:
+    """keys, lexeme, tf: all occurrences counted."""
+
+    def run(texts: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        names, doc, lex, _ = analyze(texts)
+        order, _, first = _groups(names, doc, lex)
+        size = np.diff(np.append(first, len(doc)))
+        return doc[order][first], [pa.array(names, pa.string()).take(pa.array(lex[order][first])), pa.array(size, pa.int64())]
+
+    return _mapped(df, keys, content, run, "lexeme string, tf long")
+
+
+def postings(df: DataFrame, keys: list[str], content: str = "content", only: list[str] | None = None, analyze: Callable[[list[str]], Lexemes] = english) -> DataFrame:
     """keys, lexeme, tf, positions (ascending, bounded): a row of df makes its own postings. only: of these lexemes."""
     wanted = None if only is None else frozenset(only)
 
-    def run(t: Tokens) -> tuple[np.ndarray, list[pa.Array]]:
-        names, lex = _lexemes(t)
+    def run(texts: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        names, doc, lex, pos = analyze(texts)
         if wanted is not None:
-            lex = np.where(np.array([x in wanted for x in names] + [False])[lex], lex, -1)
-        kept = lex >= 0
-        doc, lex, pos = t.doc[kept], lex[kept], np.minimum(t.pos[kept], LAST_POSITION)
-        order = np.argsort(doc * (len(names) + 1) + lex, kind="stable")  # positions stay ascending
-        doc, lex, pos = doc[order], lex[order], pos[order]
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (lex[1:] != lex[:-1])))[: len(doc)]
+            kept = np.array([x in wanted for x in names] + [False])[lex]
+            doc, lex, pos = doc[kept], lex[kept], pos[kept]
+        order, new, first = _groups(names, doc, lex)
+        doc, lex, pos = doc[order], lex[order], np.minimum(pos[order], LAST_POSITION)
         again = np.concatenate(([False], ~new[1:] & (pos[1:] == pos[:-1])))[: len(doc)]
-        first = np.flatnonzero(new)
         place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
         some = ~again & (place < MOST_POSITIONS)
         counts = np.add.reduceat(some.astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)

@@ -2,50 +2,53 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parser as P
 from ..functions import text as T
-from ..functions.parser import LAST_POSITION, MOST_POSITIONS
 
 
-def occurrences(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content", only: list[str] | None = None) -> DataFrame:
-    """keys, lexeme, pos: every token's lexeme and 1-based place. only: of these lexemes; the rule stemmer takes off
-    suffixes, so a token that begins with none of them is never stemmed."""
-    tokens = df.select(*keys, F.posexplode(T.tokenize(F.col(content))).alias("pos", "token"))
-    if only is not None:
-        tokens = tokens.where(reduce(lambda x, y: x | y, [F.col("token").startswith(w) for w in only], F.lit(False)))
-    out = tokens.select(*keys, analyzer(F.col("token")).alias("lexeme"), (F.col("pos") + 1).alias("pos"))
-    return out if only is None else out.where(F.col("lexeme").isin(only))
+_stem = functools.lru_cache(maxsize=1 << 18)(T.stem_word)
 
 
-def grouped(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Occurrences as postings: keys, lexeme, tf, positions (ascending, bounded)."""
-    found = found.withColumn("pos", F.least("pos", F.lit(LAST_POSITION)))
-    got = found.groupBy(*keys, "lexeme").agg(F.slice(F.sort_array(F.collect_set("pos")), 1, MOST_POSITIONS).alias("positions"))
-    return got.select(*keys, "lexeme", F.size("positions").alias("tf"), "positions")
+def rule(texts: list[str]) -> P.Lexemes:
+    """The lexemes of texts under the rule stemmer: only distinct words are stemmed."""
+    words = [T.tokens(t) for t in texts]
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    coded = pa.array([w for some in words for w in some], pa.string()).dictionary_encode()
+    names: dict[str, int] = {}
+    by_code = np.array([names.setdefault(_stem(w), len(names)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    lex = by_code[coded.indices.to_numpy()] if len(by_code) else np.zeros(0, dtype=np.int64)
+    return list(names), np.repeat(np.arange(len(texts)), size), lex, np.arange(len(lex)) - np.repeat(np.cumsum(size) - size, size) + 1
 
 
-def postings(df: DataFrame, keys: list[str], analyzer=T.stem, content: str = "content", only: list[str] | None = None) -> DataFrame:
-    """keys, lexeme, tf, positions. Grouped by chunk and lexeme with partial aggregation. only: postings of these lexemes,
-    of chunks whose text holds every one of them: what a query needs where nothing is stored."""
-    if only is None:
-        return grouped(occurrences(df, keys, analyzer, content), keys)
-    words = T.plain_words(F.col(content))
-    some = df.where(reduce(lambda x, y: x & y, [F.contains(words, F.lit(w)) for w in only], F.lit(True)))
-    return grouped(occurrences(some, keys, analyzer, content, only), keys)
+def postings(df: DataFrame, keys: list[str], content: str = "content", only: list[str] | None = None, analyze: Callable[[list[str]], P.Lexemes] = rule) -> DataFrame:
+    """keys, lexeme, tf, positions: each row of df makes its own, nothing is shuffled. only: postings of these lexemes, of
+    chunks whose text holds every one of them: what a query needs where nothing is stored."""
+    if only is not None and analyze is rule:  # the rule stemmer takes off suffixes: a lexeme is a part of its words
+        words = T.plain_words(F.col(content))
+        df = df.where(reduce(lambda x, y: x & y, [F.contains(words, F.lit(w)) for w in only], F.lit(True)))
+    return P.postings(df, keys, content, only, analyze)
+
+
+def term_counts(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """keys, lexeme, tf (all occurrences)."""
+    return P.term_counts(df, keys, content, rule)
 
 
 def document_frequency(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """by, lexeme, df (chunks that hold it), cf (all its occurrences)."""
-    per = occurrences(df, [*by, *keys]).groupBy(*by, *keys, "lexeme").agg(F.count("*").alias("tf"))
-    return per.groupBy(*by, "lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """by, lexeme, df (chunks that hold it), cf (all its occurrences). keys tell chunks apart."""
+    return term_counts(df, [*by, *keys]).groupBy(*by, "lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def rank_one(tf: Column) -> Column:
@@ -115,11 +118,17 @@ class IndexStore:
         after = {k: v for k, v in before.items() if k.rstrip("@") not in tables or not k.endswith("@")} | {f"{k}@": v for k, v in (stamps or {}).items()}
         try:
             for name, df in tables.items():
-                out = df.drop("version")
+                out, unsorted = df.drop("version"), None
                 if sort_by and name in sort_by:
-                    out = out.repartitionByRange(*sort_by[name]).sortWithinPartitions(*sort_by[name])
+                    # ranges are found on a sample: what makes the rows runs once
+                    unsorted = f"{self.root}/{version}/_unsorted-{uuid.uuid4().hex}"
+                    out.write.parquet(unsorted)
+                    out = self.spark.read.schema(out.schema).parquet(unsorted).repartitionByRange(*sort_by[name]).sortWithinPartitions(*sort_by[name])
                 after[name] = f"{name}-{uuid.uuid4().hex}"
                 out.write.parquet(f"{self.root}/{version}/{after[name]}")
+                if unsorted:
+                    fs, path = self._fs(unsorted)
+                    fs.delete(path, True)
             self._point(version, after)
         except Exception:
             for name in after.keys() & tables.keys():  # what was written of a snapshot that never came

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.parser import english_postings, query_lexemes
+from ..functions import parser as P
 from . import index as I
 
 THRESHOLD = 0.1
@@ -25,8 +25,8 @@ class Analyzer:
     posts: Callable[..., DataFrame]
 
 
-RULE = Analyzer(lambda q: list(dict.fromkeys(map(T.stem_word, T.tokens(q)))), lambda df, keys, content="content", only=None: I.postings(df, keys, content=content, only=only))
-ENGLISH = Analyzer(query_lexemes, english_postings)
+RULE = Analyzer(lambda q: list(dict.fromkeys(map(T.stem_word, T.tokens(q)))), I.postings)
+ENGLISH = Analyzer(P.query_lexemes, P.postings)
 
 
 def ranked(posts: DataFrame, lexemes: list[str], doc_keys: list[str]) -> DataFrame:

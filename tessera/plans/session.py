@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -28,3 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+#: Bytes a core, under which a table of few files is dealt anew for work that costs far more than moving it.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table that has fewer files than there are cores, dealt over the cores; other tables as they are."""
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    conf = spark._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size <= SMALL * cores else df

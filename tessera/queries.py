@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import fuzzy as Z
 from .functions import parser as E
 from .functions import text as T
+from .operators import blocks as L
 from .operators import catalog as C
 from .operators import documents as D
 from .operators import incremental as N
@@ -240,7 +241,7 @@ def tokenize_terms(spark, sf):
 
 @query("stem_terms", f"WITH {CORPUS_SQL}, {TERMS_SQL} SELECT lexeme, count(*) AS cf, count(DISTINCT chunk_id) AS df FROM terms GROUP BY lexeme")
 def stem_terms(spark, sf):
-    found = I.occurrences(plain(spark, sf), ["chunk_id"]).groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
+    found = I.term_counts(plain(spark, sf), ["chunk_id"])
     return found.groupBy("lexeme").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
@@ -478,12 +479,22 @@ def and_sql(terms: list[str]) -> str:
                FROM hit h JOIN flat x ON x.chunk_id = h.chunk_id JOIN flat y ON y.chunk_id = h.chunk_id AND x.lexeme < y.lexeme GROUP BY h.chunk_id)"""
 
 
-def index_of(spark, sf, version: str = "en", analyzer: str = "rule") -> DataFrame:
-    """The stored postings of a version of the corpus; they are made when they are first asked for, and again after the
-    table's files have changed."""
-    store = I.IndexStore(spark, f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}")
+def _store(spark, sf) -> I.IndexStore:
+    return I.IndexStore(spark, f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}")
+
+
+def index_of(spark, sf, version: str | None = "en", analyzer: str = "rule") -> DataFrame:
+    """The stored postings of a version of the corpus, or of all; they are made when they are first asked for, and again
+    after the table's files have changed."""
     build = S.RULE.posts if analyzer == "rule" else S.ENGLISH.posts
-    return store.read_through(f"postings-{analyzer}", version, lambda: build(plain(spark, sf).where(F.col("version") == version), ["chunk_id"]), ["lexeme"], I.stamp(spark, f"{sf}/documents.parquet"))
+    some = plain(spark, sf).where(F.col("version") == version) if version else plain(spark, sf)
+    return _store(spark, sf).read_through(f"postings-{analyzer}", version or "_all", lambda: build(some, ["chunk_id"]), ["lexeme"], I.stamp(spark, f"{sf}/documents.parquet"))
+
+
+def blocks_of(spark, sf, version: str | None = None) -> DataFrame:
+    """The posting blocks of a version, or of all, made of the stored postings and stored like them."""
+    build = lambda: L.build_blocks(index_of(spark, sf, version))
+    return _store(spark, sf).read_through("blocks-rule", version or "_all", build, made_of=I.stamp(spark, f"{sf}/documents.parquet")).drop("version")
 
 
 def _ranked(spark, sf, text: str) -> DataFrame:
@@ -558,11 +569,21 @@ QUERY_SQL = f"SELECT item_id, unnest(list_distinct(list_transform({tokens_sql('t
 def batch_search(spark, sf):
     """Every passage of the benchmark, whole, as a query over all versions: the documents that hold all its words."""
     asked = table(spark, sf, "benchmark").select("item_id", T.stems(F.col("text")).alias("lexemes"))
-    found = I.occurrences(plain(spark, sf), ["version", "chunk_id"]).join(F.broadcast(asked.select(F.explode("lexemes").alias("lexeme")).distinct()), "lexeme", "left_semi")
-    path = _folder(spark, "asked-words")  # the texts are read once, and their words met three times
-    found.select("version", "chunk_id", "lexeme").distinct().write.parquet(path)
-    posts = spark.read.parquet(path)
-    return S.many(asked, posts, ["item_id"], ["version", "chunk_id"]).groupBy("item_id", "version").agg(F.count("*").alias("hits"))
+    found = L.many_hits(asked, blocks_of(spark, sf), ["item_id"])
+    versions = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("version"))
+    return found.join(versions, "chunk_id").groupBy("item_id", "version").agg(F.count("*").alias("hits"))
+
+
+@query("stored_blocks", f"WITH {CORPUS_SQL}, {TERMS_SQL}, {POSTS_SQL} SELECT chunk_id, lexeme, len(positions)::INT AS tf, array_to_string(positions, ',') AS positions FROM posts")
+def stored_blocks(spark, sf):
+    """What the compressed blocks of all versions hold."""
+    return L.postings_of(blocks_of(spark, sf)).select("chunk_id", "lexeme", "tf", F.array_join("positions", ",").alias("positions"))
+
+
+@query("search_topk", f"{and_sql(PAIR)} SELECT chunk_id, score FROM ranked ORDER BY score DESC, chunk_id LIMIT 20")
+def search_topk(spark, sf):
+    """The best of full ranking, from the blocks that can hold them."""
+    return L.top_hits(blocks_of(spark, sf, "en"), S.RULE.query(" ".join(PAIR)), 20, decimals=6)
 
 
 TYPO = "thear onntsh retion"

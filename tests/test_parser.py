@@ -202,11 +202,11 @@ def test_postings_by_plain_code(spark):
             if not (stemmed and token in STOP):
                 want.setdefault((i, porter2(token) if stemmed else token), set()).add(min(j + 1, 16383))
     want = {k: sorted(v)[:256] for k, v in want.items()}
-    rows = P.english_postings(df, ["id"]).collect()
+    rows = P.postings(df, ["id"]).collect()
     assert {(r.id, r.lexeme): list(r.positions) for r in rows} == want and len(rows) == len(want) and all(r.tf == len(r.positions) for r in rows)
-    some = P.english_postings(df, ["id"], only=["run", "runner"]).collect()
+    some = P.postings(df, ["id"], only=["run", "runner"]).collect()
     assert {(r.id, r.lexeme): list(r.positions) for r in some} == {k: v for k, v in want.items() if k[1] in ("run", "runner")}
-    assert P.english_postings(df.where("false"), ["id"]).count() == 0
+    assert P.postings(df.where("false"), ["id"]).count() == 0
     assert P.query_lexemes("The running of café-owners' 12 runners") == ["run", "café-own", "café", "owner", "12", "runner"]
-    plan = P.english_postings(df.sparkSession.range(3).selectExpr("id", "'x' AS content"), ["id"])._jdf.queryExecution().executedPlan().toString()
+    plan = P.postings(df.sparkSession.range(3).selectExpr("id", "'x' AS content"), ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
