@@ -6,8 +6,9 @@ are aggregated per document, and substrings are taken. A row is a run of up to `
 pattern, so that a text isn't multiplied by the width of a row; of a run that a cut falls into, the units before the cut
 are counted in the document's own row. ``run=1`` is a row for each unit.
 
-Every row of the documents gets a key of its own in a written table; texts travel once, by that key, and runs, requests
-and the final join use that one exchange. No text is sorted.
+Every row of the documents gets a key of its own, its place in the input; texts travel once, by that key, and runs,
+requests and the final join use that one exchange. No text is sorted. Rows that come in another order when they are
+computed again, as after a shuffle, are written first; those of files aren't (``from_files``).
 
 Edge cases: null and empty texts are plain; a null doc_id is hashed as an empty one; repeated rows are cut once each, all
 alike; a text that holds a marker stays plain, so that outputs can be taken apart again; an empty table gives no rows;
@@ -59,21 +60,25 @@ def unit_runs(docs: DataFrame, unit: str = ".", run: int = RUN) -> DataFrame:
     return rows.select("key", "units", "chars", *[v.alias(k) for k, v in sums.items()])
 
 
-def cut_requests(keyed: DataFrame, unit: str, seed: str, plain_from: int, spm_below: int) -> DataFrame:
-    """key, cut (0 or 1), ordinal: after how many units a document is cut."""
+def cut_requests(docs: DataFrame, unit: str, seed: str, plain_from: int, spm_below: int) -> DataFrame:
+    """key, cut (0 or 1), ordinal: after how many units a document is cut; plain ones aren't. docs: key, doc_id, text."""
     n = _count(F.col("text"), unit).cast("long")
-    asked = keyed.where(_form(seed, plain_from, spm_below) != "plain").select("key", n.alias("n"), _digits(1, seed).alias("a"), _digits(2, seed).alias("b"))
+    # not a filter, which would move beneath the exchange and make it another one
+    plain = _form(seed, plain_from, spm_below) == "plain"
+    asked = docs.select("key", F.when(plain, 0).otherwise(n).alias("n"), _digits(1, seed).alias("a"), _digits(2, seed).alias("b"))
     ends = [F.expr(f"{x} % (n + 1)") for x in "ab"]
     cuts = [F.struct(F.lit(i).alias("cut"), pick(*ends).alias("ordinal")) for i, pick in enumerate((F.least, F.greatest))]
     return asked.select("key", F.inline(F.array(*cuts)))
 
 
-def fill_in_middle(docs: DataFrame, unit: str = ".", run: int = RUN, seed: str = SEED, plain_from: int = PLAIN_FROM, spm_below: int = SPM_BELOW) -> DataFrame:
+def fill_in_middle(docs: DataFrame, unit: str = ".", run: int = RUN, seed: str = SEED, plain_from: int = PLAIN_FROM, spm_below: int = SPM_BELOW, from_files: bool = False) -> DataFrame:
     """doc_id, n (units), form, prefix_chars, middle_chars, output."""
-    src = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    keyed = written(src.withColumn("key", F.monotonically_increasing_id()), "middle").where("key is not null")
+    src = id_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = src.withColumn("key", F.monotonically_increasing_id())
+    if not from_files:
+        keyed = written(keyed, "middle").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("key", F.lit(-1).cast("long")).alias("key"))
     dealt = keyed.select("key", "doc_id", "text").repartition("key")
-    runs, asked = unit_runs(dealt, unit, run), cut_requests(keyed, unit, seed, plain_from, spm_below)
+    runs, asked = unit_runs(dealt, unit, run), cut_requests(dealt, unit, seed, plain_from, spm_below)
     hit = runs.join(asked, "key").where("ordinal > units_before and ordinal <= units_before + units")
     # what a cut needs: where its run starts and ends, and how many of the run's units lie before the cut
     place = {"at": F.col("chars_before"), "size": F.col("chars"), "wanted": F.col("ordinal") - F.col("units_before")}
@@ -114,7 +119,7 @@ def restored(output: str = "output", form: str = "form") -> Column:
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fill_in_middle(load(spark, sf_dir, "documents"))
+    made = fill_in_middle(load(spark, sf_dir, "documents"), from_files=True)
     hashes = [F.sha2(c.cast("binary"), 256) for c in (F.col("output"), restored())]
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hashes[0].alias("output_sha256"), hashes[1].alias("restored_sha256"))
 

@@ -93,12 +93,13 @@ def test_middle_by_plain_code(spark, odd_docs, no_docs, unit, run):
     assert {w[2] for w in want} == {"plain", "psm", "spm"} and middle.fill_in_middle(no_docs).count() == 0
 
 
-def test_texts_travel_once(spark, docs_like):
-    """One exchange of texts serves the runs and the final join."""
-    df = middle.fill_in_middle(docs_like)
+@pytest.mark.parametrize("from_files", [True, False])
+def test_texts_travel_once(spark, docs_like, from_files):
+    """One exchange of texts serves runs, requests and the final join, and no text is matched twice."""
+    df = middle.fill_in_middle(docs_like, from_files=from_files)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "ReusedExchange" in plan and plan.count("regexp_extract_all") == 1 and "SortMergeJoin" not in plan
+    assert plan.count("ReusedExchange") == 2 and plan.count("regexp_extract_all") == 1
 
 
 @pytest.fixture(scope="module")
