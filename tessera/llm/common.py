@@ -31,12 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def lean(spark: SparkSession) -> None:
-    """Batches for Python workers are bounded by 8 MB, unless the session says otherwise: texts may be long, and a batch
-    exists several times, in the executor and in its worker."""
+def lean(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Batches for Python workers are bounded by so many bytes, unless the session says otherwise: texts may be long, and a
+    batch exists several times, in the executor and in its worker."""
     workers_find_package(spark)
-    if spark.conf.get(ARROW_BYTES).rstrip("b") == str(64 << 20):
-        spark.conf.set(ARROW_BYTES, str(8 << 20))
+    now = spark.conf.get(ARROW_BYTES).rstrip("bB")
+    if now == str(64 << 20) or (now == str(8 << 20) and most < 8 << 20):
+        spark.conf.set(ARROW_BYTES, str(most))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

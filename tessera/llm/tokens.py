@@ -102,7 +102,7 @@ class SegmentEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for a, b, data, offsets in byte_chunks(pa.array(texts, pa.large_string()), MOST_BYTES if self.byte_level else MOST_BYTES // 2):
+        for a, b, data, offsets in byte_chunks(pa.array(texts, pa.large_string()), MOST_BYTES if self.byte_level else MOST_BYTES // 4):
             odd = flagged(odd_space(data) if self.byte_level else data >= 0xC4, offsets)
             if not self.byte_level:
                 data = lowered(data)
