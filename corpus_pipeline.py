@@ -11,27 +11,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import load, written
+from tessera.llm.common import lean, load, written
 from tessera.llm.jaccard_join import keep_one
 from tessera.llm.packing import pack
 from tessera.llm.secrets import mask_secrets
 from tessera.llm.toxicity import fit, not_toxic, training_rows
 
 
+#: Stages follow each other in the same workers and executors, which keep what a stage before has taken.
+BATCH = 4 << 20
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark, BATCH)
     model = fit(training_rows(docs, load(spark, sf_dir, "labels")))
     return not_toxic(docs, *model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark, BATCH)
     return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark, BATCH)
     return mask_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark, BATCH)
     return pack(docs)
 
 
