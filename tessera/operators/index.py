@@ -76,7 +76,11 @@ def stamp(spark: SparkSession, path: str) -> str:
 class IndexStore:
     """Versioned tables in a folder. A version's tables are files of one snapshot, which a pointer file names: readers go
     from one whole snapshot to the next, whatever fails in between. The pointer also holds the stamp of what a table was made
-    of, under the table's name and an @."""
+    of, under the table's name and an @.
+
+    A table is one folder, or, where changes are added to it (update), segments that are never written again: rows, and keys
+    that are gone from all earlier rows. Readers leave out what is gone; compaction merges segments of like size, so that
+    a row is written again as often as the logarithm of the table's size says, and drops deletions that nothing needs."""
 
     POINTER = "_current"
 
@@ -88,8 +92,8 @@ class IndexStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _snapshot(self, version: str) -> dict[str, str]:
-        """Table to folder, of the current snapshot."""
+    def _snapshot(self, version: str) -> dict:
+        """Table to folder, or to key and segments, of the current snapshot."""
         fs, pointer = self._fs(f"{self.root}/{version}/{self.POINTER}")
         if not fs.exists(pointer):
             return {}
@@ -98,7 +102,11 @@ class IndexStore:
         stream.close()
         return data
 
-    def _point(self, version: str, tables: dict[str, str]) -> None:
+    @staticmethod
+    def _folders(tables: dict) -> set[str]:
+        return {f for v in tables.values() for f in ([x["folder"] for x in v["parts"]] if isinstance(v, dict) else [v])}
+
+    def _point(self, version: str, tables: dict) -> None:
         """Turn readers to the tables: the pointer is renamed over the former one in one step."""
         _, fresh = self._fs(f"{self.root}/{version}/_fresh-{uuid.uuid4().hex}")
         fs, pointer = self._fs(f"{self.root}/{version}/{self.POINTER}")
@@ -111,6 +119,20 @@ class IndexStore:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(fresh, pointer, options)
 
+    def _write(self, version: str, folder: str, df: DataFrame, sort: list[str] | None) -> None:
+        if not sort:
+            df.write.parquet(f"{self.root}/{version}/{folder}")
+            return
+        # ranges are found on a sample: what makes the rows runs once
+        unsorted = f"{self.root}/{version}/_unsorted-{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(unsorted)
+            out = self.spark.read.schema(df.schema).parquet(unsorted).repartitionByRange(*sort).sortWithinPartitions(*sort)
+            out.write.parquet(f"{self.root}/{version}/{folder}")
+        finally:
+            fs, path = self._fs(unsorted)
+            fs.delete(path, True)
+
     def replace(self, version: str, tables: dict[str, DataFrame], sort_by: dict[str, list[str]] | None = None, kept: int = 1, stamps: dict[str, str] | None = None) -> None:
         """These tables of a version, all at once; tables that aren't named stay. Former folders but the last ``kept``
         snapshots' go. sort_by: rows are dealt by ranges of these columns and sorted, so that readers skip files."""
@@ -118,17 +140,8 @@ class IndexStore:
         after = {k: v for k, v in before.items() if k.rstrip("@") not in tables or not k.endswith("@")} | {f"{k}@": v for k, v in (stamps or {}).items()}
         try:
             for name, df in tables.items():
-                out, unsorted = df.drop("version"), None
-                if sort_by and name in sort_by:
-                    # ranges are found on a sample: what makes the rows runs once
-                    unsorted = f"{self.root}/{version}/_unsorted-{uuid.uuid4().hex}"
-                    out.write.parquet(unsorted)
-                    out = self.spark.read.schema(out.schema).parquet(unsorted).repartitionByRange(*sort_by[name]).sortWithinPartitions(*sort_by[name])
                 after[name] = f"{name}-{uuid.uuid4().hex}"
-                out.write.parquet(f"{self.root}/{version}/{after[name]}")
-                if unsorted:
-                    fs, path = self._fs(unsorted)
-                    fs.delete(path, True)
+                self._write(version, after[name], df.drop("version"), (sort_by or {}).get(name))
             self._point(version, after)
         except Exception:
             for name in after.keys() & tables.keys():  # what was written of a snapshot that never came
@@ -137,7 +150,7 @@ class IndexStore:
                     fs.delete(path, True)
             raise
         if kept == 1:
-            self._clean(version, {*before.values(), *after.values()})
+            self._clean(version, self._folders(before) | self._folders(after))
 
     def _clean(self, version: str, used: set[str]) -> None:
         """Folders that neither the current snapshot nor the one before it names: readers of the latter may be at work."""
@@ -152,8 +165,92 @@ class IndexStore:
         self.replace(version, {table: df if old is None else old.drop("version").unionByName(df.drop("version"))})
 
     def read(self, table: str, version: str) -> DataFrame | None:
-        name = self._snapshot(version).get(table)
-        return None if name is None else self.spark.read.parquet(f"{self.root}/{version}/{name}").withColumn("version", F.lit(version))
+        held = self._snapshot(version).get(table)
+        if held is None:
+            return None
+        df = self._live(version, held["key"], held["parts"]).drop("_seq") if isinstance(held, dict) else self.spark.read.parquet(f"{self.root}/{version}/{held}")
+        return df.withColumn("version", F.lit(version))
+
+    def _part(self, version: str, name: str, kind: str, df: DataFrame, seq: int, sort: list[str] | None) -> dict:
+        folder = f"{name}-{kind}-{uuid.uuid4().hex}"
+        out = df.drop("version").withColumn("_seq", F.lit(seq)) if "_seq" not in df.columns else df.drop("version")
+        try:
+            self._write(version, folder, out, sort if kind == "rows" else None)
+        except Exception:
+            fs, path = self._fs(f"{self.root}/{version}/{folder}")
+            fs.delete(path, True)
+            raise
+        fs, path = self._fs(f"{self.root}/{version}/{folder}")
+        return {"folder": folder, "kind": kind, "seq": seq, "bytes": fs.getContentSummary(path).getLength()}
+
+    def _parts(self, version: str, parts: list[dict]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{version}/{x['folder']}" for x in parts])
+
+    def _live(self, version: str, key: list[str], parts: list[dict], of: list[dict] | None = None) -> DataFrame:
+        """The rows (of these segments) whose key isn't gone in a later one, with _seq."""
+        rows, gone = [x for x in of or parts if x["kind"] == "rows"], [x for x in parts if x["kind"] == "gone"]
+        df = self._parts(version, rows)
+        gone = [x for x in gone if x["seq"] > min(r["seq"] for r in rows)]
+        if not gone:
+            return df
+        last = self._parts(version, gone).groupBy(*key).agg(F.max("_seq").alias("_gone"))
+        return df.join(last, key, "left").where("_gone is null or _seq >= _gone").select(df.columns)
+
+    def update(self, version: str, changes: dict[str, tuple[list[str], DataFrame, DataFrame | None]], sort_by: dict[str, list[str]] | None = None) -> None:
+        """Segments added to tables, all at once: table to (key, new rows, keys of which all earlier rows go)."""
+        before, made = self._snapshot(version), []
+        after = {k: v for k, v in before.items() if k.rstrip("@") not in changes or not k.endswith("@")}
+        seq = 1 + max((x["seq"] for v in before.values() if isinstance(v, dict) for x in v["parts"]), default=0)
+        try:
+            for name, (key, rows, gone) in changes.items():
+                held, sort = before.get(name), (sort_by or {}).get(name)
+                if isinstance(held, str):  # a table of one folder becomes the first segment
+                    old = self.spark.read.parquet(f"{self.root}/{version}/{held}")
+                    parts = [self._part(version, name, "rows", old, 0, sort)]
+                    made.append(parts[0]["folder"])
+                else:
+                    parts = list(held["parts"]) if held else []
+                for kind, df in (("gone", gone if parts else None), ("rows", rows)):
+                    if df is not None and not (parts and df.isEmpty()):
+                        parts.append(self._part(version, name, kind, df.select(*key).distinct() if kind == "gone" else df, seq, sort))
+                        made.append(parts[-1]["folder"])
+                after[name] = {"key": key, "parts": parts, "sort": sort}
+            self._point(version, after)
+        except Exception:
+            for folder in made:  # what was written of a snapshot that never came
+                fs, path = self._fs(f"{self.root}/{version}/{folder}")
+                fs.delete(path, True)
+            raise
+        self._clean(version, self._folders(before) | self._folders(after))
+
+    def compact(self, version: str, fan: int = 4) -> int:
+        """Merges ``fan`` or more segments of a table whose sizes are within a factor of fan, as long as there are such ones;
+        every merge is a snapshot of its own. The number of merges."""
+        merges, names = 0, [k for k, v in self._snapshot(version).items() if isinstance(v, dict)]
+        for name in names:
+            while True:
+                tables = self._snapshot(version)
+                held, seq = tables[name], 1 + max(x["seq"] for v in tables.values() if isinstance(v, dict) for x in v["parts"])
+                parts = held["parts"]
+                tiers: dict[tuple, list[dict]] = {}
+                for x in parts:
+                    tiers.setdefault((x["kind"], 0 if x["kind"] == "gone" else (max(1, x["bytes"] >> 14).bit_length() - 1) // (fan.bit_length() - 1)), []).append(x)
+                some = next((t for k, t in sorted(tiers.items()) if len(t) >= fan), None)
+                if some is None:
+                    break
+                rest = [x for x in parts if x not in some]
+                if some[0]["kind"] == "gone":
+                    last = max(x["seq"] for x in some)
+                    rest.append(self._part(version, name, "gone", self._parts(version, some).groupBy(*held["key"]).agg(F.max("_seq").alias("_seq")), last, None))
+                else:
+                    # what is gone has been left out, so that deletions until now don't bear on the merged segment
+                    rest.append(self._part(version, name, "rows", self._live(version, held["key"], parts, some).drop("_seq"), seq, held["sort"]))
+                first = min(x["seq"] for x in rest if x["kind"] == "rows")
+                rest = [x for x in rest if x["kind"] == "rows" or x["seq"] > first]
+                self._point(version, {**tables, name: {**held, "parts": rest}})
+                self._clean(version, self._folders(tables) | {x["folder"] for x in rest})
+                merges += 1
+        return merges
 
     def read_through(self, table: str, version: str, build: Callable[[], DataFrame], sort_by: list[str] | None = None, made_of: str | None = None) -> DataFrame:
         """The stored table, or, where there is none, what build gives, stored first. made_of: the stamp of what it is made of;
@@ -173,10 +270,11 @@ class IndexStore:
         for v in [version] if version else self.versions(table):
             tables = self._snapshot(v)
             tables.pop(f"{table}@", None)
-            if name := tables.pop(table, None):
+            if (held := tables.pop(table, None)) is not None:
                 self._point(v, tables)
-                fs, path = self._fs(f"{self.root}/{v}/{name}")
-                fs.delete(path, True)
+                for folder in self._folders({table: held}):
+                    fs, path = self._fs(f"{self.root}/{v}/{folder}")
+                    fs.delete(path, True)
 
     def drop_all(self) -> None:
         fs, path = self._fs(self.root)

@@ -18,25 +18,42 @@ RAW = "version string, path string, content string, extension string, seq long"
 COLUMNS = ["path", "content", "extension"]
 
 
+SORTED = {"chunks": ["page", "ordinal"], "postings": ["lexeme"]}
+
+
+def apply_changes(store: IndexStore, version: str, moved: DataFrame, gone: DataFrame) -> None:
+    """New and changed documents (COLUMNS) and the paths that are gone, as segments of all tables, which turn at once: what
+    is parsed, analyzed and written follows the change, not the version."""
+    raw = moved.select(F.lit(version).alias("version"), *COLUMNS).persist()  # of a change, not of a version
+    paths = raw.select("path").union(gone.select("path")).distinct().persist()
+    fresh = X.chunks(raw).persist()
+    try:
+        pages = paths.select(T.page_name(F.col("path")).alias("page"))
+        store.update(version, {"raw": (["path"], raw, paths), "manifest": (["path"], N.manifest(raw), paths), "chunks": (["page"], fresh, pages), "postings": (["page"], postings(fresh, ["page", "ordinal"]), pages)}, SORTED)
+    finally:
+        for df in (fresh, paths, raw):
+            df.unpersist()
+    store.compact(version)
+
+
+def _whole(store: IndexStore, version: str) -> bool:
+    return all(store.read(t, version) is not None for t in ("raw", "manifest", "chunks", "postings"))
+
+
 def refresh_version(store: IndexStore, version: str, raw: DataFrame) -> bool:
-    """All documents of a version, as they are now: chunks and postings of unchanged pages are kept, changed pages alone are
-    parsed and analyzed, removed ones go. All tables turn at once. False if nothing changed."""
+    """All documents of a version, as they are now: changed pages are parsed and analyzed, removed ones go, and nothing else
+    is written. False if nothing changed."""
     raw = raw.select(F.lit(version).alias("version"), *COLUMNS)
-    now, before = N.manifest(raw), store.read("manifest", version)
-    chunks, posts = store.read("chunks", version), store.read("postings", version)
-    if before is None or chunks is None or posts is None:
+    if not _whole(store, version):
         table = X.chunks(raw)
-        found = postings(table, ["page", "ordinal"])
-    else:
-        moved, gone = N.changed(now, before), N.removed(now, before)
-        if moved.isEmpty() and gone.isEmpty():
-            return False
-        stale = moved.select("path").union(gone.select("path")).select(T.page_name(F.col("path")).alias("page")).distinct()
-        fresh = X.chunks(raw.join(moved.select("path"), "path", "left_semi").select("version", *COLUMNS))
-        kept = chunks.join(stale, "page", "left_anti")
-        table = kept.unionByName(fresh.select(*kept.columns))
-        found = posts.drop("version").join(stale, "page", "left_anti").unionByName(postings(fresh, ["page", "ordinal"]))
-    store.replace(version, {"raw": raw, "manifest": now, "chunks": table, "postings": found}, {"chunks": ["page", "ordinal"], "postings": ["lexeme"]})
+        first = {"raw": (["path"], raw), "manifest": (["path"], N.manifest(raw)), "chunks": (["page"], table), "postings": (["page"], postings(table, ["page", "ordinal"]))}
+        store.update(version, {k: (*v, None) for k, v in first.items()}, SORTED)
+        return True
+    now, before = N.manifest(raw), store.read("manifest", version)
+    moved, gone = N.changed(now, before), N.removed(now, before)
+    if moved.isEmpty() and gone.isEmpty():
+        return False
+    apply_changes(store, version, raw.join(moved.select("path"), "path", "left_semi"), gone)
     return True
 
 
@@ -46,15 +63,21 @@ def _held(store: IndexStore, version: str) -> DataFrame | None:
 
 
 def refresh_batch(store: IndexStore, arrived: DataFrame) -> list[str]:
-    """The latest row of each arrived path is merged; one without content removes the path. Returns the versions that changed."""
+    """The latest row of each arrived path is merged; one without content removes the path. Of the version, only the
+    manifest's rows of the arrived paths are read. Returns the versions that changed."""
     fresh = N.latest(arrived, ["version", "path"], "seq")
     turned = []
     for (version,) in sorted(fresh.select("version").distinct().collect()):  # versions are configured, and few
-        mine, old = fresh.where(F.col("version") == version).select(*COLUMNS), _held(store, version)
+        mine = fresh.where(F.col("version") == version).select("version", *COLUMNS)
         raw = mine.where("content is not null")
-        if old is not None:
-            raw = old.join(mine.select("path"), "path", "left_anti").select(*COLUMNS).unionByName(raw)
-        if refresh_version(store, version, raw):
+        if not _whole(store, version):
+            if refresh_version(store, version, raw):
+                turned.append(version)
+            continue
+        known = store.read("manifest", version).join(mine.select("path"), "path", "left_semi")
+        moved, gone = N.changed(N.manifest(raw), known), known.join(mine.where("content is null").select("path"), "path", "left_semi")
+        if not (moved.isEmpty() and gone.isEmpty()):
+            apply_changes(store, version, raw.join(moved.select("path"), "path", "left_semi"), gone)
             turned.append(version)
     return turned
 

@@ -3,7 +3,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.index import IndexStore
+from tessera.operators import sections as X
+from tessera.operators.index import IndexStore, postings
 from tessera.plans.api import Status
 from tessera.sources import archives as A
 from tessera.sources import playbook as P
@@ -148,3 +149,88 @@ def test_stream_refresh(spark, tmp_path):
     assert store.read("chunks", "2") is None
     store.drop_all()
     assert store.versions("chunks") == []
+
+
+def listing(spark, texts):
+    return spark.createDataFrame([(f"{k}.adoc", v, "core") for k, v in texts.items()], "path string, content string, extension string")
+
+
+def _bytes(root):
+    return {str(f): f.stat().st_size for f in root.rglob("*.parquet")}
+
+
+def test_refresh_writes_what_changed_and_compacts(spark, tmp_path):
+    """Bytes follow the changed pages; segments stay few; what is read is what a rebuild gives, at every step."""
+    store, texts = IndexStore(spark, str(tmp_path / "store")), {f"p{i}": f"= Page {i}\n" + f"word{i} common text number {i * 7} " * 40 for i in range(400)}
+    assert R.refresh_version(store, "1", listing(spark, texts))
+    whole = sum(_bytes(tmp_path / "store").values())
+    written, seen = [], set(_bytes(tmp_path / "store"))
+    for step in range(7):
+        texts[f"p{step}"] = f"= Page {step}\nchanged once {step} more{step}"
+        texts[f"new{step}"] = f"= New\nfresh{step}"
+        texts.pop(f"p{300 + step}")
+        if step == 5:  # a page that goes and comes back
+            texts["p305"] = "= Back\nagain here"
+        if step == 7:
+            texts.pop("new3")
+        assert R.refresh_version(store, "1", listing(spark, texts))
+        now = _bytes(tmp_path / "store")
+        written.append(sum(v for k, v in now.items() if k not in seen))
+        seen |= set(now)
+        raw = {r.path: r.content for r in store.read("raw", "1").collect()}
+        assert raw == {f"{k}.adoc": v for k, v in texts.items()}
+    assert sorted(written)[len(written) // 2] < 0.5 * whole
+    fresh = X.chunks(listing(spark, texts).selectExpr("'1' AS version", "*"))
+    assert sorted(map(repr, store.read("chunks", "1").select(fresh.columns).collect())) == sorted(map(repr, fresh.collect()))
+    key = ["page", "ordinal", "lexeme", "tf", "positions"]
+    assert sorted(map(repr, store.read("postings", "1").select(key).collect())) == sorted(map(repr, postings(fresh, ["page", "ordinal"]).select(key).collect()))
+    parts = store._snapshot("1")["chunks"]["parts"]
+    assert sum(x["kind"] == "rows" for x in parts) <= 9 and sum(x["kind"] == "gone" for x in parts) < 4
+    assert not R.refresh_version(store, "1", listing(spark, texts))
+
+
+def test_a_failed_update_or_merge_leaves_the_snapshot(spark, tmp_path, monkeypatch):
+    """Whichever write fails: readers see the tables as they were, and what was half written is gone after the next success."""
+    store, texts = IndexStore(spark, str(tmp_path / "store")), {f"p{i}": f"= P\nword{i}" for i in range(12)}
+    R.refresh_version(store, "1", listing(spark, texts))
+    writer, calls = type(store.read("raw", "1").write), [0]
+    plain = writer.parquet
+
+    def parquet(self, path, *args, **options):
+        calls[0] -= 1
+        if calls[0] == 0:
+            raise RuntimeError("lost")
+        return plain(self, path, *args, **options)
+
+    monkeypatch.setattr(writer, "parquet", parquet)
+    contents = lambda: {r.path.removesuffix(".adoc"): r.content for r in store.read("raw", "1").collect()}
+    failures = 0
+    for step, fail_at in enumerate((2, 6, 9, 13, 16)):
+        old, texts = texts, {**texts, f"p{step}": f"= P\nchanged{step}"}
+        calls[0] = fail_at
+        try:
+            R.refresh_version(store, "1", listing(spark, texts))
+        except RuntimeError:
+            failures += 1
+        calls[0] = 0
+        # an update that failed changed nothing; one whose merge failed is whole already
+        now = contents()
+        assert now in (old, texts)
+        assert {r.page: r.content for r in store.read("chunks", "1").collect()} == {k: v.split("\n")[1] for k, v in now.items()}
+        assert {(r.page, r.lexeme) for r in store.read("postings", "1").collect()} == {(r.chunk, r.lexeme) for r in postings(spark.createDataFrame([(k, v.split("\n")[1]) for k, v in now.items()], "chunk string, content string"), ["chunk"]).collect()}
+        R.refresh_version(store, "1", listing(spark, texts))
+        assert contents() == texts
+    assert failures >= 3
+    assert not any(p.name.startswith("_unsorted") for p in (tmp_path / "store" / "1").iterdir())
+
+
+def test_a_batch_reads_no_whole_version(spark, tmp_path):
+    """Arrived rows meet the manifest's rows of their paths; removals, repeats and unchanged rows included."""
+    store, rows = IndexStore(spark, str(tmp_path / "store")), "version string, path string, content string, extension string, seq long"
+    put = lambda *r: R.refresh_batch(store, spark.createDataFrame(list(r), rows))
+    assert put(("1", "a.adoc", "= A\none", "x", 1), ("1", "b.adoc", "= B\ntwo", "x", 1), ("2", "c.adoc", "= C\nthree", "y", 1)) == ["1", "2"]
+    assert put(("1", "a.adoc", "= A\none", "x", 2)) == [] and put(("1", "z.adoc", None, "x", 2)) == []
+    assert put(("1", "a.adoc", "= A\nfour", "x", 4), ("1", "a.adoc", "= A\nold", "x", 3), ("1", "b.adoc", None, "x", 5)) == ["1"]
+    assert {(r.path, r.content) for r in store.read("raw", "1").collect()} == {("a.adoc", "= A\nfour")}
+    assert {r.lexeme for r in store.read("postings", "1").collect()} == {"four"} and {r.page for r in store.read("chunks", "1").collect()} == {"a"}
+    assert store.read("raw", "2").count() == 1
