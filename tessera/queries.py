@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -678,7 +679,7 @@ def docs_batch_lookup(spark, sf):
     return asked.join(docs, "path", "left").select("pos", "path", "doc_id", F.when(F.col("doc_id").isNull(), "Document not found").alias("error"))
 
 
-@query("batch_counters", "SELECT 3::BIGINT AS requested, 2::BIGINT AS retrieved, 1::BIGINT AS errors")
+@query("batch_counters", "SELECT count(*) AS requested, count(d.doc_id) AS retrieved, count(*) - count(d.doc_id) AS errors FROM (VALUES ('doc-3.adoc'), ('doc-x.adoc'), ('doc-5.adoc')) q(path) LEFT JOIN documents d ON 'doc-' || d.doc_id || '.adoc' = q.path")
 def batch_counters(spark, sf):
     got = docs_batch_lookup(spark, sf)
     return got.agg(F.count("*").alias("requested"), F.count_if(F.col("error").isNull()).alias("retrieved"), F.count_if(F.col("error").isNotNull()).alias("errors"))
@@ -962,29 +963,88 @@ def archive_extension(spark, sf):
     return A_.extension_docs(A_.entries(spark, _archive(spark, sf, names)), "some").select("path", F.md5("content").alias("digest"))
 
 
-PLAYBOOK = """
-content:
-  sources:
-    - {url: "https://github.com/acme/one.git", branches: [HEAD, "/x/", "2.x"], start_path: docs}
-    - {url: "https://github.com/acme/two", branches: main}
-    - {url: "https://elsewhere.org/acme/three", branches: main}
-    - {url: "https://github.com/acme/four"}
-"""
+@query(
+    "playbook_sources",
+    """SELECT doc_id, 'one-' || doc_id AS name, source AS owner, 'one-' || doc_id AS repo, CASE WHEN doc_id % 3 = 0 THEN 'main' ELSE '2.' || doc_id || '.x' END AS branch, 'docs' AS start_path FROM documents WHERE doc_id % 7 <> 0
+    UNION ALL SELECT doc_id, 'two', source, 'two', lang, '' FROM documents WHERE doc_id % 7 <> 0""",
+)
+def playbook_sources(spark, sf):
+    """A playbook made of each document's columns, every seventh of them malformed: the sources of all, on the executors."""
+    i = F.col("doc_id").cast("string")
+    one = F.concat(F.lit('    - {url: "https://github.com/'), "source", F.lit("/one-"), i, F.lit('.git", branches: [HEAD, "/x/", '), F.when(F.col("doc_id") % 3 == 0, '"v*"').otherwise(F.concat(F.lit('"2.'), i, F.lit('.x"'))), F.lit("], start_path: docs}\n"))
+    two = F.concat(F.lit('    - {url: "https://github.com/'), "source", F.lit('/two", branches: '), "lang", F.lit('}\n    - {url: "https://elsewhere.org/a/three"}\n'))
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("content: [\n"), i)).otherwise(F.concat(F.lit("content:\n  sources:\n"), one, two))
+    return P.sources_of(table(spark, sf, "documents").select("doc_id", text.alias("playbook")), "doc_id", "playbook")
 
 
-@query("playbook_sources", "SELECT * FROM (VALUES ('one', 'acme', 'one', '2.x', 'docs'), ('two', 'acme', 'two', 'main', ''), ('four', 'acme', 'four', 'main', '')) v(name, owner, repo, branch, start_path)")
-def playbook_sources(spark, sf):
-    return P.sources_table(spark, PLAYBOOK)
+@query("component_titles", "SELECT doc_id, CASE WHEN doc_id % 5 NOT IN (0, 1) THEN 'Part ' || source || ' ' || doc_id END AS title FROM documents")
+def component_titles(spark, sf):
+    """The title of a descriptor made for each document; blank and malformed ones have none."""
+    i = F.col("doc_id")
+    text = F.when(i % 5 == 0, "title: '  '").when(i % 5 == 1, "title: [").otherwise(F.concat(F.lit("name: x\ntitle: '  Part "), "source", F.lit(" "), i.cast("string"), F.lit(" '\n")))
+    return P.titles_of(table(spark, sf, "documents").select("doc_id", text.alias("descriptor")), "doc_id", "descriptor")
 
 
-@query("manifest_json", f"SELECT {ITEM_SQL} AS path, md5(text) AS sha FROM benchmark")
+@query("manifest_json", "SELECT 'item-' || doc_id || '.adoc' AS path, md5(text) AS sha FROM documents WHERE doc_id % 4 <> 0")
 def manifest_json(spark, sf):
-    """A JSON manifest of files with fields that aren't known; paths lose their prefix."""
+    """A JSON manifest of a file for each document, with fields that aren't known; paths lose their prefix, other files go."""
     path = _folder(spark, "manifest")
-    name = F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit(".adoc"))
+    name = F.concat(F.lit("item-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".txt").otherwise(".adoc"))
     row = F.struct(name.alias("name"), F.concat(F.lit("docs/"), name).alias("path"), F.md5("text").alias("sha"), F.lit(1).alias("size"))
-    table(spark, sf, "benchmark").agg(F.to_json(F.collect_list(row)).alias("value")).coalesce(1).write.text(path)
-    return P.manifest_paths(P.read_manifest(spark, path), "docs/")
+    table(spark, sf, "documents").select(F.to_json(row).alias("value")).write.text(path)
+    return P.manifest_paths(P.read_manifest(spark, path, lines=True), "docs/")
+
+
+@query("store_dropped", "SELECT lang AS version, count(*) AS n FROM documents WHERE lang IN ('de', 'en') GROUP BY lang")
+def store_dropped(spark, sf):
+    """All versions dropped, and others stored after it: nothing of the first is left."""
+    store, docs = I.IndexStore(spark, _folder(spark, "store")), table(spark, sf, "documents").select("doc_id", "lang")
+    for v in ("fr", "en"):
+        store.replace(v, {"docs": docs.where(F.col("lang") == v)})
+    store.drop_all()
+    for v in ("de", "en"):
+        store.replace(v, {"docs": docs.where(F.col("lang") == v)})
+    versions = store.versions("docs")
+    held = [store.read("docs", v) for v in versions]
+    return functools.reduce(DataFrame.unionByName, held).groupBy("version").agg(F.count("*").alias("n"))
+
+
+STORED_SQL = "SELECT lang AS version, 'doc-' || doc_id || '.adoc' AS path, md5(text) AS sha FROM documents WHERE lang IN ('en', 'fr')"
+
+
+def _rows_of_documents(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").where("lang in ('en', 'fr')")
+    return docs.select(F.col("lang").alias("version"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".adoc")).alias("path"), F.col("text").alias("content"), F.col("source").alias("extension"), F.lit(1).cast("long").alias("seq"))
+
+
+@query("warm_up", STORED_SQL)
+def warm_up(spark, sf):
+    """Versions loaded where they aren't there yet; one whose source fails is reported, and the others are loaded."""
+    from .plans.api import Status
+    from .streaming import refresh
+
+    store, status, rows = I.IndexStore(spark, _folder(spark, "store")), Status(), _rows_of_documents(spark, sf)
+
+    def load(v: str) -> DataFrame:
+        if v == "none":
+            raise OSError("no such source")
+        return rows.where(F.col("version") == v)
+
+    refresh.warm_up(store, load, ["en", "none", "fr"], status)
+    assert status.report() == (200, {"ready": True, "total": 3, "completed": 2, "failed": ["none"]})
+    return functools.reduce(DataFrame.unionByName, [store.read("manifest", v).select("version", "path", "sha") for v in store.versions("manifest")])
+
+
+@query("refresh_stream", STORED_SQL)
+def refresh_stream(spark, sf):
+    """Documents arrive as files of a stream, some twice in other forms: the last one of each path is held."""
+    from .streaming import refresh
+
+    rows, source, store = _rows_of_documents(spark, sf), _folder(spark, "arrived"), I.IndexStore(spark, _folder(spark, "store"))
+    old = rows.where(F.crc32(F.col("path").cast("binary")) % 3 == 0).withColumns({"content": F.concat("content", F.lit(" before")), "seq": F.lit(0).cast("long")})
+    rows.unionByName(old).write.parquet(source)
+    refresh.refresh_stream(spark, source, store, _folder(spark, "stream-state")).awaitTermination()
+    return functools.reduce(DataFrame.unionByName, [store.read("manifest", v).select("version", "path", "sha") for v in store.versions("manifest")])
 
 
 @query("store_tables", "SELECT lang AS version, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang")
@@ -1101,6 +1161,21 @@ def service_documents(spark, sf):
     return page.select("path", F.round("score", 6).alias("score"))
 
 
+@query("service_documents_full", f"{and_sql(PAIR)} SELECT 'doc-' || r.chunk_id || '.adoc' AS path, score, 'Doc ' || r.chunk_id AS title FROM (SELECT * FROM ranked ORDER BY score DESC, chunk_id LIMIT 5) r")
+def service_documents_full(spark, sf):
+    """Whole documents are given for five hits at most, whatever the limit."""
+    page, info = _service(spark, sf).documents(" ".join(PAIR), version="en", brief=False, limit=100)
+    assert info["limit"] == 5
+    return page.where("sections is not null").select("path", F.round("score", 6).alias("score"), "title")
+
+
+@query("service_document", "SELECT 'doc-' || doc_id || '.adoc' AS path, 'Doc ' || doc_id AS title, 'en' AS subject, source AS extension FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents WHERE lang = 'en')")
+def service_document(spark, sf):
+    """One document by its path."""
+    last = table(spark, sf, "documents").where("lang = 'en'").agg(F.max("doc_id")).first()[0]
+    return _service(spark, sf).document(f"doc-{last}.adoc", version="en", fields="path,title,subject,extension")
+
+
 @query("service_batch", "SELECT q.pos, q.path, CASE WHEN d.doc_id IS NOT NULL THEN 'Doc ' || d.doc_id END AS title, CASE WHEN d.doc_id IS NULL THEN 'Document not found' END AS error FROM (SELECT 0 AS pos, 'doc-' || min(doc_id) || '.adoc' AS path FROM documents WHERE lang = 'en' UNION ALL SELECT 1, 'none.adoc') q LEFT JOIN documents d ON 'doc-' || d.doc_id || '.adoc' = q.path")
 def service_batch(spark, sf):
     first = table(spark, sf, "documents").where("lang = 'en'").agg(F.min("doc_id")).first()[0]

@@ -60,10 +60,8 @@ def extension_docs(entry: DataFrame, extension: str, start_path: str = "docs", p
 
 def component_title(entry: DataFrame, start_path: str = "docs") -> str | None:
     """The title in the component's antora.yml; blank or malformed ones don't count."""
-    from .playbook import yaml_load
+    from .playbook import title_of
 
     name = f"{start_path.strip('/')}/antora.yml".lstrip("/")
     rows = entry.where(F.regexp_replace("name", "^[^/]*/", "") == name).select("content").limit(1).collect()
-    data = yaml_load(rows[0][0]) if rows else None
-    title = data.get("title") if isinstance(data, dict) else None
-    return title.strip() if isinstance(title, str) and title.strip() else None
+    return title_of(rows[0][0]) if rows else None
