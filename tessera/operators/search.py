@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import parser as P
 from . import index as I
+from . import trigrams as G
 
 THRESHOLD = 0.1
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
@@ -85,8 +86,9 @@ def fuzzy(chunks: DataFrame, query: str, content: str = "content", threshold: fl
     return chunks.withColumn("score", F.when(few, score).otherwise(0.0)).where(F.col("score") > threshold)
 
 
-def search(chunks: DataFrame, posts: DataFrame, query: str, extension: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0, fuzzy_respects_filters: bool = False, analyzer: Analyzer = RULE) -> tuple[DataFrame, int]:
-    """The page of hits (chunk columns and score) and the total. posts: stored postings under the analyzer.
+def search(chunks: DataFrame, posts: DataFrame, query: str, extension: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0, fuzzy_respects_filters: bool = False, analyzer: Analyzer = RULE, trigrams: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The page of hits (chunk columns and score) and the total. posts: stored postings under the analyzer; trigrams: the
+    stored trigram index of the chunks, from which the fuzzy search answers; without it, it looks at the texts.
 
     Without any ranked hit on the first page the fuzzy search answers: it leaves the extension filter out unless told
     otherwise, and its total is its number of rows.
@@ -98,7 +100,8 @@ def search(chunks: DataFrame, posts: DataFrame, query: str, extension: str | Non
     page = hits.orderBy(F.desc("score"), "chunk_id").offset(offset).limit(limit)
     if total == 0 and offset == 0:
         source = chunks.where(F.array_contains("extensions", extension)) if extension and fuzzy_respects_filters else chunks
-        page = fuzzy(source, query).orderBy(F.desc("score"), "chunk_id").limit(limit)
+        like = fuzzy(source, query) if trigrams is None else source.join(G.similar(trigrams, query, THRESHOLD), "chunk_id")
+        page = like.orderBy(F.desc("score"), "chunk_id").limit(limit)
         total = page.count()
     return page, total
 

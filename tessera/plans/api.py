@@ -93,11 +93,11 @@ def total_count_header(info: dict) -> dict[str, str]:
 
 class Service:
     """Queries over the raw documents, chunks and postings of all versions. cached: so many versions are persisted;
-    analyzer: that under which the postings were made."""
+    analyzer: that under which the postings were made; trigrams: a version's stored trigram index, for the fuzzy search."""
 
-    def __init__(self, raw: DataFrame, chunks: DataFrame, posts: DataFrame, status: Status | None = None, cached: int = 0, analyzer: S.Analyzer = S.RULE):
+    def __init__(self, raw: DataFrame, chunks: DataFrame, posts: DataFrame, status: Status | None = None, cached: int = 0, analyzer: S.Analyzer = S.RULE, trigrams: Callable[[str], DataFrame] | None = None):
         self.raw, self.chunks, self.posts, self.status, self.analyzer = raw, chunks, posts, status or Status(), analyzer
-        self.cache = VersionCache(cached) if cached else None
+        self.cache, self.trigrams = VersionCache(cached) if cached else None, trigrams
 
     def _of(self, version: str | None) -> tuple[str, DataFrame, DataFrame, DataFrame]:
         """The version's tables; an unknown version is an error, but main, which may still be empty."""
@@ -112,8 +112,8 @@ class Service:
 
     def search(self, q: str, version: str | None = None, extension: str | None = None, limit: int | None = None, offset: int | None = None, fields: str | None = None) -> tuple[DataFrame, dict]:
         q, n, o, e = V.query(q), V.limit(limit), V.offset(offset), V.filter_value(extension, "extension")
-        _, _, chunks, posts = self._of(version)
-        page, total = S.search(chunks, posts, q, e, n, o, analyzer=self.analyzer)
+        v, _, chunks, posts = self._of(version)
+        page, total = S.search(chunks, posts, q, e, n, o, analyzer=self.analyzer, trigrams=self.trigrams(v) if self.trigrams else None)
         return D.select_fields(page, fields), S.envelope(page, total, n, o, max(0, min(n, total - o)))
 
     def document(self, path: str, version: str | None = None, fields: str | None = None) -> DataFrame:

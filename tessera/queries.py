@@ -22,6 +22,7 @@ from .operators import related as R
 from .operators import search as S
 from .operators import sections as X
 from .operators import subjects as J
+from .operators import trigrams as G
 from .plans.api import Service
 from .plans.session import shared_dir, workers_find_package
 from .sources import archives as A_
@@ -498,6 +499,12 @@ def blocks_of(spark, sf, version: str | None = None) -> DataFrame:
     return _store(spark, sf).read_through("blocks-rule", version or "_all", build, made_of=I.stamp(spark, f"{sf}/documents.parquet")).drop("version")
 
 
+def trigrams_of(spark, sf, version: str = "en") -> DataFrame:
+    """The trigram index of a version, stored like the postings."""
+    build = lambda: G.build_trigrams(plain(spark, sf).where(F.col("version") == version))
+    return _store(spark, sf).read_through("trigrams", version, build, ["trigram", "shard", "class"], I.stamp(spark, f"{sf}/documents.parquet")).drop("version")
+
+
 def _ranked(spark, sf, text: str) -> DataFrame:
     return S.ranked(index_of(spark, sf), S.RULE.query(text), ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
 
@@ -596,8 +603,24 @@ def fuzzy_similarity(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@query("fuzzy_topk", f"WITH s AS (SELECT doc_id, {similarity_sql(trgm_sql('text'), trgm_sql(chr(39) + TYPO + chr(39)))} AS score FROM documents WHERE lang = 'en') SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0.1 ORDER BY s.score DESC, doc_id LIMIT 20")
+@query("trigram_store", f"WITH t AS (SELECT unnest({trgm_sql('text')}) AS trigram FROM documents WHERE lang = 'en') SELECT trigram, count(*) AS documents FROM t GROUP BY trigram")
+def trigram_store(spark, sf):
+    """What the stored trigram index holds."""
+    return trigrams_of(spark, sf).where("trigram <> ''").groupBy("trigram").agg(F.sum("n").alias("documents"))
+
+
+FUZZY_SQL = f"WITH s AS (SELECT doc_id, {similarity_sql(trgm_sql('text'), trgm_sql(chr(39) + TYPO + chr(39)))} AS score FROM documents WHERE lang = 'en') SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0.1 ORDER BY s.score DESC, doc_id LIMIT 20"
+
+
+@query("fuzzy_topk", FUZZY_SQL)
 def fuzzy_topk(spark, sf):
+    """From the stored trigram index alone: no text is read."""
+    hits = G.similar(trigrams_of(spark, sf), TYPO, S.THRESHOLD).orderBy(F.desc("score"), "chunk_id").limit(20)
+    return hits.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("fuzzy_unindexed", FUZZY_SQL)
+def fuzzy_unindexed(spark, sf):
     hits = S.fuzzy(plain(spark, sf).where("version = 'en'"), TYPO).orderBy(F.desc("score"), "chunk_id").limit(20)
     return hits.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
@@ -605,7 +628,7 @@ def fuzzy_topk(spark, sf):
 @query("search_fallback", f"WITH s AS (SELECT doc_id, {similarity_sql(trgm_sql('text'), trgm_sql(chr(39) + 'zzthe theazz' + chr(39)))} AS score FROM documents WHERE lang = 'en') SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0.1 ORDER BY s.score DESC, doc_id LIMIT 20")
 def search_fallback(spark, sf):
     base = plain(spark, sf).where("version = 'en'")
-    page, _ = S.search(base, index_of(spark, sf).drop("version"), "zzthe theazz", extension="src0")
+    page, _ = S.search(base, index_of(spark, sf).drop("version"), "zzthe theazz", extension="src0", trigrams=trigrams_of(spark, sf))
     return page.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 

@@ -8,6 +8,7 @@ from tessera.operators import index as I
 from tessera.operators import related as R
 from tessera.operators import search as S
 from tessera.operators import sections as X
+from tessera.operators import trigrams as G
 from tessera.plans import validate as V
 from tessera.plans.api import Service, Status, total_count_header
 
@@ -38,6 +39,15 @@ def test_fuzzy_fallback(service):
     assert info["totalCount"] >= 1 and page.first().page == "rest"
 
 
+def test_fuzzy_fallback_from_the_index(service):
+    """The same page, of the asked version alone."""
+    indexed = Service(service.raw, service.chunks, service.posts, trigrams=lambda v: G.build_trigrams(service.chunks.where(F.col("version") == v)))
+    key = ["version", "page", "chunk_id", "score"]
+    for version in ("main", "old"):
+        (a, one), (b, two) = (s.search("endpoinds jsn secruity", version=version) for s in (indexed, service))
+        assert one == two and a.select(key).collect() == b.select(key).collect() and {r.version for r in a.collect()} <= {version}
+
+
 def test_document_batch_related_catalog(service):
     d = service.document("security.adoc").first()
     assert d.title == "Security" and d.subject == "security" and [s.title for s in d.sections] == ["Security", "Tokens"]
