@@ -7,7 +7,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fuzzy as Z
@@ -952,38 +952,34 @@ def raw_paths(spark, sf):
     return W.list_paths(_raw(spark, sf), "en")
 
 
-ITEM_SQL = "'item-' || item_id || '.adoc'"
+PAGE_SQL = "'doc-' || doc_id || '.adoc'"
 
 
-def _archive(spark, sf, names: Callable[[int], list[str]]) -> str:
-    """An archive of the benchmark's passages (a bounded table), each under some names."""
-    import io
-    import zipfile
-
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in table(spark, sf, "benchmark").select("item_id", "text").toLocalIterator():
-            for name in names(r.item_id):
-                z.writestr(name, r.text)
-    path = f"{_folder(spark, 'archive')}.zip"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    stream.write(out.getvalue())
-    stream.close()
+def _archives(spark, sf, names: list[Column]) -> str:
+    """Archives of the documents, written by the tasks that read them, each document under some names (null: left out)."""
+    path = _folder(spark, "archives")
+    docs = table(spark, sf, "documents").select(F.explode(F.array(*names)).alias("name"), F.col("text").alias("content"))
+    A_.write_archives(docs, path)
     return path
 
 
-@query("archive_versions", f"SELECT v.version, {ITEM_SQL} AS path, md5(text) AS digest FROM benchmark, (VALUES ('3.1'), ('main')) v(version) WHERE v.version = 'main' OR item_id % 2 = 0")
+def _in(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+@query("archive_versions", f"SELECT v.version, {PAGE_SQL} AS path, md5(coalesce(text, '')) AS digest FROM documents, (VALUES ('3.1'), ('main')) v(version) WHERE v.version = 'main' OR doc_id % 2 = 0")
 def archive_versions(spark, sf):
-    """One archive serves all versions; what isn't a page of one of them is left."""
-    names = lambda i: [f"repo/_versions/{v}/guides/item-{i}.adoc" for v in (["3.1", "main"] if i % 2 == 0 else ["main"])] + [f"repo/_versions/9/guides/item-{i}.adoc", f"repo/item-{i}.txt"]
-    return A_.versioned_docs(A_.entries(spark, _archive(spark, sf, names)), ["3.1", "main"]).select("version", "path", F.md5("content").alias("digest"))
+    """An archive serves all versions; what isn't a page of one of them is left."""
+    i = F.col("doc_id").cast("string")
+    names = [_in("repo/_versions/main/guides/doc-", i, ".adoc"), F.when(F.col("doc_id") % 2 == 0, _in("repo/_versions/3.1/guides/doc-", i, ".adoc")), _in("repo/_versions/9/guides/doc-", i, ".adoc"), _in("repo/doc-", i, ".txt")]
+    return A_.versioned_docs(A_.entries(spark, _archives(spark, sf, names), ".adoc"), ["3.1", "main"]).select("version", "path", F.md5("content").alias("digest"))
 
 
-@query("archive_extension", f"SELECT 'extensions/some/' || {ITEM_SQL} AS path, md5(text) AS digest FROM benchmark")
+@query("archive_extension", f"SELECT 'extensions/some/' || {PAGE_SQL} AS path, md5(coalesce(text, '')) AS digest FROM documents")
 def archive_extension(spark, sf):
-    names = lambda i: [f"repo-1/docs/modules/ROOT/pages/item-{i}.adoc", f"repo-1/docs/modules/other/pages/item-{i}.adoc", f"repo-1/readme-{i}.md"]
-    return A_.extension_docs(A_.entries(spark, _archive(spark, sf, names)), "some").select("path", F.md5("content").alias("digest"))
+    i = F.col("doc_id").cast("string")
+    names = [_in("repo-1/docs/modules/ROOT/pages/doc-", i, ".adoc"), _in("repo-1/docs/modules/other/pages/doc-", i, ".adoc"), _in("repo-1/readme-", i, ".md")]
+    return A_.extension_docs(A_.entries(spark, _archives(spark, sf, names), ".adoc"), "some").select("path", F.md5("content").alias("digest"))
 
 
 @query(
