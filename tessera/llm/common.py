@@ -80,6 +80,15 @@ def _c_library() -> ctypes.CDLL | None:
         return None
 
 
+@functools.cache
+def keep_freed() -> None:
+    """Up to 64 MB that a worker frees stay with it until give_back: arrays of some megabytes that are made and freed in a loop
+    would come as new pages each time, which cost as much as the work on them when all cores ask for some."""
+    if (library := _c_library()) is not None:
+        library.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+        library.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+
+
 def give_back() -> None:
     """Freed memory goes back to the system: allocators keep it otherwise, about as much again as a worker needs."""
     pa.default_memory_pool().release_unused()

@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import array_sum
-from .common import id_text, load, one_thread, thrifty, written
-from .segments import spread
+from .common import id_text, keep_freed, load, one_thread, thrifty, written
 from .shingles import CHUNK, U, byte_chunks, word_hashes
 
 KNOWN, LEAST, MOST_CELLS = 1 << 15, 32, 1 << 12
@@ -68,17 +67,18 @@ def windows(items: np.ndarray, bound: np.ndarray, at: np.ndarray, pad: int) -> n
 class Vocabulary:
     """The items: known words by hash, then cells; their classes, and the ways to them through the classes' trees.
 
-    words, counts: known words and their counts; cell_counts, cell_words: all other words' counts and numbers, by cell.
+    words, counts: known words and their counts, frequent ones first, so that their vectors lie close together;
+    cell_counts, cell_words: all other words' counts and numbers, by cell.
     """
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, cell_counts: np.ndarray, cell_words: np.ndarray):
         order = np.argsort(words)
-        self.keys, known = np.append(words[order], U((1 << 64) - 1)), len(words)
+        self.keys, self.item, known = np.append(words[order], U((1 << 64) - 1)), np.append(order, 0), len(words)
         self.known, self.cells = known, len(cell_counts)
         self.size = known + self.cells
         #: a cell's share for a word of count c is (c + 1/2) over this; words that were never counted share one half
         self.cell_total = cell_counts + 0.5 * (cell_words + 1)
-        self.mass = np.concatenate([counts[order].astype(np.float64), self.cell_total])
+        self.mass = np.concatenate([counts.astype(np.float64), self.cell_total])
         bits = max(1, known.bit_length() + 1)
         self.shift = U(64 - bits)
         #: where the keys of each leading bits start: hashes are even, so the place is a step or two away
@@ -102,21 +102,23 @@ class Vocabulary:
         place = np.arange(self.size)
         low, high = np.searchsorted(label, label), np.searchsorted(label, label, "right")
         self.prior = np.zeros(self.size, dtype=np.float32)
+        self.start, self.last = np.zeros((2, self.size), dtype=np.intp)  # the run that a node cuts
         nodes, turns, owners = [], [], []
         at = np.flatnonzero(high - low > 1)
         while len(at):
             middle = (low[at] + high[at]) >> 1
             self.prior[middle] = np.log((total[high[at]] - total[middle]) / (total[middle] - total[low[at]]))
+            self.start[middle], self.last[middle] = low[at], high[at]
             right = place[at] >= middle
             nodes.append(middle), turns.append(right), owners.append(self.order[at])
             low[at[right]], high[at[~right]] = middle[right], middle[~right]
             at = at[high[at] - low[at] > 1]
         owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
         by = np.argsort(owner, kind="stable")
-        self.node = (np.concatenate(nodes) if nodes else owner)[by].astype(np.int32)
+        self.node = (np.concatenate(nodes) if nodes else owner)[by].astype(np.intp)
         self.turn = (np.concatenate(turns) if turns else owner)[by].astype(np.float32)
         self.depth = np.bincount(owner, minlength=self.size)
-        self.way = np.cumsum(self.depth) - self.depth
+        self.way, self.deepest = np.cumsum(self.depth) - self.depth, int(self.depth.max())
 
     def cell_of(self, words: np.ndarray) -> np.ndarray:
         return (words >> U(64 - self.cells.bit_length() + 1)).astype(np.int64)
@@ -128,7 +130,7 @@ class Vocabulary:
         while len(going):
             at[going] += 1
             going = going[self.keys[at[going]] < words[going]]
-        return np.where((self.keys[at] == words) & (at < self.known), at, self.known + self.cell_of(words)).astype(np.int32)
+        return np.where((self.keys[at] == words) & (at < self.known), self.item[at], self.known + self.cell_of(words)).astype(np.int32)
 
 
 class Network:
@@ -154,97 +156,137 @@ class Network:
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e, _, w, b, _, _ = self.parts
         x = e.take(around.ravel(), axis=0).reshape(len(around), -1)
-        return x, np.tanh(x @ w + b)
+        h = x @ w
+        h += b
+        return x, np.tanh(h, out=h)
 
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        """Probabilities of the classes: a row for each class, a column for each row of h."""
+    def classes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes, a row for each class and a column for each row of h, and the columns' sums."""
         z = self.parts[4].T @ h.T
         z += self.parts[5][:, None]
         z -= z.max(axis=0)
         np.exp(z, out=z)
-        z /= z.sum(axis=0)
-        return z
-
-    def turns(self, h: np.ndarray, items: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For every node on the ways to the items: (row, node, its vector, the row's part of h, the score of a right turn)."""
-        depth = known.depth[items]
-        row, at = np.repeat(np.arange(len(items)), depth), spread(known.way[items], depth)
-        node = known.node[at]
-        vector, t = self.parts[1].take(node, axis=0), h[:, :TURN].take(row, axis=0)
-        return row, node, vector, t, known.prior[node] + np.einsum("ij,ij->i", vector, t), known.turn[at]
+        return z, np.ones(len(z), dtype=np.float32) @ z
+
+    def turns(self, h: np.ndarray, items: np.ndarray, known: Vocabulary) -> tuple[list[tuple[slice, np.ndarray]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For every node on the ways to the items, which come with the longest way first: (each level's nodes and their
+        rows' part of h, which are the first rows; node, its vector, the score of a right turn, the turn)."""
+        depth, way, part = known.depth.take(items), known.way.take(items), np.ascontiguousarray(h[:, :TURN])
+        rows = (len(items) - np.cumsum(np.bincount(depth))[:-1]).tolist()  # of each level: those that go deeper
+        at, levels, end = np.empty(sum(rows), dtype=np.intp), [], 0
+        for d, n in enumerate(rows):
+            levels.append((slice(end, end + n), part[:n]))
+            np.add(way[:n], d, out=at[end : end + n])
+            end += n
+        node = known.node.take(at)
+        vector = self.parts[1].take(node, axis=0)
+        product = np.empty_like(vector)
+        for level, t in levels:
+            np.multiply(vector[level], t, out=product[level])
+        z = product @ np.ones(TURN, dtype=np.float32)
+        z += known.prior.take(node)
+        return levels, node, vector, z, known.turn.take(at)
 
     def log_items(self, around: np.ndarray, items: np.ndarray, known: Vocabulary) -> np.ndarray:
         """The log-probability of each item in its window."""
+        order = deepest_first(items, known)
+        around, items = around.take(order, axis=0), items.take(order)
         _, h = self.hidden(around)
-        p = self.classes(h)[known.label[items], np.arange(len(items))]
-        row, _, _, _, z, turn = self.turns(h, items, known)
-        lost = np.log1p(np.exp(np.where(turn > 0, -z, z)))
-        return np.log(p) - np.bincount(row, lost, minlength=len(items))
+        z, total = self.classes(h)
+        levels, _, _, score, turn = self.turns(h, items, known)
+        score *= 1 - 2 * turn
+        lost, turned = np.log(total.astype(np.float64)), np.log1p(np.exp(score))
+        for level, t in levels:
+            lost[: len(t)] += turned[level]
+        out = np.empty(len(items))
+        out[order] = np.log(z[known.label.take(items), np.arange(len(items))]) - lost
+        return out
 
     def train(self, around: np.ndarray, items: np.ndarray, known: Vocabulary, state: Moments) -> None:
         """One pass over the windows in the given order: Adam, and Adagrad on the vectors that occur. state carries on a
         pass whose windows come in several calls."""
-        e, u, w, b, v, c = self.parts
+        e, u, w, _, v, _ = self.parts
+        state.meet(around, items, known)
         for first in range(0, len(items), BATCH):
             some, y = around[first : first + BATCH], items[first : first + BATCH]
+            order = deepest_first(y, known)
+            some, y = some.take(order, axis=0).astype(np.intp), y.take(order)
             n = len(y)
+            one = np.ones(n, dtype=np.float32)
             x, h = self.hidden(some)
-            g = self.classes(h)
-            g[known.label[y], np.arange(n)] -= 1
-            g /= n
-            up = g.T @ v.T
-            row, node, vector, t, z, turn = self.turns(h, y, known)
-            miss = ((1 / (1 + np.exp(-z)) - turn) / n).astype(np.float32)
-            if len(row):
-                starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                up[row[starts], :TURN] += np.add.reduceat(miss[:, None] * vector, starts, axis=0)
-            back = up * (1 - h * h)
-            state.t += 1
-            for p, q, m, s in zip(self.parts[2:], [x.T @ back, back.sum(axis=0), (g @ h).T, g.sum(axis=1)], state.first, state.second, strict=True):
-                m += 0.1 * (q - m)
-                s += 0.01 * (q * q - s)
-                p -= RATE * (m / (1 - 0.9**state.t)) / (np.sqrt(s / (1 - 0.99**state.t)) + 1e-8)
+            g, total = self.classes(h)
+            g *= 1 / (total * np.float32(n))
+            flat = g.reshape(-1)
+            at = known.label.take(y) * np.intp(n) + np.arange(n)
+            flat[at] = flat.take(at) - np.float32(1 / n)
+            back = g.T @ v.T
+            levels, node, vector, z, turn = self.turns(h, y, known)
+            miss = np.repeat((1 / (1 + np.exp(-z)) - turn) * np.float32(1 / n), TURN).reshape(-1, TURN)
+            vector *= miss
+            below = np.zeros((n, TURN), dtype=np.float32)
+            for level, t in levels:
+                below[: len(t)] += vector[level]
+                miss[level] *= t
+            back[:, :TURN] += below
+            last = [(g @ h).T.ravel(), g @ one]
+            h *= h
+            back *= np.subtract(1, h, out=h)
+            state.adam(self.flat[self.sparse :], np.concatenate([(x.T @ back).ravel(), one @ back, *last]))
             state.step(0, e, some.ravel(), (back @ w.T).reshape(-1, DIM))
-            state.step(1, u, node, miss[:, None] * t)
+            state.step(1, u, node, miss)
             e[-1] = 0
 
 
+def deepest_first(items: np.ndarray, known: Vocabulary) -> np.ndarray:
+    """An order of the items in which the way to none is longer than the one before: at each level of the trees, the items
+    that go on are the first ones."""
+    return np.argsort((known.deepest - known.depth.take(items)).astype(np.uint8), kind="stable")
+
+
 class Moments:
     """What a pass of the optimiser keeps between mini-batches."""
 
     def __init__(self, net: Network):
         self.t = 0
-        self.first = [np.zeros_like(p) for p in net.parts[2:]]
-        self.second = [np.zeros_like(p) for p in net.parts[2:]]
+        self.first, self.second = np.zeros((2, net.size - net.sparse), dtype=np.float32)
         self.squares = [np.zeros(len(p), dtype=np.float32) for p in net.parts[:2]]
         self.met = [np.zeros(len(p), dtype=np.int64) for p in net.parts[:2]]
         self.mark = [np.zeros(len(p), dtype=bool) for p in net.parts[:2]]
-        self.place = [np.zeros(len(p), dtype=np.uint16) for p in net.parts[:2]]
+        self.place = [np.zeros(len(p), dtype=np.intp) for p in net.parts[:2]]
+
+    def meet(self, around: np.ndarray, items: np.ndarray, known: Vocabulary) -> None:
+        """Counts how often each word's vector and each node is met."""
+        self.met[0] += np.bincount(around.ravel(), minlength=len(self.met[0]))
+        total = np.concatenate(([0], np.cumsum(np.bincount(items, minlength=known.size)[known.order])))
+        self.met[1] += total[known.last] - total[known.start]
+
+    def adam(self, dense: np.ndarray, grad: np.ndarray) -> None:
+        self.t += 1
+        self.first += 0.1 * (grad - self.first)
+        self.second += 0.01 * (grad * grad - self.second)
+        dense -= RATE * (self.first / (1 - 0.9**self.t)) / (np.sqrt(self.second / (1 - 0.99**self.t)) + 1e-8)
 
     def step(self, k: int, table: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad on the rows of a table that occur; fewer than 65,536 of them at once."""
-        mark, place = self.mark[k], self.place[k]
+        """Adagrad on the rows of a table that occur. Numbers are summed two at a time, as complex ones."""
+        mark, place, width = self.mark[k], self.place[k], table.shape[1]
         mark[at] = True
         rows = np.flatnonzero(mark)
-        if not len(rows):
-            return
         mark[rows] = False
-        place[rows] = np.arange(len(rows), dtype=np.uint16)
-        own = place[at]
-        order = np.argsort(own, kind="stable")  # of short integers: by radix
-        own = own[order]
-        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        count = np.diff(np.append(starts, len(own)))
-        grad = grad.take(order, axis=0)
-        total = grad.take(starts, axis=0)
-        several = np.flatnonzero(count > 1)  # most rows occur once
-        if len(several):
-            n = count[several]
-            total[several] = np.add.reduceat(grad.take(spread(starts[several], n), axis=0), np.cumsum(n) - n, axis=0)
-        self.met[k][rows] += count
-        square = self.squares[k][rows] + np.einsum("ij,ij->i", total, total) / table.shape[1]
+        place[rows] = np.arange(len(rows))
+        total = np.zeros((len(rows), width), dtype=np.float32)
+        pairs = np.arange(len(rows) * width // 2).reshape(len(rows), width // 2).take(place.take(at), axis=0)
+        np.add.at(total.reshape(-1).view(np.complex64), pairs.reshape(-1), grad.reshape(-1).view(np.complex64))
+        square = self.squares[k].take(rows)
+        square += (total * total) @ np.full(width, 1 / width, dtype=np.float32)
         self.squares[k][rows] = square
-        table[rows] -= SPARSE_RATE * total / (np.sqrt(square)[:, None] + 1e-8)
+        total *= (SPARSE_RATE / (np.sqrt(square) + 1e-8))[:, None]
+        put_rows(table, rows, table.take(rows, axis=0) - total)
+
+
+def put_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """table[rows] = values, each row as one item, which is several times faster for short rows."""
+    whole = np.dtype((np.void, table.shape[1] * table.itemsize))
+    table.view(whole)[:, 0][rows] = values.view(whole)[:, 0]
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +348,7 @@ def train(src: DataFrame, shared: Broadcast, rounds: int = ROUNDS) -> Network:
         start = src.sparkSession.sparkContext.broadcast(net.flat)
 
         def fill(batches: Iterator[pa.RecordBatch], r: int = r, start: Broadcast = start) -> np.ndarray | None:
-            one_thread()
+            one_thread(), keep_freed()
             known, n = shared.value, 0
             local = Network(known, start.value.copy())
             state, rng = Moments(local), np.random.default_rng(r)
@@ -349,7 +391,7 @@ def scored(src: DataFrame, net: Network, shared: Broadcast) -> DataFrame:
     size, start = shared.value.size, src.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
+        one_thread(), keep_freed()
         known, net = shared.value, Network(shared.value, start.value)
         less = np.concatenate([np.zeros(known.known), np.log(known.cell_total)])
         row = TaskContext.get().partitionId() << 40

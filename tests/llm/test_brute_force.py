@@ -700,6 +700,73 @@ def test_scores_are_sums_over_words_and_know_what_is_alone(spark):
         assert (r.n_unknown == 0) == (r.doc_id in {*range(6), *range(60, 66)})
 
 
+def test_a_mini_batch_is_what_plain_loops_make():
+    known, rng = small_vocabulary(200, 8), np.random.default_rng(4)
+    around, target = rng.integers(0, known.size + 1, (300, 4)).astype(np.int32), (rng.zipf(1.3, 300) % known.size).astype(np.int32)
+    net, turn = random_network(known), pseudo_likelihood.TURN
+    net.parts[0][-1] = 0
+    e, u, w, b, v, c = (p.astype(np.float64) for p in net.parts)
+    grads, met = [np.zeros_like(p) for p in (e, u, w, b, v, c)], [np.zeros(len(e), dtype=int), np.zeros(len(u), dtype=int)]
+    backs = []
+    for ids, item in zip(around.tolist(), target.tolist(), strict=True):
+        x = np.concatenate([e[k] for k in ids])
+        h = np.tanh(x @ w + b)
+        g = np.exp(h @ v + c)
+        g /= g.sum()
+        g[known.label[item]] -= 1
+        up = v @ g
+        for at in range(known.way[item], known.way[item] + known.depth[item]):
+            node = known.node[at]
+            miss = 1 / (1 + math.exp(-known.prior[node] - u[node] @ h[:turn])) - known.turn[at]
+            up[:turn] += miss * u[node]
+            grads[1][node] += miss * h[:turn] / 300
+            met[1][node] += 1
+        back = up * (1 - h * h)
+        backs.append(back)
+        for p, q in zip(grads[2:], (np.outer(x, back), back, np.outer(h, g), g), strict=True):
+            p += q / 300
+    dense = [old - pseudo_likelihood.RATE * grad / (np.abs(grad) + 1e-8) for old, grad in zip((w, b, v, c), grads[2:], strict=True)]
+    for ids, back in zip(around.tolist(), backs, strict=True):
+        for k, part in zip(ids, (back @ dense[0].T).reshape(4, -1), strict=True):  # the words' vectors follow the dense layers
+            grads[0][k] += part / 300
+            met[0][k] += 1
+    state = pseudo_likelihood.Moments(net)
+    net.train(around, target, known, state)
+    for got, old, grad in zip(net.parts[:2], (e, u), grads[:2], strict=True):
+        want = old - pseudo_likelihood.SPARSE_RATE * grad / (np.sqrt((grad**2).mean(axis=1, keepdims=True)) + 1e-8)
+        want[len(u) :] = 0  # the vector of what is beyond a text
+        assert np.abs(got - want).max() < 2e-3 and np.abs(got - old).max() > 0.05
+    assert all(np.abs(got - want).max() < 1e-4 for got, want in zip(net.parts[2:], dense, strict=True))
+    assert all((m == n).all() for m, n in zip(state.met, met, strict=True))
+
+
+def test_a_step_adds_equal_rows_without_sorting_them():
+    known, rng = small_vocabulary(30_000, 4096), np.random.default_rng(5)
+    net = pseudo_likelihood.Network(known)
+    state = pseudo_likelihood.Moments(net)
+    at = rng.zipf(1.2, 13_000) % known.size
+    grad = rng.normal(0, 1, (13_000, pseudo_likelihood.TURN)).astype(np.float32)
+    squares = np.zeros(known.size, dtype=np.float32)
+    table = net.parts[1].copy()
+
+    def sorting():
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        own = at[order]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        rows, total = own[starts], np.add.reduceat(grad[order], starts, axis=0)
+        squares[rows] += (total * total).mean(axis=1)
+        table[rows] -= pseudo_likelihood.SPARSE_RATE * total / (np.sqrt(squares[rows])[:, None] + 1e-8)
+
+    took = [[], []]
+    for _ in range(30):
+        for times, run in zip(took, (sorting, lambda: state.step(1, net.parts[1], at, grad.copy())), strict=True):
+            start = time.process_time()
+            run()
+            times.append(time.process_time() - start)
+    assert np.abs(table - net.parts[1]).max() < 1e-3 and (table != 0).any()
+    assert min(took[1]) < 0.75 * min(took[0])
+
+
 def test_a_pass_in_several_calls_is_one_pass():
     known, rng = small_vocabulary(), np.random.default_rng(1)
     around, target = rng.integers(0, known.size + 1, (4096, 4)).astype(np.int32), rng.integers(0, known.size, 4096).astype(np.int32)
